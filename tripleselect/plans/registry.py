@@ -55,3 +55,214 @@ def q_select_cluster_cosine(spark, sf):
     tv = fx.triple_vectors(spark, sf)
     out = select_cluster_cosine(tv, _given_clusters(tv), BUDGET, NCLUST, DIM, SEED)
     return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+# ----------------------------------------------------------------------------- checksums for vector outputs
+
+def vsum(c) -> F.Column:
+    v = F.transform(F.col(c) if isinstance(c, str) else c, lambda x: x.cast("double"))
+    return F.round(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x), 6)
+
+
+def vwsum(c) -> F.Column:
+    v = F.transform(F.col(c) if isinstance(c, str) else c, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x), 6)
+
+
+def _vcheck(c: str) -> list:
+    return [F.size(c).alias("n_dims"), vsum(c).alias("v_sum"), vwsum(c).alias("v_wsum")]
+
+
+def sql_vcheck(v: str) -> str:
+    return (f"CAST(len({v}) AS INT) AS n_dims, "
+            f"round(list_reduce(CAST({v} AS DOUBLE[]), lambda a, x: a + x, 0.0::DOUBLE), 6) AS v_sum, "
+            f"round(list_reduce(list_transform(CAST({v} AS DOUBLE[]), lambda x, i: x * i), lambda a, x: a + x, 0.0::DOUBLE), 6) AS v_wsum")
+
+
+def _dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+# ----------------------------------------------------------------------------- J8 assemble, P3 views, P4/P5, P6
+
+@register("assemble_triples", K.with_(*K.FIX) + f"SELECT triple_id, label, {sql_vcheck('vec')} FROM tv")
+def q_assemble_triples(spark, sf):
+    tv = fx.triple_vectors(spark, sf)
+    return tv.select("triple_id", "label", *_vcheck("vec"))
+
+
+def _view_sql(view: str) -> str:
+    if view == "query":
+        expr = K.block("vec", DIM, 0)
+    elif view == "pos":
+        expr = f"list_slice(vec, 1, {2 * DIM})"
+    else:
+        expr = f"list_concat(list_concat(list_slice(vec, 1, 16), list_slice(vec, {DIM + 1}, {DIM + 16})), list_slice(vec, {2 * DIM + 1}, {2 * DIM + 16}))"
+    return K.with_(*K.FIX) + f"SELECT triple_id, {sql_vcheck(expr)} FROM tv"
+
+
+def _view_q(view: str):
+    def q(spark, sf):
+        from tripleselect.functions.vectors import vector_view
+        tv = fx.triple_vectors(spark, sf)
+        return tv.select("triple_id", vector_view("vec", DIM, view, 16).alias("v")).select("triple_id", *_vcheck("v"))
+    return q
+
+
+for _v in ("query", "pos", "trunc"):
+    register(f"vector_view_{_v}", _view_sql(_v))(_view_q(_v))
+
+
+def _weight_sql(a: float, b: float, g: float, equal: bool) -> str:
+    if equal:
+        w = "CAST(vec AS DOUBLE[])"
+    else:
+        w = (f"list_transform(CAST(vec AS DOUBLE[]), lambda x, i: x * CASE WHEN i <= {DIM} THEN {_dbl(a)} "
+             f"WHEN i <= {2 * DIM} THEN {_dbl(b)} ELSE {_dbl(g)} END)")
+    return (K.with_(*K.FIX, f"w AS (SELECT triple_id, {w} AS v FROM tv)",
+                    f"nw AS (SELECT triple_id, v, {K.norm('v')} AS n FROM w)",
+                    "nv AS (SELECT triple_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS v FROM nw)")
+            + f"SELECT triple_id, {sql_vcheck('v')} FROM nv")
+
+
+def _weight_q(a: float, b: float, equal: bool, clip: bool):
+    def q(spark, sf):
+        from tripleselect.functions.vectors import weight_vectors
+        tv = fx.triple_vectors(spark, sf)
+        w = weight_vectors(tv.select("triple_id", "vec"), "vec", DIM, a, b, equal=equal, clip_gamma=clip)
+        return w.select("triple_id", *_vcheck("vec"))
+    return q
+
+
+register("weight_vectors", _weight_sql(0.5, 0.3, 1.0 - 0.5 - 0.3, False))(_weight_q(0.5, 0.3, False, True))
+register("weight_vectors_unclipped", _weight_sql(1.0, 1.0, -1.0, False))(_weight_q(1.0, 1.0, False, False))
+register("l2_normalize", _weight_sql(1.0, 1.0, 0.0, True))(_weight_q(1.0, 1.0, True, True))
+
+
+@register("cosine_margin", K.with_(*K.FIX) + f"SELECT triple_id, round({K.margin('vec', DIM)}, 6) AS margin FROM tv")
+def q_cosine_margin(spark, sf):
+    from tripleselect.functions.vectors import cosine_margin
+    tv = fx.triple_vectors(spark, sf)
+    return tv.select("triple_id", F.round(cosine_margin("vec", DIM), 6).alias("margin"))
+
+
+# ----------------------------------------------------------------------------- J1 take by index
+
+@register("take_by_index", K.with_(*K.FIX, K.TEXT, f"""draws AS (
+  SELECT 'draws' AS run_id, step AS ordinal, {K.key(SEED, 'step')} % (SELECT count(*) FROM tt) AS triple_id
+  FROM range(1, (SELECT count(*) FROM tt) + 1) t(step))""")
+    + "SELECT d.run_id, d.ordinal, d.triple_id, t.query, t.psg_pos, t.psg_neg FROM draws d JOIN tt t USING (triple_id)")
+def q_take_by_index(spark, sf):
+    from tripleselect.functions.rand import draw_index
+    from tripleselect.operators.select import take
+    tt = fx.text_triples(spark, sf)
+    n = tt.count()
+    samples = (spark.range(1, n + 1).select(F.lit("draws").alias("run_id"), F.col("id").alias("ordinal"))
+                    .withColumn("triple_id", draw_index(SEED, "ordinal", n)))
+    return take(tt.select("triple_id", "query", "psg_pos", "psg_neg"), samples) \
+        .select("run_id", "ordinal", "triple_id", "query", "psg_pos", "psg_neg")
+
+
+# ----------------------------------------------------------------------------- A1-A3, Q2-Q5
+
+_SIZES = "sizes AS (SELECT label AS cluster_id, count(*) AS size FROM tv GROUP BY label)"
+
+
+@register("cluster_sizes", K.with_(*K.FIX, _SIZES) + "SELECT cluster_id, size FROM sizes")
+def q_cluster_sizes(spark, sf):
+    from tripleselect.operators.select import cluster_sizes
+    return cluster_sizes(_given_clusters(fx.triple_vectors(spark, sf)))
+
+
+def _bonus_sql(center: str) -> str:
+    q = BUDGET // NCLUST
+    agg = "median(size)" if center == "median" else "avg(size)"
+    return (K.with_(*K.FIX, _SIZES)
+            + f"""SELECT cluster_id, size, CAST({q} + CASE WHEN size > s THEN floor(s / {q}) ELSE 0 END AS INT) AS quota
+FROM sizes, (SELECT CAST({agg} AS DOUBLE) AS s FROM sizes)""")
+
+
+def _bonus_q(center: str):
+    def q(spark, sf):
+        from tripleselect.operators.select import bonus_quota, cluster_sizes, per_cluster
+        sizes = cluster_sizes(_given_clusters(fx.triple_vectors(spark, sf)))
+        return bonus_quota(sizes, per_cluster(BUDGET, NCLUST), center)
+    return q
+
+
+register("bonus_quota_median", _bonus_sql("median"))(_bonus_q("median"))
+register("bonus_quota_mean", _bonus_sql("mean"))(_bonus_q("mean"))
+
+
+@register("smoothed_quota", K.with_(*K.FIX, _SIZES)
+          + f"""SELECT cluster_id, size, CAST(floor((size + {BUDGET // NCLUST}) / CAST(tot + {NCLUST} AS DOUBLE) * {BUDGET}) AS INT) AS quota
+FROM sizes, (SELECT sum(size) AS tot FROM sizes)""")
+def q_smoothed_quota(spark, sf):
+    from tripleselect.operators.select import cluster_sizes, smoothed_quota
+    sizes = cluster_sizes(_given_clusters(fx.triple_vectors(spark, sf)))
+    return smoothed_quota(sizes, BUDGET, NCLUST)
+
+
+_RANKED = f"""ranked AS (
+  SELECT triple_id, label AS cluster_id, round({K.margin('vec', DIM)}, 9) AS score9, {K.margin('vec', DIM)} AS score,
+         row_number() OVER (PARTITION BY label ORDER BY round({K.margin('vec', DIM)}, 9), triple_id) AS rank
+  FROM tv)"""
+
+
+@register("rank_in_cluster", K.with_(*K.FIX, _RANKED)
+          + "SELECT triple_id, cluster_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM ranked")
+def q_rank_in_cluster(spark, sf):
+    from tripleselect.functions.vectors import cosine_margin
+    from tripleselect.operators.select import rank_in_cluster
+    tv = fx.triple_vectors(spark, sf)
+    scored = tv.select("triple_id", F.col("label").alias("cluster_id"), cosine_margin("vec", DIM).alias("score"))
+    return rank_in_cluster(scored, "score").select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("flat_quota", K.with_(*K.FIX, _RANKED)
+          + f"SELECT triple_id, cluster_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= {BUDGET // NCLUST}")
+def q_flat_quota(spark, sf):
+    from tripleselect.functions.vectors import cosine_margin
+    from tripleselect.operators.select import apply_quota, cluster_sizes, flat_quota, rank_in_cluster
+    tv = fx.triple_vectors(spark, sf)
+    scored = tv.select("triple_id", F.col("label").alias("cluster_id"), cosine_margin("vec", DIM).alias("score"))
+    quotas = flat_quota(cluster_sizes(_given_clusters(tv)), BUDGET // NCLUST)
+    return apply_quota(rank_in_cluster(scored, "score"), quotas).select("triple_id", "cluster_id", "rank")
+
+
+# ----------------------------------------------------------------------------- C1 assignment
+
+_CENT = """pe AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x
+  FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos),
+cent AS (SELECT label AS cell, list(x ORDER BY pos) AS c FROM pe GROUP BY label),
+ncent AS (SELECT cell, list_transform(c, lambda x: x / sqrt(list_reduce(list_transform(c, lambda y: y * y), lambda a, b: a + b, 0.0::DOUBLE))) AS c FROM cent),
+sims AS (SELECT e.vec_id, n.cell, list_reduce(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x, i: x * n.c[i]), lambda a, b: a + b, 0.0::DOUBLE)
+              / sqrt(list_reduce(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x), lambda a, b: a + b, 0.0::DOUBLE)) AS sim
+         FROM embeddings e, ncent n)"""
+
+
+@register("assign_clusters", "WITH " + _CENT + """
+SELECT vec_id, CAST(arg_max(cell, struct_pack(s := sim, c := -cell)) AS INT) AS cluster_id FROM sims GROUP BY vec_id""")
+def q_assign_clusters(spark, sf):
+    from tripleselect.operators.cluster import assign_clusters, mean_centroids
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("triple_id"), F.col("embedding").alias("vec"), "label")
+    cents = mean_centroids(e, "label")
+    return assign_clusters(e, cents).select(F.col("triple_id").alias("vec_id"), "cluster_id")
+
+
+# ----------------------------------------------------------------------------- Q6 / Q7
+
+@register("sample_exact", f"SELECT doc_id FROM documents ORDER BY {K.key(SEED, 'doc_id')}, doc_id LIMIT {BUDGET}")
+def q_sample_exact(spark, sf):
+    from tripleselect.operators.select import sample_exact
+    return sample_exact(fx.table(spark, sf, "documents").select("doc_id"), BUDGET, SEED, "doc_id")
+
+
+@register("subsets", K.with_(K.RANKED_EMB, K.IDS, f"""rep AS (
+  SELECT r.replica, ids.*, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'ids.triple_id')}, ids.triple_id) AS rn
+  FROM ids, range(0, 3) r(replica))""")
+    + "SELECT CAST(replica AS INT) AS replica, triple_id, qid, pos_id, neg_id FROM rep WHERE rn <= CAST(trunc((SELECT count(*) FROM ids) * 0.1) AS BIGINT)")
+def q_subsets(spark, sf):
+    from tripleselect.operators.select import subsets
+    ids = fx.id_triples(spark, sf).select("triple_id", "qid", "pos_id", "neg_id")
+    return subsets(ids, 10, 3, SEED).select("replica", "triple_id", "qid", "pos_id", "neg_id")
