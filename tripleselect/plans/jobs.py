@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import cosine_margin
-from tripleselect.operators.select import (apply_quota, bonus_quota, cluster_sizes, flat_quota,
-                                           per_cluster, rank_in_cluster, sample_exact, smoothed_quota)
+from tripleselect.operators.select import (bonus_quota, cluster_sizes, flat_quota, per_cluster,
+                                           sample_exact, smoothed_quota, top_k_per_group)
 
 
 def _select(scored: DataFrame, assignments: DataFrame, budget: int, nclust: int, seed: int,
@@ -28,8 +28,11 @@ def _select(scored: DataFrame, assignments: DataFrame, budget: int, nclust: int,
         quotas = smoothed_quota(sizes, budget, nclust)
     else:
         quotas = flat_quota(sizes, q)
-    ranked = rank_in_cluster(scored.where(F.col("cluster_id") >= 0), "score")
-    picked = apply_quota(ranked, quotas)
+    # each cluster keeps its first ``quota`` rows by (rounded score, id): a
+    # salted two-phase top-k, so a cluster holding a third of the rows is
+    # still cut by many tasks
+    withq = scored.where(F.col("cluster_id") >= 0).join(quotas.select("cluster_id", "quota"), "cluster_id")
+    picked = top_k_per_group(withq, ["cluster_id"], [F.round("score", 9)], "quota", "triple_id").drop("quota")
     # smoothed quotas down-sample only when they over-allocate; sample_exact
     # returns everything when there are fewer than ``budget`` rows, so one
     # call covers both cases
@@ -44,3 +47,63 @@ def select_cluster_cosine(vectors: DataFrame, assignments: DataFrame, budget: in
     scored = (vectors.select("triple_id", "vec").join(assignments.select("triple_id", "cluster_id"), "triple_id")
                      .select("triple_id", "cluster_id", cosine_margin("vec", dim).alias("score")))
     return _select(scored, assignments, budget, nclust, seed, quota="bonus", center=center)
+
+
+def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, ...], stats, margin: bool) -> DataFrame:
+    from tripleselect.operators.bm25 import bm25_margin, bm25_pairs, bm25_stats, to_pairs
+    t = triples.join(assignments.select("triple_id", "cluster_id"), "triple_id")
+    pairs = to_pairs(t, sides, keep=("cluster_id",))
+    if isinstance(stats, str) and stats == "cluster":
+        # statistics from the scored passages of each cluster
+        st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
+    else:
+        # statistics from a background collection of (text) rows
+        st = bm25_stats(stats, "text")
+    scores = bm25_pairs(pairs.drop("cluster_id") if not st.scope else pairs, st)
+    scores = bm25_margin(scores) if margin else scores.select("triple_id", "score")
+    return scores.join(assignments.select("triple_id", "cluster_id"), "triple_id")
+
+
+def select_cluster_bm25(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int, seed: int = 0,
+                        stats="cluster", rounding: str = "floor") -> DataFrame:
+    """Clean text, score each positive passage against its query by BM25,
+    keep the lowest-scoring (hardest) triples per cluster under a
+    median-bonus quota, draw ``budget``.  (triple_id, cluster_id, rank, score)."""
+    scored = _bm25_scored(triples, assignments, ("pos",), stats, margin=False)
+    return _select(scored, assignments, budget, nclust, seed, quota="bonus", center="median", rounding=rounding)
+
+
+def select_cluster_bm25_qpos(triples: DataFrame, vectors: DataFrame, budget: int, nclust: int, dim: int,
+                             seed: int = 0, stats="cluster", assignments: DataFrame | None = None,
+                             max_iter: int = 20) -> DataFrame:
+    """As :func:`select_cluster_bm25` but clusters are formed on the query
+    and positive blocks only, and the per-cluster quota rounds up."""
+    from tripleselect.functions.vectors import vector_view
+    from tripleselect.operators.cluster import cluster_kmeans
+    if assignments is None:
+        view = vectors.select("triple_id", vector_view("vec", dim, "pos").alias("vec"))
+        assignments = cluster_kmeans(view, nclust, max_iter, seed)
+    return select_cluster_bm25(triples, assignments, budget, nclust, seed, stats, rounding="ceil")
+
+
+def select_cluster_bm25_margin(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
+                               seed: int = 0, stats="cluster") -> DataFrame:
+    """Score = BM25(positive) - BM25(negative) (joined by id), mean-bonus quota."""
+    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, margin=True)
+    return _select(scored, assignments, budget, nclust, seed, quota="bonus", center="mean")
+
+
+def select_cluster_bm25_smoothed(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
+                                 seed: int = 0, stats="cluster") -> DataFrame:
+    """BM25 margin with smoothed quotas ``floor((n_c + a) / (N + K) * budget)``;
+    down-sampled only when the quotas over-allocate."""
+    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, margin=True)
+    return _select(scored, assignments, budget, nclust, seed, quota="smoothed")
+
+
+def select_density_bm25_margin(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
+                               seed: int = 0, stats="cluster") -> DataFrame:
+    """Density clusters (noise = -1 never selected), BM25 margin, flat quota
+    ``budget // nclust`` per cluster, draw ``budget``."""
+    scored = _bm25_scored(triples, assignments.where(F.col("cluster_id") >= 0), ("pos", "neg"), stats, margin=True)
+    return _select(scored, assignments, budget, nclust, seed, quota="flat")

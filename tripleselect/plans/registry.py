@@ -266,3 +266,131 @@ def q_subsets(spark, sf):
     from tripleselect.operators.select import subsets
     ids = fx.id_triples(spark, sf).select("triple_id", "qid", "pos_id", "neg_id")
     return subsets(ids, 10, 3, SEED).select("replica", "triple_id", "qid", "pos_id", "neg_id")
+
+
+# ----------------------------------------------------------------------------- P1 P2, J4 J5 A8, E1-E4, J6
+
+@register("clean_text", f"SELECT doc_id, {K.clean('text')} AS text FROM documents")
+def q_clean_text(spark, sf):
+    from tripleselect.functions.text import clean_text
+    return fx.table(spark, sf, "documents").select("doc_id", clean_text("text").alias("text"))
+
+
+@register("to_pairs", K.with_(*K.FIX, K.TEXT, K.pairs_cte()) + "SELECT triple_id, side, query, passage FROM pairs")
+def q_to_pairs(spark, sf):
+    from tripleselect.operators.bm25 import to_pairs
+    return to_pairs(fx.text_triples(spark, sf))
+
+
+def _pairs_scores(spark, sf, scope: str, sides=("pos", "neg")):
+    from tripleselect.operators.bm25 import bm25_pairs, bm25_stats, to_pairs
+    tt = fx.text_triples(spark, sf).withColumnRenamed("label", "cluster_id")
+    pairs = to_pairs(tt, sides, keep=("cluster_id",))
+    if scope == "corpus":
+        st = bm25_stats(fx.table(spark, sf, "documents"), "text")
+        return bm25_pairs(pairs.drop("cluster_id"), st)
+    st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
+    return bm25_pairs(pairs, st)
+
+
+@register("bm25_pairs_corpus", K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(scope="corpus"))
+          + "SELECT triple_id, side, round(score, 6) AS score FROM scores")
+def q_bm25_pairs_corpus(spark, sf):
+    return _pairs_scores(spark, sf, "corpus").select("triple_id", "side", F.round("score", 6).alias("score"))
+
+
+@register("bm25_pairs_cluster", K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(scope="cluster"))
+          + "SELECT triple_id, side, round(score, 6) AS score FROM scores")
+def q_bm25_pairs_cluster(spark, sf):
+    return _pairs_scores(spark, sf, "cluster").select("triple_id", "side", F.round("score", 6).alias("score"))
+
+
+@register("bm25_margin", K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(scope="corpus"), K.MARGIN)
+          + "SELECT triple_id, round(score, 6) AS score FROM margin")
+def q_bm25_margin(spark, sf):
+    from tripleselect.operators.bm25 import bm25_margin
+    return bm25_margin(_pairs_scores(spark, sf, "corpus")).select("triple_id", F.round("score", 6).alias("score"))
+
+
+_CLUSTER_BY_LABEL = "scored AS (SELECT s.triple_id, ids.label AS cluster_id, s.score FROM {src} s JOIN ids USING (triple_id))"
+
+
+@register("select_cluster_bm25",
+          K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(("pos",), "cluster"), _CLUSTER_BY_LABEL.format(src="scores"))[:-1]
+          + K.select_tail("scored", BUDGET, NCLUST, SEED, "bonus", "median"))
+def q_select_cluster_bm25(spark, sf):
+    from tripleselect.plans.jobs import select_cluster_bm25
+    tt = fx.text_triples(spark, sf)
+    out = select_cluster_bm25(tt.drop("label"), _given_clusters(tt), BUDGET, NCLUST, SEED, stats="cluster")
+    return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+_POS_VIEW_ASSIGN = f"""pv AS (SELECT triple_id, label, list_slice(vec, 1, {2 * DIM}) AS v FROM tv),
+pe AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x
+  FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM pv) GROUP BY label, pos),
+cent AS (SELECT label AS cell, list(x ORDER BY pos) AS c FROM pe GROUP BY label),
+ncent AS (SELECT cell, list_transform(c, lambda x: x / sqrt(list_reduce(list_transform(c, lambda y: y * y), lambda a, b: a + b, 0.0::DOUBLE))) AS c FROM cent),
+sims AS (SELECT p.triple_id, n.cell, list_reduce(list_transform(CAST(p.v AS DOUBLE[]), lambda x, i: x * n.c[i]), lambda a, b: a + b, 0.0::DOUBLE) AS sim
+         FROM pv p, ncent n),
+asg AS (SELECT triple_id, CAST(arg_max(cell, struct_pack(s := sim, c := -cell)) AS INT) AS cluster_id FROM sims GROUP BY triple_id)"""
+
+
+@register("select_cluster_bm25_qpos",
+          K.with_(*K.FIX, _POS_VIEW_ASSIGN,
+                  K.TEXT.replace("ids.triple_id, ids.label", "ids.triple_id, asg.cluster_id AS label")
+                        .replace("FROM ids\n", "FROM ids JOIN asg USING (triple_id)\n"),
+                  *K.bm25_ctes(("pos",), "cluster"),
+                  "scored AS (SELECT s.triple_id, asg.cluster_id, s.score FROM scores s JOIN asg USING (triple_id))")[:-1]
+          + K.select_tail("scored", BUDGET + 5, NCLUST, SEED, "bonus", "median", "ceil"))
+def q_select_cluster_bm25_qpos(spark, sf):
+    """Clusters = nearest label centroid in the query+positive view (P3),
+    per-cluster BM25 statistics over those clusters, ceil quota."""
+    from tripleselect.functions.vectors import vector_view
+    from tripleselect.operators.cluster import assign_clusters, mean_centroids
+    from tripleselect.plans.jobs import select_cluster_bm25_qpos
+    tv = fx.triple_vectors(spark, sf)
+    view = tv.select("triple_id", "label", vector_view("vec", DIM, "pos").alias("vec"))
+    asg = assign_clusters(view, mean_centroids(view, "label")).select("triple_id", "cluster_id")
+    tt = fx.text_triples(spark, sf).drop("label")
+    out = select_cluster_bm25_qpos(tt, tv, BUDGET + 5, NCLUST, DIM, SEED, stats="cluster", assignments=asg)
+    return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("select_cluster_bm25_margin",
+          K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(scope="corpus"), K.MARGIN, _CLUSTER_BY_LABEL.format(src="margin"))[:-1]
+          + K.select_tail("scored", BUDGET, NCLUST, SEED, "bonus", "mean"))
+def q_select_cluster_bm25_margin(spark, sf):
+    from tripleselect.plans.jobs import select_cluster_bm25_margin
+    tt = fx.text_triples(spark, sf)
+    docs = fx.table(spark, sf, "documents").select("text")
+    out = select_cluster_bm25_margin(tt.drop("label"), _given_clusters(tt), BUDGET, NCLUST, SEED, stats=docs)
+    return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+@register("select_cluster_bm25_smoothed",
+          K.with_(*K.FIX, K.TEXT, *K.bm25_ctes(scope="corpus"), K.MARGIN, _CLUSTER_BY_LABEL.format(src="margin"))[:-1]
+          + K.select_tail("scored", BUDGET, NCLUST, SEED, "smoothed"))
+def q_select_cluster_bm25_smoothed(spark, sf):
+    from tripleselect.plans.jobs import select_cluster_bm25_smoothed
+    tt = fx.text_triples(spark, sf)
+    docs = fx.table(spark, sf, "documents").select("text")
+    out = select_cluster_bm25_smoothed(tt.drop("label"), _given_clusters(tt), BUDGET, NCLUST, SEED, stats=docs)
+    return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
+
+
+RETRIEVE_K = 20
+
+
+@register("bm25_retrieve", K.with_(K.CORPUS_STATS, f"""qterms AS (SELECT qid, term, count(*) AS qtf
+  FROM (SELECT item_id AS qid, unnest({K.toks('text')}) AS term FROM benchmark) GROUP BY qid, term)""",
+    """post AS (SELECT doc_id AS docno, dl, term, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dtok) GROUP BY ALL)""",
+    f"""sc AS (SELECT qid, docno, sum({K.bm25_w()}) AS score
+  FROM qterms JOIN cterms USING (term) CROSS JOIN cdocs JOIN post USING (term) GROUP BY qid, docno)""",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docno) AS rank FROM sc)")
+    + f"SELECT qid, docno, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= {RETRIEVE_K}")
+def q_bm25_retrieve(spark, sf):
+    from tripleselect.operators.bm25 import bm25_retrieve
+    topics = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    out = bm25_retrieve(topics, fx.table(spark, sf, "documents"), RETRIEVE_K)
+    return out.select("qid", "docno", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))

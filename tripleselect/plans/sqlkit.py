@@ -73,3 +73,77 @@ def with_(*ctes: str) -> str:
 
 
 FIX = [RANKED_EMB, IDS, TV]
+
+
+def clean(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[^A-Za-z0-9 ]+', '', 'g')"
+
+
+def toks(x: str) -> str:
+    return f"list_filter(string_split_regex(lower({clean(x)}), ' +'), lambda t: t <> '')"
+
+
+def bm25_w(k1: float = 1.2, b: float = 0.75) -> str:
+    """Per-term BM25 weight over columns qtf, tf, dl, df, n_docs, avgdl."""
+    return (f"(qtf * (ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) / ln(2.0::DOUBLE)) * tf * CAST({k1 + 1!r} AS DOUBLE)"
+            f" / (tf + CAST({k1!r} AS DOUBLE) * (CAST({1 - b!r} AS DOUBLE) + CAST({b!r} AS DOUBLE) * dl / avgdl)))")
+
+
+def pairs_cte(sides=("pos", "neg")) -> str:
+    parts = [f"SELECT triple_id, '{s}' AS side, label AS cluster_id, query, psg_{s} AS passage FROM tt" for s in sides]
+    return "pairs AS (" + " UNION ALL ".join(parts) + ")"
+
+
+QT = f"""qt AS (SELECT triple_id, side, cluster_id, term, count(*) AS qtf
+  FROM (SELECT triple_id, side, cluster_id, unnest({toks('query')}) AS term FROM pairs) GROUP BY ALL)"""
+PT = f"""ptok AS (SELECT triple_id, side, cluster_id, {toks('passage')} AS t FROM pairs),
+pt AS (SELECT triple_id, side, cluster_id, dl, term, count(*) AS tf
+  FROM (SELECT triple_id, side, cluster_id, len(t) AS dl, unnest(t) AS term FROM ptok) GROUP BY ALL)"""
+CORPUS_STATS = f"""dtok AS (SELECT doc_id, {toks('text')} AS t FROM documents),
+cdocs AS (SELECT count(*) AS n_docs, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM dtok),
+cterms AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM dtok) GROUP BY term)"""
+CLUSTER_STATS = """cdocs AS (SELECT cluster_id, count(*) AS n_docs, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM ptok GROUP BY cluster_id),
+cterms AS (SELECT cluster_id, term, count(*) AS df
+  FROM (SELECT cluster_id, triple_id, side, unnest(list_distinct(t)) AS term FROM ptok) GROUP BY cluster_id, term)"""
+
+
+def scores_cte(scope: str) -> str:
+    if scope == "corpus":
+        j = "JOIN cterms USING (term) CROSS JOIN cdocs"
+    else:
+        j = "JOIN cterms USING (cluster_id, term) JOIN cdocs USING (cluster_id)"
+    return f"""sc AS (SELECT triple_id, side, sum({bm25_w()}) AS score
+  FROM qt JOIN pt USING (triple_id, side, cluster_id, term) {j} GROUP BY triple_id, side),
+scores AS (SELECT p.triple_id, p.side, coalesce(sc.score, 0.0) AS score FROM pairs p LEFT JOIN sc USING (triple_id, side))"""
+
+
+def bm25_ctes(sides=("pos", "neg"), scope: str = "corpus") -> list[str]:
+    stats = CORPUS_STATS if scope == "corpus" else CLUSTER_STATS
+    return [pairs_cte(sides), QT, PT, stats, scores_cte(scope)]
+
+
+MARGIN = """margin AS (SELECT triple_id, sum(CASE WHEN side = 'pos' THEN score ELSE 0.0 END)
+                            - sum(CASE WHEN side = 'neg' THEN score ELSE 0.0 END) AS score FROM scores GROUP BY triple_id)"""
+
+
+def select_tail(scored: str, budget: int, nclust: int, seed, quota: str, center: str = "median",
+                rounding: str = "floor") -> str:
+    """Quota + top-k + seeded exact sample over a CTE ``scored``(triple_id, cluster_id, score)."""
+    q = -(-budget // nclust) if rounding == "ceil" else budget // nclust
+    if quota == "bonus":
+        agg = "median(size)" if center == "median" else "avg(size)"
+        qexpr = f"{q} + CASE WHEN size > s THEN CAST(floor(s / {q}) AS INT) ELSE 0 END"
+        qsrc = f"sizes, (SELECT CAST({agg} AS DOUBLE) AS s FROM sizes)"
+    elif quota == "smoothed":
+        qexpr = f"CAST(floor((size + {budget // nclust}) / CAST(tot + {nclust} AS DOUBLE) * {budget}) AS INT)"
+        qsrc = "sizes, (SELECT sum(size) AS tot FROM sizes)"
+    else:
+        qexpr, qsrc = str(q), "sizes"
+    return f""",
+sizes AS (SELECT cluster_id, count(*) AS size FROM {scored} WHERE cluster_id >= 0 GROUP BY cluster_id),
+quota AS (SELECT cluster_id, {qexpr} AS quota FROM {qsrc}),
+rk AS (SELECT triple_id, cluster_id, score, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9), triple_id) AS rank
+       FROM {scored} WHERE cluster_id >= 0)
+SELECT triple_id, cluster_id, CAST(rank AS INT) AS rank, round(score, 6) AS score
+FROM rk JOIN quota USING (cluster_id) WHERE rank <= quota
+ORDER BY {key(seed, 'triple_id')}, triple_id LIMIT {budget}"""
