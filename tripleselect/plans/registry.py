@@ -394,3 +394,210 @@ def q_bm25_retrieve(spark, sf):
     topics = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     out = bm25_retrieve(topics, fx.table(spark, sf, "documents"), RETRIEVE_K)
     return out.select("qid", "docno", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+# ----------------------------------------------------------------------------- A4 A5 A10/E11
+
+def _diversity_samples(spark, sf):
+    from tripleselect.operators.select import subsets
+    ids = fx.id_triples(spark, sf).select("triple_id")
+    sub = subsets(ids, 20, 3, SEED).select(F.concat(F.lit("subset."), F.col("replica").cast("string")).alias("run_id"),
+                                           "triple_id")
+    return sub.unionByName(ids.select(F.lit("all").alias("run_id"), "triple_id"))
+
+
+_DIV_SQL = [f"""rep AS (
+  SELECT r.replica, ids.triple_id, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'ids.triple_id')}, ids.triple_id) AS rn
+  FROM ids, range(0, 3) r(replica))""",
+            """samples AS (SELECT 'subset.' || CAST(replica AS VARCHAR) AS run_id, triple_id FROM rep
+  WHERE rn <= CAST(trunc((SELECT count(*) FROM ids) * 0.2) AS BIGINT)
+  UNION ALL SELECT 'all' AS run_id, triple_id FROM ids)""",
+            f"""tvn AS (SELECT triple_id, list_transform(CAST(vec AS DOUBLE[]), lambda x: x / {K.norm('vec')}) AS v FROM tv)""",
+            f"""pw AS (SELECT sa.run_id, {K.dot('a.v', 'b.v')} AS s
+  FROM samples sa JOIN tvn a USING (triple_id) JOIN samples sb ON sb.run_id = sa.run_id JOIN tvn b ON b.triple_id = sb.triple_id)""",
+            "div AS (SELECT run_id, avg(s) AS avg_sim FROM pw GROUP BY run_id)",
+            "cnt AS (SELECT run_id, count(*) AS n FROM samples GROUP BY run_id)"]
+
+
+@register("mean_pairwise_cosine", K.with_(*K.FIX, *_DIV_SQL)
+          + "SELECT run_id, n, round(avg_sim, 6) AS avg_sim FROM cnt JOIN div USING (run_id)")
+def q_mean_pairwise_cosine(spark, sf):
+    from tripleselect.operators.evaluate import mean_pairwise_cosine
+    tv = fx.triple_vectors(spark, sf)
+    out = mean_pairwise_cosine(_diversity_samples(spark, sf), tv)
+    return out.select("run_id", "n", F.round("avg_sim", 6).alias("avg_sim"))
+
+
+@register("diversity_report", K.with_(*K.FIX, *_DIV_SQL)
+          + """SELECT run_id, CASE WHEN run_id = 'all' THEN 'all' ELSE 'subsets' END AS sampler, n, round(avg_sim, 6) AS avg_sim
+FROM cnt JOIN div USING (run_id)""")
+def q_diversity_report(spark, sf):
+    from tripleselect.operators.evaluate import summarize_runs
+    tv = fx.triple_vectors(spark, sf)
+    samples = _diversity_samples(spark, sf)
+    runs = samples.select("run_id").distinct().withColumn(
+        "sampler", F.when(F.col("run_id") == "all", "all").otherwise("subsets"))
+    out = summarize_runs(samples, runs, tv)
+    return out.select("run_id", "sampler", "n", F.round("avg_sim", 6).alias("avg_sim"))
+
+
+@register("cosine_to_reference", K.with_(*K.FIX, K.REF, f"""tvn AS (SELECT triple_id, list_transform(CAST(vec AS DOUBLE[]), lambda x: x / {K.norm('vec')}) AS v FROM tv)""")
+          + f"""SELECT a.triple_id, round(avg({K.dot('a.v', 'b.v')}), 6) AS d
+FROM tvn a, ref JOIN tvn b ON b.triple_id = ref.ref_id GROUP BY a.triple_id""")
+def q_cosine_to_reference(spark, sf):
+    from tripleselect.operators.evaluate import cosine_to_reference
+    tv = fx.triple_vectors(spark, sf)
+    out = cosine_to_reference(tv, fx.reference_ids(spark, sf))
+    return out.select("triple_id", F.round("d", 6).alias("d"))
+
+
+# ----------------------------------------------------------------------------- J3 exact, dense retrieval, J7, A9, E12
+
+ANTI_N = 5
+DENSE_K = 20
+
+
+@register("antipodal_neighbors", K.with_(*K.FIX, f"""p AS (SELECT a.triple_id AS src, b.triple_id AS dst, {K.dot('a.vec', 'b.vec')} AS d FROM tv a, tv b)""",
+                                         "rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p)")
+          + f"SELECT src, dst, CAST(rank AS INT) AS rank, round(d, 6) AS dot FROM rk WHERE rank <= {ANTI_N}")
+def q_antipodal_neighbors(spark, sf):
+    from tripleselect.operators.neighbors import antipodal_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    out = antipodal_neighbors(tv, tv, ANTI_N, block_rows=256)
+    return out.select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dot", 6).alias("dot"))
+
+
+def _dense_run(spark, sf):
+    from tripleselect.functions.vectors import with_l2_normalized
+    from tripleselect.operators.neighbors import exact_neighbors
+    e = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("triple_id"), F.col("embedding").alias("vec"))
+    en = with_l2_normalized(e, "vec")
+    nn = exact_neighbors(en, en, DENSE_K, largest=True, exclude_self=True, block_rows=256)
+    return nn.select(F.lit("dense").alias("system"), F.col("src").alias("qid"), F.col("dst").alias("docno"),
+                     F.col("dot").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+_DENSE_SQL = [K.NORM_EMB, f"""dp AS (SELECT a.vec_id AS qid, b.vec_id AS docno, {K.dot('a.v', 'b.v')} AS score FROM ne a, ne b WHERE a.vec_id <> b.vec_id)""",
+              f"""dense AS (SELECT * FROM (SELECT 'dense' AS system, qid, docno, score,
+  row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docno) AS rank FROM dp) WHERE rank <= {DENSE_K})"""]
+
+_TOK_SQL = ["tok AS (SELECT vec_id, t, list_slice(embedding, t * 16 + 1, t * 16 + 16) AS v FROM embeddings, range(0, 4) r(t))"]
+
+
+def _maxsim_sql(pairs: str, key: str) -> str:
+    return f"""ms AS (SELECT {key}, sum(b) AS score FROM (
+  SELECT {key}, qt.t, max({K.dot('qt.v', 'dt.v')}) AS b
+  FROM {pairs} pr JOIN tok qt ON qt.vec_id = pr.qid JOIN tok dt ON dt.vec_id = pr.docno GROUP BY ALL) GROUP BY ALL)"""
+
+
+_RERANK_SQL = [*_TOK_SQL, _maxsim_sql("dense", "pr.qid, pr.docno").replace("SELECT pr.qid, pr.docno, sum(b)", "SELECT qid, docno, sum(b)")
+               .replace("GROUP BY ALL) GROUP BY ALL", "GROUP BY ALL) GROUP BY qid, docno"),
+               """rr2 AS (SELECT 'dense>>maxsim' AS system, qid, docno, score,
+  row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docno) AS rank FROM ms)""",
+               "runs AS (SELECT * FROM dense UNION ALL SELECT * FROM rr2)"]
+
+
+@register("dense_retrieve", K.with_(*_DENSE_SQL)
+          + "SELECT system, qid, docno, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM dense")
+def q_dense_retrieve(spark, sf):
+    return _dense_run(spark, sf).withColumn("score", F.round("score", 6))
+
+
+def _token_tables(spark, sf):
+    from tripleselect.operators.evaluate import slice_tokens
+    e = fx.table(spark, sf, "embeddings")
+    q = slice_tokens(e, "vec_id", "embedding", 4, 16, "qid")
+    d = slice_tokens(e, "vec_id", "embedding", 4, 16, "docno")
+    return q, d
+
+
+@register("maxsim", K.with_(K.RANKED_EMB, K.IDS, *_TOK_SQL,
+                            """prs AS (SELECT triple_id, 'pos' AS side, qid, pos_id AS docno FROM ids
+  UNION ALL SELECT triple_id, 'neg' AS side, qid, neg_id AS docno FROM ids)""", _maxsim_sql("prs", "triple_id, side"))
+          + "SELECT triple_id, side, round(score, 6) AS score FROM ms")
+def q_maxsim(spark, sf):
+    from tripleselect.operators.evaluate import maxsim
+    ids = fx.id_triples(spark, sf)
+    pairs = (ids.select("triple_id", F.lit("pos").alias("side"), "qid", F.col("pos_id").alias("docno"))
+                .unionByName(ids.select("triple_id", F.lit("neg").alias("side"), "qid", F.col("neg_id").alias("docno"))))
+    qt, dt = _token_tables(spark, sf)
+    out = maxsim(pairs, qt, dt, ("triple_id", "side"))
+    return out.select("triple_id", "side", F.round("score", 6).alias("score"))
+
+
+def _systems(spark, sf):
+    from tripleselect.operators.evaluate import maxsim, rerank
+    dense = _dense_run(spark, sf)
+    qt, dt = _token_tables(spark, sf)
+    scores = maxsim(dense.select("qid", "docno"), qt, dt)
+    rr = rerank(dense, scores, "dense>>maxsim").select("system", "qid", "docno", "score", F.col("rank").cast("int"))
+    return dense.unionByName(rr)
+
+
+@register("rerank_dense", K.with_(*_DENSE_SQL, *_RERANK_SQL)
+          + "SELECT system, qid, docno, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM rr2")
+def q_rerank_dense(spark, sf):
+    return _systems(spark, sf).where(F.col("system") == "dense>>maxsim").withColumn("score", F.round("score", 6))
+
+
+_METRIC_BASE = [K.RANKED_EMB, K.GRADED_QRELS, *_DENSE_SQL, *_RERANK_SQL, *K.metric_ctes("runs", "gq")]
+
+
+def _metric_q(fn_name: str, col: str):
+    def q(spark, sf):
+        from tripleselect.operators import evaluate as ev
+        runs = _systems(spark, sf)
+        qrels = fx.graded_qrels(spark, sf)
+        fn = getattr(ev, fn_name)
+        out = fn(runs, qrels, 10) if fn_name == "ndcg" else fn(runs, qrels, 2)
+        return out.select("system", "qid", F.round(col, 6).alias(col))
+    return q
+
+
+register("reciprocal_rank", K.with_(*_METRIC_BASE) + "SELECT system, qid, round(rr, 6) AS rr FROM rr")(
+    _metric_q("reciprocal_rank", "rr"))
+register("average_precision", K.with_(*_METRIC_BASE) + "SELECT system, qid, round(ap, 6) AS ap FROM ap")(
+    _metric_q("average_precision", "ap"))
+register("ndcg_at_10", K.with_(*_METRIC_BASE) + "SELECT system, qid, round(ndcg, 6) AS ndcg FROM nd")(
+    _metric_q("ndcg", "ndcg"))
+
+
+_REPORT_TAIL = """SELECT system, round(sum(coalesce(rr, 0)) / (SELECT count(*) FROM topics), 6) AS rr,
+       round(sum(coalesce(ap, 0)) / (SELECT count(*) FROM topics), 6) AS ap,
+       round(sum(coalesce(ndcg, 0)) / (SELECT count(*) FROM topics), 6) AS ndcg
+FROM rr FULL JOIN ap USING (system, qid) FULL JOIN nd USING (system, qid) GROUP BY system"""
+
+
+@register("retrieval_report", K.with_(*_METRIC_BASE) + _REPORT_TAIL)
+def q_retrieval_report(spark, sf):
+    from tripleselect.operators.evaluate import evaluate
+    out = evaluate(_systems(spark, sf), fx.graded_qrels(spark, sf), 2, 10)
+    return out.select("system", *[F.round(c, 6).alias(c) for c in ("rr", "ap", "ndcg")])
+
+
+_LEX_QRELS = """lq AS (SELECT b.item_id AS qid, d.doc_id AS docno,
+  CASE WHEN position(b.text IN d.text) > 0 THEN 2 ELSE 1 END AS rel
+  FROM benchmark b JOIN documents d ON position(substr(b.text, 1, 40) IN d.text) > 0)"""
+
+
+@register("retrieval_report_bm25", K.with_(K.CORPUS_STATS, f"""qterms AS (SELECT qid, term, count(*) AS qtf
+  FROM (SELECT item_id AS qid, unnest({K.toks('text')}) AS term FROM benchmark) GROUP BY qid, term)""",
+    """post AS (SELECT doc_id AS docno, dl, term, count(*) AS tf
+  FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dtok) GROUP BY ALL)""",
+    f"""sc AS (SELECT qid, docno, sum({K.bm25_w()}) AS score
+  FROM qterms JOIN cterms USING (term) CROSS JOIN cdocs JOIN post USING (term) GROUP BY qid, docno)""",
+    f"""bm AS (SELECT * FROM (SELECT 'bm25' AS system, qid, docno, score,
+  row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, docno) AS rank FROM sc) WHERE rank <= {RETRIEVE_K})""",
+    _LEX_QRELS, *K.metric_ctes("bm", "lq")) + _REPORT_TAIL)
+def q_retrieval_report_bm25(spark, sf):
+    from tripleselect.operators.bm25 import bm25_retrieve
+    from tripleselect.operators.evaluate import evaluate
+    topics = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    run = bm25_retrieve(topics, fx.table(spark, sf, "documents"), RETRIEVE_K).withColumn("system", F.lit("bm25"))
+    out = evaluate(run, fx.lexical_qrels(spark, sf), 2, 10)
+    return out.select("system", *[F.round(c, 6).alias(c) for c in ("rr", "ap", "ndcg")])
+
+
+@register("lexical_qrels", "WITH " + _LEX_QRELS + " SELECT qid, docno, rel FROM lq")
+def q_lexical_qrels(spark, sf):
+    return fx.lexical_qrels(spark, sf)

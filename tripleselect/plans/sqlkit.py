@@ -147,3 +147,29 @@ rk AS (SELECT triple_id, cluster_id, score, row_number() OVER (PARTITION BY clus
 SELECT triple_id, cluster_id, CAST(rank AS INT) AS rank, round(score, 6) AS score
 FROM rk JOIN quota USING (cluster_id) WHERE rank <= quota
 ORDER BY {key(seed, 'triple_id')}, triple_id LIMIT {budget}"""
+
+
+GRADED_QRELS = """gq AS (
+  SELECT q.vec_id AS qid, d.vec_id AS docno, max(CASE WHEN o = 1 THEN 2 ELSE 1 END) AS rel
+  FROM r q, range(1, 4) t(o)
+  JOIN r d ON d.label = q.label AND d.rn = ((q.rn - 1 + o) % q.cnt) + 1
+  WHERE d.vec_id <> q.vec_id GROUP BY q.vec_id, d.vec_id)"""
+
+NORM_EMB = """ne AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_reduce(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y), lambda a, b: a + b, 0.0::DOUBLE))) AS v FROM embeddings)"""
+
+
+def metric_ctes(rank_cte: str, qrels: str, rel: int = 2, k: int = 10) -> list[str]:
+    """Per (system, qid) RR, AP, nDCG@k over CTE ``rank_cte``(system, qid, docno, score, rank)."""
+    return [
+        f"jd AS (SELECT r.system, r.qid, r.docno, r.rank, coalesce(q.rel, 0) AS rel FROM {rank_cte} r LEFT JOIN {qrels} q USING (qid, docno))",
+        f"topics AS (SELECT DISTINCT qid FROM {qrels})",
+        "st AS (SELECT DISTINCT system, qid FROM jd JOIN topics USING (qid))",
+        f"rr AS (SELECT st.system, st.qid, coalesce(1.0 / f.r, 0.0) AS rr FROM st LEFT JOIN (SELECT system, qid, min(rank) AS r FROM jd WHERE rel >= {rel} GROUP BY ALL) f USING (system, qid))",
+        f"nrel AS (SELECT qid, count(*) AS nrel FROM {qrels} WHERE rel >= {rel} GROUP BY qid)",
+        f"hp AS (SELECT system, qid, sum(c / rank) AS sp FROM (SELECT system, qid, rank, count(*) OVER (PARTITION BY system, qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS c FROM jd WHERE rel >= {rel}) GROUP BY ALL)",
+        "ap AS (SELECT st.system, st.qid, CASE WHEN nrel > 0 THEN coalesce(sp, 0.0) / nrel ELSE 0.0 END AS ap FROM st LEFT JOIN hp USING (system, qid) LEFT JOIN nrel USING (qid))",
+        f"dcg AS (SELECT system, qid, sum(rel / (ln(rank + 1) / ln(2.0))) AS dcg FROM jd WHERE rank <= {k} GROUP BY ALL)",
+        f"idl AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docno) AS i FROM {qrels} WHERE rel > 0)",
+        f"idcg AS (SELECT qid, sum(rel / (ln(i + 1) / ln(2.0))) AS idcg FROM idl WHERE i <= {k} GROUP BY qid)",
+        "nd AS (SELECT st.system, st.qid, CASE WHEN idcg > 0 THEN coalesce(dcg, 0.0) / idcg ELSE 0.0 END AS ndcg FROM st LEFT JOIN dcg USING (system, qid) LEFT JOIN idcg USING (qid))",
+    ]

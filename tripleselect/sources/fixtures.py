@@ -91,11 +91,16 @@ def lexical_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(F.instr(F.col("text"), F.col("btext")) > 0, 2).otherwise(1).alias("rel"))
 
 
-def graded_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, docno, rel) over the embeddings: every vector is a topic, every
-    other vector of the same label is relevant, grade 2 when ``docno % 3 = 0``."""
+def graded_qrels(spark: SparkSession, sf_dir: str, depth: int = 3) -> DataFrame:
+    """(qid, docno, rel) over the embeddings: every vector is a topic; the
+    next vector of its label (cyclic, by vec_id) is graded 2 and the
+    ``depth - 1`` after it graded 1.  Built by equi-joins on (label, rank)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    t = e.select(F.col("vec_id").alias("qid"), "label")
-    d = e.select(F.col("vec_id").alias("docno"), "label")
-    return (t.join(d, "label").where(F.col("qid") != F.col("docno"))
-             .select("qid", "docno", F.when(F.pmod("docno", F.lit(3)) == 0, 2).otherwise(1).alias("rel")))
+    r = e.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    cnt = e.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
+    t = (r.join(cnt, "label").withColumn("o", F.explode(F.sequence(F.lit(1), F.lit(depth))))
+          .withColumn("trn", F.pmod(F.col("rn") - 1 + F.col("o"), F.col("cnt")) + 1)
+          .select(F.col("vec_id").alias("qid"), "label", "trn", "o"))
+    d = r.select("label", F.col("rn").alias("trn"), F.col("vec_id").alias("docno"))
+    return (t.join(d, ["label", "trn"]).where(F.col("qid") != F.col("docno"))
+             .groupBy("qid", "docno").agg(F.max(F.when(F.col("o") == 1, 2).otherwise(1)).alias("rel")))
