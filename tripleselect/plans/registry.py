@@ -601,3 +601,79 @@ def q_retrieval_report_bm25(spark, sf):
 @register("lexical_qrels", "WITH " + _LEX_QRELS + " SELECT qid, docno, rel FROM lq")
 def q_lexical_qrels(spark, sf):
     return fx.lexical_qrels(spark, sf)
+
+
+# ----------------------------------------------------------------------------- M1-M6 acceptance sampler
+
+ACC_DRAWS_SQL = 40   # oracle draws = 40 x rows; the Spark side grows its range until it has enough
+
+
+def _acc_sql(n: int, t0: float, t1: float | None = None, horizon: int = 0, stall: int | None = None) -> str:
+    if t1 is None:
+        texpr = _dbl(t0)
+    else:
+        texpr = f"({_dbl(t0)} + {_dbl(t1 - t0)} * CAST(least(step - 1, {horizon}) AS DOUBLE) / {_dbl(float(horizon))})"
+    ctes = [*K.FIX, K.REF,
+            f"tvn AS (SELECT triple_id, list_transform(CAST(vec AS DOUBLE[]), lambda x: x / {K.norm('vec')}) AS v FROM tv)",
+            """rb AS (SELECT pos, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos
+  FROM tvn JOIN ref ON ref.ref_id = tvn.triple_id) GROUP BY pos)""",
+            "rbar AS (SELECT list(m ORDER BY pos) AS r FROM rb)",
+            f"proj AS (SELECT triple_id AS idx, {K.dot('v', 'r')} AS d FROM tvn, rbar)",
+            "nrows AS (SELECT count(*) AS n FROM tv)",
+            f"""dr AS (SELECT step, d, idx, d < {texpr} AS acc FROM (
+  SELECT step, {K.key(SEED, 'step')} % (SELECT n FROM nrows) AS idx
+  FROM range(1, {ACC_DRAWS_SQL} * (SELECT n FROM nrows) + 1) t(step)) JOIN proj USING (idx))"""]
+    if stall:
+        ctes += ["""la AS (SELECT *, coalesce(max(CASE WHEN acc THEN step END) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS L FROM dr)""",
+                 f"""bl AS (SELECT *, (step - L - 1) // {stall} AS blk FROM la)""",
+                 f"""st AS (SELECT L + (blk + 1) * {stall} AS step, arg_min(idx, struct_pack(d := d, s := step)) FILTER (WHERE d < 1.0) AS idx
+  FROM bl GROUP BY L, blk HAVING count(*) = {stall} AND NOT bool_or(acc))""",
+                 "ev AS (SELECT step, idx FROM dr WHERE acc UNION ALL SELECT step, idx FROM st WHERE idx IS NOT NULL)"]
+    else:
+        ctes += ["ev AS (SELECT step, idx FROM dr WHERE acc)"]
+    ctes += ["fe AS (SELECT idx, min(step) AS step FROM ev GROUP BY idx)"]
+    return (K.with_(*ctes) + f"""SELECT 'bulk' AS run_id, row_number() OVER (ORDER BY step, idx) AS ordinal, idx AS triple_id, step
+FROM fe ORDER BY step, idx LIMIT {n}""")
+
+
+def _acc_q(n: int, t0: float, t1: float | None = None, horizon: int = 0, stall: int | None = None):
+    def q(spark, sf):
+        from tripleselect.operators.accept import Schedule, accept_bulk
+        tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+        sched = Schedule(t0, t1, horizon)
+        r = accept_bulk(tv, fx.reference_ids(spark, sf), n, sched, SEED, max_steps=stall)
+        return r.samples.select("run_id", F.col("ordinal").cast("long"), "triple_id", "step")
+    return q
+
+
+register("accept_bulk", _acc_sql(50, 0.0))(_acc_q(50, 0.0))
+register("accept_bulk_t002", _acc_sql(50, 0.02))(_acc_q(50, 0.02))
+register("accept_schedule", _acc_sql(50, 0.02, -0.02, 50 * 10))(_acc_q(50, 0.02, -0.02, 50 * 10))
+register("accept_stall", _acc_sql(20, -0.02, stall=10))(_acc_q(20, -0.02, stall=10))
+
+
+@register("accept_sample")
+def q_accept_sample(spark, sf):
+    """Full sampler (warm-up with C as reference set, freeze, bulk) on the
+    triple vectors; rows-only here, exact against a sequential twin in tests."""
+    from tripleselect.operators.accept import accept_sample
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return accept_sample(tv, 60, k=20, t=0.0, seed=SEED).samples
+
+
+@register("accept_sweep")
+def q_accept_sweep(spark, sf):
+    """Grid k x t x max_steps, one run each; returns the runs table."""
+    from tripleselect.operators.accept import accept_sweep
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    _, runs = accept_sweep(tv, 40, [10], [0.0, -0.02], SEED, max_steps_list=[None, 10])
+    return runs.select("run_id", "sampler", "n", "steps", "complete")
+
+
+@register("accept_ablate")
+def q_accept_ablate(spark, sf):
+    """Sampler on the query block only (vector view 'query')."""
+    from tripleselect.functions.vectors import vector_view
+    from tripleselect.operators.accept import accept_sample
+    tv = fx.triple_vectors(spark, sf).select("triple_id", vector_view("vec", DIM, "query").alias("vec"))
+    return accept_sample(tv, 60, k=20, t=0.0, seed=SEED, run_id="ablate.query").samples
