@@ -300,7 +300,7 @@ def warm_up(vectors: DataFrame, n_rows: int, x0: int, k: int, target: int, sched
                  .applyInPandas(_warm_fn(k, target, schedule, max_steps), _STATE_SCHEMA))
         row = out.first()
         state = row.asDict(recursive=True)
-        state["step"] = int(state["step"]) if state["step"] >= last else last
+        state["step"] = int(state["step"])
         block = min(block * 2, 1 << 16)
     return state
 
