@@ -85,10 +85,10 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
     if qb * db > MAX_BLOCK_GROUPS:
         raise ValueError(f"{qb}x{db} blocks: too many rows for exact search, use mode='ivf'")
     q = (queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv"))
-                .withColumn("qb", F.pmod(F.xxhash64("src"), F.lit(qb)))
+                .withColumn("qb", F.pmod(F.xxhash64("src"), F.lit(qb)).cast("int"))
                 .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(db - 1)))))
     d = (vectors.select(F.col(id_col).alias("dst"), F.col(vec_col).alias("dv"))
-                .withColumn("db", F.pmod(F.xxhash64("dst"), F.lit(db)))
+                .withColumn("db", F.pmod(F.xxhash64("dst"), F.lit(db)).cast("int"))
                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     cands = (q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db"))
               .applyInPandas(_local_topn(n, largest, exclude_self), OUT_SCHEMA))
@@ -154,13 +154,14 @@ def ivf_neighbors(queries: DataFrame, vectors: DataFrame, cells: DataFrame, cent
                             F.greatest(F.lit(1), F.ceil(F.col("nq") / block_rows)).cast("int").alias("qs")))
     q = (probes.join(queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv")), "src")
                .join(blocks, "cell")
-               .withColumn("qsub", F.pmod(F.xxhash64("src"), F.col("qs")))
+               .withColumn("qsub", F.pmod(F.xxhash64("src"), F.col("qs")).cast("int"))
                .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("ds") - 1)))
                .drop("qs", "ds"))
     d = (rows.join(blocks, "cell")
-             .withColumn("dsub", F.pmod(F.xxhash64("dst"), F.col("ds")))
+             .withColumn("dsub", F.pmod(F.xxhash64("dst"), F.col("ds")).cast("int"))
              .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
              .drop("qs", "ds"))
+    # cogroup does not coerce key types: every key is an int on both sides
     keys = ["cell", "qsub", "dsub"]
     cands = (q.groupBy(*keys).cogroup(d.groupBy(*keys))
               .applyInPandas(_local_topn(n, largest, exclude_self), OUT_SCHEMA))

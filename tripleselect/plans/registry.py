@@ -677,3 +677,108 @@ def q_accept_ablate(spark, sf):
     from tripleselect.operators.accept import accept_sample
     tv = fx.triple_vectors(spark, sf).select("triple_id", vector_view("vec", DIM, "query").alias("vec"))
     return accept_sample(tv, 60, k=20, t=0.0, seed=SEED, run_id="ablate.query").samples
+
+
+# ----------------------------------------------------------------------------- J9 J10, W1-W8, J3-IVF, C2 C4
+
+WALK_N = 4
+
+
+def _transitions(spark, sf):
+    from tripleselect.operators.neighbors import antipodal_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return antipodal_neighbors(tv, tv, WALK_N, block_rows=256).select("src", "rank", "dst", "dot")
+
+
+_TRANS_SQL = [*K.FIX, f"""p AS (SELECT a.triple_id AS src, b.triple_id AS dst, {K.dot('a.vec', 'b.vec')} AS d FROM tv a, tv b)""",
+              f"""tr AS (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p) WHERE rank <= {WALK_N})""",
+              "cnt AS (SELECT src, count(*) AS c FROM tr GROUP BY src)"]
+
+
+@register("markov_step", K.with_(*_TRANS_SQL)
+          + f"""SELECT w.src AS walker, tr.dst AS state FROM cnt w
+JOIN tr ON tr.src = w.src AND tr.rank = ({K.key(SEED, 'w.src', '1')} % w.c) + 1""")
+def q_markov_step(spark, sf):
+    """Every state is a walker; one uniform antipodal transition each."""
+    from tripleselect.operators.markov import _counts, choose_std
+    tr = _transitions(spark, sf)
+    walkers = fx.id_triples(spark, sf).select(F.col("triple_id").alias("walker"), F.col("triple_id").alias("state"))
+    return choose_std(walkers.withColumn("step", F.lit(1).cast("long")), tr, _counts(tr), SEED)
+
+
+@register("constraint_choice", K.with_(*_TRANS_SQL, "ex AS (SELECT DISTINCT dst FROM tr WHERE rank = 1)",
+                                       """cand AS (SELECT tr.src, tr.dst, row_number() OVER (PARTITION BY tr.src ORDER BY tr.rank) AS crn
+  FROM tr WHERE tr.dst NOT IN (SELECT dst FROM ex))""",
+                                       "ccnt AS (SELECT src, count(*) AS cc FROM cand GROUP BY src)",
+                                       f"""fresh AS (SELECT c.src AS walker, cand.dst AS state FROM ccnt c
+  JOIN cand ON cand.src = c.src AND cand.crn = ({K.key(SEED, 'c.src', '1')} % c.cc) + 1)""",
+                                       f"""rest AS (SELECT w.src AS walker, tr.dst AS state FROM cnt w
+  JOIN tr ON tr.src = w.src AND tr.rank = ({K.key(SEED, 'w.src', '1')} % w.c) + 1 WHERE w.src NOT IN (SELECT src FROM ccnt))""")
+          + "SELECT walker, state FROM fresh UNION ALL SELECT walker, state FROM rest")
+def q_constraint_choice(spark, sf):
+    """Every state is a walker; choose among transitions to states outside
+    the expanded set (here: every state that is some state's first
+    antipodal neighbour), else among all."""
+    from tripleselect.operators.markov import _counts, choose_constraint
+    tr = _transitions(spark, sf)
+    walkers = fx.id_triples(spark, sf).select(F.col("triple_id").alias("walker"), F.col("triple_id").alias("state"))
+    expanded = tr.where(F.col("rank") == 1).select(F.col("dst").alias("state"))
+    return choose_constraint(walkers.withColumn("step", F.lit(1).cast("long")), tr, _counts(tr), expanded, SEED)
+
+
+@register("markov_sample")
+def q_markov_sample(spark, sf):
+    """16 walkers, chain init, uniform choice, over weighted vectors."""
+    from tripleselect.functions.vectors import weight_vectors
+    from tripleselect.operators.markov import markov_sample
+    from tripleselect.operators.neighbors import antipodal_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    wv = weight_vectors(tv, "vec", DIM, 0.5, 0.3)
+    tr = antipodal_neighbors(wv, wv, WALK_N, block_rows=256)
+    samples, _ = markov_sample(tr, 100, walkers=16, seed=SEED, init="chain", choice="std")
+    return samples
+
+
+@register("markov_sample_constraint")
+def q_markov_sample_constraint(spark, sf):
+    """4 walkers, mean init, constraint choice (fresh states first)."""
+    from tripleselect.operators.markov import markov_sample
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    tr = _transitions(spark, sf)
+    samples, _ = markov_sample(tr, 40, walkers=4, seed=SEED, init="mean", choice="constraint", vectors=tv)
+    return samples
+
+
+@register("antipodal_ivf")
+def q_antipodal_ivf(spark, sf):
+    """Cell-probed antipodal top-n: k-means cells (min 5 rows per cell),
+    nprobe = k // 10 nearest cells to -x."""
+    from tripleselect.operators.neighbors import build_cells, ivf_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    cents, cells = build_cells(tv, 20, max_iter=10, seed=SEED)
+    out = ivf_neighbors(tv, tv, cells, cents, WALK_N, nprobe=4, largest=False, block_rows=256)
+    return out.select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dot", 6).alias("dot"))
+
+
+@register("cluster_kmeans")
+def q_cluster_kmeans(spark, sf):
+    from tripleselect.operators.cluster import cluster_kmeans
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return cluster_kmeans(tv, NCLUST, max_iter=10, seed=SEED)
+
+
+@register("sweep_clusters")
+def q_sweep_clusters(spark, sf):
+    from tripleselect.operators.cluster import sweep_clusters
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return sweep_clusters(tv, [5, 10], max_iter=10, seed=SEED)
+
+
+@register("select_cluster_cosine_kmeans")
+def q_select_cluster_cosine_kmeans(spark, sf):
+    """E5 end to end: spherical k-means clusters (not the given labels)."""
+    from tripleselect.operators.cluster import cluster_kmeans
+    from tripleselect.plans.jobs import select_cluster_cosine
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    asg = cluster_kmeans(tv, NCLUST, max_iter=10, seed=SEED)
+    return select_cluster_cosine(tv, asg, BUDGET, NCLUST, DIM, SEED)
