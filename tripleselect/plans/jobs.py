@@ -107,3 +107,22 @@ def select_density_bm25_margin(triples: DataFrame, assignments: DataFrame, budge
     ``budget // nclust`` per cluster, draw ``budget``."""
     scored = _bm25_scored(triples, assignments.where(F.col("cluster_id") >= 0), ("pos", "neg"), stats, margin=True)
     return _select(scored, assignments, budget, nclust, seed, quota="flat")
+
+
+def export_runs(samples: DataFrame, triples: DataFrame, prefix: str | None = None, suffix: str = ".pkl") -> DataFrame:
+    """Text of every run (E10): (run, ordinal, query, psg_pos, psg_neg),
+    run = run id without its suffix, optionally ``prefix.``-qualified;
+    fields made TSV-safe.  Write with ``io.write_triples(..., partition_by="run")``."""
+    from tripleselect.functions.text import run_name, tsv_safe
+    from tripleselect.operators.select import take
+    t = take(triples.select("triple_id", "query", "psg_pos", "psg_neg"), samples.select("run_id", "ordinal", "triple_id"))
+    return t.select(run_name("run_id", prefix, suffix).alias("run"), "ordinal", "triple_id",
+                    *[tsv_safe(c).alias(c) for c in ("query", "psg_pos", "psg_neg")])
+
+
+def subset_random(triples: DataFrame, portion: float, dupes: int, seed: int = 0, suffix: str = "train") -> DataFrame:
+    """E9: ``dupes`` uniform subsets of ``portion`` percent each, with the
+    output name ``triples.<suffix>.<replica>`` per row."""
+    from tripleselect.operators.select import subsets
+    s = subsets(triples, portion, dupes, seed)
+    return s.withColumn("run", F.concat_ws(".", F.lit("triples"), F.lit(suffix), F.col("replica").cast("string")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleselect.plans import sqlkit as K
@@ -782,3 +782,70 @@ def q_select_cluster_cosine_kmeans(spark, sf):
     tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
     asg = cluster_kmeans(tv, NCLUST, max_iter=10, seed=SEED)
     return select_cluster_cosine(tv, asg, BUDGET, NCLUST, DIM, SEED)
+
+
+# ----------------------------------------------------------------------------- E9 E10 E13
+
+def _export_samples(spark, sf):
+    from tripleselect.operators.select import subsets
+    ids = fx.id_triples(spark, sf).select("triple_id")
+    sub = subsets(ids, 10, 2, SEED)
+    w = Window.partitionBy("replica").orderBy("triple_id")
+    return sub.select(F.concat(F.lit("clusterbm25.s"), F.col("replica").cast("string"), F.lit(".pkl")).alias("run_id"),
+                      F.row_number().over(w).cast("long").alias("ordinal"), "triple_id")
+
+
+def _tsv(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '[\\t\\r\\n]', ' ', 'g') AS {x}"
+
+
+@register("export_runs", K.with_(*K.FIX, K.TEXT, f"""rep AS (
+  SELECT r.replica, ids.triple_id, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'ids.triple_id')}, ids.triple_id) AS rn
+  FROM ids, range(0, 2) r(replica))""", """samples AS (SELECT 'clusterbm25.s' || CAST(replica AS VARCHAR) || '.pkl' AS run_id,
+  row_number() OVER (PARTITION BY replica ORDER BY triple_id) AS ordinal, triple_id
+  FROM rep WHERE rn <= CAST(trunc((SELECT count(*) FROM ids) * 0.1) AS BIGINT))""")
+          + f"""SELECT 'export.' || regexp_replace(run_id, '\\.pkl$', '') AS run, ordinal, triple_id,
+  {_tsv('query')}, {_tsv('psg_pos')}, {_tsv('psg_neg')}
+FROM samples JOIN tt USING (triple_id)""")
+def q_export_runs(spark, sf):
+    from tripleselect.plans.jobs import export_runs
+    return export_runs(_export_samples(spark, sf), fx.text_triples(spark, sf), prefix="export")
+
+
+@register("embed_triples")
+def q_embed_triples(spark, sf):
+    """Encode benchmark queries and document passages with the built-in
+    hashing encoder and assemble 192-float triple vectors."""
+    from tripleselect.operators.assemble import embed_triples
+    ids = fx.id_triples(spark, sf).select("triple_id")
+    nd = fx.table(spark, sf, "documents").count()
+    nb = fx.table(spark, sf, "benchmark").count()
+    tids = ids.select("triple_id", F.pmod("triple_id", F.lit(nb)).alias("qid"),
+                      F.pmod("triple_id", F.lit(nd)).alias("pos_id"),
+                      F.pmod(F.col("triple_id") + F.lit(nd // 2), F.lit(nd)).alias("neg_id"))
+    queries = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
+    passages = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = embed_triples(tids, queries, passages)
+    return out.select("triple_id", *_vcheck("vec"))
+
+
+# ----------------------------------------------------------------------------- C3, E6
+
+@register("cluster_density")
+def q_cluster_density(spark, sf):
+    """Level-quantised density clusters of the triple vectors
+    (min_cluster_size = budget // nclust); -1 = noise."""
+    from tripleselect.operators.density import cluster_density
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return cluster_density(tv, BUDGET // NCLUST, block_rows=256)
+
+
+@register("select_density_bm25_margin")
+def q_select_density_bm25_margin(spark, sf):
+    """E6: density clusters, BM25 margin (per-cluster statistics), flat quota."""
+    from tripleselect.operators.density import cluster_density
+    from tripleselect.plans.jobs import select_density_bm25_margin
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    asg = cluster_density(tv, BUDGET // NCLUST, block_rows=256)
+    tt = fx.text_triples(spark, sf).drop("label")
+    return select_density_bm25_margin(tt, asg, BUDGET, NCLUST, SEED, stats="cluster")
