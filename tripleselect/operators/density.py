@@ -10,7 +10,9 @@ Steps (all Spark jobs, no n² matrix):
    joined by edges of weight <= ε form components (min-label propagation
    with pointer jumping, lineage cut every round); components of at least
    ``min_cluster_size`` rows are clusters, everything else is noise (-1).
-5. the level with the most clusters (then most clustered rows) is kept.
+5. the level with the most clusters (then most clustered rows) is kept;
+   border rows (not core, within ε of a clustered row) join the cluster of
+   their nearest clustered neighbour, as in DBSCAN.
 
 This replaces the exact cluster hierarchy and its excess-of-mass selection
 (inherently sequential) by a grid of density levels.
@@ -74,8 +76,15 @@ def cluster_density(vectors: DataFrame, min_cluster_size: int, min_samples: int
         stat = sizes.agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("covered")).first()
         score = (stat["k"] or 0, stat["covered"] or 0)
         if best is None or score > best[0]:
-            best = (score, comps.join(sizes.select("comp"), "comp"))
-    labels = best[1]
+            best = (score, comps.join(sizes.select("comp"), "comp"), eps)
+    labels, eps = best[1], best[2]
+    # border rows: not core at the chosen level but within eps of a clustered
+    # row -> the cluster of the nearest such neighbour
+    border = (nn.where(F.col("dist") <= eps).join(labels.select(F.col("id").alias("src")), "src", "left_anti")
+                .join(labels.select(F.col("id").alias("dst"), F.col("comp").alias("bcomp")), "dst")
+                .groupBy(F.col("src").alias("id")).agg(F.min(F.struct("rank", "bcomp")).alias("b"))
+                .select("id", F.col("b.bcomp").alias("comp")))
+    labels = cut_lineage(labels.select("id", "comp").unionByName(border))
     numbered = (labels.select("comp").distinct()
                       .withColumn("cluster_id", F.dense_rank().over(Window.orderBy("comp")) - 1))
     out = (x.select(F.col(id_col).alias("id")).join(labels, "id", "left").join(numbered, "comp", "left")

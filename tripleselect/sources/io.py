@@ -39,6 +39,8 @@ def read_triples(spark: SparkSession, path: str, kind: str = "ids", with_ids: bo
     df = (spark.read.schema(triple_schema(kind))
                .option("sep", "\t").option("header", "false").option("quote", "\u0000")
                .option("escape", "\u0000").option("mode", "PERMISSIVE").csv(path))
+    # a missing field is the empty string, never null
+    df = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
     return with_triple_id(df) if with_ids else df
 
 
@@ -57,7 +59,7 @@ def write_triples(df: DataFrame, path: str, kind: str = "text", partition_by: st
     cols = list(TEXT_COLS if kind == "text" else ID_COLS)
     out = df.select(*([partition_by] if partition_by else []), *[tsv_safe(c).alias(c) for c in cols])
     w = out.write.mode(mode).option("sep", "\t").option("header", "false").option("quote", "\u0000") \
-        .option("escape", "\u0000")
+        .option("escape", "\u0000").option("emptyValue", "")
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)
