@@ -45,16 +45,29 @@ def _toks(text_col):
     return tokens(clean_text(text_col))
 
 
-def bm25_stats(texts: DataFrame, text_col: str = "text", scope_cols: tuple[str, ...] = ()) -> Bm25Stats:
-    """Collection statistics, optionally per scope (e.g. ``cluster_id``)."""
+def bm25_stats(texts: DataFrame, text_col: str = "text", scope_cols: tuple[str, ...] = (),
+               vocab: DataFrame | None = None) -> Bm25Stats:
+    """Collection statistics, optionally per scope (e.g. ``cluster_id``).
+
+    ``vocab`` (term) restricts document frequencies to the terms that can
+    score (the query terms): token rows are semi-joined to it before they
+    are aggregated, so the full token stream is never shuffled.  N and
+    avgdl come from per-document token counts, without exploding."""
     sc = list(scope_cols)
     d = texts.select(*sc, _toks(text_col).alias("__t"))
     docs = d.groupBy(*sc).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("__t").cast("double")).alias("avgdl"))
-    terms = (d.select(*sc, F.explode(F.array_distinct("__t")).alias("term"))
-              .groupBy(*sc, "term").agg(F.count(F.lit(1)).alias("df")))
+    terms = d.select(*sc, F.explode(F.array_distinct("__t")).alias("term"))
+    if vocab is not None:
+        terms = terms.join(vocab.select("term").distinct(), "term", "left_semi")
+    terms = terms.groupBy(*sc, "term").agg(F.count(F.lit(1)).alias("df"))
     return Bm25Stats(terms, docs, tuple(sc))
 
 
+def query_vocab(df: DataFrame, text_col: str = "query") -> DataFrame:
+    """(term): distinct terms of the query texts."""
+    return df.select(F.explode(_toks(text_col)).alias("term")).distinct()
+
+
 def _with_doc_stats(df: DataFrame, stats: Bm25Stats) -> DataFrame:
     """Attach (n_docs, avgdl): joined per scope, or as two driver scalars
     when the statistics are global (one row)."""
@@ -110,11 +123,15 @@ def bm25_margin(scores: DataFrame, id_col: str = "triple_id") -> DataFrame:
          - F.sum(F.when(F.col("side") == "neg", F.col("score")).otherwise(0.0))).alias("score"))
 
 
-def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(docno, term, tf, dl) of a corpus."""
-    return (corpus.select(F.col(id_col).alias("docno"), _toks(text_col).alias("__t"))
-                  .select("docno", F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-                  .groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             vocab: DataFrame | None = None) -> DataFrame:
+    """(docno, term, tf, dl) of a corpus, optionally only for ``vocab`` terms
+    (semi-joined before the aggregation)."""
+    t = (corpus.select(F.col(id_col).alias("docno"), _toks(text_col).alias("__t"))
+               .select("docno", F.size("__t").alias("dl"), F.explode("__t").alias("term")))
+    if vocab is not None:
+        t = t.join(vocab.select("term").distinct(), "term", "left_semi")
+    return t.groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_retrieve(topics: DataFrame, corpus: DataFrame, k: int, k1: float = K1, b: float = B,
@@ -125,10 +142,11 @@ def bm25_retrieve(topics: DataFrame, corpus: DataFrame, k: int, k1: float = K1,
     with the aggregated topic terms, summed per (qid, docno), then cut with
     a salted two-phase top-k so a topic matching most of the corpus is
     never ranked in one task."""
-    stats = bm25_stats(corpus, doc_text)
-    post = postings(corpus, doc_id, doc_text)
     qt = (topics.select(F.col(topic_id).alias("qid"), F.explode(_toks(topic_text)).alias("term"))
                 .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    vocab = qt.select("term").distinct()
+    stats = bm25_stats(corpus, doc_text, vocab=vocab)
+    post = postings(corpus, doc_id, doc_text, vocab=vocab)
     w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
          / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
     scored = (_with_doc_stats(qt.join(stats.terms, "term"), stats)

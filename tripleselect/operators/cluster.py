@@ -63,6 +63,8 @@ def assign_clusters(vectors: DataFrame, centroids: DataFrame, id_col: str = "tri
 def mean_centroids(vectors: DataFrame, group_col: str, vec_col: str = "vec", cell_col: str = "cell") -> DataFrame:
     """(cell, vec): normalised mean vector of each group - element sums are
     aggregated per (group, position), never by collecting a group."""
+    # explode the column as stored (a generator over a computed array would
+    # re-evaluate it per element)
     pos = vectors.select(F.col(group_col).alias(cell_col), F.posexplode(vec_col).alias("pos", "x"))
     agg = pos.groupBy(cell_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     arr = (agg.groupBy(cell_col).agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("px"))

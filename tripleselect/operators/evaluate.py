@@ -11,33 +11,57 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleselect.functions.vectors import dot, with_l2_normalized
+from tripleselect.functions.vectors import dot, norm, with_l2_normalized
 from tripleselect.operators.select import top_k_per_group
 
 
+def unit_sums(df: DataFrame, group_col: str, vec_col: str = "vec") -> DataFrame:
+    """(group, pos, s, n): per group, the element-wise sum ``s`` of the
+    L2-normalised vectors and the row count ``n``.  Each Arrow batch is
+    summed in numpy (a map-side combine), so only (groups x d) partial rows
+    per batch are shuffled; a group is never collected."""
+    def part(it):
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+            nx = np.linalg.norm(x, axis=1, keepdims=True)
+            x = np.where(nx > 0, x / np.where(nx > 0, nx, 1.0), 0.0)
+            g = pdf[group_col].to_numpy()
+            for key in pd.unique(g):
+                m = g == key
+                sv = x[m].sum(axis=0)
+                yield pd.DataFrame({group_col: key, "pos": np.arange(len(sv), dtype=np.int32), "s": sv,
+                                    "n": np.full(len(sv), int(m.sum()), dtype=np.int64)})
+
+    gtype = dict(df.dtypes)[group_col]
+    partial = df.select(group_col, vec_col).mapInPandas(part, f"{group_col} {gtype}, pos int, s double, n long")
+    return partial.groupBy(group_col, "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def mean_pairwise_cosine(samples: DataFrame, vectors: DataFrame, run_col: str = "run_id",
                          id_col: str = "triple_id", vec_col: str = "vec") -> DataFrame:
     """(run_id, n, avg_sim) for every run of ``samples`` (run_id, triple_id)."""
-    x = with_l2_normalized(samples.select(run_col, id_col).join(vectors.select(id_col, vec_col), id_col), vec_col)
-    n = x.groupBy(run_col).agg(F.count(F.lit(1)).alias("n"))
-    per_dim = (x.select(run_col, F.posexplode(vec_col).alias("pos", "v"))
-                .groupBy(run_col, "pos").agg(F.sum("v").alias("s")))
-    sq = (per_dim.join(n, run_col)
-                 .groupBy(run_col).agg(F.sum((F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).alias("avg_sim")))
-    return n.join(sq, run_col).select(run_col, "n", "avg_sim")
+    x = samples.select(run_col, id_col).join(vectors.select(id_col, vec_col), id_col)
+    per_dim = unit_sums(x, run_col, vec_col)
+    # ||mean of unit vectors||^2 per run, over d rows per run
+    return (per_dim.groupBy(run_col)
+                   .agg(F.max("n").alias("n"),
+                        F.sum((F.col("s") / F.col("n")) * (F.col("s") / F.col("n"))).alias("avg_sim"))
+                   .select(run_col, "n", "avg_sim"))
 
 
 def reference_mean(vectors: DataFrame, ref_ids: DataFrame, id_col: str = "triple_id",
                    vec_col: str = "vec", ref_col: str = "ref_id") -> DataFrame:
-    """One row (rbar): mean of the normalised reference vectors, aggregated
-    per dimension."""
-    r = with_l2_normalized(vectors.join(ref_ids.select(F.col(ref_col).alias(id_col)), id_col)
-                                  .select(vec_col), vec_col)
-    k = r.count()
-    per_dim = r.select(F.posexplode(vec_col).alias("pos", "v")).groupBy("pos").agg((F.sum("v") / F.lit(k)).alias("m"))
+    """One row (rbar): mean of the normalised reference vectors."""
+    r = (vectors.join(ref_ids.select(F.col(ref_col).alias(id_col)), id_col)
+                .select(F.lit(0).alias("__g"), vec_col))
+    per_dim = unit_sums(r, "__g", vec_col).select("pos", (F.col("s") / F.col("n")).alias("m"))
     return per_dim.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("rbar"))
 
 

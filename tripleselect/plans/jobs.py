@@ -50,15 +50,16 @@ def select_cluster_cosine(vectors: DataFrame, assignments: DataFrame, budget: in
 
 
 def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, ...], stats, margin: bool) -> DataFrame:
-    from tripleselect.operators.bm25 import bm25_margin, bm25_pairs, bm25_stats, to_pairs
+    from tripleselect.operators.bm25 import bm25_margin, bm25_pairs, bm25_stats, query_vocab, to_pairs
     t = triples.join(assignments.select("triple_id", "cluster_id"), "triple_id")
     pairs = to_pairs(t, sides, keep=("cluster_id",))
     if isinstance(stats, str) and stats == "cluster":
         # statistics from the scored passages of each cluster
         st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
     else:
-        # statistics from a background collection of (text) rows
-        st = bm25_stats(stats, "text")
+        # statistics from a background collection of (text) rows, for the
+        # query terms only
+        st = bm25_stats(stats, "text", vocab=query_vocab(pairs))
     scores = bm25_pairs(pairs.drop("cluster_id") if not st.scope else pairs, st)
     scores = bm25_margin(scores) if margin else scores.select("triple_id", "score")
     return scores.join(assignments.select("triple_id", "cluster_id"), "triple_id")

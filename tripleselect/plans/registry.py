@@ -283,11 +283,11 @@ def q_to_pairs(spark, sf):
 
 
 def _pairs_scores(spark, sf, scope: str, sides=("pos", "neg")):
-    from tripleselect.operators.bm25 import bm25_pairs, bm25_stats, to_pairs
+    from tripleselect.operators.bm25 import bm25_pairs, bm25_stats, query_vocab, to_pairs
     tt = fx.text_triples(spark, sf).withColumnRenamed("label", "cluster_id")
     pairs = to_pairs(tt, sides, keep=("cluster_id",))
     if scope == "corpus":
-        st = bm25_stats(fx.table(spark, sf, "documents"), "text")
+        st = bm25_stats(fx.table(spark, sf, "documents"), "text", vocab=query_vocab(pairs))
         return bm25_pairs(pairs.drop("cluster_id"), st)
     st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
     return bm25_pairs(pairs, st)

@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "tripleselect",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.memory": os.environ.get("TS_DRIVER_MEMORY", "8g"),
     }
     if shuffle_partitions:

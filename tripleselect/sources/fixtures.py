@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tripleselect.functions.rand import hash_key
 from tripleselect.operators.select import smallest_n
+from tripleselect.session import cut_lineage
 
 N_LABELS = 10          # fixed value: labels 0-9 in the embeddings table
 PREFIX_CHARS = 40      # fixed value: benchmark prefix used to find passages
@@ -36,10 +37,12 @@ def id_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
           .withColumn("nrn", F.pmod(F.col("rn") - 1, F.col("ncnt")) + 1))
     p = r.select(F.col("label").alias("plabel"), F.col("rn").alias("prn"), F.col("vec_id").alias("pos_id"))
     n = r.select(F.col("label").alias("nlabel"), F.col("rn").alias("nrn"), F.col("vec_id").alias("neg_id"))
-    return (q.join(p, (q.label == p.plabel) & (q.prn == p.prn))
-             .join(n, ["nlabel", "nrn"])
-             .select(F.col("vec_id").alias("triple_id"), F.col("vec_id").alias("qid"),
-                     "pos_id", "neg_id", "label"))
+    # stand-in tables are written once to the shared checkpoint folder, as a
+    # prepared input table would be
+    return cut_lineage(q.join(p, (q.label == p.plabel) & (q.prn == p.prn))
+                        .join(n, ["nlabel", "nrn"])
+                        .select(F.col("vec_id").alias("triple_id"), F.col("vec_id").alias("qid"),
+                                "pos_id", "neg_id", "label"))
 
 
 def triple_vectors(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
@@ -47,7 +50,7 @@ def triple_vectors(spark: SparkSession, sf_dir: str, ids: DataFrame | None = Non
     from tripleselect.operators.assemble import assemble_triples
     ids = ids if ids is not None else id_triples(spark, sf_dir)
     emb = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return assemble_triples(ids, emb, emb).select("triple_id", "label", "vec")
+    return cut_lineage(assemble_triples(ids, emb, emb).select("triple_id", "label", "vec"))
 
 
 def text_triples(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
@@ -62,10 +65,10 @@ def text_triples(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None)
             .withColumn("b_id", F.pmod("triple_id", F.lit(nb)))
             .withColumn("p_id", F.pmod("triple_id", F.lit(nd)))
             .withColumn("n_id", F.pmod(F.col("triple_id") + F.lit(nd // 2), F.lit(nd))))
-    return (t.join(bench.select(F.col("item_id").alias("b_id"), F.col("text").alias("query")), "b_id")
-             .join(docs.select(F.col("doc_id").alias("p_id"), F.col("text").alias("psg_pos")), "p_id")
-             .join(docs.select(F.col("doc_id").alias("n_id"), F.col("text").alias("psg_neg")), "n_id")
-             .select("triple_id", "label", "query", "psg_pos", "psg_neg"))
+    return cut_lineage(t.join(bench.select(F.col("item_id").alias("b_id"), F.col("text").alias("query")), "b_id")
+                        .join(docs.select(F.col("doc_id").alias("p_id"), F.col("text").alias("psg_pos")), "p_id")
+                        .join(docs.select(F.col("doc_id").alias("n_id"), F.col("text").alias("psg_neg")), "n_id")
+                        .select("triple_id", "label", "query", "psg_pos", "psg_neg"))
 
 
 def reference_ids(spark: SparkSession, sf_dir: str, seed: int = REFERENCE_SEED,
