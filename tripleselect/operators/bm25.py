@@ -134,6 +134,25 @@ def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return t.groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def corpus_index(corpus: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
+                 text_col: str = "text") -> tuple[DataFrame, Bm25Stats]:
+    """Postings (docno, term, tf, dl) for ``vocab`` terms and the corpus
+    statistics, from one tokenisation pass: every document also emits one
+    sentinel row (empty term, which no real token equals) that carries its
+    length, so N and avgdl survive the vocabulary semi-join."""
+    rows = (corpus.select(F.col(id_col).alias("docno"), _toks(text_col).alias("__t"))
+                  .select("docno", F.size("__t").alias("dl"),
+                          F.explode(F.concat(F.array(F.lit("")), "__t")).alias("term")))
+    keep = vocab.select("term").distinct().unionByName(corpus.sparkSession.range(1).select(F.lit("").alias("term")))
+    agg = (rows.join(keep, "term", "left_semi")
+               .groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    post = agg.where(F.col("term") != "")
+    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    docs = agg.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n_docs"),
+                                               F.avg(F.col("dl").cast("double")).alias("avgdl"))
+    return post, Bm25Stats(terms, docs, ())
+
+
 def bm25_retrieve(topics: DataFrame, corpus: DataFrame, k: int, k1: float = K1, b: float = B,
                   idf: str = "robertson", topic_id: str = "qid", topic_text: str = "query",
                   doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
@@ -145,8 +164,7 @@ def bm25_retrieve(topics: DataFrame, corpus: DataFrame, k: int, k1: float = K1,
     qt = (topics.select(F.col(topic_id).alias("qid"), F.explode(_toks(topic_text)).alias("term"))
                 .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
     vocab = qt.select("term").distinct()
-    stats = bm25_stats(corpus, doc_text, vocab=vocab)
-    post = postings(corpus, doc_id, doc_text, vocab=vocab)
+    post, stats = corpus_index(corpus, vocab, doc_id, doc_text)
     w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
          / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
     scored = (_with_doc_stats(qt.join(stats.terms, "term"), stats)
