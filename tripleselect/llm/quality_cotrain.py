@@ -60,12 +60,10 @@ def meta_features(source, lang, chars, lines, longest) -> list[int]:
                    _bucket("top", np.log2(float(longest or 0) + 1), 2, DIM_META)})
 
 
-@pandas_udf("array<int>")
 def text_view(text: pd.Series) -> pd.Series:
     return pd.Series([text_features(t) for t in text])
 
 
-@pandas_udf("array<int>")
 def meta_view(source: pd.Series, lang: pd.Series, chars: pd.Series, lines: pd.Series, longest: pd.Series) -> pd.Series:
     return pd.Series([meta_features(*r) for r in zip(source, lang, chars.fillna(0), lines.fillna(0), longest.fillna(0))])
 
@@ -73,28 +71,50 @@ def meta_view(source: pd.Series, lang: pd.Series, chars: pd.Series, lines: pd.Se
 def views(docs: DataFrame) -> tuple[Column, Column]:
     """The two feature columns of ``docs(text, source, lang)``."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
-    return text_view("text"), meta_view(
+    tv, mv = pandas_udf(text_view, "array<int>"), pandas_udf(meta_view, "array<int>")
+    return tv("text"), mv(
         F.col("source").cast("string"), F.col("lang").cast("string"), F.coalesce(F.length("text"), F.lit(0)),
         F.size(split), F.array_max(F.transform(split, F.length)))
 
 
-def dense(rows: list, dim: int) -> np.ndarray:
-    x = np.zeros((len(rows), dim), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.asarray(r, int)] = 1
-    return x
+class Sparse:
+    """Rows of distinct feature numbers."""
 
+    def __init__(self, rows: list):
+        self.n = len(rows)
+        lens = np.array([len(r) for r in rows], int)
+        self.col = np.concatenate([np.asarray(r, int) for r in rows]) if lens.sum() else np.empty(0, int)
+        self.row = np.repeat(np.arange(self.n), lens)
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, float]:
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], self.n)
+
+    def pick(self, keep: np.ndarray) -> Sparse:
+        """Rows in the order of ``keep`` (distinct row numbers)."""
+        place = np.full(self.n, -1)
+        place[keep] = np.arange(len(keep))
+        ok = place[self.row] >= 0
+        out = Sparse([])
+        out.n, out.col, out.row = len(keep), self.col[ok], place[self.row[ok]]
+        return out
+
+    def plus(self, other: Sparse) -> Sparse:
+        out = Sparse([])
+        out.n = self.n + other.n
+        out.col, out.row = np.concatenate([self.col, other.col]), np.concatenate([self.row, other.row + self.n])
+        return out
+
+
+def logistic(x: Sparse, y: np.ndarray, dim: int, steps: int = 200, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Class-balanced logistic regression (gradient steps scaled by feature)."""
-    w, b = np.zeros(x.shape[1], np.float64), 0.0
+    w, b = np.zeros(dim), 0.0
     share = np.clip(y.mean(), 0.02, 0.98)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    speed = np.full(x.shape[1], 1e-8)
+    speed = np.full(dim, 1e-8)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.dot(w) + b, -30, 30)))
         g = weight * (p - y)
-        grad = x.T @ g + l2 * w
+        grad = np.bincount(x.col, g[x.row], dim) + l2 * w
         speed += grad ** 2
         w -= 0.3 * grad / np.sqrt(speed)
         b -= 0.3 * g.sum()
@@ -129,18 +149,18 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pt: np.ndarray, pm: np.ndarray,
+def co_train(xt: Sparse, xm: Sparse, y: np.ndarray, pt: Sparse, pm: Sparse,
              rounds: int = ROUNDS) -> tuple[tuple[np.ndarray, float], tuple[np.ndarray, float]]:
     """The two views' classifiers after ``rounds`` of exchanging labels."""
     sets = [[xt, y], [xm, y]]                     # each view's training rows
-    pools, left = (pt, pm), np.ones(len(pt), bool)
-    models = [logistic(xt, y), logistic(xm, y)]
+    pools, left, dims = (pt, pm), np.ones(pt.n, bool), (DIM_TEXT, DIM_META)
+    models = [logistic(xt, y, DIM_TEXT), logistic(xm, y, DIM_META)]
     for _ in range(rounds):
         for v in (0, 1):
             if not left.any():
                 break
             w, b = models[v]
-            z = np.where(left, pools[v] @ w + b, 0.0)
+            z = np.where(left, pools[v].dot(w) + b, 0.0)
             give_hi, give_lo = int(GIVE * (y == 1).sum()), int(GIVE * (y == 0).sum())
             order = np.argsort(z, kind="stable")
             hi = [i for i in order[::-1][:give_hi] if left[i] and z[i] > 0]
@@ -149,10 +169,10 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pt: np.ndarray, pm:
             if not len(got):
                 continue
             other = 1 - v
-            sets[other] = [np.concatenate([sets[other][0], pools[other][got]]),
+            sets[other] = [sets[other][0].plus(pools[other].pick(got)),
                            np.concatenate([sets[other][1], np.r_[np.ones(len(hi)), np.zeros(len(lo))]])]
             left[got] = False
-        models = [logistic(*sets[0]), logistic(*sets[1])]
+        models = [logistic(*sets[v], dims[v]) for v in (0, 1)]
     return models[0], models[1]
 
 
@@ -171,13 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rounds: int = ROUNDS)
     y = lab["y"].to_numpy(float)
     if len(lab) < 10 or y.min() == y.max():
         return None
-    xt, xm = dense(lab["t"], DIM_TEXT), dense(lab["m"], DIM_META)
+    xt, xm = Sparse(list(lab["t"])), Sparse(list(lab["m"]))
     cal = np.arange(len(lab)) % 5 == 0
     if y[~cal].min() == y[~cal].max():
         cal[:] = False
     hold = cal if cal.any() else ~cal
-    text, meta = co_train(xt[~cal], xm[~cal], y[~cal], dense(pool["t"], DIM_TEXT), dense(pool["m"], DIM_META), rounds)
-    zt, zm = xt[hold] @ text[0] + text[1], xm[hold] @ meta[0] + meta[1]
+    own = np.flatnonzero(~cal)
+    text, meta = co_train(xt.pick(own), xm.pick(own), y[own], Sparse(list(pool["t"])), Sparse(list(pool["m"])), rounds)
+    zt, zm = (xt.dot(text[0]) + text[1])[hold], (xm.dot(meta[0]) + meta[1])[hold]
     ct, cm = platt(zt, y[hold]), platt(zm, y[hold])
     both = np.stack([ct[0] * zt + ct[1], cm[0] * zm + cm[1]], axis=1)
     w = np.array([1.0, 0.3])

@@ -99,13 +99,13 @@ ORACLES = {
     # the verdict's rules as plain conditions; windows compared as lists of words
     "op10_rule_ledger": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS_SQL} AS w,
-                  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
            FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS s, w FROM d WHERE len(w) >= 8),
 rep AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, w[s:s + 7]) AS c FROM win),
 hit AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM rep WHERE c > 1),
 cov AS (SELECT doc_id, sum(CASE WHEN p IS NULL THEN 8 ELSE least(8, s - p) END) AS n FROM hit GROUP BY doc_id),
-m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
              len(l) AS n_lines, length(t) - length(replace(t, '!', '')) AS bangs,
