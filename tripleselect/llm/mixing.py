@@ -105,7 +105,8 @@ def slots_of(sources: DataFrame, block_words: int, shards: int, seed: int) -> Da
     s = s.withColumn("slots", F.floor(F.col("goal") / F.col("source_size")) * F.col("per")
                      + F.ceil((F.col("goal") % F.col("source_size")) / b)).where(F.col("slots") > 0)
     s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))))
-    s = s.repartition("src", "chunk")
+    # a fixed number of partitions: chunks are tiny rows, which would else be merged into one task
+    s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     s = s.withColumn("slot", F.explode(F.sequence(
         F.col("chunk") * SLOT_CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1)))
     s = s.select("src", "slot", "source_size", "goal", "full", F.floor(F.col("slot") / F.col("per")).alias("epoch"),
