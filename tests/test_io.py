@@ -29,3 +29,14 @@ def test_runs_roundtrip_and_pruning(spark, tmp_path):
     ss, rr = read_runs(spark, str(tmp_path / "runs"), ["a"])
     assert sorted((x.ordinal, x.triple_id) for x in ss.collect()) == [(1, 5), (2, 7)]
     assert [x.steps for x in rr.collect()] == [3]
+
+
+def test_ids_follow_path_and_line(spark, tmp_path):
+    from tripleselect.sources.io import read_triples
+    want = []
+    for name, n in (("a", 2), ("b", 50), ("c", 10)):
+        rows = [f"{name}{i}\tp\tn" for i in range(n)]
+        (tmp_path / f"{name}.tsv").write_text("\n".join(rows) + "\n")
+        want += [r.split("\t")[0] for r in rows]
+    got = read_triples(spark, str(tmp_path), kind="ids").orderBy("triple_id").collect()
+    assert [r.triple_id for r in got] == list(range(62)) and [r.qid for r in got] == want

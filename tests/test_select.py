@@ -64,3 +64,16 @@ def test_mean_pairwise_cosine_closed_form_equals_brute_force(spark):
     X = np.stack([np.asarray(r.vec, dtype=np.float64) for r in tv.collect()])
     Xh = X / np.linalg.norm(X, axis=1, keepdims=True)
     assert abs(got - float((Xh @ Xh.T).mean())) < 1e-12
+
+
+def test_rank_within_with_payload_equals_row_number(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tripleselect.operators.select import rank_within
+    df = spark.range(200_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"),
+        (F.xxhash64("id") % 1000).alias("score"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("payload"))
+    got = rank_within(df, ["g"], ["score", "id"], "r")
+    want = F.row_number().over(Window.partitionBy("g").orderBy("score", "id"))
+    assert got.count() == 200_000
+    assert got.withColumn("w", want).where("r <> w").count() == 0

@@ -349,7 +349,7 @@ def accept_sample(vectors: DataFrame, n: int, k: int = 100, t: float | Schedule
 def accept_sweep(vectors: DataFrame, n: int, ks: list[int], ts: list[float], seed=0,
                  max_steps_list: list[int | None] | None = None, start: int | None = None,
                  max_draws: int | None = None, id_col: str = "triple_id", vec_col: str = "vec",
-                 prefix: str = "mhcosine") -> tuple[DataFrame, DataFrame]:
+                 prefix: str = "accept") -> tuple[DataFrame, DataFrame]:
     """Parameter grid k x t [x max_steps]: one run per point.  Returns
     (samples, runs) tables; run_id encodes the point."""
     spark = vectors.sparkSession

@@ -27,13 +27,14 @@ from tripleselect.functions.vectors import with_l2_normalized
 from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp) with comp = smallest id of the component.  ``edges`` are
-    undirected (src, dst).  Min-label propagation + pointer jumping."""
+    undirected (src, dst).  Min-label propagation + pointer jumping,
+    until no label changes."""
     und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     und = cut_lineage(und.distinct())
     lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
-    for _ in range(max_rounds):
+    while True:
         nb = (und.join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst")
                  .groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m")))
         new = lab.join(nb, "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
@@ -77,6 +78,8 @@ def cluster_density(vectors: DataFrame, min_cluster_size: int, min_samples: int
         score = (stat["k"] or 0, stat["covered"] or 0)
         if best is None or score > best[0]:
             best = (score, comps.join(sizes.select("comp"), "comp"), eps)
+    if best is None:      # no edge, hence no cluster: every row is noise
+        return vectors.select(id_col, F.lit(-1).cast("int").alias("cluster_id"))
     labels, eps = best[1], best[2]
     # border rows: not core at the chosen level but within eps of a clustered
     # row -> the cluster of the nearest such neighbour

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import dot, norm, with_l2_normalized
-from tripleselect.operators.select import top_k_per_group
+from tripleselect.operators.select import rank_within, top_k_per_group
 
 
 def unit_sums(df: DataFrame, group_col: str, vec_col: str = "vec") -> DataFrame:
@@ -164,9 +164,11 @@ def rerank(candidates: DataFrame, scores: DataFrame, system: str, k: int | None
     """Keep the candidate set (qid, docno), replace its scores, rank again
     (score desc rounded to 9 decimals, then docno)."""
     c = candidates.select("qid", "docno").join(scores.select("qid", "docno", "score"), ["qid", "docno"])
-    kk = k or 1 << 30
-    return (top_k_per_group(c, ["qid"], [F.round("score", 9).desc()], kk, "docno")
-            .withColumn("system", F.lit(system)))
+    if k is None:
+        ranked = rank_within(c, ["qid"], [F.round("score", 9).desc(), F.col("docno")])
+    else:
+        ranked = top_k_per_group(c, ["qid"], [F.round("score", 9).desc()], k, "docno")
+    return ranked.withColumn("system", F.lit(system))
 
 
 def summarize_runs(samples: DataFrame, runs: DataFrame, vectors: DataFrame, id_col: str = "triple_id",

@@ -143,7 +143,11 @@ def markov_sample(transitions: DataFrame, k: int, walkers: int = 1, seed=0, star
             complete = True
             break
     first = visited.groupBy("state").agg(F.min(F.struct("step", "walker")).alias("f"))
-    ranked = first.withColumn("ordinal", F.row_number().over(Window.orderBy("f.step", "f.walker")))
-    samples = ranked.where(F.col("ordinal") <= k).select(F.lit(run_id).alias("run_id"), "ordinal",
-                                                         F.col("state").alias(id_col))
+    # the first k states are cut out before they are numbered; the k-th one's step is the last step that counts
+    kept = cut_lineage(first.orderBy("f.step", "f.walker").limit(k))
+    if complete:
+        step = int(kept.agg(F.max("f.step")).first()[0])
+    samples = kept.select(F.lit(run_id).alias("run_id"),
+                          F.row_number().over(Window.orderBy("f.step", "f.walker")).alias("ordinal"),
+                          F.col("state").alias(id_col))
     return samples, dict(run_id=run_id, sampler="markov", steps=step, complete=complete, seconds=time.time() - t0)

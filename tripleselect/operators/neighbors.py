@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from tripleselect.operators.select import top_k_per_group
 
-MAX_BLOCK_GROUPS = 4_000_000
 OUT_SCHEMA = "src long, dst long, dot double"
 
 
@@ -82,8 +81,6 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
     nd = vectors.count()
     qb = max(1, math.ceil(nq / block_rows))
     db = max(1, math.ceil(nd / block_rows))
-    if qb * db > MAX_BLOCK_GROUPS:
-        raise ValueError(f"{qb}x{db} blocks: too many rows for exact search, use mode='ivf'")
     q = (queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv"))
                 .withColumn("qb", F.pmod(F.xxhash64("src"), F.lit(qb)).cast("int"))
                 .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(db - 1)))))
@@ -168,13 +165,13 @@ def ivf_neighbors(queries: DataFrame, vectors: DataFrame, cells: DataFrame, cent
     return _finish(cands, n, largest)
 
 
-def build_cells(vectors: DataFrame, k: int, max_iter: int = 20, seed: int = 0, min_points: int = 5,
+def build_cells(vectors: DataFrame, k: int, max_iter: int = 20, seed: int = 0,
                 id_col: str = "triple_id", vec_col: str = "vec") -> tuple[DataFrame, DataFrame]:
-    """Index build: spherical k-means centroids and each row's cell.  ``k``
-    is lowered so that every cell can hold ``min_points`` rows on average."""
+    """Index build: spherical k-means centroids and each row's cell.  There
+    are ``k`` cells, or one per row if there are fewer rows."""
     from tripleselect.operators.cluster import assign_clusters, spherical_kmeans
     nrows = vectors.count()
-    k = max(1, min(k, nrows // max(1, min_points)))
+    k = max(1, min(k, nrows))
     cents = spherical_kmeans(vectors, k, max_iter, seed, vec_col)
     cells = assign_clusters(vectors, cents, id_col, vec_col).select(id_col, F.col("cluster_id").alias("cell"))
     return cents, cells

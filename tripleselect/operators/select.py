@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.rand import KEY_BITS, hash_key
+from tripleselect.session import cut_lineage
 
 BUCKET_BITS = 16
 
@@ -37,7 +38,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, rank_col
     p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     gcols = list(group_cols)
     order = _cols(order_cols)
-    ranged = df.repartitionByRange(p, *(_cols(gcols) + order)).withColumn("__part", F.spark_partition_id())
+    # checkpointed: planned twice, the two branches would sample other range bounds and number other slices
+    ranged = cut_lineage(df.repartitionByRange(p, *(_cols(gcols) + order)).withColumn("__part", F.spark_partition_id()))
     local = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy(*gcols, "__part").orderBy(*order)))
     counts = ranged.groupBy(*gcols, "__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.withColumn(

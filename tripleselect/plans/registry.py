@@ -791,7 +791,7 @@ def _export_samples(spark, sf):
     ids = fx.id_triples(spark, sf).select("triple_id")
     sub = subsets(ids, 10, 2, SEED)
     w = Window.partitionBy("replica").orderBy("triple_id")
-    return sub.select(F.concat(F.lit("clusterbm25.s"), F.col("replica").cast("string"), F.lit(".pkl")).alias("run_id"),
+    return sub.select(F.concat(F.lit("selected.s"), F.col("replica").cast("string"), F.lit(".pkl")).alias("run_id"),
                       F.row_number().over(w).cast("long").alias("ordinal"), "triple_id")
 
 
@@ -801,7 +801,7 @@ def _tsv(x: str) -> str:
 
 @register("export_runs", K.with_(*K.FIX, K.TEXT, f"""rep AS (
   SELECT r.replica, ids.triple_id, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'ids.triple_id')}, ids.triple_id) AS rn
-  FROM ids, range(0, 2) r(replica))""", """samples AS (SELECT 'clusterbm25.s' || CAST(replica AS VARCHAR) || '.pkl' AS run_id,
+  FROM ids, range(0, 2) r(replica))""", """samples AS (SELECT 'selected.s' || CAST(replica AS VARCHAR) || '.pkl' AS run_id,
   row_number() OVER (PARTITION BY replica ORDER BY triple_id) AS ordinal, triple_id
   FROM rep WHERE rn <= CAST(trunc((SELECT count(*) FROM ids) * 0.1) AS BIGINT))""")
           + f"""SELECT 'export.' || regexp_replace(run_id, '\\.pkl$', '') AS run, ordinal, triple_id,

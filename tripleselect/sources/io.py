@@ -2,17 +2,18 @@
 
 * triples as headerless TSV (ids or texts), declared schema, never inferred
 * triple vectors / cells / runs / metrics as parquet or CSV
-* dense ingest ids (``with_triple_id``) - ``zipWithIndex`` gives 0..N-1 in
-  input order without a single-partition window
+* dense ingest ids (``with_triple_id``) - 0..N-1 by file path and place in
+  the file; only per-slice row counts are summed up
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripleselect.functions.text import tsv_safe
+from tripleselect.session import cut_lineage
 
 ID_COLS = ("qid", "pos_id", "neg_id")
 TEXT_COLS = ("query", "psg_pos", "psg_neg")
@@ -24,12 +25,21 @@ def triple_schema(kind: str = "ids") -> T.StructType:
 
 
 def with_triple_id(df: DataFrame, id_col: str = "triple_id") -> DataFrame:
-    """Add a dense 0..N-1 id in input order (distributed ``zipWithIndex``:
-    one pass to count rows per partition, then local numbering)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(id_col, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1],))
-    out = df.sparkSession.createDataFrame(rdd, schema)
-    return out.select(id_col, *df.columns)
+    """Add a dense 0..N-1 id in input order: by ``__file`` and ``__block``
+    (path and offset of the slice that a row was read from, see
+    :func:`read_triples`) when present, else by partition, then by place in
+    the slice.  The numbered rows are checkpointed once; offsets come from one
+    count per slice."""
+    slice_cols = ["__file", "__block"] if "__file" in df.columns else ["__block"]
+    if "__file" not in df.columns:
+        df = df.withColumn("__block", F.spark_partition_id().cast("long"))
+    rows = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
+    slices = rows.groupBy(*slice_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy(*slice_cols).rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select(*slice_cols, "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return (rows.join(slices, slice_cols)
+                .select((F.col("__before") + F.col("__at") - F.col("__first")).alias(id_col),
+                        *[c for c in df.columns if c not in ("__file", "__block")]))
 
 
 def read_triples(spark: SparkSession, path: str, kind: str = "ids", with_ids: bool = True) -> DataFrame:
@@ -40,8 +50,11 @@ def read_triples(spark: SparkSession, path: str, kind: str = "ids", with_ids: bo
                .option("sep", "\t").option("header", "false").option("quote", "\u0000")
                .option("escape", "\u0000").option("mode", "PERMISSIVE").csv(path))
     # a missing field is the empty string, never null
-    df = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
-    return with_triple_id(df) if with_ids else df
+    cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns]
+    if not with_ids:
+        return df.select(*cols)
+    return with_triple_id(df.select(*cols, F.col("_metadata.file_path").alias("__file"),
+                                    F.col("_metadata.file_block_start").alias("__block")))
 
 
 def stream_triples(spark: SparkSession, path: str, kind: str = "ids", max_files: int = 1) -> DataFrame:
