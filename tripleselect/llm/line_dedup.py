@@ -9,7 +9,8 @@ can be that segment (the multi-match-aware ranges: the shift before segment
 ``i`` is bounded by the edits spent before it and those left after it).
 Segments and substrings are keyed by (length, segment number, hash).
 
-Candidates are verified by banded bit-parallel edit distance: the band of
+Candidates must also agree in their counts of the ``LETTERS``: an edit changes
+at most two of them by one.  What is left is verified by banded bit-parallel edit distance: the band of
 ``2 TAU + 1`` diagonals is one integer per text position, moved one row down
 per column.  Common prefixes and suffixes are stripped first.
 """
@@ -25,6 +26,8 @@ TAU = 2
 #: Shorter lines must be equal: two edits change too much of them.
 MIN_CHARS = 24
 SPACES = " \t\n\x0b\f\r"
+#: Letters counted (modulo 64) in a line's 60-bit profile.
+LETTERS = "entaiorshl"
 
 
 def let(value: Column, body) -> Column:
@@ -111,15 +114,31 @@ def segments(length: Column, tau: int = TAU) -> list[tuple[Column, Column]]:
     return out
 
 
+def profile(line: Column) -> Column:
+    """Counts of the letters, modulo 64, packed into one integer."""
+    return sum((F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
+                            .bitwiseAND(F.lit(63).cast("long")), 6 * k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
+
+
+def profiles_agree(a: Column, b: Column, tau: int = TAU) -> Column:
+    """False only for lines that are more than ``tau`` edits apart."""
+    gaps = []
+    for k in range(len(LETTERS)):
+        x, y = (F.shiftrightunsigned(c, 6 * k).bitwiseAND(F.lit(63).cast("long")) for c in (a, b))
+        gap = F.abs(x - y)
+        gaps.append(F.least(gap, F.lit(64) - gap))
+    return sum(gaps[1:], gaps[0]) <= 2 * tau
+
+
 def index_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``key, id`` for each segment of each line."""
+    """``key, id, profile`` for each segment of each line."""
     parts = segments(F.col("len"), tau)
-    return lines.select("id", F.explode(F.array(*[
+    return lines.select("id", "profile", F.explode(F.array(*[
         F.xxhash64(F.col("len"), F.lit(i), F.substring(F.col("line"), s + 1, n)) for i, (s, n) in enumerate(parts)])).alias("key"))
 
 
 def probe_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``key, id`` for every substring that may be a segment of an indexed
+    """``key, id, profile`` for every substring that may be a segment of an indexed
     line that is equally long or up to ``tau`` shorter."""
     keys = []
     for gap in range(tau + 1):                                    # this line is `gap` longer than the indexed one
@@ -132,16 +151,17 @@ def probe_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
                 at = s + shift
                 keys.append(F.when((length >= MIN_CHARS) & (at >= 0) & (at + n <= F.col("len")),
                                    F.xxhash64(length, F.lit(i), F.substring(F.col("line"), at + 1, n))))
-    return lines.select("id", F.explode(F.array_compact(F.array(*keys))).alias("key")).distinct()
+    return lines.select("id", "profile", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
 def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``) of at
     least ``MIN_CHARS`` characters within ``tau`` edits, with ``distance``."""
-    long = lines.where(F.col("len") >= MIN_CHARS)
-    idx = index_entries(long, tau).select("key", F.col("id").alias("a"))
-    prb = probe_entries(long, tau).select("key", F.col("id").alias("b"))
-    pairs = cut_lineage(idx.join(prb, "key").where("a <> b")
+    long = lines.where(F.col("len") >= MIN_CHARS).withColumn("profile", profile(F.col("line")))
+    idx = index_entries(long, tau).select("key", F.col("id").alias("a"), F.col("profile").alias("pa"))
+    prb = probe_entries(long, tau).select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
+    pairs = cut_lineage(idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
+                                 profiles_agree(F.col("pa"), F.col("pb"), tau))
                            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     text = long.join(need, "id", "left_semi").select("id", "line")

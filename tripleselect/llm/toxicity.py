@@ -69,25 +69,37 @@ class Cached(dict):
         return v
 
 
-def feature_rows(docs: DataFrame) -> pd.DataFrame:
-    """``toxic`` and the distinct features of each row of a bounded sample."""
-    @pandas_udf("array<int>")
+@dataclass
+class Sample:
+    """Distinct features of a bounded number of rows, as two flat arrays."""
+    toxic: np.ndarray
+    row: np.ndarray
+    feature: np.ndarray
+
+
+def feature_rows(docs: DataFrame) -> Sample:
+    """``toxic`` and features of each row of a bounded sample.  Features of
+    fewer than three rows can neither vote nor get a weight; they are left out."""
+    @pandas_udf("binary")
     def feats(text: pd.Series) -> pd.Series:
         own = Cached(word_features)
-        return pd.Series([sorted({f for w in words_of(t) for f in own[w]}) for t in text])
+        return pd.Series([np.array(sorted({f for w in words_of(t) for f in own[w]}), "<i4").tobytes() for t in text])
 
-    return docs.select("toxic", feats("text").alias("f")).toPandas()
+    got = docs.select("toxic", feats("text").alias("f")).toPandas()
+    lens = np.array([len(f) // 4 for f in got["f"]], int)
+    flat = np.frombuffer(b"".join(got["f"]), "<i4")
+    row = np.repeat(np.arange(len(got), dtype=np.int32), lens)
+    keep = np.bincount(flat, minlength=FEATURES)[flat] >= 3
+    return Sample(got["toxic"].to_numpy() == 1, row[keep], flat[keep])
 
 
-def mine_voters(sample: pd.DataFrame) -> list[list[int]]:
+def mine_voters(sample: Sample) -> list[list[int]]:
     """Features that occur in at least ``MIN_SUPPORT`` toxic rows and hardly
     elsewhere, strongest first; one of several with the same rows is kept."""
-    y = sample["toxic"].to_numpy() == 1
-    lens = sample["f"].map(len).to_numpy()
-    flat = np.concatenate(sample["f"].to_list()).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(sample)), lens)
-    pos = np.bincount(flat[y[row]], minlength=FEATURES)
-    neg = np.bincount(flat[~y[row]], minlength=FEATURES)
+    y, flat, row = sample.toxic, sample.feature, sample.row
+    mine = y[row]
+    pos = np.bincount(flat[mine], minlength=FEATURES)
+    neg = np.bincount(flat[~mine], minlength=FEATURES)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((~y).sum() + 1))
     good = np.flatnonzero((pos >= MIN_SUPPORT) & (odds > 3.0) & (25 * neg <= pos))
     good = good[np.argsort(-(odds * np.sqrt(pos))[good], kind="stable")]
@@ -102,7 +114,7 @@ def mine_voters(sample: pd.DataFrame) -> list[list[int]]:
     return out
 
 
-def all_voters(sample: pd.DataFrame) -> list[list[int]]:
+def all_voters(sample: Sample) -> list[list[int]]:
     given = [[feature("w", w) for w in group] for group in LEXICON]
     known = {f for g in given for f in g}
     return given + [v for v in mine_voters(sample) if v[0] not in known]
@@ -213,27 +225,23 @@ def fit_label_model(n: float, moments: np.ndarray, share: np.ndarray, fires: np.
     return LabelModel(blocks, priors, np.maximum(toxic, clean), clean, discount)
 
 
-def fit_linear(feats: list[np.ndarray], target: np.ndarray, steps: int = 300, l2: float = 1e-4, l1: float = 4e-4,
-               rate: float = 0.5) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_linear(sample: Sample, target: np.ndarray, steps: int = 300, l2: float = 1e-4, l1: float = 4e-4,
+               rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on soft labels with weights of zero or more
-    (proximal gradient, L1 and L2): ``(features, weights, bias)``, without the
-    zero weights."""
-    lens = np.array([len(f) for f in feats])
-    flat = np.concatenate(feats).astype(np.int64) if lens.sum() else np.empty(0, np.int64)
-    used, col = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(feats)), lens)
-    df = np.bincount(col, minlength=len(used))
-    often = df >= 3
-    keep = often[col]
-    col, row = col[keep], row[keep]
+    (proximal gradient, L1 and L2): ``(features, weights)`` without the zero
+    weights."""
+    used = np.flatnonzero(np.bincount(sample.feature, minlength=FEATURES))
+    place = np.zeros(FEATURES, np.int32)
+    place[used] = np.arange(len(used))
+    col, row, n = place[sample.feature], sample.row, len(target)
     w, bias = np.zeros(len(used)), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     speed = np.ones(len(used)) * 1e-8
     # every class weighs half, so that rare toxic rows count
     share = np.clip(target.mean(), 0.01, 0.99)
     weight = target * 0.5 / share + (1 - target) * 0.5 / (1 - share)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(feats)) + bias, -30, 30)))
-        g = weight * (p - target) / len(feats)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + bias, -30, 30)))
+        g = weight * (p - target) / n
         grad = np.bincount(col, g[row], len(used)) + l2 * w
         speed += grad ** 2
         step = rate / np.sqrt(speed)
@@ -241,7 +249,7 @@ def fit_linear(feats: list[np.ndarray], target: np.ndarray, steps: int = 300, l2
         w = np.maximum(w - np.minimum(step, 50) * l1, 0)      # harmless words never excuse a text
         bias -= rate * g.sum()
     nz = w != 0
-    return used[nz], w[nz], bias
+    return used[nz], w[nz]
 
 
 @dataclass
@@ -269,30 +277,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Classifier:
         F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = (rows.join(marked, "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_ROWS))
     sample = feature_rows(sample.select("toxic", "text"))
-    if not (sample["toxic"] == 1).any():
+    if not sample.toxic.any():
         return Classifier(np.empty(0, np.int64), np.empty(0), -6.0)
     voters = all_voters(sample)
     n, moments = vote_moments(rows, voters)
-    owner = {f: v for v, fs in enumerate(voters) for f in fs}
-    votes = np.zeros((len(sample), len(voters)), bool)
-    for i, fs in enumerate(sample["f"]):
-        for f in fs:
-            if f in owner:
-                votes[i, owner[f]] = True
-    y = sample["toxic"].to_numpy() == 1
-    model = fit_label_model(n, moments, (votes & y[:, None]).T, votes.T)
+    owner = np.full(FEATURES, -1)
+    for v, fs in enumerate(voters):
+        owner[fs] = v
+    who = owner[sample.feature]
+    votes = np.zeros((len(sample.toxic), len(voters)), bool)
+    votes[sample.row[who >= 0], who[who >= 0]] = True
+    model = fit_label_model(n, moments, (votes & sample.toxic[:, None]).T, votes.T)
     soft = model.posterior(votes)
-    used, weights, bias = fit_linear([np.asarray(f) for f in sample["f"]], soft)
-    out = Classifier(used, weights, bias)
-    # move the cut to where it divides the label model's decisions best
+    used, weights = fit_linear(sample, soft)
+    # the cut lies where it divides the label model's decisions best
     table = np.zeros(FEATURES)
     table[used] = weights
-    z = np.array([table[np.asarray(f, np.int64)].sum() if len(f) else 0.0 for f in sample["f"]])
+    z = np.bincount(sample.row, table[sample.feature], len(soft))
     cuts = np.quantile(z, np.linspace(0, 1, 401))
     hard = soft >= 0.5
-    err = [((z >= c) != hard).sum() for c in cuts]
-    best = np.flatnonzero(np.array(err) == min(err))
-    return Classifier(out.features, out.weights, -float(cuts[best].mean()))
+    err = np.array([((z >= c) != hard).sum() for c in cuts])
+    return Classifier(used, weights, -float(cuts[err == err.min()].mean()))
 
 
 def score_column(docs: DataFrame, model: Classifier) -> Column:
