@@ -26,7 +26,7 @@ ROUNDS = 16
 #: Slots made from one row; keeps a hot source's slots from being made by one task.
 SLOT_CHUNK = 4096
 #: Documents numbered together within a source.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def source_targets(sizes: DataFrame, total_share: float = 1.5, max_epochs: int = 2,
