@@ -11,13 +11,13 @@ input): tokens are the lower-cased, space-separated words of
     idf = ln(1 + (N - df + 0.5) / (df + 0.5))    ("nonneg")
 
 ``N``, ``df`` and ``avgdl`` come from a statistics scope: a background
-collection, or the scored passages themselves per cluster.  Pairs that
-share no term score 0.
+collection, or the scored passages themselves per cluster and side.  Pairs
+that share no term score 0.
 
-Plan shape: token rows are aggregated to (key, term, tf) before any join;
-the query ⋈ passage join is keyed by the pair (no skew); the statistics join
-is keyed by term - frequent terms are skewed, which AQE's skew-join split
-handles, and the statistics side is broadcast by AQE when it is small.
+Plan shape: query and passage are in one row, so the terms they share are
+counted there and only those are exploded; the statistics join is keyed by
+term - frequent terms are skewed, which AQE's skew-join split handles, and
+the statistics side is broadcast by AQE when it is small.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def _toks(text_col):
 
 def bm25_stats(texts: DataFrame, text_col: str = "text", scope_cols: tuple[str, ...] = (),
                vocab: DataFrame | None = None) -> Bm25Stats:
-    """Collection statistics, optionally per scope (e.g. ``cluster_id``).
+    """Collection statistics, optionally per scope (e.g. cluster and side).
 
     ``vocab`` (term) restricts document frequencies to the terms that can
     score (the query terms): token rows are semi-joined to it before they
@@ -102,12 +102,16 @@ def bm25_pairs(pairs: DataFrame, stats: Bm25Stats, k1: float = K1, b: float = B,
     """(key..., score) for every (query, passage) pair."""
     key = list(key_cols)
     sc = list(stats.scope)
-    qt = (pairs.select(*key, *sc, F.explode(_toks("query")).alias("term"))
-               .groupBy(*key, *sc, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    pt = (pairs.select(*key, *sc, _toks("passage").alias("__t"))
-               .select(*key, *sc, F.size("__t").alias("dl"), F.explode("__t").alias("term"))
-               .groupBy(*key, *sc, "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    m = qt.join(pt, key + sc + ["term"]).join(stats.terms, sc + ["term"])
+    cols = list(dict.fromkeys(key + sc))
+    toks = pairs.select(*cols, _toks("query").alias("__q"), _toks("passage").alias("__t"))
+
+    def times(array: str, t):
+        return F.size(F.filter(array, lambda x: x == t))
+
+    shared = F.transform(F.array_intersect("__q", "__t"), lambda t: F.struct(
+        t.alias("term"), times("__q", t).alias("qtf"), times("__t", t).alias("tf")))
+    m = (toks.select(*cols, F.size("__t").alias("dl"), F.explode(shared).alias("__s"))
+             .select(*cols, "dl", "__s.*").join(stats.terms, sc + ["term"]))
     m = _with_doc_stats(m, stats)
     w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
          / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))

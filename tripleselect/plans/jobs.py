@@ -54,8 +54,10 @@ def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, .
     t = triples.join(assignments.select("triple_id", "cluster_id"), "triple_id")
     pairs = to_pairs(t, sides, keep=("cluster_id",))
     if isinstance(stats, str) and stats == "cluster":
-        # statistics from the scored passages of each cluster
-        st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
+        # statistics from the scored passages of each cluster, each side a
+        # collection of its own
+        st = bm25_stats(pairs.select("cluster_id", "side", F.col("passage").alias("text")), "text",
+                        ("cluster_id", "side"), vocab=query_vocab(pairs))
     else:
         # statistics from a background collection of (text) rows, for the
         # query terms only

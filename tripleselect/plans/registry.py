@@ -289,7 +289,8 @@ def _pairs_scores(spark, sf, scope: str, sides=("pos", "neg")):
     if scope == "corpus":
         st = bm25_stats(fx.table(spark, sf, "documents"), "text", vocab=query_vocab(pairs))
         return bm25_pairs(pairs.drop("cluster_id"), st)
-    st = bm25_stats(pairs.select("cluster_id", F.col("passage").alias("text")), "text", ("cluster_id",))
+    st = bm25_stats(pairs.select("cluster_id", "side", F.col("passage").alias("text")), "text", ("cluster_id", "side"),
+                    vocab=query_vocab(pairs))
     return bm25_pairs(pairs, st)
 
 

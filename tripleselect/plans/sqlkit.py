@@ -102,16 +102,17 @@ pt AS (SELECT triple_id, side, cluster_id, dl, term, count(*) AS tf
 CORPUS_STATS = f"""dtok AS (SELECT doc_id, {toks('text')} AS t FROM documents),
 cdocs AS (SELECT count(*) AS n_docs, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM dtok),
 cterms AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(t)) AS term FROM dtok) GROUP BY term)"""
-CLUSTER_STATS = """cdocs AS (SELECT cluster_id, count(*) AS n_docs, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM ptok GROUP BY cluster_id),
-cterms AS (SELECT cluster_id, term, count(*) AS df
-  FROM (SELECT cluster_id, triple_id, side, unnest(list_distinct(t)) AS term FROM ptok) GROUP BY cluster_id, term)"""
+CLUSTER_STATS = """cdocs AS (SELECT cluster_id, side, count(*) AS n_docs, avg(CAST(len(t) AS DOUBLE)) AS avgdl
+  FROM ptok GROUP BY cluster_id, side),
+cterms AS (SELECT cluster_id, side, term, count(*) AS df
+  FROM (SELECT cluster_id, triple_id, side, unnest(list_distinct(t)) AS term FROM ptok) GROUP BY cluster_id, side, term)"""
 
 
 def scores_cte(scope: str) -> str:
     if scope == "corpus":
         j = "JOIN cterms USING (term) CROSS JOIN cdocs"
     else:
-        j = "JOIN cterms USING (cluster_id, term) JOIN cdocs USING (cluster_id)"
+        j = "JOIN cterms USING (cluster_id, side, term) JOIN cdocs USING (cluster_id, side)"
     return f"""sc AS (SELECT triple_id, side, sum({bm25_w()}) AS score
   FROM qt JOIN pt USING (triple_id, side, cluster_id, term) {j} GROUP BY triple_id, side),
 scores AS (SELECT p.triple_id, p.side, coalesce(sc.score, 0.0) AS score FROM pairs p LEFT JOIN sc USING (triple_id, side))"""
