@@ -8,14 +8,17 @@ which for equal weights is the Jaccard of the sets.  Arrivals are generated
 in rounds over whole batches; a shingle stops as soon as its next arrival
 comes after the latest first arrival of its document.
 
-Registers are cut into bands; documents with equal bands share a bucket.  A
-bucket never expands into all its pairs: each member is compared with the
-bucket's hub (the member met in the most buckets) and with its neighbours in
-the orders of two further bands, so a group of n copies costs O(n)
-comparisons per band.  A pair passes when the exact Jaccard or the exact
-probability Jaccard of its shingles reaches the threshold.  Classes are the
-connected components of passed pairs; equal texts are one node from the
-start.  Banding is probabilistic: see the README for its measured recall.
+Registers are cut into bands; documents with equal bands share a bucket.
+Each member of a bucket is compared with the bucket's hub (the member met in
+the most buckets) and with its neighbours in the orders of two further bands,
+so a group of n copies costs O(n) comparisons per band.  A pair passes when
+the exact Jaccard or the exact probability Jaccard of its shingles reaches the
+threshold.  Classes are the connected components of passed pairs; equal texts
+are one node from the start.  Then every bucket whose members are still in
+several classes is compared whole: the members outside its largest class with
+all members, block by block on the sketches, and what agrees enough is
+verified.  So no pair that shares a bucket is lost.  Banding itself is
+probabilistic: see the README for its measured recall.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -38,6 +41,8 @@ BANDS, ROWS = 26, 6
 SLACK_SE = 4.0
 #: Documents sketched together.
 SLICE = 1000
+#: Expected members of a block of a bucket that is compared whole.
+BLOCK = 256
 GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -196,8 +201,14 @@ def _neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.where("side = 0").select("a", "b").unionByName(edge)
 
 
-def candidate_pairs(sk: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs ``(a, b)`` of different texts worth verifying."""
+def least_agreement(m: int, threshold: float) -> float:
+    """Share of ``m`` registers from which a pair is worth verifying."""
+    return max(0.0, threshold - SLACK_SE * (threshold * (1 - threshold) / m) ** 0.5)
+
+
+def bucket_entries(sk: DataFrame, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """``node, bands, sketch`` of every different text, and ``band, h, node,
+    h1, h2, n`` of every bucket with ``n`` > 1 members."""
     one = sk.where(F.col("bands").isNotNull()).groupBy(F.col("tkey").alias("node")).agg(
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     one = cut_lineage(one)
@@ -205,15 +216,20 @@ def candidate_pairs(sk: DataFrame, bands: int = BANDS, rows: int = ROWS, thresho
     entry = entry.select("node", "band", "h", F.get("bands", (F.col("band") + 1) % bands).alias("h1"),
                          F.get("bands", (F.col("band") + 7) % bands).alias("h2"))
     size = entry.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entry = cut_lineage(entry.join(size, ["band", "h"]))
+    return one, cut_lineage(entry.join(size, ["band", "h"]))
+
+
+def candidate_pairs(one: DataFrame, entry: DataFrame, bands: int = BANDS, rows: int = ROWS,
+                    threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of different texts worth verifying, from a
+    number of comparisons linear in the buckets' sizes."""
     met = entry.groupBy("node").agg(F.sum("n").alias("met"))
     hubs = (entry.join(met, "node").groupBy("band", "h")
                  .agg(F.max(F.struct("met", "node"))["node"].alias("hub")))
     star = entry.join(hubs, ["band", "h"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     pairs = (star.unionByName(_neighbours(entry, ["h1", "h2"])).unionByName(_neighbours(entry, ["h2", "h1"]))
                  .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    m = bands * rows
-    least = max(0.0, threshold - SLACK_SE * (threshold * (1 - threshold) / m) ** 0.5)
+    least = least_agreement(bands * rows, threshold)
 
     @pandas_udf("double")
     def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -229,9 +245,74 @@ def candidate_pairs(sk: DataFrame, bands: int = BANDS, rows: int = ROWS, thresho
     return both.where(agreement("x", "y") >= least).select("a", "b")
 
 
+def leftover_pairs(one: DataFrame, entry: DataFrame, comps: DataFrame, bands: int = BANDS, rows: int = ROWS,
+                   threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs ``(a, b)`` worth verifying among members of one bucket
+    that are in different classes (``comps``: ``node, comp``).
+
+    The members outside a bucket's largest class (``side`` 0) meet all its
+    members (``side`` 1).  Both are split by hash into blocks, one task group
+    per pair of blocks; only pairs that agree enough leave it.
+    """
+    least = least_agreement(bands * rows, threshold)
+    at = entry.select("band", "h", "node").join(comps.select("node", "comp"), "node", "left").select(
+        "band", "h", "node", F.coalesce("comp", "node").alias("comp"))
+    per = at.groupBy("band", "h", "comp").agg(F.count(F.lit(1)).alias("c"))
+    # two members have met already
+    per = (per.groupBy("band", "h").agg(F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top"))
+              .where("n > 2 AND top.c < n").select("band", "h", F.col("top.comp").alias("main"),
+                                                   F.ceil(F.col("n") / block).alias("all_blocks"),
+                                                   F.ceil((F.col("n") - F.col("top.c")) / block).alias("few_blocks")))
+    at = at.join(per, ["band", "h"]).join(one.select("node", "sketch"), "node")
+    own = {"band", "h", "node", "sketch"}
+    few = F.pmod(F.xxhash64("node"), F.col("few_blocks")).alias("i")
+    every = F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_blocks")).alias("j")
+    comp = F.xxhash64("comp").alias("comp")
+    cols = [c for c in at.columns if c in own]
+    left = (at.where("comp <> main").select(*cols, comp, few, F.col("all_blocks"))
+              .select(*cols, "comp", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("j"),
+                      F.lit(0).alias("side")))
+    right = (at.select(*cols, comp, every, F.col("few_blocks"))
+               .select(*cols, "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few_blocks") - 1)).alias("i"), "j",
+                       F.lit(1).alias("side")))
+    key = ["band", "h", "i", "j"]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        keys = part[key].to_numpy(np.int64)
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        side, comp, node = part["side"].to_numpy(), part["comp"].to_numpy(), part["node"].to_numpy(object)
+        regs = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
+        a, b = [], []
+        for lo, hi in zip(np.append(0, cut), np.append(cut, len(part))):
+            rest = lo + np.flatnonzero(side[lo:hi] == 1)
+            others = regs[rest]
+            for x in lo + np.flatnonzero(side[lo:hi] == 0):
+                near = rest[(comp[rest] != comp[x]) & ((others == regs[x]).mean(axis=1) >= least)]
+                a += [node[x]] * len(near)
+                b += list(node[near])
+        return pd.DataFrame({"a": np.array(a, object), "b": np.array(b, object)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None                                               # the group that the next batch may go on with
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keys = pdf[key].to_numpy(np.int64)
+            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if last:
+                yield compare(pdf.iloc[:last])
+            held = pdf.iloc[last:]
+        if held is not None:
+            yield compare(held)
+
+    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key)
+    return (both.mapInPandas(run, "a string, b string")
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs whose texts are similar enough, with their ``similarity``."""
-    pairs = cut_lineage(pairs)
     nodes = pairs.select(F.col("a").alias("tkey")).unionByName(pairs.select(F.col("b").alias("tkey"))).distinct()
     texts = (docs.select(text_key(F.col("text")).alias("tkey"), "text").where(F.col("tkey").isNotNull())
                  .join(nodes, "tkey", "left_semi").dropDuplicates(["tkey"]))
@@ -270,8 +351,14 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     table gives no rows; other columns are ignored.
     """
     sk = cut_lineage(sketches(docs, bands, rows))
-    edges = verified_pairs(docs, candidate_pairs(sk, bands, rows, threshold), threshold)
-    comps = connected_components(edges)
+    one, entry = bucket_entries(sk, bands)
+    tried = cut_lineage(candidate_pairs(one, entry, bands, rows, threshold))
+    comps = cut_lineage(connected_components(verified_pairs(docs, tried, threshold)))
+    rest = cut_lineage(leftover_pairs(one, entry, comps, bands, rows, threshold).join(tried, ["a", "b"], "left_anti"))
+    if rest.limit(1).count():
+        links = verified_pairs(docs, rest, threshold).select("a", "b")
+        comps = connected_components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+                                                            .where("a <> b")))
     keys = sk.where(F.col("tkey").isNotNull()).groupBy("tkey").agg(F.min("doc_id").alias("low"),
                                                                    F.count(F.lit(1)).alias("n"))
     keys = keys.join(comps, F.col("tkey") == F.col("node"), "left").select(
@@ -289,12 +376,14 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
 def near_deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """One document of each class, columns unchanged: the one with the least
     doc_id.  Rows with null texts stay."""
+    def row_key(text: Column, doc_id: str) -> Column:
+        return F.concat_ws(" ", text, F.col(doc_id).cast("long").cast("string"))
+
     cls = near_classes(docs, **kw).where(F.col("class_key").isNotNull())
-    keep = cls.where(F.col("tkey") == F.col("class_key")).groupBy(F.col("tkey").alias("__k")).agg(
-        F.first("class_id").alias("__first"))
-    key = "__tkey"
+    key = "__row_key"
     while key in docs.columns:
         key += "_"
-    rows = docs.withColumn(key, text_key(F.col("text")))
-    kept = rows.join(keep, (F.col(key) == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates([key]).drop(key).unionByName(rows.where(F.col("text").isNull()).drop(key))
+    keep = cls.where(F.col("tkey") == F.col("class_key")).select(row_key(F.col("tkey"), "class_id").alias(key)).distinct()
+    rows = docs.where(F.col("text").isNotNull()).withColumn(key, row_key(text_key(F.col("text")), "doc_id"))
+    # the join leaves the rows partitioned by the key on which repeated rows then go
+    return rows.join(keep, key, "left_semi").dropDuplicates([key]).drop(key).unionByName(docs.where(F.col("text").isNull()))
