@@ -3,7 +3,7 @@
 Documents are points in a space of metadata dimensions.  A node is split at
 the weighted median (weight: bytes) of its widest dimension until its share of
 bytes is one leaf's.  Medians are found by histogram refinement: each pass
-counts the bytes of every open node in 1024 cells of its current key range and
+counts the bytes of every open node in 16384 cells of its current key range and
 narrows the range to the cell that holds the cut, until the cell holds next to
 nothing.  A pass is one map-side-combined aggregation over the narrow metadata
 table, whatever the number of nodes; texts are read once, for their size.
@@ -21,7 +21,7 @@ from tripleselect.llm.common import crc32_utf8, cut_lineage
 
 #: A dimension has this many steps; a key is the step followed by a hash, which splits ties.
 STEP_BITS = 31
-CELL_BITS = 10
+CELL_BITS = 14
 #: A cut is exact enough when its cell holds less than this share of the node's bytes.
 SLACK = 1e-4
 
