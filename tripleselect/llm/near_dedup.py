@@ -16,8 +16,7 @@ the exact Jaccard or the exact probability Jaccard of its shingles reaches the
 threshold.  Classes are the connected components of passed pairs; equal texts
 are one node from the start.  Then every bucket whose members are still in
 several classes is compared whole: the members outside its largest class with
-all members, block by block on the sketches, and what agrees enough is
-verified.  So no pair that shares a bucket is lost.  Banding itself is
+all members, block by block, by sketch and then by shingles.  So no pair that shares a bucket is lost.  Banding itself is
 probabilistic: see the README for its measured recall.
 """
 
@@ -42,7 +41,7 @@ SLACK_SE = 4.0
 #: Documents sketched together.
 SLICE = 1000
 #: Expected members of a block of a bucket that is compared whole.
-BLOCK = 256
+BLOCK = 128
 GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -245,14 +244,35 @@ def candidate_pairs(one: DataFrame, entry: DataFrame, bands: int = BANDS, rows:
     return both.where(agreement("x", "y") >= least).select("a", "b")
 
 
-def leftover_pairs(one: DataFrame, entry: DataFrame, comps: DataFrame, bands: int = BANDS, rows: int = ROWS,
-                   threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs ``(a, b)`` worth verifying among members of one bucket
-    that are in different classes (``comps``: ``node, comp``).
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, items, counts`` of the texts in ``nodes(node)``: sorted
+    shingles (64 bits each) and how often each occurs (32 bits each)."""
+    texts = (docs.select(text_key(F.col("text")).alias("node"), "text").where(F.col("node").isNotNull())
+                 .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), SLICE):
+                part = pdf.iloc[i:i + SLICE]
+                d, s, c = shingles(list(part["text"]))
+                order = np.lexsort((s, d))
+                s, c = s[order], c[order].astype(np.int32)
+                cut = np.searchsorted(d[order], np.arange(len(part) + 1))
+                yield pd.DataFrame({"node": part["node"].array, "items": [s[x:y].tobytes() for x, y in zip(cut, cut[1:])],
+                                    "counts": [c[x:y].tobytes() for x, y in zip(cut, cut[1:])]})
+
+    return texts.mapInPandas(run, "node string, items binary, counts binary")
+
+
+def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: DataFrame, bands: int = BANDS,
+                   rows: int = ROWS, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Similar pairs ``(a, b)`` among members of one bucket that are in
+    different classes (``comps``: ``node, comp``).
 
     The members outside a bucket's largest class (``side`` 0) meet all its
     members (``side`` 1).  Both are split by hash into blocks, one task group
-    per pair of blocks; only pairs that agree enough leave it.
+    per pair of blocks, which compares sketches and then shingles; only
+    similar pairs leave it.
     """
     least = least_agreement(bands * rows, threshold)
     at = entry.select("band", "h", "node").join(comps.select("node", "comp"), "node", "left").select(
@@ -263,34 +283,36 @@ def leftover_pairs(one: DataFrame, entry: DataFrame, comps: DataFrame, bands: in
               .where("n > 2 AND top.c < n").select("band", "h", F.col("top.comp").alias("main"),
                                                    F.ceil(F.col("n") / block).alias("all_blocks"),
                                                    F.ceil((F.col("n") - F.col("top.c")) / block).alias("few_blocks")))
-    at = at.join(per, ["band", "h"]).join(one.select("node", "sketch"), "node")
-    own = {"band", "h", "node", "sketch"}
-    few = F.pmod(F.xxhash64("node"), F.col("few_blocks")).alias("i")
-    every = F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_blocks")).alias("j")
-    comp = F.xxhash64("comp").alias("comp")
-    cols = [c for c in at.columns if c in own]
-    left = (at.where("comp <> main").select(*cols, comp, few, F.col("all_blocks"))
-              .select(*cols, "comp", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("j"),
-                      F.lit(0).alias("side")))
-    right = (at.select(*cols, comp, every, F.col("few_blocks"))
-               .select(*cols, "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few_blocks") - 1)).alias("i"), "j",
-                       F.lit(1).alias("side")))
+    at = cut_lineage(at.join(per, ["band", "h"]))
+    wide = at.join(shingle_sets(docs, at.select("node").distinct()).join(one.select("node", "sketch"), "node"), "node")
+    few = F.pmod(F.xxhash64("node"), F.col("few_blocks"))
+    every = F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_blocks"))
+
+    def blocks(n: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+    as_any = F.transform(blocks("few_blocks"), lambda i: F.struct(i.alias("i"), every.alias("j"), F.lit(1).alias("side")))
+    as_few = F.transform(blocks("all_blocks"), lambda j: F.struct(few.alias("i"), j.alias("j"), F.lit(0).alias("side")))
     key = ["band", "h", "i", "j"]
+    met = (wide.withColumn("at", F.explode(F.when(F.col("comp") != F.col("main"), F.concat(as_any, as_few)).otherwise(as_any)))
+               .select("band", "h", "at.*", "node", F.xxhash64("comp").alias("comp"), "sketch", "items", "counts"))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         keys = part[key].to_numpy(np.int64)
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         side, comp, node = part["side"].to_numpy(), part["comp"].to_numpy(), part["node"].to_numpy(object)
         regs = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
-        a, b = [], []
+        sets = [(np.frombuffer(s, np.uint64), 1.0 + np.log(np.frombuffer(c, np.int32)))
+                for s, c in zip(part["items"], part["counts"])]
+        out = set()
         for lo, hi in zip(np.append(0, cut), np.append(cut, len(part))):
             rest = lo + np.flatnonzero(side[lo:hi] == 1)
             others = regs[rest]
             for x in lo + np.flatnonzero(side[lo:hi] == 0):
-                near = rest[(comp[rest] != comp[x]) & ((others == regs[x]).mean(axis=1) >= least)]
-                a += [node[x]] * len(near)
-                b += list(node[near])
-        return pd.DataFrame({"a": np.array(a, object), "b": np.array(b, object)})
+                for y in rest[(comp[rest] != comp[x]) & ((others == regs[x]).mean(axis=1) >= least)]:
+                    if similarity(sets[x], sets[y]) >= threshold:
+                        out.add((node[x], node[y]))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None                                               # the group that the next batch may go on with
@@ -298,17 +320,16 @@ def leftover_pairs(one: DataFrame, entry: DataFrame, comps: DataFrame, bands: in
             if not len(pdf):
                 continue
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            keys = pdf[key].to_numpy(np.int64)
-            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            other = (pdf[key].to_numpy(np.int64) != pdf[key].to_numpy(np.int64)[-1]).any(axis=1)
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if last:
                 yield compare(pdf.iloc[:last])
             held = pdf.iloc[last:]
         if held is not None:
             yield compare(held)
 
-    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key)
-    return (both.mapInPandas(run, "a string, b string")
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return (met.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "a string, b string")
+               .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -354,9 +375,8 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     one, entry = bucket_entries(sk, bands)
     tried = cut_lineage(candidate_pairs(one, entry, bands, rows, threshold))
     comps = cut_lineage(connected_components(verified_pairs(docs, tried, threshold)))
-    rest = cut_lineage(leftover_pairs(one, entry, comps, bands, rows, threshold).join(tried, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = verified_pairs(docs, rest, threshold).select("a", "b")
+    links = cut_lineage(leftover_links(docs, one, entry, comps, bands, rows, threshold))
+    if links.limit(1).count():
         comps = connected_components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
                                                             .where("a <> b")))
     keys = sk.where(F.col("tkey").isNotNull()).groupBy("tkey").agg(F.min("doc_id").alias("low"),
