@@ -7,7 +7,8 @@ counts the bytes of every open node in 16384 cells of its current key range and
 narrows the range to the cell that holds the cut, until the cell holds next to
 nothing.  A pass is one map-side-combined aggregation over the narrow metadata
 table, whatever the number of nodes; texts are read once, for their size.
-Cells and nodes are tables: nothing is collected but two counters a pass.
+Cells and nodes are tables: nothing is collected but a counter a pass.  Nodes
+are sent to the points as long as there are few, so points are not shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ STEP_BITS = 31
 CELL_BITS = 14
 #: A cut is exact enough when its cell holds less than this share of the node's bytes.
 SLACK = 1e-4
+#: Up to so many nodes are broadcast (some 60 bytes each); more are joined by a shuffle, when none is hot any longer.
+MAX_SENT = 1 << 16
 
 
 def byte_size(text: Column) -> Column:
@@ -55,58 +58,61 @@ def metadata(docs: DataFrame, numeric: list[str], categories: list[str]) -> Data
                       F.shiftrightunsigned("h", 64 - STEP_BITS).alias("tie"), F.array(*dims).alias("dims"))
 
 
-def _cells(lo: str, hi: str) -> Column:
-    """Width of a cell of the key range ``[lo, hi]``."""
-    return F.shiftright(F.col(hi) - F.col(lo), CELL_BITS) + 1
+def sent(nodes: DataFrame, count: int) -> DataFrame:
+    """``nodes`` (at most ``count`` rows) as the small side of a join."""
+    return F.broadcast(nodes) if count <= MAX_SENT else nodes
 
 
-def split_level(points: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def kept_apart(nodes: DataFrame, count: int) -> DataFrame:
+    """``nodes`` checkpointed; few rows are read again by few tasks."""
+    done = cut_lineage(nodes)
+    return done.coalesce(4) if count <= MAX_SENT else done
+
+
+def split_level(points: DataFrame, nodes: DataFrame, dims: int, count: int) -> tuple[DataFrame, DataFrame]:
     """Split every node with more than one leaf to come.
 
-    ``nodes``: ``node, leaves, first`` (its first leaf number).  Returns the
-    points with their new node and the new nodes.
+    ``nodes``: ``node, leaves, first`` (its first leaf number), ``count`` rows
+    at most.  Returns the points with their new node and the new nodes.
     """
-    k = len(points.select("dims").first()["dims"])
     open_nodes = nodes.where(F.col("leaves") > 1)
-    box = (points.join(open_nodes.select("node"), "node").groupBy("node").agg(
-        F.sum("size").alias("bytes"),
-        F.array(*[(F.max(F.col("dims")[i]) - F.min(F.col("dims")[i])) for i in range(k)]).alias("widths")))
-    box = box.select("node", "bytes", (F.array_position("widths", F.array_max("widths")) - 1).cast("int").alias("dim"))
-    top = (1 << (2 * STEP_BITS)) - 1
-    cuts = cut_lineage(open_nodes.join(box, "node").select(
+    box = points.groupBy("node").agg(F.sum("size").alias("bytes"), *[
+        f(F.col("dims")[i]).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))])
+    box = box.select("node", "bytes", F.array(*[F.col(f"lo{i}") for i in range(dims)]).alias("los"),
+                     F.array(*[F.col(f"hi{i}") for i in range(dims)]).alias("his"))
+    widths = F.zip_with("his", "los", lambda h, l: h - l)
+    box = box.withColumn("dim", (F.array_position(widths, F.array_max(widths)) - 1).cast("int"))
+    step = F.lit(1 << STEP_BITS)
+    cuts = kept_apart(box.join(sent(open_nodes, count), "node").select(
         "node", "leaves", "first", "dim", "bytes",
         (F.col("bytes") * F.floor(F.col("leaves") / 2) / F.col("leaves")).alias("goal"),
-        F.lit(0).cast("long").alias("lo"), F.lit(top).cast("long").alias("hi"), F.lit(0).cast("long").alias("below"),
-        F.lit(False).alias("done"), F.lit(0).cast("long").alias("cell_bytes")))
-    key = F.element_at("dims", F.col("dim") + 1) * F.lit(1 << STEP_BITS) + F.col("tie")
+        (F.element_at("los", F.col("dim") + 1) * step).alias("lo"),
+        (F.element_at("his", F.col("dim") + 1) * step + ((1 << STEP_BITS) - 1)).alias("hi"),
+        F.lit(0).cast("long").alias("below"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("cell_bytes")), count)
+    key = F.element_at("dims", F.col("dim") + 1) * step + F.col("tie")
     pts = points.withColumnRenamed("node", "node0")
     while cuts.where(~F.col("done")).limit(1).count():
         todo = cuts.where(~F.col("done"))
-        cell = F.expr("CAST((key - lo) DIV w AS INT)")
-        hist = (pts.join(todo.select("node", "dim", "lo", "hi", _cells("lo", "hi").alias("w")),
-                         F.col("node0") == F.col("node"))
+        w = F.shiftright(F.col("hi") - F.col("lo"), CELL_BITS) + 1
+        hist = (pts.join(sent(todo.select("node", "dim", "lo", "hi", w.alias("w")), count), F.col("node0") == F.col("node"))
                    .withColumn("key", key).where((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
-                   .groupBy("node", cell.alias("cell")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")))
+                   .groupBy("node", F.expr("CAST((key - lo) DIV w AS INT)").alias("cell"))
+                   .agg(F.sum("size").alias("n"), F.min("key").alias("kmin"), F.max("key").alias("kmax")))
         run = Window.partitionBy("node").orderBy("cell")
-        at = (hist.withColumn("upto", F.sum("n").over(run)).join(todo, "node")
+        at = (hist.withColumn("upto", F.sum("n").over(run)).join(sent(todo.select("node", "below", "goal"), count), "node")
                   .where(F.col("below") + F.col("upto") >= F.col("goal"))
-                  .groupBy("node").agg(F.min(F.struct("cell", "upto", "n", "rows")).alias("c")))
-        w = _cells("lo", "hi")
-        nxt = (todo.join(at, "node", "left").withColumn("w", w)
-                   .withColumn("nlo", F.coalesce(F.col("lo") + F.col("c.cell") * F.col("w"), F.col("lo")))
-                   .withColumn("nhi", F.coalesce(F.least(F.col("hi"), F.col("nlo") + F.col("w") - 1), F.col("hi")))
-                   .withColumn("nbelow", F.col("below") + F.coalesce(F.col("c.upto") - F.col("c.n"), F.lit(0))))
-        nxt = nxt.select("node", "leaves", "first", "dim", "bytes", "goal", F.col("nlo").alias("lo"),
-                         F.col("nhi").alias("hi"), F.col("nbelow").alias("below"),
-                         (F.col("c").isNull() | (F.col("w") == 1) | (F.col("c.rows") == 1)
-                          | (F.col("c.n") <= F.col("bytes") * SLACK)).alias("done"),
-                         F.coalesce(F.col("c.n"), F.lit(0)).alias("cell_bytes"))
-        cuts = cut_lineage(nxt.unionByName(cuts.where("done")))
+                  .groupBy("node").agg(F.min(F.struct("cell", "upto", "n", "kmin", "kmax")).alias("c")))
+        nxt = at.join(sent(todo, count), "node").select(
+            "node", "leaves", "first", "dim", "bytes", "goal", F.col("c.kmin").alias("lo"), F.col("c.kmax").alias("hi"),
+            (F.col("below") + F.col("c.upto") - F.col("c.n")).alias("below"),
+            ((F.col("c.kmin") == F.col("c.kmax")) | (F.col("c.n") <= F.col("bytes") * SLACK)).alias("done"),
+            F.col("c.n").alias("cell_bytes"))
+        cuts = kept_apart(nxt.unionByName(cuts.where("done")), count)
     # the last cell goes to the side that leaves the cut nearer to its goal
     half = F.floor(F.col("leaves") / 2)
     with_cell = 2 * (F.col("goal") - F.col("below")) >= F.col("cell_bytes")
     plan = cuts.select("node", "dim", F.when(with_cell, F.col("hi")).otherwise(F.col("lo") - 1).alias("bound"))
-    moved = (pts.join(plan, F.col("node0") == F.col("node"), "left").withColumn("key", key)
+    moved = (pts.join(sent(plan, count), F.col("node0") == F.col("node"), "left").withColumn("key", key)
                 .withColumn("node1", F.when(F.col("node").isNull(), F.col("node0"))
                             .when(F.col("key") <= F.col("bound"), F.col("node0") * 2).otherwise(F.col("node0") * 2 + 1)))
     new_points = cut_lineage(moved.select(*[c for c in points.columns if c != "node"], F.col("node1").alias("node")))
@@ -114,8 +120,8 @@ def split_level(points: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     right = cuts.select((F.col("node") * 2 + 1).alias("node"), (F.col("leaves") - half).alias("leaves"),
                         (F.col("first") + half).alias("first"))
     kept = nodes.where(F.col("leaves") <= 1)
-    return new_points, cut_lineage(left.unionByName(right).unionByName(kept).select(
-        F.col("node").cast("long"), F.col("leaves").cast("long"), F.col("first").cast("long")))
+    return new_points, left.unionByName(right).unionByName(kept).select(
+        F.col("node").cast("long"), F.col("leaves").cast("long"), F.col("first").cast("long"))
 
 
 def kd_shards(docs: DataFrame, numeric: list[str], categories: list[str], shards: int | None = None,
@@ -135,9 +141,9 @@ def kd_shards(docs: DataFrame, numeric: list[str], categories: list[str], shards
     nodes = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(n).cast("long").alias("leaves"),
                                   F.lit(0).cast("long").alias("first"))
     if total:
-        for _ in range(math.ceil(math.log2(n))):
-            points, nodes = split_level(points, nodes)
-    return points.join(nodes.select("node", "first"), "node").select(
+        for level in range(math.ceil(math.log2(n))):
+            points, nodes = split_level(points, nodes, 1 + len(numeric) + len(categories), min(1 << level, n))
+    return points.join(sent(nodes.select("node", "first"), n), "node").select(
         "doc_id", "size", "text_crc32", F.col("first").cast("int").alias("shard"))
 
 
