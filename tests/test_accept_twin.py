@@ -81,3 +81,14 @@ def test_incomplete_run_is_flagged(spark):
     r = accept_sample(tv, 30, 5, -5.0, seed=1, max_draws=3000)
     assert not r.run["complete"]
     assert r.samples.count() == 1
+
+
+def test_run_without_limit_ends_when_no_row_can_pass(spark):
+    tv, X = _vectors(spark)
+    r = accept_sample(tv, 30, 5, -5.0, seed=1)
+    assert not r.run["complete"]
+    assert r.samples.count() == 1
+    # every row passes, and no more than all rows can be had
+    r = accept_sample(tv, len(X) + 5, 5, 2.0, seed=1)
+    assert not r.run["complete"]
+    assert r.samples.select("triple_id").distinct().count() == len(X)

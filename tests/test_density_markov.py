@@ -64,3 +64,12 @@ def test_no_edge_means_noise(spark):
     from tripleselect.operators.density import cluster_density
     v = spark.createDataFrame([(0, [1.0, 0.0])], "triple_id long, vec array<double>")
     assert [tuple(r) for r in cluster_density(v, 2).collect()] == [(0, -1)]
+
+
+def test_walk_without_limit_ends_when_nothing_new_can_be_reached(spark):
+    # a tail 0 -> 1 -> 2 into the ring 2, 3, 4; 5 and 6 cannot be reached
+    nxt = {0: 1, 1: 2, 2: 3, 3: 4, 4: 2, 5: 6, 6: 5}
+    tdf = spark.createDataFrame([(s, 1, d, 0.0) for s, d in nxt.items()], "src long, rank int, dst long, dot double")
+    samples, run = markov_sample(tdf, 7, walkers=1, seed=1, start=0, n_rows=7)
+    assert [r.triple_id for r in samples.orderBy("ordinal").collect()] == [1, 2, 3, 4]
+    assert not run["complete"]

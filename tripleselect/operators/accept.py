@@ -67,6 +67,13 @@ class Schedule:
         x = float(min(step - 1, self.horizon))
         return float(self.t0) + float(self.t1 - self.t0) * x / float(self.horizon)
 
+    def final(self) -> float:
+        return float(self.t0) if self.t1 is None or self.horizon <= 0 else float(self.t1)
+
+    def highest_after(self, step: int) -> float:
+        """The highest threshold that a draw after ``step`` can see."""
+        return max(self.value(step + 1), self.final())
+
 
 @dataclass
 class RunResult:
@@ -87,13 +94,6 @@ def draw_idx(seed, step: int, n_rows: int) -> int:
     return int(h, 16) % n_rows
 
 
-def default_max_draws(n_rows: int, n: int) -> int:
-    """Cap on draws when none is given: the process never ends when fewer
-    than ``n`` rows can pass, so a run stops after this many draws and is
-    marked incomplete."""
-    return 64 * (n_rows + n)
-
-
 def _check_dense(vectors: DataFrame, id_col: str) -> int:
     r = vectors.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
     n = int(r["n"])
@@ -157,23 +157,24 @@ def bulk_collect(spark: SparkSession, proj: DataFrame, seed, n_rows: int, start_
     """The ``need`` ids (not in ``exclude``) with the earliest first state
     change after ``start_step``.  Returns (DataFrame(idx, step), last step,
     complete).  The step range starts from a coupon-collector estimate and
-    doubles until enough distinct ids appear or ``max_draws`` is reached."""
+    doubles until enough distinct ids appear, no further id can pass, or the
+    caller's ``max_draws`` (none by default) is reached.  Under the stall rule
+    any row with ``d < 1`` can still be taken, however rarely."""
     if need <= 0:
         return spark.createDataFrame([], "idx long, step long"), start_step, True
     p = max(pass_rate or 0.5, 1e-6)
     pool = max(p * n_rows, need + 1)
     est = n_rows / p * (math.log(pool) - math.log(max(pool - need, 1))) if pool > need else n_rows * need
     m = int(max(4 * need, 1.3 * est + 64))
-    limit = max_draws if max_draws else start_step + default_max_draws(n_rows, need)
     while True:
         last = start_step + m
-        capped = limit is not None and last >= limit
+        capped = bool(max_draws) and last >= max_draws
         if capped:
-            last = limit
+            last = max_draws
         ev = _first_new(accept_events(spark, proj, seed, n_rows, start_step + 1, last, schedule, max_steps), exclude)
         ev = ev.persist()
         have = ev.count()
-        if have >= need or capped:
+        if have >= need or capped or _exhausted(proj, ev, exclude, last, schedule, max_steps):
             picked = _smallest_steps(ev, need)
             picked = picked.persist()
             mx = picked.agg(F.max("step")).first()[0]
@@ -183,6 +184,16 @@ def bulk_collect(spark: SparkSession, proj: DataFrame, seed, n_rows: int, start_
         m *= 2
 
 
+def _exhausted(proj: DataFrame, found: DataFrame, exclude: list[int], last: int, schedule: Schedule,
+               max_steps: int | None) -> bool:
+    """No row outside ``found`` and ``exclude`` can pass after step ``last``."""
+    bound = 1.0 if max_steps else schedule.highest_after(last)
+    rest = proj.where(F.col("d") < F.lit(bound)).join(found.select("idx"), "idx", "left_anti")
+    if exclude:
+        rest = rest.where(~F.col("idx").isin(exclude))
+    return rest.isEmpty()
+
+
 def _smallest_steps(ev: DataFrame, need: int) -> DataFrame:
     """The ``need`` rows of smallest (step, idx): step numbers are dense, so a
     bucket histogram over steps finds the cut without a global sort."""
@@ -213,7 +224,6 @@ def accept_bulk(vectors: DataFrame, ref_ids: DataFrame, n: int, t: float | Sched
     rbar = reference_mean(vectors, ref_ids, id_col, vec_col).first()["rbar"]
     proj = projection(vectors, rbar, id_col, vec_col).persist()
     rate = proj.agg(F.avg((F.col("d") < F.lit(sched.t0)).cast("double"))).first()[0]
-    max_draws = max_draws or default_max_draws(n_rows, n)
     picked, last, complete = bulk_collect(spark, proj, seed, n_rows, 0, n, sched, max_steps, [], max_draws, rate)
     out = (picked.withColumn("ordinal", F.row_number().over(Window.orderBy("step", "idx")))
                  .select(F.lit(run_id).alias("run_id"), "ordinal", F.col("idx").alias(id_col), "step"))
@@ -279,7 +289,9 @@ def warm_up(vectors: DataFrame, n_rows: int, x0: int, k: int, target: int, sched
             max_steps: int | None, seed, run_id: str, max_draws: int | None,
             id_col: str = "triple_id", vec_col: str = "vec", block: int | None = None) -> dict:
     """Greedy pass until |C| > k (or the target), block by block.  Returns
-    the final state as a dict (bounded: k + 1 ids and two d-vectors)."""
+    the final state as a dict (bounded: k + 1 ids and two d-vectors).  Ends
+    early, in phase ``warm``, after the caller's ``max_draws`` (none by
+    default) or when no row outside C can pass any more."""
     spark = vectors.sparkSession
     x0v = with_l2_normalized(vectors.where(F.col(id_col) == x0).select(vec_col), vec_col).first()[0]
     state = dict(run_id=run_id, c_ids=[int(x0)], s_vec=[float(v) for v in x0v], state=int(x0), cnt=0,
@@ -287,6 +299,7 @@ def warm_up(vectors: DataFrame, n_rows: int, x0: int, k: int, target: int, sched
                  phase="done" if target <= 1 else ("frozen" if k < 1 else "warm"))
     block = block or 16 * (k + 1)
     vec = vectors.select(F.col(id_col).alias("idx"), F.col(vec_col).alias("vec"))
+    size = 1
     while state["phase"] == "warm":
         first = state["step"] + 1
         last = first + block - 1
@@ -302,6 +315,13 @@ def warm_up(vectors: DataFrame, n_rows: int, x0: int, k: int, target: int, sched
         state = row.asDict(recursive=True)
         state["step"] = int(state["step"])
         block = min(block * 2, 1 << 16)
+        # C is what the distances depend on: if it stayed as it is, ask whether any row can still join it
+        if state["phase"] == "warm" and len(state["c_ids"]) == size and not max_draws:
+            proj = projection(vectors, [v / size for v in state["s_vec"]], id_col, vec_col)
+            bound = 1.0 if max_steps else schedule.highest_after(state["step"])
+            if proj.where((F.col("d") < F.lit(bound)) & ~F.col("idx").isin(state["c_ids"])).isEmpty():
+                break
+        size = len(state["c_ids"])
     return state
 
 
@@ -321,7 +341,6 @@ def accept_sample(vectors: DataFrame, n: int, k: int = 100, t: float | Schedule
     n_rows = _check_dense(vectors, id_col)
     sched = t if isinstance(t, Schedule) else Schedule(float(t))
     x0 = int(start) if start is not None else draw_idx(f"{seed}:start", 0, n_rows)
-    max_draws = max_draws or default_max_draws(n_rows, n)
     st = warm_up(vectors, n_rows, x0, k, n, sched, max_steps, seed, run_id, max_draws, id_col, vec_col)
     c_ids = list(st["c_ids"])
     steps = int(st["step"])

@@ -10,13 +10,15 @@ Spark formulation: the transition table ``(src, rank, dst, dot)`` is built
 once (exact or cell-probed) and persisted; a round is
 ``walkers ⋈ counts ⋈ transitions`` on ``(src, rank)`` where the rank is a
 seeded draw ``md5(seed:walker:step) mod n_src`` - a pure function, so any
-engine can replay a walk.  Rounds are capped (with ``n = 1`` the walk is
-deterministic and cycles), and the walker / visited tables are checkpointed
-to the shared checkpoint folder every few rounds to cut lineage.
+engine can replay a walk.  A walk that finds nothing new for a while (with
+``n = 1`` it is deterministic and cycles) is ended once no unvisited state can
+be reached from its walkers.  The walker table is checkpointed to the shared
+checkpoint folder every round, the visited states every few rounds.
 """
 
 from __future__ import annotations
 
+import itertools
 import time
 
 from pyspark.sql import DataFrame, Window
@@ -27,6 +29,7 @@ from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 8
 CHECK_EVERY = 4      # rounds between "enough distinct states?" actions; extra rounds only add later visits
+QUIET_ROUNDS = 32    # rounds without a new state before reachability is tested; doubles after every test
 
 
 def _counts(transitions: DataFrame) -> DataFrame:
@@ -101,11 +104,25 @@ def init_walkers(spark, transitions: DataFrame, counts: DataFrame, x0: int, walk
     return spark.createDataFrame(list(enumerate(states)), "walker long, state long")
 
 
+def can_grow(walkers: DataFrame, transitions: DataFrame, visited: DataFrame) -> bool:
+    """Whether a state outside ``visited`` can be reached from the walkers."""
+    seen = front = cut_lineage(walkers.select("state").distinct())
+    while True:
+        front = cut_lineage(transitions.join(front.select(F.col("state").alias("src")), "src", "left_semi")
+                            .select(F.col("dst").alias("state")).distinct().join(seen, "state", "left_anti"))
+        if front.isEmpty():
+            return False
+        if not front.join(visited.select("state"), "state", "left_anti").isEmpty():
+            return True
+        seen = cut_lineage(seen.unionByName(front))
+
+
 def markov_sample(transitions: DataFrame, k: int, walkers: int = 1, seed=0, start: int | None = None,
                   init: str = "chain", choice: str = "std", max_rounds: int | None = None,
                   n_rows: int | None = None, vectors: DataFrame | None = None, run_id: str = "markov",
                   id_col: str = "triple_id", vec_col: str = "vec"):
-    """Walk until ``k`` distinct states are visited or ``max_rounds``.
+    """Walk until ``k`` distinct states are visited, no other state can be
+    reached, or the caller's ``max_rounds`` (none by default) are over.
     Returns (samples(run_id, ordinal, triple_id), run dict)."""
     spark = transitions.sparkSession
     ensure_checkpoint_dir(spark)
@@ -122,11 +139,10 @@ def markov_sample(transitions: DataFrame, k: int, walkers: int = 1, seed=0, star
     n = int(trans.agg(F.max("rank")).first()[0] or 1)
     W = init_walkers(spark, trans, counts, start, walkers, seed, init, n_rows, vectors, n, id_col, vec_col)
     expanded = W.select("state")
-    max_rounds = max_rounds or 4 * (k // max(walkers, 1) + 1) + 64
     visited = None
     complete = False
-    step = 0
-    for step in range(1, max_rounds + 1):
+    before, quiet, wait = 0, 0, QUIET_ROUNDS
+    for step in itertools.count(1):
         # the next walker table is built from this one (twice under the
         # constraint rule), so its lineage is cut every round; it holds one
         # row per walker
@@ -136,12 +152,22 @@ def markov_sample(transitions: DataFrame, k: int, walkers: int = 1, seed=0, star
         if choice == "constraint":
             expanded = expanded.unionByName(W.select("state"))
         if step % CHECKPOINT_EVERY == 0:
-            visited = cut_lineage(visited)
+            # only a state's first visit counts
+            visited = cut_lineage(visited.groupBy("state").agg(F.min(F.struct("step", "walker")).alias("f"))
+                                         .select("f.walker", "state", "f.step"))
             if choice == "constraint":
                 expanded = cut_lineage(expanded.distinct())
-        if (step % CHECK_EVERY == 0 or step == max_rounds) and visited.select("state").distinct().count() >= k:
-            complete = True
+        if step % CHECK_EVERY and step != max_rounds:
+            continue
+        have = visited.select("state").distinct().count()
+        complete = have >= k
+        if complete or step == max_rounds:
             break
+        quiet, before = (quiet + CHECK_EVERY if have == before else 0), have
+        if quiet >= wait:
+            if not can_grow(W, trans, visited):
+                break
+            wait *= 2
     first = visited.groupBy("state").agg(F.min(F.struct("step", "walker")).alias("f"))
     # the first k states are cut out before they are numbered; the k-th one's step is the last step that counts
     kept = cut_lineage(first.orderBy("f.step", "f.walker").limit(k))
