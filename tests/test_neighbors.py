@@ -43,3 +43,23 @@ def test_ivf_probing_every_cell_is_exact(spark):
     k = cents.count()
     got = _got(ivf_neighbors(df, df, cells, cents, 4, nprobe=k, largest=False, block_rows=32))
     assert got == _brute(X, 4, False, False)
+
+
+def test_ivf_without_nprobe_is_exact_on_unnormalised_vectors(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(240, 12)) * rng.uniform(0.2, 4.0, size=(240, 1)) + 6.0 * (np.arange(240) % 4 == 0)[:, None]
+    X[7] = X[11] = X[19]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "triple_id long, vec array<double>")
+    cents, cells = build_cells(df, 20, max_iter=5, seed=1)
+    for largest, excl in [(False, False), (True, True)]:
+        got = _got(ivf_neighbors(df, df, cells, cents, 4, largest=largest, exclude_self=excl, block_rows=4))
+        assert got == _brute(X, 4, largest, excl)
+
+
+def test_registered_ivf_query_recall(spark):
+    from conftest import SF01
+    from tripleselect.plans import registry as R
+    want = _got(exact_neighbors(tv := R.fx.triple_vectors(spark, SF01).select("triple_id", "vec"), tv, R.WALK_N, largest=False))
+    got = _got(R.q_antipodal_ivf(spark, SF01))
+    hit = sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items())
+    assert hit >= 0.9 * sum(map(len, want.values()))

@@ -12,11 +12,15 @@ candidates (at most ``n`` per block) are cut to ``n`` by a salted top-k.
 * ``exact``: blocks of ``block_rows`` queries x blocks of ``block_rows`` rows.
   Work is all pairs, inherent to exact search; the replication factor is the
   number of blocks, so this mode is for up to ~10^6 rows.
-* ``ivf``: rows live in k-means cells; a query visits the ``nprobe`` cells
-  whose centroid is closest to its target (``-x`` for antipodal).  A cell
-  is split into sub-blocks of at most ``block_rows`` rows (and its visiting
-  queries into sub-blocks too), so a cell holding a third of the data is
-  spread over many tasks.
+* ``ivf``: rows live in k-means cells.  A query visits the cells whose
+  centroid is closest to its target (``-x`` for antipodal), then every other
+  cell that can still hold a row as good as its ``n``-th best so far: a bound
+  from the cell's extent along and across its centroid tells which.  The
+  result is the exact one; how many cells the bound saves depends on the data.
+  Only a caller who sets ``nprobe`` gets the nearest ``nprobe`` cells alone.
+  A cell is split into sub-blocks of at most ``SIDE_BLOCKS * block_rows`` rows
+  (and its visiting queries into sub-blocks too), so a cell holding a third of
+  the data is spread over many tasks; products are ``block_rows`` queries high.
 """
 
 from __future__ import annotations
@@ -29,7 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleselect.operators.select import top_k_per_group
+from tripleselect.session import cut_lineage
 
+#: Blocks of rows on each side of a task group of the cell-probed mode.
+SIDE_BLOCKS = 8
 OUT_SCHEMA = "src long, dst long, dot double"
 
 
@@ -132,23 +139,79 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, antipodal
     return queries.select(id_col, vec_col).mapInPandas(run, "src long, cell int")
 
 
-def ivf_neighbors(queries: DataFrame, vectors: DataFrame, cells: DataFrame, centroids: DataFrame, n: int,
-                  nprobe: int | None = None, largest: bool = True, exclude_self: bool = False,
-                  id_col: str = "triple_id", vec_col: str = "vec", block_rows: int = 2048) -> DataFrame:
-    """Cell-probed top-n.  ``cells`` = (id, cell) for every row of
-    ``vectors``; ``centroids`` = (cell, vec).  ``nprobe`` defaults to
-    ``k // 10`` (at least 1)."""
-    k = centroids.count()
-    nprobe = nprobe or max(1, k // 10)
-    probes = probe_cells(queries, centroids, nprobe, antipodal=not largest, id_col=id_col, vec_col=vec_col)
-    rows = vectors.select(F.col(id_col).alias("dst"), F.col(vec_col).alias("dv")).join(
-        cells.select(F.col(id_col).alias("dst"), "cell"), "dst")
+def cell_extents(rows: DataFrame, centroids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every cell with rows (``rows``: dst, dv, cell): id, unit centroid
+    ``u``, and (least, largest) ``y . u`` and largest ``|y - (y . u) u|`` over
+    its rows ``y``.  K rows reach the driver."""
+    from tripleselect.operators.cluster import centroid_matrix
+    cs, mat = centroid_matrix(centroids, "cell", "vec")
+    norm = np.linalg.norm(mat, axis=1, keepdims=True)
+    unit = np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)
+    b = rows.sparkSession.sparkContext.broadcast((cs, unit))
+
+    def run(it):
+        ids, u = b.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            y = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["dv"]])
+            c = u[np.searchsorted(ids, pdf["cell"].to_numpy(dtype=np.int64))]
+            a = (y * c).sum(axis=1)
+            out = pd.DataFrame({"cell": pdf["cell"], "lo": a, "hi": a, "off": np.linalg.norm(y - a[:, None] * c, axis=1)})
+            yield out.groupby("cell", as_index=False).agg({"lo": "min", "hi": "max", "off": "max"})
+
+    ext = (rows.select("cell", "dv").mapInPandas(run, "cell int, lo double, hi double, off double")
+               .groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("off").alias("off"))
+               .orderBy("cell").toPandas())
+    own = ext["cell"].to_numpy(dtype=np.int64)
+    return own, unit[np.searchsorted(cs, own)], ext[["lo", "hi", "off"]].to_numpy(dtype=np.float64)
+
+
+def cells_left(queries: DataFrame, found: DataFrame, first: DataFrame, rows: DataFrame, centroids: DataFrame,
+               n: int, antipodal: bool, id_col: str = "triple_id", vec_col: str = "vec") -> DataFrame:
+    """(src, cell): the cells not in ``first`` (src, cell) that may hold a row
+    at least as good as the query's ``n``-th best in ``found``; every such
+    cell for a query that has fewer than ``n``."""
+    sign = -1.0 if antipodal else 1.0
+    b = queries.sparkSession.sparkContext.broadcast(cell_extents(rows, centroids))
+    worst = found.groupBy("src").agg(F.min(F.lit(sign) * F.col("dot")).alias("worst"), F.count(F.lit(1)).alias("have"))
+    worst = worst.where(F.col("have") >= n).select("src", "worst")
+    seen = first.groupBy("src").agg(F.collect_list("cell").alias("seen"))
+    q = (queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv"))
+                .join(seen, "src", "left").join(worst, "src", "left"))
+
+    def run(it):
+        ids, u, ext = b.value
+        for pdf in it:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            t = sign * np.stack([np.asarray(v, dtype=np.float64) for v in pdf["qv"]])
+            along = t @ u.T
+            across = np.sqrt(np.maximum((t * t).sum(axis=1)[:, None] - along ** 2, 0.0))
+            bound = np.maximum(along * ext[:, 0], along * ext[:, 1]) + across * ext[:, 2]
+            thr = pdf["worst"].to_numpy(dtype=np.float64)
+            thr = np.where(np.isnan(thr), -np.inf, thr)
+            # a little below, for rounding and for ties
+            go = bound >= (thr - 1e-6 * np.maximum(1.0, np.abs(np.where(np.isfinite(thr), thr, 0.0))))[:, None]
+            for i, s in enumerate(pdf["seen"]):
+                if s is not None:
+                    go[i] &= ~np.isin(ids, np.asarray(s, dtype=np.int64))
+            at, cell = np.nonzero(go)
+            yield pd.DataFrame({"src": pdf["src"].to_numpy(dtype=np.int64)[at], "cell": ids[cell].astype(np.int32)})
+
+    return q.mapInPandas(run, "src long, cell int")
+
+
+def _probed(probes: DataFrame, queries: DataFrame, rows: DataFrame, n: int, largest: bool, exclude_self: bool,
+            id_col: str, vec_col: str, block_rows: int) -> DataFrame:
+    """Each query's best ``n`` of every sub-block of the cells it visits."""
+    side = SIDE_BLOCKS * block_rows
     # sub-block counts per cell from two K-row aggregates (rows and visiting queries per cell)
     dcount = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("nd"))
     qcount = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     blocks = (dcount.join(qcount, "cell")
-                    .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nd") / block_rows)).cast("int").alias("ds"),
-                            F.greatest(F.lit(1), F.ceil(F.col("nq") / block_rows)).cast("int").alias("qs")))
+                    .select("cell", F.greatest(F.lit(1), F.ceil(F.col("nd") / side)).cast("int").alias("ds"),
+                            F.greatest(F.lit(1), F.ceil(F.col("nq") / side)).cast("int").alias("qs")))
     q = (probes.join(queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv")), "src")
                .join(blocks, "cell")
                .withColumn("qsub", F.pmod(F.xxhash64("src"), F.col("qs")).cast("int"))
@@ -160,9 +223,32 @@ def ivf_neighbors(queries: DataFrame, vectors: DataFrame, cells: DataFrame, cent
              .drop("qs", "ds"))
     # cogroup does not coerce key types: every key is an int on both sides
     keys = ["cell", "qsub", "dsub"]
-    cands = (q.groupBy(*keys).cogroup(d.groupBy(*keys))
-              .applyInPandas(_local_topn(n, largest, exclude_self), OUT_SCHEMA))
-    return _finish(cands, n, largest)
+    local = _local_topn(n, largest, exclude_self)
+
+    def by_block(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([local(qpdf.iloc[i:i + block_rows], dpdf) for i in range(0, max(1, len(qpdf)), block_rows)])
+
+    return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(by_block, OUT_SCHEMA)
+
+
+def ivf_neighbors(queries: DataFrame, vectors: DataFrame, cells: DataFrame, centroids: DataFrame, n: int,
+                  nprobe: int | None = None, largest: bool = True, exclude_self: bool = False,
+                  id_col: str = "triple_id", vec_col: str = "vec", block_rows: int = 2048) -> DataFrame:
+    """Cell-probed top-n.  ``cells`` = (id, cell) for every row of
+    ``vectors``; ``centroids`` = (cell, vec).  Without ``nprobe`` the nearest
+    ``k // 10`` cells (at least 1) give a first top-n, and every other cell
+    that its bound does not rule out is visited too, so the result is that of
+    ``exact_neighbors``; with it, only the nearest ``nprobe`` cells are."""
+    k = centroids.count()
+    first = probe_cells(queries, centroids, nprobe or max(1, k // 10), antipodal=not largest, id_col=id_col, vec_col=vec_col)
+    rows = vectors.select(F.col(id_col).alias("dst"), F.col(vec_col).alias("dv")).join(
+        cells.select(F.col(id_col).alias("dst"), "cell"), "dst")
+    args = (queries, rows, n, largest, exclude_self, id_col, vec_col, block_rows)
+    if nprobe:
+        return _finish(_probed(first, *args), n, largest)
+    found = cut_lineage(_finish(_probed(first, *args), n, largest))
+    left = cut_lineage(cells_left(queries, found, first, rows, centroids, n, not largest, id_col, vec_col))
+    return _finish(found.select("src", "dst", "dot").unionByName(_probed(left, *args)), n, largest)
 
 
 def build_cells(vectors: DataFrame, k: int, max_iter: int = 20, seed: int = 0,

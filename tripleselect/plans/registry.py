@@ -752,12 +752,12 @@ def q_markov_sample_constraint(spark, sf):
 
 @register("antipodal_ivf")
 def q_antipodal_ivf(spark, sf):
-    """Cell-probed antipodal top-n: k-means cells (min 5 rows per cell),
-    nprobe = k // 10 nearest cells to -x."""
+    """Cell-probed antipodal top-n: k-means cells, the k // 10 nearest to -x
+    first, then all that their bound does not rule out."""
     from tripleselect.operators.neighbors import build_cells, ivf_neighbors
     tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
     cents, cells = build_cells(tv, 20, max_iter=10, seed=SEED)
-    out = ivf_neighbors(tv, tv, cells, cents, WALK_N, nprobe=4, largest=False, block_rows=256)
+    out = ivf_neighbors(tv, tv, cells, cents, WALK_N, largest=False, block_rows=256)
     return out.select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dot", 6).alias("dot"))
 
 
