@@ -175,6 +175,22 @@ def test_near_dedup(spark, odd, empty):
     assert near_dedup.near_classes(empty).count() == 0
 
 
+def test_near_dedup_finds_texts_with_a_repeated_passage(spark):
+    """Jaccard 0.83, probability Jaccard 0.5 to 0.6: two kinds of similarity, both are to be found."""
+    rows = []
+    for k in range(20):
+        words = [f"t{k}w{i}" for i in range(104)]
+        passage = [f"t{k}p{i}" for i in range(16)]
+        times = 1 if k % 4 == 3 else (10, 50, 200)[k % 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + passage * times))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    sh = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    for i in range(0, 40, 2):
+        assert len(sh[i] & sh[i + 1]) >= 0.8 * len(sh[i] | sh[i + 1])
+    assert got == {i: i - i % 2 for i in sh}
+
+
 def test_toxicity_and_quality_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 1), (6, 0, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     train = fold(F.col("doc_id"), 5) >= 0

@@ -8,21 +8,24 @@ which for equal weights is the Jaccard of the sets.  Arrivals are generated
 in rounds over whole batches; a shingle stops as soon as its next arrival
 comes after the latest first arrival of its document.
 
+A pair passes when the exact Jaccard or the exact probability Jaccard of its
+shingles reaches the threshold, so a text with repeated shingles has a second
+set of registers, of the same processes with all weights 1: those agree with
+the Jaccard.  Without repeats both sets are the same and one is kept.
+
 Registers are cut into bands; documents with equal bands share a bucket.
 Each member of a bucket is compared with the bucket's hub (the member met in
 the most buckets) and with its neighbours in the orders of two further bands,
-so a group of n copies costs O(n) comparisons per band.  A pair passes when
-the exact Jaccard or the exact probability Jaccard of its shingles reaches the
-threshold.  Classes are the connected components of passed pairs; equal texts
+so a group of n copies costs O(n) comparisons per band.  Classes are the connected components of passed pairs; equal texts
 are one node from the start.  Then every bucket whose members are still in
 several classes is compared whole: the members outside its largest class with
-all members, block by block, by sketch and then by shingles.  So no pair that shares a bucket is lost.  Banding itself is
-probabilistic: see the README for its measured recall.
+all members, block by block, by sketch and then by shingles.  So a pair that shares a bucket is lost only if both its
+sets of registers agree ``SLACK_SE`` standard errors too rarely.  Banding itself is probabilistic: see the README.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -131,10 +134,20 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, tkey, bands, sketch`` for every row: band hashes, and the low
-    byte of each register.  Both null for texts without words."""
+    """``doc_id, tkey, bands, unit, sketch`` for every row: band hashes, those
+    of the registers of weight 1 (null where they are the same), and the low
+    byte of each register (then of each of weight 1, unless ``unit`` is null).
+    All null for texts without words."""
     m = bands * rows
 
+    def band_hashes(won: np.ndarray) -> np.ndarray:
+        h = np.zeros((len(won), bands), np.uint64)
+        cut = won.reshape(len(won), bands, rows)
+        for r in range(rows):
+            with np.errstate(over="ignore"):
+                h = mix((h ^ cut[:, :, r]) + GOLD)
+        return h.view(np.int64)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), SLICE):
@@ -147,19 +160,23 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 won = prob_minhash(d, s, 1.0 + np.log(c), len(texts), m)
                 has = np.zeros(len(texts), bool)
                 has[d] = True
-                h = np.zeros((len(texts), bands), np.uint64)
-                cut = won.reshape(len(texts), bands, rows)
-                for r in range(rows):
-                    with np.errstate(over="ignore"):
-                        h = mix((h ^ cut[:, :, r]) + GOLD)
-                band, low = h.view(np.int64), won.astype(np.uint8)
+                band, low = band_hashes(won), [x.tobytes() for x in won.astype(np.uint8)]
+                unit: list = [None] * len(texts)
+                again = np.unique(d[c > 1])                       # texts with repeated shingles
+                mine = np.isin(d, again)
+                flat = prob_minhash(np.searchsorted(again, d[mine]), s[mine], np.ones(mine.sum()), len(again), m)
+                for x, k, w in zip(again, band_hashes(flat), flat):
+                    if (w != won[x]).any():
+                        unit[x] = k
+                        low[x] += w.astype(np.uint8).tobytes()
                 ok = [k >= 0 and has[k] for k in code]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "tkey": part["tkey"].array,
                                     "bands": [band[k] if o else None for k, o in zip(code, ok)],
-                                    "sketch": [low[k].tobytes() if o else None for k, o in zip(code, ok)]})
+                                    "unit": [unit[k] if o else None for k, o in zip(code, ok)],
+                                    "sketch": [low[k] if o else None for k, o in zip(code, ok)]})
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
-    return src.mapInPandas(run, "doc_id long, tkey string, bands array<bigint>, sketch binary")
+    return src.mapInPandas(run, "doc_id long, tkey string, bands array<bigint>, unit array<bigint>, sketch binary")
 
 
 def _neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -200,18 +217,33 @@ def _neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
     return out.where("side = 0").select("a", "b").unionByName(edge)
 
 
+def registers(sketch: Iterable[bytes], m: int) -> np.ndarray:
+    """Low bytes ``[texts, 2 m]``: registers, then those of weight 1."""
+    return np.frombuffer(b"".join(x if len(x) == 2 * m else x + x for x in sketch), np.uint8).reshape(-1, 2 * m)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The larger share of equal registers of both kinds, per row."""
+    m = a.shape[-1] // 2
+    same = a == b
+    return np.maximum(same[..., :m].mean(axis=-1), same[..., m:].mean(axis=-1))
+
+
 def least_agreement(m: int, threshold: float) -> float:
     """Share of ``m`` registers from which a pair is worth verifying."""
     return max(0.0, threshold - SLACK_SE * (threshold * (1 - threshold) / m) ** 0.5)
 
 
 def bucket_entries(sk: DataFrame, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """``node, bands, sketch`` of every different text, and ``band, h, node,
+    """``node, bands, unit, sketch`` of every different text, and ``band, h, node,
     h1, h2, n`` of every bucket with ``n`` > 1 members."""
     one = sk.where(F.col("bands").isNotNull()).groupBy(F.col("tkey").alias("node")).agg(
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.first(F.struct("bands", "unit", "sketch")).alias("one")).select("node", "one.*")
     one = cut_lineage(one)
-    entry = one.select("node", F.posexplode("bands").alias("band", "h"), "bands")
+    # both kinds of registers share the buckets; a unit band that equals the weighted one is no second entry
+    entry = one.select("node", F.posexplode("bands").alias("band", "h"), "bands").unionByName(
+        one.where(F.col("unit").isNotNull()).select("node", F.posexplode("unit").alias("band", "h"), "unit", "bands")
+           .where(F.col("h") != F.get("bands", F.col("band"))).drop("bands").withColumnRenamed("unit", "bands"))
     entry = entry.select("node", "band", "h", F.get("bands", (F.col("band") + 1) % bands).alias("h1"),
                          F.get("bands", (F.col("band") + 7) % bands).alias("h2"))
     size = entry.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -228,20 +260,17 @@ def candidate_pairs(one: DataFrame, entry: DataFrame, bands: int = BANDS, rows:
     star = entry.join(hubs, ["band", "h"]).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     pairs = (star.unionByName(_neighbours(entry, ["h1", "h2"])).unionByName(_neighbours(entry, ["h2", "h1"]))
                  .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    least = least_agreement(bands * rows, threshold)
+    m = bands * rows
+    least = least_agreement(m, threshold)
 
     @pandas_udf("double")
-    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        a = np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1)
-        b = np.frombuffer(b"".join(y), np.uint8).reshape(len(y), -1)
-        return pd.Series((a == b).mean(axis=1))
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(agreement(registers(x, m), registers(y, m)), dtype=float)
 
     sketch = one.select("node", "sketch")
     both = (pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
                  .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b"))
-    return both.where(agreement("x", "y") >= least).select("a", "b")
+    return both.where(agree("x", "y") >= least).select("a", "b")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -301,7 +330,7 @@ def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: Dat
         keys = part[key].to_numpy(np.int64)
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         side, comp, node = part["side"].to_numpy(), part["comp"].to_numpy(), part["node"].to_numpy(object)
-        regs = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(part), -1)
+        regs = registers(part["sketch"], bands * rows)
         sets = [(np.frombuffer(s, np.uint64), 1.0 + np.log(np.frombuffer(c, np.int32)))
                 for s, c in zip(part["items"], part["counts"])]
         out = set()
@@ -309,7 +338,7 @@ def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: Dat
             rest = lo + np.flatnonzero(side[lo:hi] == 1)
             others = regs[rest]
             for x in lo + np.flatnonzero(side[lo:hi] == 0):
-                for y in rest[(comp[rest] != comp[x]) & ((others == regs[x]).mean(axis=1) >= least)]:
+                for y in rest[(comp[rest] != comp[x]) & (agreement(others, regs[x]) >= least)]:
                     if similarity(sets[x], sets[y]) >= threshold:
                         out.add((node[x], node[y]))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype=object)
