@@ -132,6 +132,39 @@ def test_line_dedup(odd, empty):
     assert line_dedup.document_lines(empty).count() == 0
 
 
+def test_short_lines_join_by_one_edit_for_twelve_characters(spark):
+    rng = random.Random(9)
+    texts = {"The anhely eran.", "The, anhely eran.", "Heti eror anesti.", "Heti, eror anesti."}
+    for n in [*range(9, 28)] * 6:
+        base = "".join(rng.choice("abcd ") for _ in range(n))
+        texts.add(base)
+        for edits in (1, 2, 3):
+            t = list(base)
+            for _ in range(edits):
+                at = rng.randrange(len(t))
+                t[at:at + 1] = rng.choice([[], [rng.choice("abcd")], [t[at], rng.choice("abcd")]])
+            texts.add("".join(t))
+    texts = sorted(texts)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row = row, [i]
+            for j, e in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    want = {(i, j): d for i, x in enumerate(texts) for j, y in enumerate(texts) if i < j and abs(len(x) - len(y)) <= 2
+            and (d := distance(x, y)) <= min(2, max(len(x), len(y)) // 12)}
+    assert any(max(len(texts[i]), len(texts[j])) < 24 for i, j in want)
+    assert any(len(texts[i]) != len(texts[j]) and max(len(texts[i]), len(texts[j])) in (24, 25) for i, j in want)
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "id long, line string, len int")
+    assert {(r.a, r.b): r.distance for r in line_dedup.near_links(df).collect()} == want
+    docs = spark.createDataFrame([(1, "The anhely eran.\nto be"), (2, "The, anhely eran.\nto bee")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in line_dedup.document_lines(docs).collect()}
+    assert got == {(1, 0): (1, True), (1, 1): (0, True), (2, 0): (1, False), (2, 1): (0, True)}
+
+
 def test_prob_minhash_estimates(spark):
     rng = np.random.default_rng(1)
     items = rng.integers(1, 2 ** 62, 60).astype(np.uint64)

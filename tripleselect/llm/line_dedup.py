@@ -1,6 +1,12 @@
 """Near-duplicate lines by a segment-partition edit join, on DataFrame and SQL
 functions only.
 
+Two lines are near copies when one edit for every ``EDIT_CHARS`` characters of
+the longer one, ``TAU`` at most, turns one into the other; so lines of fewer
+than ``EDIT_CHARS`` characters must be equal.  Each number of edits has a join
+of its own, for the longer lines (probes) that it is allowed to, and the lines
+that many edits shorter.
+
 Lines within edit distance ``TAU`` are joined without comparing all pairs: an
 indexed line of length ``l`` is cut into ``TAU + 1`` segments of even length;
 if a probe is within ``TAU`` edits, one segment occurs in it unchanged, no
@@ -17,14 +23,18 @@ per column.  Common prefixes and suffixes are stripped first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleselect.llm.common import connected_components, cut_lineage
 
 TAU = 2
-#: Shorter lines must be equal: two edits change too much of them.
-MIN_CHARS = 24
+#: Characters of the longer line for each edit.
+EDIT_CHARS = 12
+#: Lines from here on may have all edits.
+MIN_CHARS = TAU * EDIT_CHARS
 SPACES = " \t\n\x0b\f\r"
 #: Letters counted (modulo 64) in a line's 60-bit profile.
 LETTERS = "entaiorshl"
@@ -130,10 +140,16 @@ def profiles_agree(a: Column, b: Column, tau: int = TAU) -> Column:
     return sum(gaps[1:], gaps[0]) <= 2 * tau
 
 
+def allowed_edits(longer: Column, tau: int = TAU) -> Column:
+    """Edits within which a line is a near copy of one of ``longer`` characters."""
+    return F.least(F.floor(longer / EDIT_CHARS), F.lit(tau))
+
+
 def index_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``key, id, profile`` for each segment of each line."""
+    """``key, id, profile`` for each segment of each line, cut for ``tau``
+    edits: the lines that are up to ``tau`` shorter than a probe."""
     parts = segments(F.col("len"), tau)
-    return lines.select("id", "profile", F.explode(F.array(*[
+    return lines.where(F.col("len") >= (EDIT_CHARS - 1) * tau).select("id", "profile", F.explode(F.array(*[
         F.xxhash64(F.col("len"), F.lit(i), F.substring(F.col("line"), s + 1, n)) for i, (s, n) in enumerate(parts)])).alias("key"))
 
 
@@ -149,38 +165,52 @@ def probe_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
             hi = min(i, gap + (tau - i))
             for shift in range(lo, hi + 1):
                 at = s + shift
-                keys.append(F.when((length >= MIN_CHARS) & (at >= 0) & (at + n <= F.col("len")),
-                                   F.xxhash64(length, F.lit(i), F.substring(F.col("line"), at + 1, n))))
+                keys.append(F.when((at >= 0) & (at + n <= F.col("len")), F.xxhash64(length, F.lit(i), F.substring(F.col("line"), at + 1, n))))
     return lines.select("id", "profile", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
 def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``) of at
-    least ``MIN_CHARS`` characters within ``tau`` edits, with ``distance``."""
-    long = lines.where(F.col("len") >= MIN_CHARS).withColumn("profile", profile(F.col("line")))
-    idx = index_entries(long, tau).select("key", F.col("id").alias("a"), F.col("profile").alias("pa"))
-    prb = probe_entries(long, tau).select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
-    pairs = cut_lineage(idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
-                                 profiles_agree(F.col("pa"), F.col("pb"), tau))
-                           .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """Pairs ``(a, b)`` of lines of at least ``MIN_CHARS`` characters within
+    ``tau`` edits, with ``distance``."""
+    return near_links(lines.where(F.col("len") >= MIN_CHARS), tau)
+
+
+def near_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``)
+    that are near copies (``allowed_edits``, ``tau`` at most), with ``distance``."""
+    long = lines.where(F.col("len") >= EDIT_CHARS - 1).withColumn("profile", profile(F.col("line")))
+
+    def candidates(t: int) -> DataFrame:
+        shorter = long if t == tau else long.where(F.col("len") < EDIT_CHARS * (t + 1))
+        idx = index_entries(shorter, t).select("key", F.col("id").alias("a"), F.col("profile").alias("pa"))
+        prb = probe_entries(long.where(allowed_edits(F.col("len"), tau) == t), t).select(
+            F.col("key").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
+        met = idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
+                       profiles_agree(F.col("pa"), F.col("pb"), t))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # the longer line of a pair decides its join, so no pair is in two
+    pairs = cut_lineage(reduce(DataFrame.unionByName, [candidates(t) for t in range(1, tau + 1)]))
     need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     text = long.join(need, "id", "left_semi").select("id", "line")
     both = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
                  .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
     both = both.withColumn("lim", F.least(F.length("x"), F.length("y")))
+    both = both.withColumn("most", allowed_edits(F.greatest(F.length("x"), F.length("y")), tau))
     both = both.withColumn("pre", common_prefix(F.col("x"), F.col("y"), F.col("lim")))
     both = both.withColumn("suf", common_suffix(F.col("x"), F.col("y"), F.col("lim") - F.col("pre")))
     mid = [F.substring(F.col(c), F.col("pre") + 1, F.length(c) - F.col("pre") - F.col("suf")) for c in ("x", "y")]
     # each step is checkpointed: a filter would be pushed through, and copy these expressions into one another
-    both = cut_lineage(both.select("a", "b", mid[0].alias("x"), mid[1].alias("y")))
-    return cut_lineage(both.where(F.abs(F.length("x") - F.length("y")) <= tau).select(
-        "a", "b", banded_distance(F.col("x"), F.col("y"), tau).alias("distance"))).where(F.col("distance") <= tau)
+    both = cut_lineage(both.select("a", "b", "most", mid[0].alias("x"), mid[1].alias("y")))
+    return cut_lineage(both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most")).select(
+        "a", "b", "most", banded_distance(F.col("x"), F.col("y"), tau).alias("distance"))).where(
+            F.col("distance") <= F.col("most")).drop("most")
 
 
 def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """Per different line that has a near copy: ``id, class_key, n_links``
-    (other lines within ``tau`` edits)."""
-    links = cut_lineage(edit_links(distinct_lines(line_rows(docs).select("line")), tau))
+    (other lines that are near copies of it)."""
+    links = cut_lineage(near_links(distinct_lines(line_rows(docs).select("line")), tau))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     comps = connected_components(links)
     return (ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")).join(comps, "node")
@@ -192,9 +222,9 @@ def document_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     n_links, kept``.
 
     ``class_key`` names the class of near copies (the least line id in it),
-    ``n_links`` counts the different lines within ``tau`` edits, ``kept`` marks
+    ``n_links`` counts the different lines that are near copies, ``kept`` marks
     the first line of its class by doc_id, then place.  Lines of fewer than
-    ``MIN_CHARS`` characters are only ever equal.  Null and empty texts have
+    ``EDIT_CHARS`` characters are only ever equal.  Null and empty texts have
     no lines; repeated rows give repeated lines, all but one not kept; other
     columns are ignored.
     """
