@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleselect.llm import (decontaminate, kd_shards, language_id, line_dedup, mixing, near_dedup, quality_cotrain,
-                              quality_rules, token_planes, toxicity)
+from tripleselect.llm import (decontaminate, hard_negatives, kd_shards, language_id, line_dedup, mixing, near_dedup,
+                              prefix_trie, quality_cotrain, quality_rules, token_counts, token_planes, toxicity)
 from tripleselect.llm.common import documents, fold, shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -89,9 +89,27 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                       base_failed.alias("base_failed"), (~base_failed & quality_rules.verdict(best)).alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(documents(spark, sf_dir, "conversations"))).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", token_counts.byte_length(F.col("text")).alias("n_bytes"), "text")
+    return (token_counts.with_token_counts(docs, tokenizer_path("word_bpe_49k.json"))
+            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.taking_part(documents(spark, sf_dir, "embeddings"), label=moved)
+    return hard_negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_kd_shards, op2_cotraining_quality, op3_multinomial_mix, op4_greedy_tiling, op5_line_edit_join,
-    op6_weak_toxicity, op7_prob_minhash, op8_kneser_ney_langid, op9_token_planes, op10_rule_ledger)}
+    op6_weak_toxicity, op7_prob_minhash, op8_kneser_ney_langid, op9_token_planes, op10_rule_ledger,
+    op11_prefix_trie, op12_token_counts, op13_hard_negatives)}
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -117,4 +135,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND NOT (word_chars < 2 * n_words OR word_chars > 14 * n_words) AND NOT (10 * bangs > 5 * n_words)
        AND NOT (100 * digits > 40 * word_chars) AS kept
 FROM b""",
+    # every pair of anchor and row is scored
+    "op13_hard_negatives": """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+             list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score
+      FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other))::INTEGER AS rank,
+       s.other AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+     AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other) <= 10""",
+    # nodes as lists of turns; crc32 of the decimal id, bit by bit
+    "op11_prefix_trie": """
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 100 AS base, (xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+             lambda s, b: list_reduce(range(8), lambda t, i: xor(t >> 1, (t & 1) * 3988292384), xor(s, b)),
+             4294967295::BIGINT), 4294967295::BIGINT)) % 6 AS h FROM ids),
+own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS rn
+        FROM conversations WHERE conv_id IS NOT NULL),
+seq AS (SELECT h.c, list({'r': o.role, 't': o.text} ORDER BY o.part, o.rn) FILTER (o.part IS NOT NULL) AS q
+        FROM h LEFT JOIN (SELECT h.c AS k, 1 AS part, rn, role, text FROM h JOIN own ON own.c = h.base AND rn <= h.h
+                          UNION ALL SELECT h.c, 2, rn, role, text FROM h JOIN own ON own.c = h.c AND rn > h.h) o ON o.k = h.c
+        GROUP BY h.c),
+s AS (SELECT c, coalesce(q, []) AS q FROM seq),
+steps AS (SELECT c, unnest(range(0, len(q) + 1)) AS depth, q FROM s),
+pre AS (SELECT c, depth, len(q) AS n, md5(q[1:depth]::VARCHAR) AS node,
+               CASE WHEN depth > 0 THEN md5(q[1:depth - 1]::VARCHAR) END AS parent,
+               CASE WHEN depth > 0 THEN length(q[depth].t) ELSE 0 END AS chars FROM steps),
+node AS (SELECT depth, node, any_value(parent) AS parent, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+                sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+         FROM pre GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (depth, node)),
+below AS (SELECT DISTINCT y.depth, y.node, x.depth AS d2, x.node AS n2
+          FROM pre x JOIN pre y ON x.c = y.c AND y.depth <= x.depth),
+sums AS (SELECT below.depth, below.node, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved
+         FROM below JOIN full_node f ON f.depth = below.d2 AND f.node = below.n2 GROUP BY 1, 2)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       sums.n_leaves, sums.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sums USING (depth, node) LEFT JOIN node p ON p.depth = f.depth - 1 AND p.node = f.parent""",
 }
