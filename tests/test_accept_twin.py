@@ -10,7 +10,7 @@ from tripleselect.sources import fixtures as fx
 
 
 def _key(s: str) -> int:
-    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
 
 
 def twin(X, n, k, t, seed, start=None, max_steps=None, max_draws=100000):

@@ -30,7 +30,7 @@ def test_density_recovers_blobs(spark):
 
 
 def _key(s):
-    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    return int(hashlib.md5(s.encode()).hexdigest()[:15], 16)
 
 
 def test_walk_matches_sequential_twin(spark):

@@ -1,7 +1,8 @@
 """Portable seeded keys.
 
-A draw key is the first 8 hex digits of ``md5('<seed>:<part>:...')`` read as
-an unsigned 32-bit integer.  The same value comes out of any SQL engine with
+A draw key is the first 15 hex digits of ``md5('<seed>:<part>:...')`` read as
+an unsigned 60-bit integer, so a draw ``mod N`` reaches every row of a table of
+any size and is uniform to one part in ``2^60 / N``.  The same value comes out of any SQL engine with
 ``md5`` and hex parsing, so seeded samples have exact SQL oracles, and the
 key depends only on the row's ids — never on partitioning or row order.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-KEY_BITS = 32
+KEY_BITS = 60
 
 
 def _parts(seed, parts) -> Column:
@@ -20,8 +21,8 @@ def _parts(seed, parts) -> Column:
 
 
 def hash_key(seed, *parts) -> Column:
-    """Uniform 32-bit non-negative key from the seed and id columns."""
-    return F.conv(F.substring(F.md5(_parts(seed, parts)), 1, 8), 16, 10).cast("long")
+    """Uniform 60-bit non-negative key from the seed and id columns."""
+    return F.conv(F.substring(F.md5(_parts(seed, parts)), 1, 15), 16, 10).cast("long")
 
 
 def draw_index(seed, step, n) -> Column:
@@ -29,12 +30,7 @@ def draw_index(seed, step, n) -> Column:
     return F.pmod(hash_key(seed, step), F.lit(n).cast("long") if not isinstance(n, Column) else n)
 
 
-def unit_draw(seed, *parts) -> Column:
-    """Uniform double in ``[0, 1)`` from the same key."""
-    return hash_key(seed, *parts) / F.lit(float(2 ** KEY_BITS))
-
-
 def sql_hash_key(seed, *exprs: str) -> str:
     """DuckDB / ANSI text of :func:`hash_key` for oracle queries."""
     inner = " || ':' || ".join([f"'{seed}'"] + [f"CAST({e} AS VARCHAR)" for e in exprs])
-    return f"('0x' || substr(md5({inner}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({inner}), 1, 15))::BIGINT"

@@ -101,11 +101,3 @@ def cosine_margin(col, dim: int) -> Column:
 def mean_vector(a, b) -> Column:
     """Element-wise mean of two vectors."""
     return F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") + y.cast("double")) / 2.0)
-
-
-def negate(a) -> Column:
-    return F.transform(_c(a), lambda x: -x.cast("double"))
-
-
-def to_double(a) -> Column:
-    return F.transform(_c(a), lambda x: x.cast("double"))

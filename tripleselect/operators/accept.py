@@ -90,7 +90,7 @@ def draws(spark: SparkSession, seed, n_rows: int, first: int, last: int) -> Data
 def draw_idx(seed, step: int, n_rows: int) -> int:
     """Driver-side twin of :func:`draws` for a single step."""
     import hashlib
-    h = hashlib.md5(f"{seed}:{step}".encode()).hexdigest()[:8]
+    h = hashlib.md5(f"{seed}:{step}".encode()).hexdigest()[:15]
     return int(h, 16) % n_rows
 
 

@@ -75,7 +75,7 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k, t
 def smallest_n_per_group(df: DataFrame, group_cols: list[str], key_col: str, n, tie_col: str) -> DataFrame:
     """Keep, per group, the ``n`` rows with the smallest ``(key, tie)``.
 
-    ``key_col`` must be a uniform unsigned 32-bit hash key (see
+    ``key_col`` must be a uniform unsigned 60-bit hash key (see
     ``functions.rand``); ``n`` is an int or a column holding the group's
     quota.  Exact, and no task holds more than one key bucket of one group.
     """
