@@ -727,7 +727,43 @@ def q_constraint_choice(spark, sf):
     return choose_constraint(walkers.withColumn("step", F.lit(1).cast("long")), tr, _counts(tr), expanded, SEED)
 
 
-@register("markov_sample")
+def _walk_sql(tables: list[str], walkers: int, k: int, steps: int, columns: str) -> str:
+    """A walk step by step in recursive SQL: chain start, uniform choice;
+    ``steps`` must be enough for ``k`` states (or for all that can be reached)."""
+    return "WITH RECURSIVE " + ",\n".join([*tables, f"""init AS (
+  SELECT 0::BIGINT AS walker, ({K.key(f'{SEED}:start', '0')} % (SELECT count(*) FROM cnt)) AS state
+  UNION ALL SELECT i.walker + 1, tr.dst FROM init i JOIN cnt ON cnt.src = i.state
+  JOIN tr ON tr.src = i.state AND tr.rank = ({K.key(f'{SEED}:init', 'i.walker + 1', '0')} % cnt.c) + 1
+  WHERE i.walker + 1 < {walkers})""", f"""walk AS (
+  SELECT 0::BIGINT AS step, walker, state FROM init
+  UNION ALL SELECT w.step + 1, w.walker, tr.dst FROM walk w JOIN cnt ON cnt.src = w.state
+  JOIN tr ON tr.src = w.state AND tr.rank = ({K.key(SEED, 'w.walker', 'w.step + 1')} % cnt.c) + 1
+  WHERE w.step < {steps})""", """fv AS (SELECT state, min(step * 1000000 + walker) AS v FROM walk WHERE step > 0 GROUP BY state)""",
+        f"""kept AS (SELECT state AS triple_id, v, row_number() OVER (ORDER BY v) AS ordinal FROM fv
+  QUALIFY ordinal <= {k})"""]) + f"""
+SELECT {columns} FROM kept"""
+
+
+def _trans_sql(vectors: str, n: int) -> list[str]:
+    return [f"""p AS MATERIALIZED (SELECT a.triple_id AS src, b.triple_id AS dst, {K.dot('a.vec', 'b.vec')} AS d FROM {vectors} a, {vectors} b)""",
+            f"""tr AS MATERIALIZED (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p) WHERE rank <= {n})""",
+            "cnt AS MATERIALIZED (SELECT src, count(*) AS c FROM tr GROUP BY src)"]
+
+
+_WALK_COLUMNS = """ordinal, triple_id, (SELECT max(v // 1000000) FROM kept) AS steps,
+  (SELECT count(*) FROM kept) >= {k} AS complete"""
+_WEIGHTED = f"""sv AS (SELECT triple_id, list_transform(CAST(vec AS DOUBLE[]), lambda x, i:
+    x * CASE WHEN i <= {DIM} THEN 0.5::DOUBLE WHEN i <= {2 * DIM} THEN 0.3::DOUBLE ELSE {1.0 - 0.5 - 0.3!r}::DOUBLE END) AS s FROM tv),
+wv AS MATERIALIZED (SELECT triple_id, list_transform(s, lambda x: x / {K.norm('s')}) AS vec FROM sv)"""
+
+
+def _walk_rows(samples: DataFrame, run: dict) -> DataFrame:
+    return samples.select(F.col("ordinal").cast("long").alias("ordinal"), "triple_id",
+                          F.lit(run["steps"]).cast("long").alias("steps"), F.lit(run["complete"]).alias("complete"))
+
+
+@register("markov_sample", _walk_sql([*K.FIX, _WEIGHTED, *_trans_sql("wv", WALK_N)], 16, 100, 60,
+                                     "'markov' AS run_id, ordinal::INTEGER AS ordinal, triple_id"))
 def q_markov_sample(spark, sf):
     """16 walkers, chain init, uniform choice, over weighted vectors."""
     from tripleselect.functions.vectors import weight_vectors
@@ -740,6 +776,30 @@ def q_markov_sample(spark, sf):
     return samples
 
 
+@register("markov_lazy", _walk_sql([*K.FIX, *_trans_sql("tv", WALK_N)], 16, 60, 60, _WALK_COLUMNS.format(k=60)))
+def q_markov_lazy(spark, sf):
+    """16 walkers whose states are searched when first stood on; the SQL has
+    every state's transitions beforehand."""
+    from tripleselect.operators.markov import markov_sample
+    from tripleselect.operators.neighbors import antipodal_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+
+    def search(states: DataFrame) -> DataFrame:
+        return antipodal_neighbors(states.withColumnRenamed("state", "triple_id").join(tv, "triple_id"), tv, WALK_N)
+
+    return _walk_rows(*markov_sample(search, 60, walkers=16, seed=SEED, vectors=tv))
+
+
+@register("markov_doubled", _walk_sql([*K.FIX, *_trans_sql("tv", 1)], 16, 10_000, 300, _WALK_COLUMNS.format(k=10_000)))
+def q_markov_doubled(spark, sf):
+    """16 walkers over the single most dissimilar triple of each, until
+    nothing else can be reached; steps are doubled, not taken one by one."""
+    from tripleselect.operators.markov import markov_sample
+    from tripleselect.operators.neighbors import antipodal_neighbors
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return _walk_rows(*markov_sample(antipodal_neighbors(tv, tv, 1), 10_000, walkers=16, seed=SEED))
+
+
 @register("markov_sample_constraint")
 def q_markov_sample_constraint(spark, sf):
     """4 walkers, mean init, constraint choice (fresh states first)."""
