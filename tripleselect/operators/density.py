@@ -1,95 +1,287 @@
-"""Density clustering on the k-NN mutual-reachability graph, level-quantised.
-
-Steps (all Spark jobs, no n² matrix):
-
-1. k-NN of every row (exact blocked search on unit vectors); distance
-   ``sqrt(2 - 2 cos)``.
-2. core distance = distance to the ``min_samples - 1``-th nearest other row.
-3. edge weight = max(core_i, core_j, d_ij) on k-NN edges (mutual reachability).
-4. for each level ε in a grid of edge-weight quantiles: rows with core <= ε
-   joined by edges of weight <= ε form components (min-label propagation
-   with pointer jumping, lineage cut every round); components of at least
-   ``min_cluster_size`` rows are clusters, everything else is noise (-1).
-5. the level with the most clusters (then most clustered rows) is kept;
-   border rows (not core, within ε of a clustered row) join the cluster of
-   their nearest clustered neighbour, as in DBSCAN.
-
-This replaces the exact cluster hierarchy and its excess-of-mass selection
-(inherently sequential) by a grid of density levels.
+"""Density clusters: the hierarchy of the mutual-reachability graph, and the
+clusters of it that live longest.
+
+1. *Folding*: equal vectors become one node with a weight, so copies cost
+   nothing and count as often as they occur.
+2. *Core distances*: how far a node must reach for ``min_samples`` rows, itself
+   included, from its nearest nodes.  Two nodes reach each other at the largest
+   of both core distances and their distance ``sqrt(2 - 2 cos)``.
+3. *Spanning tree* (Boruvka): every round each component takes its shortest
+   edge out.  The lists of nearest nodes are tried first.  What is not listed
+   is at least as far as a list's last entry, so a component whose shortest
+   listed edge is longer than that for some member searches the rows of other
+   components for a shorter one, in blocks, from those members only.  The tree
+   is that of the whole graph, whatever the length of the lists.
+4. *Hierarchy*: components grow along the tree's edges, shortest first.  One
+   of ``min_cluster_size`` rows or more is a cluster; smaller ones that join it
+   are points that fall out at that distance, and two clusters that join end
+   there and found a new one.  A cluster's stability is the sum over its rows
+   of how long (in 1 / distance) they stay; it is selected if that is at least
+   the sum of the best below it.  The whole data set is no cluster.  Edges are
+   taken in bands of ``BAND_EDGES`` (and those as long as the last); within a band every tree is a group of its
+   own, bounded by the band, and what a later band needs of it is one row.
+
+Rows under a selected cluster get its number, all others -1 (noise).
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import with_l2_normalized
+from tripleselect.operators.components import Forest, connected_components
 from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
+BAND_EDGES = 200_000
+#: Shortest distance that is told apart from 0 in 1 / distance.  Without one, a group of copies would be a cluster of
+#: infinite stability that nothing next to it could ever join.
+SHORTEST = 0.01
+EDGE = "comp long, w double, lo long, hi long, other long"
+
+
+def folded(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """``nodes(node, vec, weight)``, one per different unit vector, and
+    ``members(id, node)``; a node is named by its smallest id."""
+    x = with_l2_normalized(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec")
+    x = cut_lineage(x)
+    nodes = cut_lineage(x.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
+    return nodes, x.join(nodes, "vec").select("id", "node")
+
+
+def core_distances(nodes: DataFrame, lists: DataFrame, min_samples: int) -> DataFrame:
+    """``(node, core, reach)``: the core distance, and a distance below which
+    no unlisted node is (infinite when all others are listed).
+    ``lists(src, dst, dist, rank)`` are the nearest other nodes."""
+    total = nodes.count()
+    near = lists.join(nodes.select(F.col("node").alias("dst"), F.col("weight").alias("w")), "dst")
+    near = near.join(nodes.select(F.col("node").alias("src"), F.col("weight").alias("own")), "src")
+    rows = F.col("own") + F.sum("w").over(Window.partitionBy("src").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.select("src", "dist", "rank", rows.alias("rows"))
+    got = near.groupBy("src").agg(F.min(F.when(F.col("rows") >= min_samples, F.col("dist"))).alias("enough"),
+                                  F.max("dist").alias("far"), F.count(F.lit(1)).alias("listed"))
+    core = F.when(F.col("weight") >= min_samples, 0.0).otherwise(F.coalesce("enough", "far", F.lit(0.0)))
+    return nodes.join(got, F.col("node") == F.col("src"), "left").select(
+        "node", core.alias("core"),
+        F.when(F.coalesce("listed", F.lit(0)) >= total - 1, float("inf")).otherwise(F.greatest(core, "far")).alias("reach"))
+
+
+def _shortest_outside(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    """Per component of ``q`` the shortest edge to a row of another component in ``r``."""
+    if not len(q) or not len(r):
+        return pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []})
+    x, y = np.stack(q["vec"].to_numpy()), np.stack(r["vec"].to_numpy())
+    w = np.sqrt(np.maximum(np.round(2 - 2 * (x @ y.T), 12), 0.0))
+    w = np.maximum(np.maximum(w, q["core"].to_numpy()[:, None]), r["core"].to_numpy()[None, :])
+    w[q["comp"].to_numpy()[:, None] == r["comp"].to_numpy()[None, :]] = np.inf
+    a, b = q["node"].to_numpy(), r["node"].to_numpy()
+    best = w.min(axis=1)
+    out = []
+    for i in np.flatnonzero((best <= q["bound"].to_numpy()) & np.isfinite(best)):          # ties by the ends, so that every block agrees
+        j = np.flatnonzero(w[i] == best[i])
+        lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
+        k = np.lexsort((hi, lo))[0]
+        out.append((q["comp"].iat[i], best[i], lo[k], hi[k], r["comp"].iat[int(j[k])]))
+    got = pd.DataFrame(out, columns=["comp", "w", "lo", "hi", "other"])
+    return got.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+
+
+def search_outside(asking: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """``EDGE``: for components with ``asking(node, comp, core, bound, vec)``,
+    the shortest edge up to ``bound`` to ``rows(node, comp, core, vec)`` of
+    other components, one or none per block."""
+    qb = max(1, math.ceil(asking.count() / block_rows))
+    rb = max(1, math.ceil(rows.count() / block_rows))
+    # fresh columns on both sides: they come from one table
+    asking, rows = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asking, rows))
+    q = (asking.withColumn("qb", F.pmod(F.xxhash64("node"), F.lit(qb)).cast("int"))
+               .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
+    r = (rows.withColumn("rb", F.pmod(F.xxhash64("node"), F.lit(rb)).cast("int"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(_shortest_outside, EDGE)
+
+
+def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame, block_rows: int = 2048) -> DataFrame:
+    """``(lo, hi, w)``: the minimum spanning tree over mutual reachability."""
+    spark = nodes.sparkSession
+    rows = cut_lineage(nodes.join(core, "node").select("node", "vec", "core", "reach"))
+    c = core.select("node", "core")
+    listed = (lists.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst")
+                   .select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"),
+                           F.greatest("cs", "cd", "dist").alias("w")).groupBy("lo", "hi").agg(F.min("w").alias("w")))
+    listed = cut_lineage(listed)
+    comp = cut_lineage(rows.select("node", F.col("node").alias("comp")))
+    tree = spark.createDataFrame([], "lo long, hi long, w double")
+    left = comp.count()
+    first = F.struct("w", "lo", "hi", "other")
+    while left > 1:
+        out = (listed.join(comp.toDF("lo", "ca"), "lo").join(comp.toDF("hi", "cb"), "hi").where("ca <> cb"))
+        out = cut_lineage(out)
+        listed = out.select("lo", "hi", "w")
+        ends = out.select(F.col("ca").alias("comp"), "w", "lo", "hi", F.col("cb").alias("other")).unionByName(
+            out.select(F.col("cb").alias("comp"), "w", "lo", "hi", F.col("ca").alias("other")))
+        best = ends.groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*")
+        now = rows.join(comp, "node").join(best.select("comp", F.col("w").alias("bound")), "comp", "left").fillna(
+            float("inf"), ["bound"])
+        asking = cut_lineage(now.where((F.col("reach") <= F.col("bound")) & (F.col("reach") < float("inf"))).select("node", "comp", "core", "bound", "vec"))
+        far = asking.agg(F.max("bound")).first()[0]
+        if far is not None:
+            others = rows.join(comp, "node").where(F.col("core") <= far).select("node", "comp", "core", "vec")
+            best = (best.unionByName(search_outside(asking, others, block_rows))
+                        .groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*"))
+        best = cut_lineage(best)
+        tree = cut_lineage(tree.unionByName(best.select("lo", "hi", "w").distinct()))
+        joined = connected_components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+        comp = cut_lineage(comp.join(joined.toDF("comp", "to"), "comp").select("node", F.col("to").alias("comp")))
+        left = comp.select("comp").distinct().count()
+    return tree
+
+
+def grow(nodes: pd.DataFrame, edges: pd.DataFrame, least: int) -> tuple[dict, np.ndarray]:
+    """Grow components along the ``edges(a, b, w)`` of one tree; edges of one
+    length join all they meet at once.
+
+    ``nodes(comp, size, gain, below, cluster)`` are what is there before:
+    ``gain`` sums 1 / distance over a cluster's rows so far, ``below`` the best
+    stabilities under it.  Returns the same for the whole tree, and per node
+    the selected cluster (its smallest node) that it lies in, or -1.
+    """
+    n = len(nodes)
+    place = {c: i for i, c in enumerate(nodes["comp"].tolist())}
+    size, gain, below = (nodes[c].tolist() for c in ("size", "gain", "below"))
+    cluster, low = nodes["cluster"].tolist(), nodes["comp"].tolist()
+    root = list(range(n))
+    parts: list[list[tuple[int, bool]]] = []                # of components n, n + 1, ...: (part, selected)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    edges = edges.sort_values("w")
+    for w, same in edges.groupby("w", sort=True):
+        met = Forest()
+        for a, b in zip(same["a"].tolist(), same["b"].tolist()):
+            met.unite(find(place[a]), find(place[b]))
+        groups: dict[int, list[int]] = {}
+        for x in sorted(met.up):
+            groups.setdefault(met.find(x), []).append(x)
+        lam = 1.0 / max(w, SHORTEST)
+        for group in groups.values():
+            large = [x for x in group if cluster[x]]
+            total = sum(size[x] for x in group)
+            taken: set[int] = set()
+            if len(large) > 1:
+                best = 0.0
+                for x in large:
+                    stability = gain[x] - size[x] * lam
+                    if stability >= below[x]:
+                        taken.add(x)
+                    best += max(stability, below[x])
+                made = total * lam, best, True
+            elif large:
+                x = large[0]
+                made = gain[x] + (total - size[x]) * lam, below[x], True
+            else:
+                made = (total * lam if total >= least else 0.0), 0.0, total >= least
+            new = len(root)
+            root.append(new)
+            for x in group:
+                root[x] = new
+            for column, value in zip((size, gain, below, cluster, low), (total, *made, min(low[x] for x in group))):
+                column.append(value)
+            parts.append([(x, x in taken) for x in group])
+    label = np.full(n, -1, np.int64)
+    stack = [(len(root) - 1, -1)]
+    while stack:
+        i, name = stack.pop()
+        if i < n:
+            label[i] = name
+        else:
+            stack += [(x, low[x] if name < 0 and chosen else name) for x, chosen in parts[i - n]]
+    end = len(root) - 1
+    return dict(size=size[end], gain=gain[end], below=below[end], cluster=cluster[end]), label
+
+
+def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges: int = BAND_EDGES) -> DataFrame:
+    """``(node, label)``: the selected cluster (smallest node in it) of each
+    node of ``nodes(node, weight, core)``; -1 for noise."""
+    from tripleselect.operators.select import rank_within
+    big = F.col("weight") >= least
+    state = cut_lineage(nodes.select(
+        F.col("node").alias("comp"), F.col("weight").alias("size"),
+        F.when(big, F.col("weight") / F.greatest("core", F.lit(SHORTEST))).otherwise(0.0).alias("gain"),
+        F.lit(0.0).alias("below"), big.alias("cluster")))
+    edges = tree.count()
+    bands = max(1, math.ceil(edges / band_edges))
+    if bands > 1:                                           # edges of one length are in one band
+        length = rank_within(tree, [], ["w", "lo", "hi"]).groupBy("w").agg(F.min("rank").alias("rank"))
+        ranked = tree.join(length, "w").withColumn("band", F.floor((F.col("rank") - 1) / band_edges).cast("int"))
+    else:
+        ranked = tree.withColumn("band", F.lit(0))
+    ranked = cut_lineage(ranked.select("lo", "hi", "w", "band"))
+    at = nodes.select("node", F.col("node").alias("comp"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, way = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        end, label = grow(own, way, least)
+        return pd.DataFrame({"comp": own["comp"].to_numpy(), "tree": pdf["tree"].iat[0], "label": label,
+                             **{k: v for k, v in end.items()}})
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp) with comp = smallest id of the component.  ``edges`` are
-    undirected (src, dst).  Min-label propagation + pointer jumping,
-    until no label changes."""
-    und = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    und = cut_lineage(und.distinct())
-    lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
-    while True:
-        nb = (und.join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst")
-                 .groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m")))
-        new = lab.join(nb, "id", "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        # pointer jumping: adopt the label of the label
-        jump = new.select(F.col("id").alias("comp"), F.col("comp").alias("cc"))
-        new = new.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("cc", "comp")).alias("comp"))
-        new = cut_lineage(new)
-        changed = new.join(lab.select("id", F.col("comp").alias("old")), "id").where(F.col("comp") != F.col("old")).count()
-        lab = new
-        if changed == 0:
-            break
-    return lab
+    steps = []
+    for band in range(bands):
+        e = (ranked.where(F.col("band") == band).join(at.toDF("lo", "a"), "lo").join(at.toDF("hi", "b"), "hi").select("a", "b", "w"))
+        trees = cut_lineage(connected_components(e)).toDF("comp", "tree")
+        own = state.join(trees, "comp").select("tree", F.lit(0).alias("side"), "comp", "size", "gain", "below", "cluster",
+                                               F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"))
+        way = e.join(trees.toDF("a", "tree"), "a").select(
+            "tree", F.lit(1).alias("side"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("size"),
+            F.lit(0.0).alias("gain"), F.lit(0.0).alias("below"), F.lit(False).alias("cluster"), "a", "b", "w")
+        done = cut_lineage(own.unionByName(way).groupBy("tree").applyInPandas(
+            run, "comp long, tree long, label long, size long, gain double, below double, cluster boolean"))
+        steps.append(done.select("comp", "tree", "label"))
+        if band + 1 < bands:
+            rest = state.join(done.select("comp"), "comp", "left_anti")
+            grown = done.groupBy(F.col("tree")).agg(*[F.first(c).alias(c) for c in ("size", "gain", "below", "cluster")])
+            state = cut_lineage(rest.unionByName(grown.withColumnRenamed("tree", "comp")))
+            at = cut_lineage(at.join(done.select("comp", "tree"), "comp", "left").select("node", F.coalesce("tree", "comp").alias("comp")))
+    # from the last band down: a tree inside a selected cluster is all of it
+    above = None
+    for done in reversed(steps):
+        if above is not None:
+            up = above.select(F.col("comp").alias("tree"), F.col("label").alias("top"))
+            done = done.join(up, "tree", "left").select("comp", F.when(F.coalesce("top", F.lit(-1)) >= 0, F.col("top"))
+                                                        .otherwise(F.col("label")).alias("label"))
+            # components that no edge of this band touches are what they are above
+            done = done.unionByName(above.join(done.select("comp"), "comp", "left_anti"))
+        above = cut_lineage(done.select("comp", "label"))
+    return nodes.select("node").join(above.toDF("node", "label"), "node", "left").select(
+        "node", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def cluster_density(vectors: DataFrame, min_cluster_size: int, min_samples: int | None = None,
-                    graph_k: int | None = None, levels: int = 8, id_col: str = "triple_id",
-                    vec_col: str = "vec", block_rows: int = 2048) -> DataFrame:
+                    graph_k: int | None = None, id_col: str = "triple_id", vec_col: str = "vec",
+                    block_rows: int = 2048, band_edges: int = BAND_EDGES) -> DataFrame:
     """(id, cluster_id) with -1 for noise; clusters numbered 0.. by their
-    smallest member id."""
+    smallest member id.  ``graph_k`` is the length of the lists of nearest
+    nodes; it changes the work, not the result."""
     from tripleselect.operators.neighbors import exact_neighbors
+    from tripleselect.operators.select import rank_within
     ensure_checkpoint_dir(vectors.sparkSession)
     ms = min_samples or min_cluster_size
-    k = max(graph_k or 2 * ms, ms)
-    x = with_l2_normalized(vectors.select(id_col, vec_col), vec_col)
-    nn = exact_neighbors(x, x, k, largest=True, exclude_self=True, id_col=id_col, vec_col=vec_col,
-                         block_rows=block_rows)
-    nn = cut_lineage(nn.withColumn("dist", F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("dot")))))
-    core = nn.where(F.col("rank") == max(ms - 1, 1)).select(F.col("src").alias("id"), F.col("dist").alias("core"))
-    e = (nn.join(core.select(F.col("id").alias("src"), F.col("core").alias("cs")), "src")
-           .join(core.select(F.col("id").alias("dst"), F.col("core").alias("cd")), "dst")
-           .select("src", "dst", F.greatest("cs", "cd", "dist").alias("w")))
-    e = cut_lineage(e)
-    qs = [i / levels for i in range(1, levels + 1)]
-    eps_list = sorted(set(e.approxQuantile("w", qs, 0.0)))
-    best = None
-    for eps in eps_list:
-        verts = core.where(F.col("core") <= eps).select("id")
-        comps = connected_components(verts, e.where(F.col("w") <= eps).select("src", "dst"))
-        sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
-        stat = sizes.agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("covered")).first()
-        score = (stat["k"] or 0, stat["covered"] or 0)
-        if best is None or score > best[0]:
-            best = (score, comps.join(sizes.select("comp"), "comp"), eps)
-    if best is None:      # no edge, hence no cluster: every row is noise
-        return vectors.select(id_col, F.lit(-1).cast("int").alias("cluster_id"))
-    labels, eps = best[1], best[2]
-    # border rows: not core at the chosen level but within eps of a clustered
-    # row -> the cluster of the nearest such neighbour
-    border = (nn.where(F.col("dist") <= eps).join(labels.select(F.col("id").alias("src")), "src", "left_anti")
-                .join(labels.select(F.col("id").alias("dst"), F.col("comp").alias("bcomp")), "dst")
-                .groupBy(F.col("src").alias("id")).agg(F.min(F.struct("rank", "bcomp")).alias("b"))
-                .select("id", F.col("b.bcomp").alias("comp")))
-    labels = cut_lineage(labels.select("id", "comp").unionByName(border))
-    numbered = (labels.select("comp").distinct()
-                      .withColumn("cluster_id", F.dense_rank().over(Window.orderBy("comp")) - 1))
-    out = (x.select(F.col(id_col).alias("id")).join(labels, "id", "left").join(numbered, "comp", "left")
-            .select(F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id")))
-    return out
+    nodes, members = folded(vectors, id_col, vec_col)
+    lists = exact_neighbors(nodes, nodes, max(graph_k or 2 * ms, ms), largest=True, exclude_self=True, id_col="node",
+                            vec_col="vec", block_rows=block_rows)
+    lists = cut_lineage(lists.select("src", "dst", "rank", F.sqrt(F.greatest(F.lit(0.0), F.round(2.0 - 2.0 * F.col("dot"), 12))).alias("dist")))
+    core = cut_lineage(core_distances(nodes, lists, ms))
+    tree = spanning_tree(nodes, lists, core, block_rows)
+    labels = cut_lineage(hierarchy_labels(nodes.join(core, "node").select("node", "weight", "core"), tree, min_cluster_size, band_edges))
+    names = labels.where("label >= 0").select("label").distinct()
+    numbered = rank_within(names, [], ["label"], "number").select("label", (F.col("number") - 1).alias("cluster_id"))
+    return (members.join(labels, "node").join(numbered, "label", "left")
+                   .select(F.col("id").alias(id_col), F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id")))

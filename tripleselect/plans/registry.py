@@ -894,7 +894,7 @@ def q_embed_triples(spark, sf):
 
 @register("cluster_density")
 def q_cluster_density(spark, sf):
-    """Level-quantised density clusters of the triple vectors
+    """The longest-lived density clusters of the triple vectors
     (min_cluster_size = budget // nclust); -1 = noise."""
     from tripleselect.operators.density import cluster_density
     tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
