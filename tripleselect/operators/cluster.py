@@ -75,11 +75,17 @@ def mean_centroids(vectors: DataFrame, group_col: str, vec_col: str = "vec", cel
 def spherical_kmeans(vectors: DataFrame, k: int, max_iter: int = 20, seed: int = 0,
                      vec_col: str = "vec") -> DataFrame:
     """(cell, vec) centroids of cosine k-means (MLlib ``KMeans`` with the
-    cosine distance on normalised rows)."""
+    cosine distance on normalised rows).  Zero vectors have no direction and
+    are not fitted on; if there are only such, one zero centroid."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = with_l2_normalized(vectors.select(vec_col), vec_col).select(array_to_vector(vec_col).alias("features"))
+    turned = vectors.where(F.exists(vec_col, lambda x: x != 0))
+    one = turned.select(vec_col).first()
+    if one is None:
+        d = vectors.agg(F.max(F.size(vec_col))).first()[0] or 0
+        return vectors.sparkSession.createDataFrame([(0, [0.0] * d)], "cell int, vec array<double>")
+    data = with_l2_normalized(turned.select(vec_col), vec_col).select(array_to_vector(vec_col).alias("features"))
     model = KMeans(k=k, maxIter=max_iter, seed=seed, distanceMeasure="cosine", featuresCol="features").fit(data)
     spark = vectors.sparkSession
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

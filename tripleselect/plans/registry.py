@@ -746,7 +746,7 @@ SELECT {columns} FROM kept"""
 
 def _trans_sql(vectors: str, n: int) -> list[str]:
     return [f"""p AS MATERIALIZED (SELECT a.triple_id AS src, b.triple_id AS dst, {K.dot('a.vec', 'b.vec')} AS d FROM {vectors} a, {vectors} b)""",
-            f"""tr AS MATERIALIZED (SELECT * FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p) WHERE rank <= {n})""",
+            f"""tr AS MATERIALIZED (SELECT * FROM (SELECT src, dst, d, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS rank FROM p) WHERE rank <= {n})""",
             "cnt AS MATERIALIZED (SELECT src, count(*) AS c FROM tr GROUP BY src)"]
 
 
@@ -810,14 +810,15 @@ def q_markov_sample_constraint(spark, sf):
     return samples
 
 
-@register("antipodal_ivf")
+@register("antipodal_ivf", K.with_(*K.FIX, *_trans_sql("tv", WALK_N))
+          + "SELECT src, dst, rank::INTEGER AS rank, round(d, 6) AS dot FROM tr")
 def q_antipodal_ivf(spark, sf):
-    """Cell-probed antipodal top-n: k-means cells, the k // 10 nearest to -x
-    first, then all that their bound does not rule out."""
-    from tripleselect.operators.neighbors import build_cells, ivf_neighbors
+    """The antipodal top-n of every triple from a stored cell index."""
+    from tripleselect.operators.cellindex import CellIndex
+    from tripleselect.session import shared_path
     tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
-    cents, cells = build_cells(tv, 20, max_iter=10, seed=SEED)
-    out = ivf_neighbors(tv, tv, cells, cents, WALK_N, largest=False, block_rows=256)
+    index = CellIndex.build(tv, 20, shared_path(spark, "cells"), max_iter=10, seed=SEED)
+    out = index.search(tv, WALK_N, largest=False)
     return out.select("src", "dst", F.col("rank").cast("int").alias("rank"), F.round("dot", 6).alias("dot"))
 
 

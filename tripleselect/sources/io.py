@@ -17,6 +17,7 @@ from tripleselect.session import cut_lineage
 
 ID_COLS = ("qid", "pos_id", "neg_id")
 TEXT_COLS = ("query", "psg_pos", "psg_neg")
+CELL_ROWS = "id long, copy int, code binary, step float, err float, vec array<double>, cell int"
 
 
 def triple_schema(kind: str = "ids") -> T.StructType:
@@ -109,13 +110,14 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
 
-def write_cells(cells: DataFrame, vectors: DataFrame, centroids: DataFrame, path: str,
-                id_col: str = "triple_id") -> None:
-    """Neighbour index: vectors partitioned by cell + centroid table."""
-    (vectors.join(cells, id_col).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors"))
-    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+def write_cells(rows: DataFrame, centroids: DataFrame, path: str, files: int = 1) -> None:
+    """Neighbour index: rows partitioned by ``cell`` (each over up to
+    ``files`` files, by hash of ``id``) and the centroid table."""
+    dealt = rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(files)))
+    dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
 
 def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(vectors with cell, centroids); filters on ``cell`` prune partitions."""
-    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centroids")
+    """(rows with cell, centroids); filters on ``cell`` prune partitions."""
+    return spark.read.schema(CELL_ROWS).parquet(f"{path}/rows"), spark.read.parquet(f"{path}/centroids")
