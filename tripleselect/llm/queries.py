@@ -31,10 +31,10 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    rows = quality_cotrain.view_rows(documents(spark, sf_dir))
     held = fold(F.col("doc_id"), 5) == 0
-    model = quality_cotrain.fit(docs, documents(spark, sf_dir, "labels"), ~held)
-    return (docs.select("doc_id", held.alias("held_out"), quality_cotrain.score_column(docs, model).alias("score"))
+    model = quality_cotrain.fit(rows, documents(spark, sf_dir, "labels"), ~held)
+    return (rows.select("doc_id", held.alias("held_out"), quality_cotrain.score_column(rows, model).alias("score"))
                 .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
