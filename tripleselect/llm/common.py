@@ -6,9 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
@@ -52,6 +59,40 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(-1)).cast("int")
 
 
+def least_hash_rows(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+    """The ``docs`` rows of about ``rows`` marked documents, those whose
+    ``doc_id`` has the least hash, with the columns of ``marked(doc_id, ...)``.
+
+    Ids are chosen on the narrow column first, so texts of other documents are
+    never shuffled; the chosen side has at most ``rows`` rows and is broadcast.
+    """
+    chosen = (docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().join(marked, "doc_id")
+                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    return docs.join(F.broadcast(cut_lineage(chosen)), "doc_id")
+
+
+def map_slices(df: DataFrame, fn, schema: str, text: tuple[str, ...], chars: int) -> DataFrame:
+    """``mapInPandas`` over slices of the Arrow batches whose ``text`` columns
+    hold about ``chars`` bytes together (one row at least), so that a batch of
+    long texts is never turned into Python objects as a whole."""
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in text)
+            group = (np.cumsum(size) - size) // chars if b.num_rows else size
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    yield b.slice(lo, hi - lo).to_pandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in fn(slices(batches)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=out_schema, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -27,12 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tripleselect.llm.common import least_hash_rows
+
 #: Labelled training rows that voters are mined from and the classifier is fitted on (least hash first).
 SAMPLE_ROWS = 8000
 FEATURES = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 MINED = 48
 MIN_SUPPORT = 6
+CACHED = 300_000
 WORDS = re.compile(r"\w+")
 #: Given lexicon, one voter per group.
 LEXICON = (
@@ -57,14 +60,14 @@ def words_of(text: str | None) -> set[str]:
 
 
 class Cached(dict):
-    """Value of a word, remembered for at most a million words."""
+    """Value of a word, remembered for at most ``CACHED`` words."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, w):
         v = self.make(w)
-        if len(self) < 1_000_000:
+        if len(self) < CACHED and len(w) <= 40:
             self[w] = v
         return v
 
@@ -77,15 +80,19 @@ class Sample:
     feature: np.ndarray
 
 
-def feature_rows(docs: DataFrame) -> Sample:
-    """``toxic`` and features of each row of a bounded sample.  Features of
-    fewer than three rows can neither vote nor get a weight; they are left out."""
+def feature_rows(docs: DataFrame, rows: int) -> Sample:
+    """``toxic`` and features of ``rows`` rows of a bounded sample at most
+    (repeated ids may bring more).  Features of fewer than three rows can
+    neither vote nor get a weight; they are left out."""
     @pandas_udf("binary")
-    def feats(text: pd.Series) -> pd.Series:
+    def feats(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Cached(word_features)
-        return pd.Series([np.array(sorted({f for w in words_of(t) for f in own[w]}), "<i4").tobytes() for t in text])
+        for text in texts:
+            yield pd.Series([np.array(sorted({f for w in words_of(t) for f in own[w]}), "<i4").tobytes() for t in text],
+                            dtype=object)
 
-    got = docs.select("toxic", feats("text").alias("f")).toPandas()
+    got = (docs.select("toxic", feats("text").alias("f"), F.xxhash64("doc_id").alias("h"), F.md5("text").alias("t"))
+               .orderBy("h", "t").limit(rows).select("toxic", "f").toPandas())
     lens = np.array([len(f) // 4 for f in got["f"]], int)
     flat = np.frombuffer(b"".join(got["f"]), "<i4")
     row = np.repeat(np.arange(len(got), dtype=np.int32), lens)
@@ -271,12 +278,16 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Classifier:
     """Classifier from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``;
     ``train`` says which documents may be learned from.  Without toxic rows to
-    learn from, a classifier that finds nothing toxic."""
+    learn from (or on an empty table), a classifier that finds nothing toxic.
+
+    Of several labels of one id the highest counts; null ids and labels, and
+    labels of absent documents, teach nothing; null texts count as empty; rows
+    repeated in ``docs`` are each counted in the votes.  Ties in the sample are
+    broken by text.  Other columns are never read."""
     rows = docs.where(train).select("doc_id", "text")
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sample = (rows.join(marked, "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_ROWS))
-    sample = feature_rows(sample.select("toxic", "text"))
+    sample = feature_rows(least_hash_rows(rows, marked, SAMPLE_ROWS).select("doc_id", "toxic", "text"), SAMPLE_ROWS)
     if not sample.toxic.any():
         return Classifier(np.empty(0, np.int64), np.empty(0), -6.0)
     voters = all_voters(sample)
@@ -306,9 +317,10 @@ def score_column(docs: DataFrame, model: Classifier) -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = sent.value.scorer()
-        return pd.Series([one(t) for t in text], dtype=float)
+        for text in texts:
+            yield pd.Series([one(t) for t in text], dtype=float)
 
     return score(F.col("text"))
 
