@@ -47,6 +47,52 @@ def test_mixing(spark, odd, empty):
     assert words == sum(r.t for r in by)
 
 
+def test_mixed_rows_keep_their_own_columns(spark, odd, empty):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text, "s", "en", 15, 1, 2, 3, 4), (1, text, "s", "de", 99, 5, 6, 7, 8), (1, text, "t", "fr", 7, 0, 0, 0, 0),
+            (1, text, "t", "fr", 7, 0, 0, 0, 0), (None, text, None, "xx", 3, 9, 9, 9, 9), (2, "b c d e", "s", "en", 7, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, __id long, "
+                                       "__spans long, __key long, __w long")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    known = {(r[0], r[2], r[3], *r[5:]) for r in rows}
+    assert {(r.doc_id, r.source, r.lang, *r[5:]) for r in got} <= known
+    taken = mixing.words_taken(docs).collect()
+    assert sum(len(WORD.findall(r.text)) for r in got) == sum(r.taken for r in taken)
+    by = {}
+    for r in got:
+        by[r.source] = by.get(r.source, 0) + len(WORD.findall(r.text))
+    want = {}
+    for r in mixing.mix(docs)[0].join(mixing.mix(docs)[2], "src").groupBy("source").agg(F.sum("n").alias("n")).collect():
+        want[r.source] = r.n
+    assert by == want and {r.lang for r in got if r.source == "s"} == {"en", "de"}
+    assert mixing.mixed_documents(odd).columns == odd.columns
+    assert all(r.text and WORD.findall(r.text) for r in mixing.mixed_documents(odd).collect())
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+def test_targets_equal_resharing_step_by_step(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        sizes = {f"s{i:02d}": rng.choice([0, 1, 10, 500, 20_000]) for i in range(9)} | {None: 70}
+        names = sorted(k for k in sizes if k) + [None]
+        weight = dict(zip(names, (5, 2, 1) * 4))
+        open_, want, left = set(names), {}, 1.5 * sum(sizes.values())
+        while open_:
+            total = sum(weight[k] for k in open_)
+            over = [k for k in open_ if left * weight[k] / total > 2 * sizes[k]]
+            if not over:
+                want |= {k: left * weight[k] / total for k in open_}
+                break
+            for k in over:
+                want[k] = 2.0 * sizes[k]
+                open_.remove(k)
+            left = 1.5 * sum(sizes.values()) - sum(want.values())
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+        assert {r.source for r in got} == set(names) and all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
 def test_swap_or_not_is_a_permutation(spark):
     for n in (1, 2, 7, 100):
         got = mixing.swap_or_not(spark.range(n).select(F.col("id").alias("x")), "x", F.lit(n), F.lit(3)).collect()
@@ -233,8 +279,10 @@ def test_toxicity_and_quality_on_odd_rows(spark, odd, empty):
     assert toxicity.not_toxic(odd, model).columns == odd.columns
     none = toxicity.fit(empty, labels, train)
     assert toxicity.not_toxic(odd, none).count() == 8
-    q = quality_cotrain.fit(odd, labels, train)
-    assert q is None and odd.select(quality_cotrain.score_column(odd, q).alias("s")).where("s = 0.5").count() == 8
+    rows = quality_cotrain.view_rows(odd)
+    q = quality_cotrain.fit(rows, labels, train)
+    assert q is None and rows.select(quality_cotrain.score_column(rows, q).alias("s")).where("s = 0.5").count() == 8
+    assert quality_cotrain.fit(quality_cotrain.view_rows(empty), labels, train) is None
 
 
 def test_cotraining_learns(spark):
@@ -242,9 +290,27 @@ def test_cotraining_learns(spark):
             for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 200)], "doc_id long, quality int")
-    m = quality_cotrain.fit(docs, labels, F.lit(True))
-    got = docs.select("doc_id", quality_cotrain.score_column(docs, m).alias("s")).collect()
-    assert all((r.s >= 0.5) == (r.doc_id % 4 > 0) for r in got)
+    views = quality_cotrain.view_rows(docs.union(docs.where("doc_id < 3")).withColumn("key", F.lit("clash")))
+    m = quality_cotrain.fit(views, labels.union(labels.where("doc_id = 5")), F.lit(True))
+    got = views.select("doc_id", quality_cotrain.score_column(views, m).alias("s")).collect()
+    assert len(got) == 303 and all((r.s >= 0.5) == (r.doc_id % 4 > 0) for r in got)
+
+
+def test_cotraining_picks_from_all_unlabelled_texts(spark):
+    """The surest texts of each view at both ends, copies once, against a plain sort."""
+    rng = np.random.default_rng(0)
+    rows = [(int(k), sorted(rng.choice(50, 6, replace=False).tolist()), sorted(rng.choice(20, 3, replace=False).tolist()))
+            for k in rng.permutation(500)]
+    pool = spark.createDataFrame(rows, "key long, t array<int>, m array<int>").repartition(7)
+    models = [(np.r_[rng.normal(size=50), np.zeros(10)], 0.1), (rng.normal(size=20), -0.2)]
+    taken, number = {3, 7, 11}, {0: 12, 1: 9}
+    got = quality_cotrain.most_confident(pool, models, taken, number)
+    for v in (0, 1):
+        for y, sign in ((1, 1), (0, -1)):
+            z = {k: sign * (models[v][0][f[v]].sum() + models[v][1]) for k, *f in rows if k not in taken}
+            want = [k for k in sorted(z, key=lambda k: (-z[k], k)) if z[k] >= quality_cotrain.CONFIDENT][:number[y]]
+            mine = got[got["list"] == 2 * v + y].sort_values("rank")["key"].tolist()[:number[y]]
+            assert mine == want
 
 
 def test_language_id(spark, odd, empty):
@@ -274,9 +340,9 @@ def test_token_planes_round_trip(spark, odd, empty):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     extra = odd.select("doc_id", "text").union(spark.createDataFrame(
-        [(50, " two  blanks \n x\t\r\n y"), (51, "<|endoftext|> it's 'tis\n\nnew")], "doc_id long, text string"))
+        [(50, " two  blanks \n x\t\r\n y"), (51, "<|endoftext|> it's 'tis\n\nnew"), (52, "a <|endoftext|> b"),
+         (53, "x<|endoftext|>")], "doc_id long, text string"))
     want = sorted((r.doc_id is not None, r.doc_id or 0, zlib.crc32(np.array(
         tok.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes())) for r in extra.collect())
     for planes in ("byte", "bit"):

@@ -171,24 +171,46 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     and epoch in which words of it are taken.  A document taken whole keeps
     its text; of others the taken stretches remain, in their order, words
     joined by single spaces.  ``n_chars``, if present, is the new length.
+
+    Null and empty texts have no words and never occur; a null id or source is
+    a value like any other; repeated rows, and rows equal in id and text but
+    not in other columns, are each mixed with their own columns; an empty
+    table gives no rows.  Columns may have any names.
     """
     parts, rows, _ = mix(docs, **kw)
     spans = parts.groupBy("src", "off", "epoch").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n"))).alias("__spans"), F.sum("n").alias("__n"))
-    who = (rows.where(F.col("size") > 0)
-               .join(spans.withColumnRenamed("src", "s0").withColumnRenamed("off", "o0"),
-                     (F.col("src") == F.col("s0")) & (F.col("off") == F.col("o0")))
-               .select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__tk"), "__spans",
-                       (F.col("__n") == F.col("size")).alias("__whole")))
-    # equal rows are one text here; each of them has its own stretches in `who`
-    texts = docs.withColumn("__key", text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"])
-    both = texts.join(who, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__tk")))
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    piece = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(
-        "__w", (s["at"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    both = both.withColumn("__w", F.when(~F.col("__whole"), words))
-    new = F.when(F.col("__whole"), F.col("text")).otherwise(piece)
-    both = both.withColumn("__new", new)
-    out = [F.col("__new").alias(c) if c == "text" else
-           F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return both.select(*out)
+        F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"), F.sum("n").alias("taken"))
+    same = Window.partitionBy("doc_id", "tkey")
+    rows = rows.where(F.col("size") > 0).withColumn("copies", F.count(F.lit(1)).over(same)).withColumn(
+        "copy", F.when(F.col("copies") > 1, F.row_number().over(same.orderBy("src", "off"))).otherwise(1))
+    who = cut_lineage(rows.join(spans, ["src", "off"]).select(
+        F.col("doc_id").alias("id"), F.col("tkey").alias("key"), "copy", "copies", "spans", (F.col("taken") == F.col("size")).alias("whole")))
+    # a row's own columns travel as one value, so their names meet no others
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"),
+                       text_key(F.col("text")).alias("key"))
+
+    def met(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        r = right.select(*[F.col(c).alias(f"w_{c}") for c in right.columns])
+        on = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))
+        for c in more:
+            on = on & (F.col(c) == F.col(f"w_{c}"))
+        return left.join(r, on).select("row", F.col("w_spans").alias("spans"), F.col("w_whole").alias("whole"))
+
+    both = met(base, who.where("copies = 1"))
+    repeated = cut_lineage(who.where("copies > 1").select("id", "key").distinct())
+    n = repeated.count()
+    if n:                       # rows of one id and text: the first in the source's order is the first copy, and so on
+        few = F.broadcast(repeated) if n <= 100_000 else repeated
+        few = few.select(F.col("id").alias("i"), F.col("key").alias("k"))
+        own = base.join(few, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi")
+        own = own.withColumn("copy", F.row_number().over(Window.partitionBy("id", "key").orderBy(
+            F.col("row.source").asc_nulls_last(), F.xxhash64("row"))))
+        both = both.unionByName(met(own, who.where("copies > 1"), "copy"))
+    words = F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")
+    both = both.withColumn("words", F.when(~F.col("whole"), words))
+    piece = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(
+        "words", (s["at"] + 1).cast("int"), s["n"].cast("int")))), " ")
+    both = both.withColumn("new", F.when(F.col("whole"), F.col("row.text")).otherwise(piece))
+    return both.select(*[F.col("new").alias(c) if c == "text" else
+                         F.length("new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
+                         F.col("row").getField(c).alias(c) for c in docs.columns])
