@@ -24,11 +24,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.text import clean_text, tokens
 from tripleselect.operators.select import top_k_per_group
+from tripleselect.session import cut_lineage
 
 K1 = 1.2
 B = 0.75
@@ -106,12 +107,13 @@ def bm25_pairs(pairs: DataFrame, stats: Bm25Stats, k1: float = K1, b: float = B,
     toks = pairs.select(*cols, _toks("query").alias("__q"), _toks("passage").alias("__t"))
 
     def times(array: str, t):
-        return F.size(F.filter(array, lambda x: x == t))
+        return F.size(array) - F.size(F.array_remove(array, t))
 
-    shared = F.transform(F.array_intersect("__q", "__t"), lambda t: F.struct(
+    # the passage is read once; what it shares with the query is counted in what is left
+    toks = toks.select(*cols, "__q", F.size("__t").alias("dl"), F.filter("__t", lambda x: F.array_contains("__q", x)).alias("__t"))
+    shared = F.transform(F.array_distinct("__t"), lambda t: F.struct(
         t.alias("term"), times("__q", t).alias("qtf"), times("__t", t).alias("tf")))
-    m = (toks.select(*cols, F.size("__t").alias("dl"), F.explode(shared).alias("__s"))
-             .select(*cols, "dl", "__s.*").join(stats.terms, sc + ["term"]))
+    m = toks.select(*cols, "dl", F.explode(shared).alias("__s")).select(*cols, "dl", "__s.*").join(stats.terms, sc + ["term"])
     m = _with_doc_stats(m, stats)
     w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
          / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
@@ -127,86 +129,73 @@ def bm25_margin(scores: DataFrame, id_col: str = "triple_id") -> DataFrame:
          - F.sum(F.when(F.col("side") == "neg", F.col("score")).otherwise(0.0))).alias("score"))
 
 
-def postings(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             vocab: DataFrame | None = None) -> DataFrame:
-    """(docno, term, tf, dl) of a corpus, optionally only for ``vocab`` terms
-    (semi-joined before the aggregation)."""
-    t = (corpus.select(F.col(id_col).alias("docno"), _toks(text_col).alias("__t"))
-               .select("docno", F.size("__t").alias("dl"), F.explode("__t").alias("term")))
-    if vocab is not None:
-        t = t.join(vocab.select("term").distinct(), "term", "left_semi")
-    return t.groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def postings(corpus: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(docno, term, tf, dl) of a corpus for the ``vocab(term)``, and one row
+    with the empty term per document, which carries its length.  The corpus is
+    tokenised once; tokens are semi-joined before they are aggregated."""
+    t = corpus.select(F.col(id_col).alias("docno"), _toks(text_col).alias("__t")).select(
+        "docno", F.size("__t").alias("dl"), F.explode(F.concat("__t", F.array(F.lit("")))).alias("term"))
+    known = vocab.select("term").union(vocab.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return t.join(known, "term", "left_semi").groupBy("docno", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_retrieve(topics: DataFrame, corpus: DataFrame, k: int, k1: float = K1, b: float = B,
                   idf: str = "robertson", topic_id: str = "qid", topic_text: str = "query",
                   doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """(qid, docno, score, rank): top-``k`` documents per topic by BM25
-    with corpus statistics; ties by docno.  Postings are joined on term
-    with the aggregated topic terms, summed per (qid, docno), then cut with
-    a salted two-phase top-k so a topic matching most of the corpus is
-    never ranked in one task."""
+    with corpus statistics; ties by docno.
+
+    Every term of a topic has a highest score.  A topic's terms of the highest
+    bounds are joined first, and the exact scores of the best documents they
+    find set the topic's threshold.  Terms whose bounds together stay under it
+    cannot lift a document over it by themselves: postings are joined only for
+    the others, documents that cannot reach the threshold are dropped, and
+    only what is left looks up the remaining terms.  Common words, which make
+    nearly all of the matches, are thus hardly ever joined.  The result is
+    exact; the final cut is a salted two-phase top-k.
+    """
     qt = (topics.select(F.col(topic_id).alias("qid"), F.explode(_toks(topic_text)).alias("term"))
                 .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    vocab = qt.select("term").distinct()
-    stats = bm25_stats(corpus, doc_text, vocab=vocab)
-    post = postings(corpus, doc_id, doc_text, vocab=vocab)
-    w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
-         / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
-    scored = (_with_doc_stats(qt.join(stats.terms, "term"), stats)
-                .join(post, "term")
-                .groupBy("qid", "docno").agg(F.sum(w).alias("score")))
+    qt = cut_lineage(qt)
+    post = cut_lineage(postings(corpus, qt.select("term").distinct(), doc_id, doc_text))
+    n_docs, avgdl = post.where("term = ''").agg(F.count(F.lit(1)), F.avg(F.col("dl").cast("double"))).first()
+    if not n_docs:
+        return topics.sparkSession.createDataFrame([], "qid long, docno long, score double, rank int")
+    post = post.where("term <> ''").select("docno", "term", (F.col("tf") * F.lit(k1 + 1) / (
+        F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)))).alias("part"))
+    weight = F.col("qtf") * idf_expr(F.lit(n_docs), F.col("df"), idf)
+    stats = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"), F.min("part").alias("least"))
+    # up: most that a term can add; terms by falling bound, with what all later terms can add
+    terms = qt.join(stats, "term").select("qid", "term", "df", weight.alias("w"), "most", "least")
+    terms = terms.withColumn("up", F.greatest(F.lit(0.0), F.col("w") * F.col("most"), F.col("w") * F.col("least")))
+    by = Window.partitionBy("qid").orderBy(F.desc("up"), "df", "term")
+    terms = cut_lineage(terms.select(
+        "qid", "term", "w", F.coalesce(F.sum("up").over(by.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("after"),
+        F.coalesce(F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")))
+
+    def partial(part: DataFrame) -> DataFrame:
+        return part.join(post, "term").groupBy("qid", "docno").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+
+    def completed(found: DataFrame, rest: DataFrame) -> DataFrame:
+        """Scores with the terms in ``rest`` added, looked up by document."""
+        more = (found.join(rest.select("qid", "term", "w"), "qid").join(post, ["docno", "term"])
+                     .groupBy("qid", "docno").agg(F.sum(F.col("w") * F.col("part")).alias("more")))
+        return found.join(more, ["qid", "docno"], "left").select(
+            "qid", "docno", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+    # the first terms, until their postings may hold a few times k documents
+    seed = F.col("before") < 4 * k
+    first = top_k_per_group(partial(terms.where(seed)), ["qid"], [F.desc("score")], 2 * k, "docno").drop("rank")
+    best = top_k_per_group(completed(first, terms.where(~seed)), ["qid"], [F.desc("score")], k, "docno")
+    bar = best.where(F.col("rank") == k).select("qid", (F.col("score") - 1e-6).alias("bar"))
+    # needed: terms up to the one after which the bounds left stay under the bar
+    by_bar = terms.join(bar, "qid", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    left = F.lag("after").over(Window.partitionBy("qid").orderBy("before", F.desc("after")))
+    by_bar = cut_lineage(by_bar.withColumn("left", F.coalesce(left, F.lit(float("inf")))).withColumn(
+        "needed", F.col("left") >= F.col("bar")))
+    rest_up = by_bar.where("needed").groupBy("qid").agg(F.min("after").alias("rest"), F.first("bar").alias("bar"))
+    found = partial(by_bar.where("needed")).join(rest_up, "qid").where(F.col("score") + F.col("rest") >= F.col("bar"))
+    scored = completed(cut_lineage(found.select("qid", "docno", "score")), by_bar.where("NOT needed"))
     # rank on the score rounded to 9 decimals so that equal documents tie
     # exactly (float sums depend on summation order), then by docno
     return top_k_per_group(scored, ["qid"], [F.round("score", 9).desc()], k, "docno")
-
-
-# --------------------------------------------------------------------------- substring containment
-
-MAX_PATTERNS = 2_000_000
-
-
-def contains_any(docs: DataFrame, doc_id: str, text_col: str, patterns: DataFrame,
-                 pat_id: str, pat_col: str) -> DataFrame:
-    """(doc_id, pat_id) for every document containing a pattern.
-
-    The pattern set is size-checked and broadcast; each task builds one
-    Aho-Corasick automaton and scans its documents in a single pass, so the
-    cost is linear in the text, not documents x patterns."""
-    spark = docs.sparkSession
-    n = patterns.count()
-    if n > MAX_PATTERNS:
-        raise ValueError(f"{n} patterns exceed the broadcast bound {MAX_PATTERNS}")
-    pats = [(r[0], r[1]) for r in patterns.select(pat_id, pat_col).where(F.col(pat_col).isNotNull()).collect()]
-    bc = spark.sparkContext.broadcast(pats)
-    id_type = dict(docs.dtypes)[doc_id]
-    pid_type = dict(patterns.dtypes)[pat_id]
-
-    def scan(it):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        by_pat: dict[str, list] = {}
-        for pid, p in bc.value:
-            if p:
-                by_pat.setdefault(p, []).append(pid)
-        for p, ids in by_pat.items():
-            auto.add_word(p, ids)
-        if by_pat:
-            auto.make_automaton()
-        for pdf in it:
-            out_d, out_p = [], []
-            if by_pat:
-                for did, txt in zip(pdf[doc_id], pdf[text_col]):
-                    if txt is None:
-                        continue
-                    seen = set()
-                    for _, ids in auto.iter(txt):
-                        for pid in ids:
-                            if pid not in seen:
-                                seen.add(pid)
-                                out_d.append(did)
-                                out_p.append(pid)
-            yield pd.DataFrame({doc_id: out_d, pat_id: out_p})
-
-    return docs.select(doc_id, text_col).mapInPandas(scan, f"{doc_id} {id_type}, {pat_id} {pid_type}")

@@ -7,6 +7,8 @@ rows) are aggregated over the K-row size table only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,18 @@ def select_cluster_cosine(vectors: DataFrame, assignments: DataFrame, budget: in
     return _select(scored, assignments, budget, nclust, seed, quota="bonus", center=center)
 
 
-def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, ...], stats, margin: bool) -> DataFrame:
+def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, ...], stats, margin: bool,
+                 scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(triple_id, score, cluster_id).  ``scorer`` takes the place of BM25: it
+    gets (triple_id, side, query, passage, cluster_id) and returns
+    (triple_id, side, score), one row per pair."""
     from tripleselect.operators.bm25 import bm25_margin, bm25_pairs, bm25_stats, query_vocab, to_pairs
     t = triples.join(assignments.select("triple_id", "cluster_id"), "triple_id")
     pairs = to_pairs(t, sides, keep=("cluster_id",))
+    if scorer is not None:
+        scores = scorer(pairs)
+        scores = bm25_margin(scores) if margin else scores.select("triple_id", "score")
+        return scores.join(assignments.select("triple_id", "cluster_id"), "triple_id")
     if isinstance(stats, str) and stats == "cluster":
         # statistics from the scored passages of each cluster, each side a
         # collection of its own
@@ -68,11 +78,12 @@ def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, .
 
 
 def select_cluster_bm25(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int, seed: int = 0,
-                        stats="cluster", rounding: str = "floor") -> DataFrame:
+                        stats="cluster", rounding: str = "floor",
+                        scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Clean text, score each positive passage against its query by BM25,
     keep the lowest-scoring (hardest) triples per cluster under a
     median-bonus quota, draw ``budget``.  (triple_id, cluster_id, rank, score)."""
-    scored = _bm25_scored(triples, assignments, ("pos",), stats, margin=False)
+    scored = _bm25_scored(triples, assignments, ("pos",), stats, False, scorer)
     return _select(scored, assignments, budget, nclust, seed, quota="bonus", center="median", rounding=rounding)
 
 
@@ -90,25 +101,25 @@ def select_cluster_bm25_qpos(triples: DataFrame, vectors: DataFrame, budget: int
 
 
 def select_cluster_bm25_margin(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
-                               seed: int = 0, stats="cluster") -> DataFrame:
+                               seed: int = 0, stats="cluster", scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Score = BM25(positive) - BM25(negative) (joined by id), mean-bonus quota."""
-    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, margin=True)
+    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, True, scorer)
     return _select(scored, assignments, budget, nclust, seed, quota="bonus", center="mean")
 
 
 def select_cluster_bm25_smoothed(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
-                                 seed: int = 0, stats="cluster") -> DataFrame:
+                                 seed: int = 0, stats="cluster", scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """BM25 margin with smoothed quotas ``floor((n_c + a) / (N + K) * budget)``;
     down-sampled only when the quotas over-allocate."""
-    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, margin=True)
+    scored = _bm25_scored(triples, assignments, ("pos", "neg"), stats, True, scorer)
     return _select(scored, assignments, budget, nclust, seed, quota="smoothed")
 
 
 def select_density_bm25_margin(triples: DataFrame, assignments: DataFrame, budget: int, nclust: int,
-                               seed: int = 0, stats="cluster") -> DataFrame:
+                               seed: int = 0, stats="cluster", scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Density clusters (noise = -1 never selected), BM25 margin, flat quota
     ``budget // nclust`` per cluster, draw ``budget``."""
-    scored = _bm25_scored(triples, assignments.where(F.col("cluster_id") >= 0), ("pos", "neg"), stats, margin=True)
+    scored = _bm25_scored(triples, assignments.where(F.col("cluster_id") >= 0), ("pos", "neg"), stats, True, scorer)
     return _select(scored, assignments, budget, nclust, seed, quota="flat")
 
 

@@ -313,7 +313,7 @@ def q_bm25_margin(spark, sf):
     return bm25_margin(_pairs_scores(spark, sf, "corpus")).select("triple_id", F.round("score", 6).alias("score"))
 
 
-_CLUSTER_BY_LABEL = "scored AS (SELECT s.triple_id, ids.label AS cluster_id, s.score FROM {src} s JOIN ids USING (triple_id))"
+_CLUSTER_BY_LABEL = "scored AS (SELECT s.triple_id, tt.label AS cluster_id, s.score FROM {src} s JOIN tt USING (triple_id))"
 
 
 @register("select_cluster_bm25",
@@ -338,10 +338,9 @@ asg AS (SELECT triple_id, CAST(arg_max(cell, struct_pack(s := sim, c := -cell))
 
 @register("select_cluster_bm25_qpos",
           K.with_(*K.FIX, _POS_VIEW_ASSIGN,
-                  K.TEXT.replace("ids.triple_id, ids.label", "ids.triple_id, asg.cluster_id AS label")
-                        .replace("FROM ids\n", "FROM ids JOIN asg USING (triple_id)\n"),
-                  *K.bm25_ctes(("pos",), "cluster"),
-                  "scored AS (SELECT s.triple_id, asg.cluster_id, s.score FROM scores s JOIN asg USING (triple_id))")[:-1]
+                  K.TEXT.replace("ids.label", "asg.cluster_id AS label").replace(
+                      "JOIN ids ON ids.triple_id", "JOIN asg ON asg.triple_id"),
+                  *K.bm25_ctes(("pos",), "cluster"), _CLUSTER_BY_LABEL.format(src="scores"))[:-1]
           + K.select_tail("scored", BUDGET + 5, NCLUST, SEED, "bonus", "median", "ceil"))
 def q_select_cluster_bm25_qpos(spark, sf):
     """Clusters = nearest label centroid in the query+positive view (P3),
@@ -353,7 +352,7 @@ def q_select_cluster_bm25_qpos(spark, sf):
     view = tv.select("triple_id", "label", vector_view("vec", DIM, "pos").alias("vec"))
     asg = assign_clusters(view, mean_centroids(view, "label")).select("triple_id", "cluster_id")
     tt = fx.text_triples(spark, sf).drop("label")
-    out = select_cluster_bm25_qpos(tt, tv, BUDGET + 5, NCLUST, DIM, SEED, stats="cluster", assignments=asg)
+    out = select_cluster_bm25_qpos(tt, tv, BUDGET + 5, NCLUST, DIM, SEED, stats="cluster", assignments=fx.over_texts(asg, tt))
     return out.select("triple_id", "cluster_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -576,9 +575,15 @@ def q_retrieval_report(spark, sf):
     return out.select("system", *[F.round(c, 6).alias(c) for c in ("rr", "ap", "ndcg")])
 
 
-_LEX_QRELS = """lq AS (SELECT b.item_id AS qid, d.doc_id AS docno,
-  CASE WHEN position(b.text IN d.text) > 0 THEN 2 ELSE 1 END AS rel
-  FROM benchmark b JOIN documents d ON position(substr(b.text, 1, 40) IN d.text) > 0)"""
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LEX_QRELS = f"""bw AS (SELECT item_id AS qid, w, least(len(w), 5) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT DISTINCT qid, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM bw)),
+dw AS (SELECT doc_id AS docno, {_WORDS} AS w FROM documents),
+ds AS (SELECT DISTINCT docno, n, array_to_string(w[i:i + n - 1], ' ') AS s
+       FROM (SELECT docno, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM bs))),
+lq AS (SELECT qid, docno, CASE WHEN have = need THEN 2 ELSE 1 END AS rel
+  FROM (SELECT qid, docno, count(*) AS have FROM bs JOIN ds USING (n, s) GROUP BY qid, docno)
+  JOIN (SELECT qid, count(*) AS need FROM bs GROUP BY qid) USING (qid) WHERE 2 * have >= need)"""
 
 
 @register("retrieval_report_bm25", K.with_(K.CORPUS_STATS, f"""qterms AS (SELECT qid, term, count(*) AS qtf
@@ -848,10 +853,9 @@ def q_select_cluster_cosine_kmeans(spark, sf):
 
 # ----------------------------------------------------------------------------- E9 E10 E13
 
-def _export_samples(spark, sf):
+def _export_samples(texts):
     from tripleselect.operators.select import subsets
-    ids = fx.id_triples(spark, sf).select("triple_id")
-    sub = subsets(ids, 10, 2, SEED)
+    sub = subsets(texts.select("triple_id"), 10, 2, SEED)
     w = Window.partitionBy("replica").orderBy("triple_id")
     return sub.select(F.concat(F.lit("selected.s"), F.col("replica").cast("string"), F.lit(".pkl")).alias("run_id"),
                       F.row_number().over(w).cast("long").alias("ordinal"), "triple_id")
@@ -862,16 +866,17 @@ def _tsv(x: str) -> str:
 
 
 @register("export_runs", K.with_(*K.FIX, K.TEXT, f"""rep AS (
-  SELECT r.replica, ids.triple_id, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'ids.triple_id')}, ids.triple_id) AS rn
-  FROM ids, range(0, 2) r(replica))""", """samples AS (SELECT 'selected.s' || CAST(replica AS VARCHAR) || '.pkl' AS run_id,
+  SELECT r.replica, tt.triple_id, row_number() OVER (PARTITION BY r.replica ORDER BY {K.key(SEED, 'r.replica', 'tt.triple_id')}, tt.triple_id) AS rn
+  FROM tt, range(0, 2) r(replica))""", """samples AS (SELECT 'selected.s' || CAST(replica AS VARCHAR) || '.pkl' AS run_id,
   row_number() OVER (PARTITION BY replica ORDER BY triple_id) AS ordinal, triple_id
-  FROM rep WHERE rn <= CAST(trunc((SELECT count(*) FROM ids) * 0.1) AS BIGINT))""")
+  FROM rep WHERE rn <= CAST(trunc((SELECT count(*) FROM tt) * 0.1) AS BIGINT))""")
           + f"""SELECT 'export.' || regexp_replace(run_id, '\\.pkl$', '') AS run, ordinal, triple_id,
   {_tsv('query')}, {_tsv('psg_pos')}, {_tsv('psg_neg')}
 FROM samples JOIN tt USING (triple_id)""")
 def q_export_runs(spark, sf):
     from tripleselect.plans.jobs import export_runs
-    return export_runs(_export_samples(spark, sf), fx.text_triples(spark, sf), prefix="export")
+    tt = fx.text_triples(spark, sf)
+    return export_runs(_export_samples(tt), tt, prefix="export")
 
 
 @register("embed_triples")
@@ -879,10 +884,9 @@ def q_embed_triples(spark, sf):
     """Encode benchmark queries and document passages with the built-in
     hashing encoder and assemble 192-float triple vectors."""
     from tripleselect.operators.assemble import embed_triples
-    ids = fx.id_triples(spark, sf).select("triple_id")
     nd = fx.table(spark, sf, "documents").count()
     nb = fx.table(spark, sf, "benchmark").count()
-    tids = ids.select("triple_id", F.pmod("triple_id", F.lit(nb)).alias("qid"),
+    tids = fx.text_triples(spark, sf).select("triple_id", F.pmod("triple_id", F.lit(nb)).alias("qid"),
                       F.pmod("triple_id", F.lit(nd)).alias("pos_id"),
                       F.pmod(F.col("triple_id") + F.lit(nd // 2), F.lit(nd)).alias("neg_id"))
     queries = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
@@ -910,4 +914,4 @@ def q_select_density_bm25_margin(spark, sf):
     tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
     asg = cluster_density(tv, BUDGET // NCLUST, block_rows=256)
     tt = fx.text_triples(spark, sf).drop("label")
-    return select_density_bm25_margin(tt, asg, BUDGET, NCLUST, SEED, stats="cluster")
+    return select_density_bm25_margin(tt, fx.over_texts(asg, tt), BUDGET, NCLUST, SEED, stats="cluster")

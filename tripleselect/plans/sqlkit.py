@@ -55,14 +55,15 @@ TV = """tv AS (
   JOIN embeddings ep ON ep.vec_id = ids.pos_id
   JOIN embeddings en ON en.vec_id = ids.neg_id)"""
 
-TEXT = """tt AS (
-  SELECT ids.triple_id, ids.label, b.text AS query, dp.text AS psg_pos, dn.text AS psg_neg
-  FROM ids
-  CROSS JOIN (SELECT count(*) AS c FROM documents) nd
-  CROSS JOIN (SELECT count(*) AS c FROM benchmark) nb
-  JOIN benchmark b ON b.item_id = ids.triple_id % nb.c
-  JOIN documents dp ON dp.doc_id = ids.triple_id % nd.c
-  JOIN documents dn ON dn.doc_id = (ids.triple_id + CAST(floor(nd.c / 2) AS BIGINT)) % nd.c)"""
+TEXT = """nt AS (SELECT (SELECT count(*) FROM documents) AS nd, (SELECT count(*) FROM ids) AS ni,
+  (SELECT count(*) FROM benchmark) AS nb),
+tt AS (
+  SELECT t.triple_id, ids.label, b.text AS query, dp.text AS psg_pos, dn.text AS psg_neg
+  FROM (SELECT unnest(range(0, greatest(nd, ni))) AS triple_id, nd, ni, nb FROM nt) t
+  JOIN ids ON ids.triple_id = t.triple_id % t.ni
+  JOIN benchmark b ON b.item_id = t.triple_id % t.nb
+  JOIN documents dp ON dp.doc_id = t.triple_id % t.nd
+  JOIN documents dn ON dn.doc_id = (t.triple_id + CAST(floor(t.nd / 2) AS BIGINT)) % t.nd)"""
 
 REF = f"""ref AS (
   SELECT vec_id AS ref_id FROM embeddings ORDER BY {sql_hash_key(42, 'vec_id')}, vec_id LIMIT 20)"""

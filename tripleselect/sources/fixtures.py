@@ -15,7 +15,7 @@ from tripleselect.operators.select import smallest_n
 from tripleselect.session import cut_lineage
 
 N_LABELS = 10          # fixed value: labels 0-9 in the embeddings table
-PREFIX_CHARS = 40      # fixed value: benchmark prefix used to find passages
+QREL_WORDS = 5         # words of the runs by which passages are found
 REFERENCE_SEED = 42    # fixed value: seed of the given reference set
 REFERENCE_SIZE = 20    # fixed value: size of the given reference set
 
@@ -54,23 +54,34 @@ def triple_vectors(spark: SparkSession, sf_dir: str, ids: DataFrame | None = Non
 
 
 def text_triples(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
-    """(triple_id, label, query, psg_pos, psg_neg): the query is a benchmark
-    item, the passages two documents half a corpus apart."""
+    """(triple_id, label, query, psg_pos, psg_neg): as many as there are
+    documents or id triples, whichever are more, so that every one of both
+    occurs; the query is a benchmark item, the passages two documents half a
+    corpus apart."""
     ids = ids if ids is not None else id_triples(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    nd = docs.count()
-    nb = bench.count()
-    t = (ids.select("triple_id", "label")
-            .withColumn("b_id", F.pmod("triple_id", F.lit(nb)))
-            .withColumn("p_id", F.pmod("triple_id", F.lit(nd)))
-            .withColumn("n_id", F.pmod(F.col("triple_id") + F.lit(nd // 2), F.lit(nd))))
-    return cut_lineage(t.join(bench.select(F.col("item_id").alias("b_id"), F.col("text").alias("query")), "b_id")
+    nd, ni, nb = docs.count(), ids.count(), bench.count()
+    if not (nd and ni and nb):
+        return spark.createDataFrame([], "triple_id long, label int, query string, psg_pos string, psg_neg string")
+    t = spark.range(max(nd, ni)).select(
+        F.col("id").alias("triple_id"), F.pmod("id", F.lit(ni)).alias("v_id"), F.pmod("id", F.lit(nb)).alias("b_id"),
+        F.pmod("id", F.lit(nd)).alias("p_id"), F.pmod(F.col("id") + F.lit(nd // 2), F.lit(nd)).alias("n_id"))
+    return cut_lineage(t.join(ids.select(F.col("triple_id").alias("v_id"), "label"), "v_id")
+                        .join(bench.select(F.col("item_id").alias("b_id"), F.col("text").alias("query")), "b_id")
                         .join(docs.select(F.col("doc_id").alias("p_id"), F.col("text").alias("psg_pos")), "p_id")
                         .join(docs.select(F.col("doc_id").alias("n_id"), F.col("text").alias("psg_neg")), "n_id")
                         .select("triple_id", "label", "query", "psg_pos", "psg_neg"))
 
 
+def over_texts(assignments: DataFrame, texts: DataFrame) -> DataFrame:
+    """(triple_id, cluster_id) of text triples, each with the cluster of the
+    vector triple that it was made with (``assignments``: dense ids)."""
+    n = assignments.count()
+    a = assignments.select(F.col("triple_id").alias("v_id"), "cluster_id")
+    return texts.select("triple_id", F.pmod("triple_id", F.lit(n)).alias("v_id")).join(a, "v_id").select("triple_id", "cluster_id")
+
+
 def reference_ids(spark: SparkSession, sf_dir: str, seed: int = REFERENCE_SEED,
                   size: int = REFERENCE_SIZE) -> DataFrame:
     """(ref_id): the ``size`` vectors with the smallest seeded key."""
@@ -78,20 +89,38 @@ def reference_ids(spark: SparkSession, sf_dir: str, seed: int = REFERENCE_SEED,
     return smallest_n(e.withColumn("k", hash_key(seed, "ref_id")), size, "k", "ref_id").select("ref_id")
 
 
+def word_list(text: str):
+    """The words of a text (runs of anything but spaces and the controls 9-13)."""
+    return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+
+
+def shingles(df: DataFrame, words: str, size) -> DataFrame:
+    """``df`` with one row per run of ``size`` words of the ``words`` column, as ``shingle``."""
+    n = size if not isinstance(size, int) else F.lit(size)
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
+    return df.withColumn("at", F.explode(starts)).withColumn("shingle", F.array_join(F.slice(words, F.col("at"), n), " ")).drop("at")
+
+
 def lexical_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, docno, rel): a document is relevant to a benchmark item when it
-    contains the item's first 40 characters; grade 2 when it contains the
-    whole item.  Containment is an Aho-Corasick scan of each document against
-    the (size-checked, broadcast) set of prefixes, so documents are read once
-    and never paired with every item."""
-    from tripleselect.operators.bm25 import contains_any
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), "text")
-    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("btext"))
-    pats = bench.select("qid", F.substring("btext", 1, PREFIX_CHARS).alias("pattern"))
-    hits = contains_any(docs, "docno", "text", pats, "qid", "pattern")
-    full = hits.join(bench, "qid").join(docs, "docno")
-    return full.select("qid", "docno",
-                       F.when(F.instr(F.col("text"), F.col("btext")) > 0, 2).otherwise(1).alias("rel"))
+    holds at least half of the item's different five-word runs, grade 2 when it
+    holds all.  An item of fewer words is one run of all its words.  Items and
+    documents meet by an equi-join on the runs, over whole texts of both."""
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), word_list("text").alias("w"))
+    bench = bench.where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(QREL_WORDS)))
+    runs = cut_lineage(shingles(bench, "w", F.col("size")).select("qid", "size", "shingle").distinct())
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docno"), word_list("text").alias("w"))
+    found = None
+    for size in sorted(r["size"] for r in runs.select("size").distinct().collect()):          # five sizes at most
+        part = shingles(docs, "w", size).select("docno", "shingle")
+        hit = part.join(runs.where(F.col("size") == size), "shingle").select("qid", "docno", "shingle").distinct()
+        found = hit if found is None else found.unionByName(hit)
+    if found is None:
+        return spark.createDataFrame([], "qid long, docno long, rel int")
+    need = runs.groupBy("qid").agg(F.count(F.lit(1)).alias("need"))
+    have = found.groupBy("qid", "docno").agg(F.count(F.lit(1)).alias("have"))
+    return have.join(need, "qid").where(2 * F.col("have") >= F.col("need")).select(
+        "qid", "docno", F.when(F.col("have") == F.col("need"), 2).otherwise(1).alias("rel"))
 
 
 def graded_qrels(spark: SparkSession, sf_dir: str, depth: int = 3) -> DataFrame:
