@@ -34,15 +34,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tripleselect.llm.common import connected_components, cut_lineage, text_key
+from tripleselect.llm.common import connected_components, cut_lineage, map_slices, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 6
 #: Standard errors below the threshold down to which a pair's agreement of registers is still verified.
 SLACK_SE = 4.0
-#: Documents sketched together.
-SLICE = 1000
+#: Bytes of texts whose shingles are held at once (one text at least), and words remembered with their hash.
+SLICE_CHARS, CACHED_WORDS = 1 << 20, 200_000
 #: Expected members of a block of a bucket that is compared whole.
 BLOCK = 128
 GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -59,7 +59,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     def __missing__(self, w: str) -> int:
         h = xxhash.xxh64_intdigest(w)
-        if len(self) < 2_000_000:
+        if len(w) <= 40:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
             self[w] = h
         return h
 
@@ -149,34 +151,33 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         return h.view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), SLICE):
-                part = pdf.iloc[i:i + SLICE]
-                code, uniq = pd.factorize(part["tkey"])           # copies in a batch are sketched once
-                first = np.full(len(uniq), -1)
-                first[code[::-1]] = np.arange(len(part))[::-1]
-                texts = part["text"].to_numpy()[first[first >= 0]] if len(uniq) else []
-                d, s, c = shingles(list(texts))
-                won = prob_minhash(d, s, 1.0 + np.log(c), len(texts), m)
-                has = np.zeros(len(texts), bool)
-                has[d] = True
-                band, low = band_hashes(won), [x.tobytes() for x in won.astype(np.uint8)]
-                unit: list = [None] * len(texts)
-                again = np.unique(d[c > 1])                       # texts with repeated shingles
-                mine = np.isin(d, again)
-                flat = prob_minhash(np.searchsorted(again, d[mine]), s[mine], np.ones(mine.sum()), len(again), m)
-                for x, k, w in zip(again, band_hashes(flat), flat):
-                    if (w != won[x]).any():
-                        unit[x] = k
-                        low[x] += w.astype(np.uint8).tobytes()
-                ok = [k >= 0 and has[k] for k in code]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "tkey": part["tkey"].array,
-                                    "bands": [band[k] if o else None for k, o in zip(code, ok)],
-                                    "unit": [unit[k] if o else None for k, o in zip(code, ok)],
-                                    "sketch": [low[k] if o else None for k, o in zip(code, ok)]})
+        for part in batches:
+            code, uniq = pd.factorize(part["tkey"])               # copies in a slice are sketched once
+            first = np.full(len(uniq), -1)
+            first[code[::-1]] = np.arange(len(part))[::-1]
+            texts = part["text"].to_numpy()[first[first >= 0]] if len(uniq) else []
+            d, s, c = shingles(list(texts))
+            won = prob_minhash(d, s, 1.0 + np.log(c), len(texts), m)
+            has = np.zeros(len(texts), bool)
+            has[d] = True
+            band, low = band_hashes(won), [x.tobytes() for x in won.astype(np.uint8)]
+            unit: list = [None] * len(texts)
+            again = np.unique(d[c > 1])                           # texts with repeated shingles
+            mine = np.isin(d, again)
+            flat = prob_minhash(np.searchsorted(again, d[mine]), s[mine], np.ones(mine.sum()), len(again), m)
+            for x, k, w in zip(again, band_hashes(flat), flat):
+                if (w != won[x]).any():
+                    unit[x] = k
+                    low[x] += w.astype(np.uint8).tobytes()
+            ok = [k >= 0 and has[k] for k in code]
+            yield pd.DataFrame({"doc_id": pd.array(part["doc_id"], dtype="Int64"), "tkey": part["tkey"],
+                                "bands": [band[k] if o else None for k, o in zip(code, ok)],
+                                "unit": [unit[k] if o else None for k, o in zip(code, ok)],
+                                "sketch": [low[k] if o else None for k, o in zip(code, ok)]})
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tkey"), "text")
-    return src.mapInPandas(run, "doc_id long, tkey string, bands array<bigint>, unit array<bigint>, sketch binary")
+    return map_slices(src, run, "doc_id long, tkey string, bands array<bigint>, unit array<bigint>, sketch binary", ("text",),
+                      SLICE_CHARS)
 
 
 def _neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -280,17 +281,15 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                  .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), SLICE):
-                part = pdf.iloc[i:i + SLICE]
-                d, s, c = shingles(list(part["text"]))
-                order = np.lexsort((s, d))
-                s, c = s[order], c[order].astype(np.int32)
-                cut = np.searchsorted(d[order], np.arange(len(part) + 1))
-                yield pd.DataFrame({"node": part["node"].array, "items": [s[x:y].tobytes() for x, y in zip(cut, cut[1:])],
-                                    "counts": [c[x:y].tobytes() for x, y in zip(cut, cut[1:])]})
+        for part in batches:
+            d, s, c = shingles(list(part["text"]))
+            order = np.lexsort((s, d))
+            s, c = s[order], c[order].astype(np.int32)
+            cut = np.searchsorted(d[order], np.arange(len(part) + 1))
+            yield pd.DataFrame({"node": part["node"], "items": [s[x:y].tobytes() for x, y in zip(cut, cut[1:])],
+                                "counts": [c[x:y].tobytes() for x, y in zip(cut, cut[1:])]})
 
-    return texts.mapInPandas(run, "node string, items binary, counts binary")
+    return map_slices(texts, run, "node string, items binary, counts binary", ("text",), SLICE_CHARS)
 
 
 def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: DataFrame, bands: int = BANDS,
@@ -375,19 +374,17 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHO
             cut = np.searchsorted(d, np.arange(len(texts) + 1))
             return [(s[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:])]
 
-        for pdf in batches:
-            for i in range(0, len(pdf), SLICE):
-                part = pdf.iloc[i:i + SLICE]
-                code, uniq = pd.factorize(pd.concat([part["ta"], part["tb"]], ignore_index=True))
-                own = sets(uniq)
-                n = len(part)
-                sim = np.array([similarity(own[x], own[y]) for x, y in zip(code[:n], code[n:])])
-                ok = sim >= threshold
-                yield pd.DataFrame({"a": part["a"].to_numpy()[ok], "b": part["b"].to_numpy()[ok], "similarity": sim[ok]})
+        for part in batches:
+            code, uniq = pd.factorize(pd.concat([part["ta"], part["tb"]], ignore_index=True))
+            own = sets(uniq)
+            n = len(part)
+            sim = np.array([similarity(own[x], own[y]) for x, y in zip(code[:n], code[n:])])
+            ok = sim >= threshold
+            yield pd.DataFrame({"a": part["a"].to_numpy()[ok], "b": part["b"].to_numpy()[ok], "similarity": sim[ok]})
 
     both = (pairs.join(texts.select(F.col("tkey").alias("a"), F.col("text").alias("ta")), "a")
                  .join(texts.select(F.col("tkey").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a string, b string, similarity double")
+    return map_slices(both.select("a", "b", "ta", "tb"), run, "a string, b string, similarity double", ("ta", "tb"), SLICE_CHARS)
 
 
 def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
