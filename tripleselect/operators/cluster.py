@@ -109,3 +109,98 @@ def sweep_clusters(vectors: DataFrame, ks: list[int], max_iter: int = 20, seed:
         a = cluster_kmeans(vectors, k, max_iter, seed, id_col, vec_col).withColumn("nclust", F.lit(k))
         out = a if out is None else out.unionByName(a)
     return out.select("nclust", id_col, "cluster_id")
+
+
+# ------------------------------------------------------------------ several cluster counts at once
+
+def start_centroids(vectors: DataFrame, ks: list[int], seed: int = 0, id_col: str = "triple_id", vec_col: str = "vec") -> DataFrame:
+    """(nclust, cell, vec): for every count ``k`` the unit vectors of the
+    ``k`` rows of the least seeded key (all rows, if fewer), cells in that
+    order.  Zero vectors have no direction and start no cell."""
+    from tripleselect.functions.rand import hash_key
+    from tripleselect.operators.select import rank_within, smallest_n
+    turned = vectors.where(F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    out = None
+    for k in sorted(set(ks)):
+        keyed = turned.withColumn("key", hash_key(f"{seed}:{k}", "id"))
+        picked = rank_within(smallest_n(keyed, k, "key", "id"), [], ["key", "id"], "cell")
+        picked = picked.select(F.lit(k).alias("nclust"), (F.col("cell") - 1).alias("cell"), "vec")
+        out = picked if out is None else out.unionByName(picked)
+    return with_l2_normalized(out, "vec")
+
+
+class Centroids:
+    """The centroids of several counts, size-checked: cell ids and a matrix per count."""
+
+    def __init__(self, centroids: DataFrame):
+        n, d = centroids.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        if n * (d or 0) > MAX_BROADCAST_FLOATS:
+            raise ValueError(f"{n} centroids x {d} dims exceed the broadcast bound; use fewer cells")
+        pdf = centroids.select("nclust", "cell", "vec").orderBy("nclust", "cell").toPandas()
+        self.of = {int(k): (g["cell"].to_numpy(np.int64), np.stack(g["vec"].to_numpy()).astype(np.float64))
+                   for k, g in pdf.groupby("nclust")}
+
+    def nearest(self, x: np.ndarray) -> dict[int, np.ndarray]:
+        """Row positions of the cells of largest cosine, ties to the smallest cell, per count."""
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+        return {k: np.argmax(np.round(x @ m.T, 12), axis=1) for k, (_, m) in self.of.items()}
+
+
+def lloyd(vectors: DataFrame, starts: DataFrame, rounds: int, vec_col: str = "vec") -> DataFrame:
+    """(nclust, cell, vec): spherical k-means of several counts after
+    ``rounds`` rounds from the ``starts``.
+
+    One scan a round serves all counts: every task adds up its rows' unit
+    vectors per count and cell, and only these sums are shuffled.  A cell
+    without rows keeps its centroid; zero vectors move none."""
+    spark = vectors.sparkSession
+    now = Centroids(starts)
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(now)
+
+        def run(batches):
+            c = sent.value
+            sums = {k: np.zeros_like(m) for k, (_, m) in c.of.items()}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+                for k, at in c.nearest(x).items():
+                    np.add.at(sums[k], at, x)
+            for k, (cells, _) in c.of.items():
+                yield pd.DataFrame({"nclust": np.int32(k), "cell": cells.astype(np.int32), "vec": list(sums[k])})
+
+        part = vectors.select(F.col(vec_col).alias("vec")).mapInPandas(run, "nclust int, cell int, vec array<double>")
+        total = part.select("nclust", "cell", F.posexplode("vec").alias("pos", "x")).groupBy("nclust", "cell", "pos").agg(
+            F.sum("x").alias("x"))
+        got = total.groupBy("nclust", "cell").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("px")).select(
+            "nclust", "cell", F.transform("px", lambda s: s["x"]).alias("vec")).toPandas()     # as many rows as centroids
+        for k, g in got.groupby("nclust"):
+            cells, m = now.of[int(k)]
+            at = np.searchsorted(cells, g["cell"].to_numpy(np.int64))
+            v = np.stack(g["vec"].to_numpy())
+            size = np.linalg.norm(v, axis=1, keepdims=True)
+            m = m.copy()
+            m[at] = np.where(size > 1e-12, v / np.where(size > 1e-12, size, 1.0), m[at])
+            now.of[int(k)] = (cells, m)
+    rows = [(k, int(c), [float(x) for x in v]) for k, (cells, m) in now.of.items() for c, v in zip(cells, m)]
+    return spark.createDataFrame(rows, "nclust int, cell int, vec array<double>")
+
+
+def assign_sweep(vectors: DataFrame, centroids: DataFrame, id_col: str = "triple_id", vec_col: str = "vec") -> DataFrame:
+    """(nclust, id, cluster_id): every row's cell for every count, in one scan."""
+    sent = vectors.sparkSession.sparkContext.broadcast(Centroids(centroids))
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = pdf["id"].to_numpy()
+            for k, at in sent.value.nearest(np.stack(pdf["vec"].to_numpy()).astype(np.float64)).items():
+                yield pd.DataFrame({"nclust": np.int32(k), id_col: ids, "cluster_id": sent.value.of[k][0][at].astype(np.int32)})
+
+    return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).mapInPandas(
+        run, f"nclust int, {id_col} long, cluster_id int")

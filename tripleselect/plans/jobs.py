@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tripleselect.functions.rand import hash_key
 from tripleselect.functions.vectors import cosine_margin
 from tripleselect.operators.select import (bonus_quota, cluster_sizes, flat_quota, per_cluster,
-                                           sample_exact, smoothed_quota, top_k_per_group)
+                                           sample_exact, smallest_n_per_group, smoothed_quota, top_k_per_group)
 
 
 def _select(scored: DataFrame, assignments: DataFrame, budget: int, nclust: int, seed: int,
@@ -51,6 +52,25 @@ def select_cluster_cosine(vectors: DataFrame, assignments: DataFrame, budget: in
     return _select(scored, assignments, budget, nclust, seed, quota="bonus", center=center)
 
 
+def select_cluster_cosine_multi(vectors: DataFrame, assignments: DataFrame, budget: int, dim: int, seed: int = 0) -> DataFrame:
+    """The cosine-margin selection for several cluster counts in one plan
+    (E5): ``assignments(nclust, triple_id, cluster_id)``.  Scores are computed
+    once; ranks, median-bonus quotas and exact samples are keyed by count.
+    (nclust, triple_id, cluster_id, rank, score)."""
+    score = vectors.select("triple_id", cosine_margin("vec", dim).alias("score"))
+    scored = score.join(assignments.where(F.col("cluster_id") >= 0), "triple_id")
+    sizes = scored.groupBy("nclust", "cluster_id").agg(F.count(F.lit(1)).alias("size"))
+    scale = sizes.groupBy("nclust").agg(F.median("size").cast("double").alias("scale"))
+    q = F.floor(F.lit(budget) / F.col("nclust"))
+    bonus = F.when((F.col("size") > F.col("scale")) & (q > 0), F.floor(F.col("scale") / q)).otherwise(0)
+    quotas = sizes.join(scale, "nclust").select("nclust", "cluster_id", (q + bonus).cast("int").alias("quota"))
+    picked = top_k_per_group(scored.join(quotas, ["nclust", "cluster_id"]), ["nclust", "cluster_id"], [F.round("score", 9)],
+                             "quota", "triple_id").drop("quota")
+    keyed = picked.withColumn("__key", hash_key(seed, "triple_id"))
+    return smallest_n_per_group(keyed, ["nclust"], "__key", budget, "triple_id").select(
+        "nclust", "triple_id", "cluster_id", "rank", "score")
+
+
 def _bm25_scored(triples: DataFrame, assignments: DataFrame, sides: tuple[str, ...], stats, margin: bool,
                  scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(triple_id, score, cluster_id).  ``scorer`` takes the place of BM25: it

@@ -851,6 +851,61 @@ def q_select_cluster_cosine_kmeans(spark, sf):
     return select_cluster_cosine(tv, asg, BUDGET, NCLUST, DIM, SEED)
 
 
+LLOYD_KS, LLOYD_ROUNDS = (5, 10), 3
+
+
+def _lloyd_sql(ks: tuple[int, ...], rounds: int) -> list[str]:
+    """Spherical k-means of several counts, one CTE for every half round."""
+    unit = "list_transform({v}, lambda x: x / greatest(sqrt(list_reduce(list_transform({v}, lambda y: y * y), lambda a, b: a + b, 0.0::DOUBLE)), 1e-300))"
+    out = [f"xn AS MATERIALIZED (SELECT triple_id, {unit.format(v='v')} AS v FROM (SELECT triple_id, CAST(vec AS DOUBLE[]) AS v FROM tv))",
+           "c0 AS MATERIALIZED (" + " UNION ALL ".join(
+               f"SELECT {k} AS nclust, i AS cell, v FROM (SELECT v, row_number() OVER (ORDER BY {K.key(f'{SEED}:{k}', 'triple_id')}, triple_id) - 1 AS i FROM xn) WHERE i < {k}"
+               for k in ks) + ")"]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT x.triple_id, c.nclust,
+  arg_max(c.cell, struct_pack(s := round(list_dot_product(x.v, c.v), 12), c := -c.cell)) AS cell
+  FROM xn x, c{r} c GROUP BY x.triple_id, c.nclust)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (SELECT nclust, cell, list(s ORDER BY pos) AS v FROM (
+  SELECT nclust, cell, pos, sum(e) AS s FROM (SELECT a.nclust, a.cell, unnest(x.v) AS e, generate_subscripts(x.v, 1) AS pos
+    FROM a{r} a JOIN xn x USING (triple_id)) GROUP BY nclust, cell, pos) GROUP BY nclust, cell),
+c{r + 1} AS MATERIALIZED (SELECT c.nclust, c.cell, CASE WHEN m.v IS NULL THEN c.v ELSE {unit.format(v='m.v')} END AS v
+  FROM c{r} c LEFT JOIN m{r} m USING (nclust, cell))""")
+    return out
+
+
+_SWEEP_SQL = [*K.FIX, *_lloyd_sql(LLOYD_KS, LLOYD_ROUNDS)]
+
+
+def _sweep(spark, sf):
+    from tripleselect.operators.cluster import assign_sweep, lloyd, start_centroids
+    tv = fx.triple_vectors(spark, sf).select("triple_id", "vec")
+    return tv, assign_sweep(tv, lloyd(tv, start_centroids(tv, list(LLOYD_KS), SEED), LLOYD_ROUNDS))
+
+
+@register("sweep_lloyd", K.with_(*_SWEEP_SQL)
+          + f"SELECT nclust, triple_id, cell::INTEGER AS cluster_id FROM a{LLOYD_ROUNDS}")
+def q_sweep_lloyd(spark, sf):
+    """C4 / A7: k-means of several counts, one scan a round for all."""
+    return _sweep(spark, sf)[1]
+
+
+@register("select_cluster_cosine_multi", K.with_(*_SWEEP_SQL, f"""scored AS (
+  SELECT a.nclust, triple_id, a.cell AS cluster_id, {K.margin('tv.vec', DIM)} AS score FROM a{LLOYD_ROUNDS} a JOIN tv USING (triple_id))""", """sizes AS (
+  SELECT nclust, cluster_id, count(*) AS size FROM scored GROUP BY nclust, cluster_id)""", f"""quota AS (
+  SELECT nclust, cluster_id, {BUDGET} // nclust + CASE WHEN size > s THEN CAST(floor(s / ({BUDGET} // nclust)) AS INT) ELSE 0 END AS quota
+  FROM sizes JOIN (SELECT nclust, median(size) AS s FROM sizes GROUP BY nclust) USING (nclust))""", """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY nclust, cluster_id ORDER BY round(score, 9), triple_id) AS rank FROM scored)""")
+    + f"""SELECT nclust, triple_id, cluster_id::INTEGER AS cluster_id, CAST(rank AS INT) AS rank, round(score, 6) AS score
+FROM ranked JOIN quota USING (nclust, cluster_id) WHERE rank <= quota
+QUALIFY row_number() OVER (PARTITION BY nclust ORDER BY {K.key(SEED, 'triple_id')}, triple_id) <= {BUDGET}""")
+def q_select_cluster_cosine_multi(spark, sf):
+    """E5 over several cluster counts in one plan."""
+    from tripleselect.plans.jobs import select_cluster_cosine_multi
+    tv, asg = _sweep(spark, sf)
+    return select_cluster_cosine_multi(tv, asg, BUDGET, DIM, SEED).withColumn("score", F.round("score", 6))
+
+
 # ----------------------------------------------------------------------------- E9 E10 E13
 
 def _export_samples(texts):
