@@ -47,6 +47,24 @@ def test_mixing(spark, odd, empty):
     assert words == sum(r.t for r in by)
 
 
+def test_shards_draw_their_source_counts(spark):
+    """Equal shards, exact totals, and counts that scatter as a multinomial draw's do."""
+    sources = spark.createDataFrame([(1, 64_000, 96_000.0), (2, 30_000, 20_000.0), (3, 5_000, 10_000.0), (4, 0, 0.0)],
+                                    "src long, source_size long, target double")
+    slots = mixing.slots_of(sources, 64, 20, 17).cache()
+    counts = {(r.shard, r.src): r.slots for r in mixing.shard_counts(slots).collect()}
+    total = {s: sum(n for (_, x), n in counts.items() if x == s) for s in (1, 2, 3)}
+    words = {r.src: r.w for r in slots.groupBy("src").agg(F.sum("words").alias("w")).collect()}
+    assert words == {1: 96_000, 2: 20_000, 3: 10_000}
+    sizes = [sum(n for (j, _), n in counts.items() if j == shard) for shard in range(20)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == sum(total.values())
+    share = {s: total[s] / sum(sizes) for s in total}
+    z = [(counts.get((j, s), 0) - sizes[j] * share[s]) / (sizes[j] * share[s] * (1 - share[s])) ** 0.5 for j in range(20) for s in total]
+    assert 0.6 < np.mean(np.square(z)) < 1.5 and max(map(abs, z)) < 4.5
+    other = {(r.shard, r.src): r.slots for r in mixing.shard_counts(mixing.slots_of(sources, 64, 20, 18)).collect()}
+    assert other != counts
+
+
 def test_mixed_rows_keep_their_own_columns(spark, odd, empty):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(1, text, "s", "en", 15, 1, 2, 3, 4), (1, text, "s", "de", 99, 5, 6, 7, 8), (1, text, "t", "fr", 7, 0, 0, 0, 0),
@@ -335,6 +353,28 @@ def test_language_id(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
 
 
+def test_language_counts_cover_all_rows_and_whole_texts(spark, monkeypatch):
+    texts = ["the cat  sat, on 12 mats", "über straße", "", None, "x" * 50 + " y" * 70, "Ω Ж z"]
+    whole = list(language_id.grams(texts))
+    monkeypatch.setattr(language_id, "SLICE_CHARS", 7)
+    cut = list(language_id.grams(texts))
+    want = sorted((int(d), int(k)) for ds, ks in whole for d, k in zip(ds, ks))
+    assert len(cut) > 10 and sorted((int(d), int(k)) for ds, ks in cut for d, k in zip(ds, ks)) == want
+    # every training row teaches, whatever its hash: one row a language
+    for i in range(12):
+        docs = spark.createDataFrame([(i, "the house on the hill", "en"), (100 + i, "das haus auf dem berg", "de")],
+                                     "doc_id long, text string, lang string")
+        assert language_id.fit(docs, F.lit(True)).langs == ["de", "en"]
+    counts = language_id.count_grams(docs, F.lit(False)).toPandas()
+    brute = {}
+    for lang, text in (("en", "the house on the hill"), ("de", "das haus auf dem berg")):
+        t = " " + text
+        for j in range(1, len(t)):
+            g = sum(int(language_id.fold_table()[ord(t[j - k])]) << (language_id.BITS * k) for k in range(4) if j >= k)
+            brute[lang, g] = brute.get((lang, g), 0) + 1
+    assert {(r.lang, r.gram): r.n for r in counts.itertuples()} == brute and (counts["n"] == counts["kept"]).all()
+
+
 def test_token_planes_round_trip(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,12 +2,13 @@
 
 The words of a source form one stream (documents in a seeded hash order) that
 is packed into blocks of ``block_words``.  A source's target number of words
-becomes a number of slots; every slot draws its output shard, which makes the
-source counts of the shards a multinomial draw given the source's total; slot
-``r`` of an epoch is mapped through a pseudorandom permutation of the
-source's block indexes (swap-or-not rounds, one permutation per epoch), and
-slots join blocks by (source, block index).  The join key is a block, so a hot
-source is spread like any other.
+becomes a number of slots.  The slots of all sources are dealt to output shards
+of equal size by one pseudorandom permutation, so every shard's source counts
+are a multinomial draw with the sources' shares as chances, conditioned on the
+totals that the targets fix.  Slot ``r`` of an epoch is mapped through a
+pseudorandom permutation of the source's block indexes (swap-or-not rounds, one
+permutation per epoch), and slots join blocks by (source, block index).  The
+join key is a block, so a hot source is spread like any other.
 
 Full blocks are permuted; a source's shorter last block closes each epoch and
 the last slot is cut, so the words taken from a source equal its rounded
@@ -96,7 +97,8 @@ def streams(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
 
 def slots_of(sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """One row per drawn slot: ``src, slot, epoch, block, words, shard``."""
+    """One row per drawn slot: ``src, slot, epoch, block, words, shard``.
+    Shards hold equally many slots, give or take one."""
     b = F.lit(block_words)
     s = sources.where(F.col("source_size") > 0).select(
         "src", "source_size", F.least(F.round("target"), F.col("target") + 1).cast("long").alias("goal"))
@@ -104,13 +106,19 @@ def slots_of(sources: DataFrame, block_words: int, shards: int, seed: int) -> Da
     s = s.select("src", "source_size", "goal", per.alias("per"), F.floor(F.col("source_size") / b).alias("full"))
     s = s.withColumn("slots", F.floor(F.col("goal") / F.col("source_size")) * F.col("per")
                      + F.ceil((F.col("goal") % F.col("source_size")) / b)).where(F.col("slots") > 0)
+    # a slot's number over all sources (one row per source here)
+    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0))).withColumn(
+        "all", F.sum("slots").over(Window.partitionBy()))
     s = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_CHUNK))))
     # a fixed number of partitions: chunks are tiny rows, which would else be merged into one task
     s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     s = s.withColumn("slot", F.explode(F.sequence(
         F.col("chunk") * SLOT_CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * SLOT_CHUNK) - 1)))
-    s = s.select("src", "slot", "source_size", "goal", "full", F.floor(F.col("slot") / F.col("per")).alias("epoch"),
-                 (F.col("slot") % F.col("per")).alias("r"))
+    s = s.select("src", "slot", "source_size", "goal", "full", "all", F.floor(F.col("slot") / F.col("per")).alias("epoch"),
+                 (F.col("slot") % F.col("per")).alias("r"), (F.col("first") + F.col("slot")).alias("place"))
+    s = swap_or_not(s, "place", F.col("all"), F.lit(seed), F.lit("shard"))
+    s = s.withColumn("shard", F.floor(F.col("place") * shards / F.col("all")).cast("int")).drop("place", "all")
     s = s.withColumn("x", F.col("r"))
     n = F.greatest("full", F.lit(1))
     s = swap_or_not(s, "x", n, F.lit(seed), F.col("src"), F.col("epoch"))
@@ -119,12 +127,11 @@ def slots_of(sources: DataFrame, block_words: int, shards: int, seed: int) -> Da
     length = F.when(last, F.col("source_size") - F.col("full") * b).otherwise(b)
     before = F.col("epoch") * F.col("source_size") + F.col("r") * b
     return s.select("src", "slot", "epoch", F.when(last, F.col("full")).otherwise(F.col("x")).alias("block"),
-                    F.least(length, F.col("goal") - before).alias("words"),
-                    F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "src", "slot"), F.lit(shards)).cast("int").alias("shard"))
+                    F.least(length, F.col("goal") - before).alias("words"), "shard")
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
-    """The multinomial draw: slots and words of each source per output shard."""
+    """The draw: slots and words of each source per output shard."""
     return slots.groupBy("shard", "src").agg(F.count(F.lit(1)).alias("slots"), F.sum("words").alias("words"))
 
 
@@ -158,12 +165,15 @@ def mix(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17
 
 
 def words_taken(docs: DataFrame, **kw) -> DataFrame:
-    """Per input row: ``doc_id, size, source_size, target, taken``."""
+    """Per input row: ``doc_id, size, source_size, target, taken`` and
+    ``shards``, in how many output shards its words are."""
     parts, rows, _ = mix(docs, **kw)
-    taken = parts.groupBy("src", "off").agg(F.sum("n").alias("taken"))
+    # a document's stretches are few: its words by those of a block, twice
+    taken = parts.groupBy("src", "off").agg(F.sum("n").alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("shards"))
     return (rows.join(taken.withColumnRenamed("src", "s0").withColumnRenamed("off", "o0"),
                       (F.col("src") == F.col("s0")) & (F.col("off") == F.col("o0")) & (F.col("size") > 0), "left")
-                .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                        F.coalesce("shards", F.lit(0)).cast("long").alias("shards")))
 
 
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,7 +43,7 @@ MANIFEST = "shard int, file string, docs long, ids long, bytes long"
 #: Documents encoded together; bounds the memory of a task besides one Arrow batch.
 SLICE_DOCS = 2000
 #: Pieces that a worker remembers with their ids.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 250_000
 #: White space other than single blanks and line feeds: such texts are encoded without splitting.
 ODD_SPACE = (r"[^\S\n ]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}"
              r"\x{205f}\x{3000}\x{feff}]|  | \n|\n ")
@@ -56,14 +57,16 @@ class PieceEncoder:
     The tokenizer never merges across the boundary before a blank that
     follows a non-space character, so a text is split there, each distinct
     piece is encoded once, and ids are gathered per text.  Texts with other
-    white space patterns are encoded whole.  Ids equal ``encode(text)``.
+    white space patterns, and texts that hold an added token's string, are
+    encoded whole.  Ids equal ``encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True   # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole_texts = "|".join([ODD_SPACE, *added])
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         for s, i in vocab.items():
@@ -102,7 +105,7 @@ class PieceEncoder:
         """Flat ids and the number of ids of each text (no end id)."""
         if len(self.rows) > CACHE_PIECES:
             self.rows, self.start, self.size, self.used = {}, [], [], 0
-        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.whole_texts).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
         split = pc.split_pattern(plain, " ")
         lens = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
