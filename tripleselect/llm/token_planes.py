@@ -43,7 +43,7 @@ MANIFEST = "shard int, file string, docs long, ids long, bytes long"
 #: Documents encoded together; bounds the memory of a task besides one Arrow batch.
 SLICE_DOCS = 2000
 #: Pieces that a worker remembers with their ids.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 800_000
 #: White space other than single blanks and line feeds: such texts are encoded without splitting.
 ODD_SPACE = (r"[^\S\n ]|[\x00-\x09\x0b-\x1f\x7f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}"
              r"\x{205f}\x{3000}\x{feff}]|  | \n|\n ")
@@ -75,8 +75,8 @@ class PieceEncoder:
         self.rows: dict[str, int] = {}
         self.pool = np.empty(1 << 16, "<u4")
         self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
+        self.start = np.empty(1 << 12, np.int64)          # by piece: its place in the pool
+        self.size = np.empty(1 << 12, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
@@ -96,15 +96,17 @@ class PieceEncoder:
             self.pool[self.used:self.used + len(ids)] = ids
             at = self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
-            for p in part:
-                self.rows[p] = len(self.rows)
-            self.start.extend(at.tolist())
-            self.size.extend(sizes.tolist())
+            n = len(self.rows)
+            while n + len(part) > len(self.start):
+                self.start = np.concatenate([self.start, np.empty_like(self.start)])
+                self.size = np.concatenate([self.size, np.empty_like(self.size)])
+            self.start[n:n + len(part)], self.size[n:n + len(part)] = at, sizes
+            self.rows.update(zip(part, range(n, n + len(part))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text (no end id)."""
         if len(self.rows) > CACHE_PIECES:
-            self.rows, self.start, self.size, self.used = {}, [], [], 0
+            self.rows, self.used = {}, 0
         odd = pc.match_substring_regex(texts, self.whole_texts).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
         split = pc.split_pattern(plain, " ")
@@ -114,9 +116,8 @@ class PieceEncoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         self._learn([w for w in words if w not in self.rows])
         row = np.fromiter((self.rows[w] for w in words), np.int64, len(words))
-        size, start = np.array(self.size, np.int64), np.array(self.start, np.int64)
         lead = np.cumsum(lens) - lens
-        n, at = size[row][codes], start[row][codes]
+        n, at = self.size[row].astype(np.int64)[codes], self.start[row][codes]
         heads = [self.first.get(words[codes[p]]) for p in lead]
         n[lead] = 0                          # a text's first piece has no blank before it
         ends = np.cumsum(n)
