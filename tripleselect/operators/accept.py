@@ -19,7 +19,7 @@ Spark formulation
   carried state is O(k + d): C's ids, the sum of C's unit vectors
   (mean cosine to C = x̂ · Σĉ / |C|), state, stall counter and best.
 * After the freeze the mean cosine is the stateless projection
-  ``d(x) = x̂ · r̄`` over the whole table.  Draws over a step range are joined
+  ``d(x) = x̂ · r̄`` of the drawn rows.  Draws over a step range are joined
   to the narrow (id, d) table; accept = ``d < t(step)``; first accept per
   id = ``min(step)``; the sample is the ids with the smallest first step.
   The step range grows geometrically until enough distinct ids are found.
@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -104,11 +106,14 @@ def _check_dense(vectors: DataFrame, id_col: str) -> int:
 
 # --------------------------------------------------------------------------- bulk step (frozen reference)
 
-def projection(vectors: DataFrame, rbar: list[float], id_col: str = "triple_id", vec_col: str = "vec") -> DataFrame:
-    """(id, d) with d = x̂ · r̄ for every row."""
+def projection(vectors: DataFrame, rbar: list[float], id_col: str = "triple_id", vec_col: str = "vec",
+               drawn: DataFrame | None = None) -> DataFrame:
+    """(id, d) with d = x̂ · r̄ for every row, or for the rows of ``drawn(idx)``."""
     lit = F.array(*[F.lit(float(v)) for v in rbar])
-    return with_l2_normalized(vectors.select(id_col, vec_col), vec_col).select(
-        F.col(id_col).alias("idx"), dot(vec_col, lit).alias("d"))
+    rows = vectors.select(F.col(id_col).alias("idx"), F.col(vec_col).alias("vec"))
+    if drawn is not None:
+        rows = rows.join(drawn.select("idx").distinct(), "idx", "left_semi")
+    return with_l2_normalized(rows, "vec").select("idx", dot("vec", lit).alias("d"))
 
 
 def _last_accept(dr: DataFrame, base_step: int) -> DataFrame:
@@ -125,13 +130,15 @@ def _last_accept(dr: DataFrame, base_step: int) -> DataFrame:
                .drop("bkt", "im", "pm"))
 
 
-def accept_events(spark: SparkSession, proj: DataFrame, seed, n_rows: int, first: int, last: int,
+def accept_events(spark: SparkSession, project: Callable[[DataFrame | None], DataFrame], seed, n_rows: int, first: int, last: int,
                   schedule: Schedule, max_steps: int | None) -> DataFrame:
     """(step, idx) of every state change in steps first..last, starting with
     a clean stall counter at step ``first``: regular accepts, plus (stall
-    mode) the best candidate of each full block of ``max_steps`` rejections."""
-    dr = (draws(spark, seed, n_rows, first, last).join(proj, "idx")
-          .withColumn("acc", F.col("d") < schedule.column(F.col("step"))))
+    mode) the best candidate of each full block of ``max_steps`` rejections.
+    Only drawn rows are projected, unless as many are drawn as there are."""
+    drawn = draws(spark, seed, n_rows, first, last)
+    proj = project(drawn if last - first + 1 < n_rows else None)
+    dr = drawn.join(proj, "idx").withColumn("acc", F.col("d") < schedule.column(F.col("step")))
     acc = dr.where("acc").select("step", "idx")
     if not max_steps:
         return acc
@@ -151,37 +158,36 @@ def _first_new(events: DataFrame, exclude: list[int]) -> DataFrame:
     return ev
 
 
-def bulk_collect(spark: SparkSession, proj: DataFrame, seed, n_rows: int, start_step: int, need: int,
-                 schedule: Schedule, max_steps: int | None, exclude: list[int], max_draws: int | None,
-                 pass_rate: float | None = None) -> tuple[DataFrame, int, bool]:
+def bulk_collect(spark: SparkSession, project: Callable[[DataFrame | None], DataFrame], seed, n_rows: int, start_step: int,
+                 need: int, schedule: Schedule, max_steps: int | None, exclude: list[int],
+                 max_draws: int | None) -> tuple[DataFrame, int, bool]:
     """The ``need`` ids (not in ``exclude``) with the earliest first state
     change after ``start_step``.  Returns (DataFrame(idx, step), last step,
-    complete).  The step range starts from a coupon-collector estimate and
-    doubles until enough distinct ids appear, no further id can pass, or the
-    caller's ``max_draws`` (none by default) is reached.  Under the stall rule
-    any row with ``d < 1`` can still be taken, however rarely."""
+    complete).  ``project(drawn)`` gives (idx, d) of the drawn rows.  The step
+    range starts as if half of the rows passed and grows by what was found
+    (twofold at least) until enough distinct ids appear, no further id can
+    pass, or the caller's ``max_draws`` (none by default) is reached.  Under
+    the stall rule any row with ``d < 1`` can still be taken, however rarely."""
     if need <= 0:
         return spark.createDataFrame([], "idx long, step long"), start_step, True
-    p = max(pass_rate or 0.5, 1e-6)
-    pool = max(p * n_rows, need + 1)
-    est = n_rows / p * (math.log(pool) - math.log(max(pool - need, 1))) if pool > need else n_rows * need
-    m = int(max(4 * need, 1.3 * est + 64))
+    pool = max(0.5 * n_rows, need + 1)
+    m = int(max(4 * need, 2.6 * n_rows * (math.log(pool) - math.log(pool - need)) + 64))
     while True:
         last = start_step + m
         capped = bool(max_draws) and last >= max_draws
         if capped:
             last = max_draws
-        ev = _first_new(accept_events(spark, proj, seed, n_rows, start_step + 1, last, schedule, max_steps), exclude)
+        ev = _first_new(accept_events(spark, project, seed, n_rows, start_step + 1, last, schedule, max_steps), exclude)
         ev = ev.persist()
         have = ev.count()
-        if have >= need or capped or _exhausted(proj, ev, exclude, last, schedule, max_steps):
+        if have >= need or capped or _exhausted(project(None), ev, exclude, last, schedule, max_steps):
             picked = _smallest_steps(ev, need)
             picked = picked.persist()
             mx = picked.agg(F.max("step")).first()[0]
             ev.unpersist()
             return picked, int(mx) if mx is not None else start_step, have >= need
         ev.unpersist()
-        m *= 2
+        m = int(m * min(max(2.0, 1.5 * need / max(have, 1)), 64.0))
 
 
 def _exhausted(proj: DataFrame, found: DataFrame, exclude: list[int], last: int, schedule: Schedule,
@@ -222,9 +228,8 @@ def accept_bulk(vectors: DataFrame, ref_ids: DataFrame, n: int, t: float | Sched
     n_rows = _check_dense(vectors, id_col)
     sched = t if isinstance(t, Schedule) else Schedule(float(t))
     rbar = reference_mean(vectors, ref_ids, id_col, vec_col).first()["rbar"]
-    proj = projection(vectors, rbar, id_col, vec_col).persist()
-    rate = proj.agg(F.avg((F.col("d") < F.lit(sched.t0)).cast("double"))).first()[0]
-    picked, last, complete = bulk_collect(spark, proj, seed, n_rows, 0, n, sched, max_steps, [], max_draws, rate)
+    project = partial(projection, vectors, rbar, id_col, vec_col)
+    picked, last, complete = bulk_collect(spark, project, seed, n_rows, 0, n, sched, max_steps, [], max_draws)
     out = (picked.withColumn("ordinal", F.row_number().over(Window.orderBy("step", "idx")))
                  .select(F.lit(run_id).alias("run_id"), "ordinal", F.col("idx").alias(id_col), "step"))
     return RunResult(out, dict(run_id=run_id, sampler="accept_bulk", steps=last, complete=complete,
@@ -352,10 +357,9 @@ def accept_sample(vectors: DataFrame, n: int, k: int = 100, t: float | Schedule
             "__k", hash_key(f"{seed}:ref", "ref_id"))
         ref = smallest_n_per_group(ref_key, [], "__k", k, "ref_id").select("ref_id")
         rbar = reference_mean(vectors, ref, id_col, vec_col).first()["rbar"]
-        proj = projection(vectors, rbar, id_col, vec_col).persist()
-        rate = proj.agg(F.avg((F.col("d") < F.lit(sched.value(steps + 1))).cast("double"))).first()[0]
-        picked, last, complete = bulk_collect(spark, proj, seed, n_rows, steps, n - len(c_ids), sched,
-                                              max_steps, c_ids, max_draws, rate)
+        project = partial(projection, vectors, rbar, id_col, vec_col)
+        picked, last, complete = bulk_collect(spark, project, seed, n_rows, steps, n - len(c_ids), sched,
+                                              max_steps, c_ids, max_draws)
         steps = last if complete else (max_draws or last)
         more = (picked.withColumn("ordinal", F.row_number().over(Window.orderBy("step", "idx")) + len(c_ids))
                       .select(F.lit(run_id).alias("run_id"), "ordinal", F.col("idx").alias(id_col)))
