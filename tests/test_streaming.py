@@ -39,3 +39,14 @@ def test_assign_stream(spark, tmp_path):
     got = {(r.triple_id, r.cluster_id) for r in spark.sql("select * from asg").collect()}
     want = {(r.triple_id, r.cluster_id) for r in assign_clusters(tv, cents).collect()}
     assert got == want
+
+
+def test_stream_reads_missing_fields_as_empty(spark, tmp_path):
+    from tripleselect.sources.io import stream_triples
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tsv").write_text("q\t\tn\nonly\n")
+    q = (stream_triples(spark, str(tmp_path / "in"), kind="text").writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("only", "", ""), ("q", "", "n")]

@@ -950,6 +950,35 @@ def q_embed_triples(spark, sf):
     return out.select("triple_id", *_vcheck("vec"))
 
 
+# ----------------------------------------------------------------------------- whole jobs: E5, E8, E11
+
+def _job_sql(picked: str, name: str, steps: str, complete: str) -> str:
+    """The report's row of one job from the SQL of its sample."""
+    return f"""SELECT '{name}' AS run_id, '{name}' AS sampler, (SELECT count(*) FROM s_{name}) AS n, {steps} AS steps, {complete} AS complete,
+  round((SELECT avg({K.dot('a.v', 'b.v')}) FROM s_{name} x JOIN tvn a ON a.triple_id = x.triple_id, s_{name} y JOIN tvn b ON b.triple_id = y.triple_id), 6) AS avg_sim"""
+
+
+@register("job_report", K.with_(*K.FIX, f"""tvn AS MATERIALIZED (SELECT triple_id, list_transform(CAST(vec AS DOUBLE[]), lambda x: x / {K.norm('vec')}) AS v FROM tv)""",
+                                "s_cluster_cosine AS MATERIALIZED (" + ORACLES["select_cluster_cosine"] + ")",
+                                "s_markov AS MATERIALIZED (" + ORACLES["markov_lazy"] + ")")
+          + _job_sql("s_cluster_cosine", "cluster_cosine", "NULL::BIGINT", "true")
+          + " UNION ALL " + _job_sql("s_markov", "markov", "(SELECT max(steps) FROM s_markov)", "(SELECT bool_and(complete) FROM s_markov)"))
+def q_job_report(spark, sf):
+    """Two whole jobs: vectors written to files, runs committed, the report
+    read back from them (without the seconds)."""
+    from tripleselect.plans import runs
+    from tripleselect.session import shared_path
+    from tripleselect.sources import io
+    tv = fx.triple_vectors(spark, sf)
+    folder = shared_path(spark, "jobs")
+    io.write_vectors(tv, f"{folder}/vectors")
+    runs.run_job(spark, "cluster_cosine", f"{folder}/out", "cluster_cosine", f"{folder}/vectors", budget=BUDGET, nclust=NCLUST, dim=DIM,
+                 seed=SEED, assignments=_given_clusters(tv))
+    runs.run_job(spark, "markov", f"{folder}/out", "markov", f"{folder}/vectors", budget=60, n=WALK_N, seed=SEED, walkers=16, lazy=True)
+    return runs.report(spark, f"{folder}/out", io.read_vectors(spark, f"{folder}/vectors")).select(
+        "run_id", "sampler", "n", "steps", "complete", F.round("avg_sim", 6).alias("avg_sim"))
+
+
 # ----------------------------------------------------------------------------- C3, E6
 
 @register("cluster_density")

@@ -60,10 +60,11 @@ def read_triples(spark: SparkSession, path: str, kind: str = "ids", with_ids: bo
 
 def stream_triples(spark: SparkSession, path: str, kind: str = "ids", max_files: int = 1) -> DataFrame:
     """Streaming twin of :func:`read_triples`: new TSV files in a folder,
-    ``max_files`` per micro-batch."""
-    return (spark.readStream.schema(triple_schema(kind)).option("sep", "\t").option("header", "false")
-                 .option("quote", "\u0000").option("escape", "\u0000").option("maxFilesPerTrigger", max_files)
-                 .csv(path))
+    ``max_files`` per micro-batch; a missing field is the empty string here too."""
+    df = (spark.readStream.schema(triple_schema(kind)).option("sep", "\t").option("header", "false")
+               .option("quote", "\u0000").option("escape", "\u0000").option("maxFilesPerTrigger", max_files)
+               .csv(path))
+    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in df.columns])
 
 
 def write_triples(df: DataFrame, path: str, kind: str = "text", partition_by: str | None = None,
