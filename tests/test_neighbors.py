@@ -63,3 +63,22 @@ def test_registered_ivf_query_recall(spark):
     got = _got(R.q_antipodal_ivf(spark, SF01))
     hit = sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items())
     assert hit >= 0.9 * sum(map(len, want.values()))
+
+
+def test_exact_search_writes_its_tables_once_whatever_the_number_of_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tripleselect.operators import neighbors
+    X, df = _data(spark, n=400, d=8)
+    X[200:] = X[5]                                         # a group of copies: ties are decided by id
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)] + [(1000, None)], "triple_id long, vec array<double>")
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(neighbors, "SIDE_BYTES", 8000)
+    stored = []
+    whole = neighbors.stored_blocks
+    monkeypatch.setattr(neighbors, "stored_blocks", lambda *a: stored.append(whole(*a)) or stored[-1])
+    assert _got(neighbors.exact_neighbors(df, df, 5, block_rows=16)) == _brute(X, 5, True, False)
+    assert len(stored) == 2
+    for table in stored:                                   # 400 rows of 72 bytes and the blocks' headers
+        blocks, size = table.agg(F.count("name"), F.sum(F.length("block"))).first()
+        assert blocks > 10 and size < 5 * 400 * 72

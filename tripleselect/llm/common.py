@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tripleselect.session import cut_lineage, ensure_checkpoint_dir
+from tripleselect.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 #: A word is a run of characters other than space and the controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that the
-    functions they run can be imported wherever the job was started."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tripleselect_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="ts-ship-"), "tripleselect.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for at, _, names in os.walk(root):
-            for n in (n for n in names if n.endswith(".py")):
-                z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
-    sc.addPyFile(out)
-    sc._tripleselect_shipped = True
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,15 +4,17 @@ A query's antipodal neighbours are the rows with the largest inner product
 with ``-x``, i.e. the smallest inner product with ``x``; self is not
 excluded unless asked.
 
-Both modes cogroup a block of queries with a block of rows and compute the
-block's dot products as one matrix product in an Arrow batch; a group emits
-only each query's best ``n`` of that block, never the pairs.  The per-query
-candidates (at most ``n`` per block) are cut to ``n`` by a salted top-k.
-
-* ``exact``: blocks of ``block_rows`` queries x blocks of ``block_rows`` rows.
-  Work is all pairs, inherent to exact search; the replication factor is the
-  number of blocks, so this mode is for up to ~10^6 rows.
-* ``ivf``: rows live in k-means cells.  A query visits the cells whose
+Both modes meet a block of queries with a block of rows and compute the
+block's dot products as matrix products in an Arrow batch; a task emits
+only each query's best ``n``, never the pairs.  The per-query
+candidates are cut to ``n`` by a salted top-k.
+
+* ``exact``: both tables are written once as blocks of bounded bytes, and a
+  Cartesian product of their partitions (``block_join``) reads them where they
+  lie: a task meets a few blocks of queries with one partition of rows.  Work is
+  all pairs, inherent to exact search, but nothing is replicated: written are
+  the tables once and ``n`` candidates per query and partition of rows.
+* ``ivf``: rows live in k-means cells, blocks of both sides are cogrouped.  A query visits the cells whose
   centroid is closest to its target (``-x`` for antipodal), then every other
   cell that can still hold a row as good as its ``n``-th best so far: a bound
   from the cell's extent along and across its centroid tells which.  The
@@ -26,18 +28,131 @@ candidates (at most ``n`` per block) are cut to ``n`` by a salted top-k.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleselect.operators.select import top_k_per_group
-from tripleselect.session import cut_lineage
+from tripleselect.session import cut_lineage, ship_package
 
 #: Blocks of rows on each side of a task group of the cell-probed mode.
 SIDE_BLOCKS = 8
 OUT_SCHEMA = "src long, dst long, dot double"
+#: Bytes of a stored block, and of the blocks that one task holds of the right side of a block join.
+BLOCK_BYTES, SIDE_BYTES = 2 << 20, 32 << 20
+#: Blocks of the left side that share a task, when there are tasks enough.
+LEFT_BLOCKS = 8
+
+
+def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
+    """A list column as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def stored_blocks(df: DataFrame, parts: int) -> DataFrame:
+    """``(name, block)``: the rows of ``df`` as Arrow streams of about
+    ``BLOCK_BYTES``, dealt over ``parts`` partitions and written once."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              names=["name", "block"])
+
+        for b in batches:
+            step = max(1, math.ceil(b.num_rows * BLOCK_BYTES / max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                held.append(b.slice(i, step))
+                size += held[-1].nbytes
+                if size >= BLOCK_BYTES:
+                    yield block()
+                    name, held, size = name + 1, [], 0
+        if held:
+            yield block()
+
+    return cut_lineage(df.repartition(parts).mapInArrow(pack, "name long, block binary"))
+
+
+def block_join(left: DataFrame, right: DataFrame, row_bytes: int,
+               meet: Callable[[pa.RecordBatch, Iterator[pa.RecordBatch]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """All rows of ``left`` met with all rows of ``right``, block by block.
+
+    ``meet`` gets a block of ``left`` and, one after another, the blocks of a
+    partition of ``right``; what it returns is the output.  The tables are
+    stored once each and joined by a Cartesian product of their partitions,
+    so neither is shuffled again, collected or broadcast.  ``row_bytes`` is
+    about what a row takes."""
+    spark = left.sparkSession
+    ship_package(spark)
+    nl, nr = left.count(), right.count()
+    rp = max(1, math.ceil(nr * row_bytes / SIDE_BYTES))
+    blocks = max(1, math.ceil(nl * row_bytes / BLOCK_BYTES))
+    wide = 4 * spark.sparkContext.defaultParallelism        # tasks that keep all cores busy
+    lp = max(math.ceil(blocks / LEFT_BLOCKS), min(max(blocks, min(nl, wide)), math.ceil(wide / rp)))
+    a, b = stored_blocks(left, max(1, lp)), stored_blocks(right, rp)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(block) -> pa.RecordBatch:
+            table = pa.ipc.open_stream(block.as_buffer()).read_all()
+            return table.combine_chunks().to_batches()[0]
+
+        pairs = ((x[0][i].as_py(), x[1][i], x[2][i]) for x in (t.columns for t in batches) for i in range(len(x[0])))
+        for _, same in groupby(pairs, key=lambda p: p[0]):
+            first = next(same)
+            out = meet(read(first[1]), (read(p[2]) for p in chain([first], same)))
+            if out is not None and out.num_rows:
+                yield out
+
+    met = a.select("name", F.col("block").alias("l")).hint("shuffle_replicate_nl").crossJoin(b.select(F.col("block").alias("r")))
+    return met.mapInArrow(run, schema)
+
+
+class Best:
+    """The ``n`` best rows of each query, met block after block."""
+
+    def __init__(self, queries: int, n: int):
+        self.n = n
+        self.key = np.full((queries, n), -np.inf)
+        self.dst = np.full((queries, n), np.iinfo(np.int64).max)
+        self.dot = np.zeros((queries, n))
+
+    def add(self, at: int, s: np.ndarray, dst: np.ndarray, largest: bool, same: np.ndarray | None) -> None:
+        """Products ``s`` of queries ``at``, ``at + 1`` ... with rows ``dst``;
+        pairs in ``same`` do not count.  Order: rounded product, then ``dst``."""
+        q = s.shape[0]
+        good = s if largest else -s
+        if same is not None:
+            good = np.where(same, -np.inf, good)
+        worst = self.key[at:at + q].min(axis=1)
+        if good.shape[1] > self.n and np.isneginf(worst).any():
+            worst = np.maximum(worst, np.partition(good, -self.n, axis=1)[:, -self.n])
+        i, j = np.nonzero(good >= np.where(np.isnan(worst), -np.inf, worst)[:, None] - 2e-9)       # a little below, for rounding
+        key = np.round(good[i, j], 9)
+        low, high = self.key[at + i, -1], self.dst[at + i, -1]
+        ok = np.isfinite(key) & ((key > low) | ((key == low) & (dst[j] < high)))
+        i, j, key = i[ok], j[ok], key[ok]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        old = at + rows
+        who = np.concatenate([np.repeat(rows, self.n), i])
+        key = np.concatenate([self.key[old].ravel(), key])
+        to = np.concatenate([self.dst[old].ravel(), dst[j]])
+        dot = np.concatenate([self.dot[old].ravel(), s[i, j]])
+        order = np.lexsort((to, -key, who))
+        begin = np.searchsorted(who[order], rows)
+        pick = order[begin[:, None] + np.arange(self.n)]
+        self.key[old], self.dst[old], self.dot[old] = key[pick], to[pick], dot[pick]
 
 
 def _local_topn(n: int, largest: bool, exclude_self: bool):
@@ -83,20 +198,25 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
                     exclude_self: bool = False, id_col: str = "triple_id", vec_col: str = "vec",
                     block_rows: int = 2048) -> DataFrame:
     """(src, dst, dot, rank): the ``n`` rows of largest (``largest``) or
-    smallest inner product with each query, ties by dst."""
-    nq = queries.count()
-    nd = vectors.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    db = max(1, math.ceil(nd / block_rows))
-    q = (queries.select(F.col(id_col).alias("src"), F.col(vec_col).alias("qv"))
-                .withColumn("qb", F.pmod(F.xxhash64("src"), F.lit(qb)).cast("int"))
-                .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(db - 1)))))
-    d = (vectors.select(F.col(id_col).alias("dst"), F.col(vec_col).alias("dv"))
-                .withColumn("db", F.pmod(F.xxhash64("dst"), F.lit(db)).cast("int"))
-                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    cands = (q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db"))
-              .applyInPandas(_local_topn(n, largest, exclude_self), OUT_SCHEMA))
-    return _finish(cands, n, largest)
+    smallest inner product with each query, ties by dst.  ``block_rows`` is the
+    height of a matrix product.  Rows without a vector have no product."""
+    q, d = (df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+            for df in (queries, vectors))
+    dims = d.agg(F.max(F.size("vec"))).first()[0] or 1
+
+    def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+        src, x = left.column("id").to_numpy(), matrix(left.column("vec"))
+        best = Best(len(src), n)
+        for right in rights:
+            dst, y = right.column("id").to_numpy(), matrix(right.column("vec"))
+            for i in range(0, len(src), block_rows):
+                own = src[i:i + block_rows]
+                best.add(i, x[i:i + block_rows] @ y.T, dst, largest, own[:, None] == dst[None, :] if exclude_self else None)
+        i, j = np.nonzero(np.isfinite(best.key))
+        return pa.RecordBatch.from_arrays([pa.array(src[i]), pa.array(best.dst[i, j]), pa.array(best.dot[i, j])],
+                                          names=["src", "dst", "dot"])
+
+    return _finish(block_join(q, d, 8 * dims + 16, meet, OUT_SCHEMA), n, largest)
 
 
 def antipodal_neighbors(queries: DataFrame, vectors: DataFrame, n: int, mode: str = "exact",

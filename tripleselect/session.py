@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that the
+    functions they run can be imported wherever the job was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tripleselect_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ts-ship-"), "tripleselect.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in (n for n in names if n.endswith(".py")):
+                z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    sc.addPyFile(out)
+    sc._tripleselect_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
