@@ -27,14 +27,17 @@ Rows under a selected cluster get its number, all others -1 (noise).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import with_l2_normalized
 from tripleselect.operators.components import Forest, connected_components
+from tripleselect.operators.neighbors import block_join
 from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
 BAND_EDGES = 200_000
@@ -90,22 +93,25 @@ def _shortest_outside(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
     return got.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
 
 
-def search_outside(asking: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+def search_outside(asking: DataFrame, rows: DataFrame) -> DataFrame:
     """``EDGE``: for components with ``asking(node, comp, core, bound, vec)``,
     the shortest edge up to ``bound`` to ``rows(node, comp, core, vec)`` of
-    other components, one or none per block."""
-    qb = max(1, math.ceil(asking.count() / block_rows))
-    rb = max(1, math.ceil(rows.count() / block_rows))
-    # fresh columns on both sides: they come from one table
-    asking, rows = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asking, rows))
-    q = (asking.withColumn("qb", F.pmod(F.xxhash64("node"), F.lit(qb)).cast("int"))
-               .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
-    r = (rows.withColumn("rb", F.pmod(F.xxhash64("node"), F.lit(rb)).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(_shortest_outside, EDGE)
+    other components, one or none per task."""
+    dims = rows.agg(F.max(F.size("vec"))).first()[0] or 1
 
+    def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+        q, best = left.to_pandas(), None
+        for right in rights:
+            got = _shortest_outside(q, right.to_pandas())
+            if len(got):
+                best = got if best is None else pd.concat([best, got]).sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+        return None if best is None else pa.RecordBatch.from_pandas(best.astype(
+            {"comp": "int64", "w": "float64", "lo": "int64", "hi": "int64", "other": "int64"}), preserve_index=False)
 
-def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame, block_rows: int = 2048) -> DataFrame:
+    return block_join(asking, rows, 8 * dims + 40, meet, EDGE)
+
+
+def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame) -> DataFrame:
     """``(lo, hi, w)``: the minimum spanning tree over mutual reachability."""
     spark = nodes.sparkSession
     rows = cut_lineage(nodes.join(core, "node").select("node", "vec", "core", "reach"))
@@ -131,7 +137,7 @@ def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame, block_row
         far = asking.agg(F.max("bound")).first()[0]
         if far is not None:
             others = rows.join(comp, "node").where(F.col("core") <= far).select("node", "comp", "core", "vec")
-            best = (best.unionByName(search_outside(asking, others, block_rows))
+            best = (best.unionByName(search_outside(asking, others))
                         .groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*"))
         best = cut_lineage(best)
         tree = cut_lineage(tree.unionByName(best.select("lo", "hi", "w").distinct()))
@@ -279,7 +285,7 @@ def cluster_density(vectors: DataFrame, min_cluster_size: int, min_samples: int
                             vec_col="vec", block_rows=block_rows)
     lists = cut_lineage(lists.select("src", "dst", "rank", F.sqrt(F.greatest(F.lit(0.0), F.round(2.0 - 2.0 * F.col("dot"), 12))).alias("dist")))
     core = cut_lineage(core_distances(nodes, lists, ms))
-    tree = spanning_tree(nodes, lists, core, block_rows)
+    tree = spanning_tree(nodes, lists, core)
     labels = cut_lineage(hierarchy_labels(nodes.join(core, "node").select("node", "weight", "core"), tree, min_cluster_size, band_edges))
     names = labels.where("label >= 0").select("label").distinct()
     numbered = rank_within(names, [], ["label"], "number").select("label", (F.col("number") - 1).alias("cluster_id"))
