@@ -12,8 +12,8 @@ dense tables, which serve 4-grams never seen.
 
 A text gets the language of the lowest cross-entropy per symbol.  Confidence
 and the rejection thresholds are calibrated with a model that leaves out one
-training row in twenty, on a bounded number of the rows left out; the model
-that scores has the counts of all training rows.
+training row in twenty, on all of the rows left out, which are scored where
+they lie; the model that scores has the counts of all training rows.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleselect.operators.select import rank_within
+from tripleselect.session import cut_lineage
+
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 SUFFIX = (1 << (BITS * (ORDER - 1))) - 1
 #: Symbols handled together; bounds a task's memory however long a text is.
 SLICE_CHARS = 1 << 21
-#: Calibration rows, those of the least hash among one in twenty of the training rows.
-CALIBRATION_ROWS = 4000
+#: Scales that calibration chooses from; losses are added up as whole numbers of this unit, in any order.
+SCALES, LOSS_UNIT = 2.0 ** np.arange(-6, 6, 0.5), 1e-6
 REJECT_QUANTILE = 0.995
 UNDETERMINED = "und"
 _FOLD: list[np.ndarray] = []
@@ -216,6 +219,42 @@ def build_model(counts: pd.DataFrame) -> Model:
     return Model(langs, keys, logp, back, low, limit=np.full(len(langs), np.inf))
 
 
+def calibration(rows: DataFrame, model: Model) -> DataFrame:
+    """``lang, own, loss`` of every row of ``rows(lang, text)`` that has a
+    symbol and a language of the model: its entropy in its language, and its
+    loss at each of ``SCALES``."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        for pdf in batches:
+            for i in range(0, len(pdf), 2000):
+                part = pdf.iloc[i:i + 2000]
+                h, n = m.entropies(list(part["text"]))
+                truth = np.array([m.langs.index(x) if x in m.langs else -1 for x in part["lang"]], int)
+                ok = (truth >= 0) & (n > 0)
+                if not ok.any():
+                    continue
+                h, n, truth = h[ok], n[ok], truth[ok]
+                z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None]
+                own = np.arange(len(z)), truth
+                loss = [np.rint((np.log(np.exp(z * s).sum(axis=1)) - z[own] * s) / LOSS_UNIT).astype(np.int64) for s in SCALES]
+                yield pd.DataFrame({"lang": part["lang"][ok].array, "own": h[own], "loss": list(np.stack(loss, axis=1))})
+
+    return rows.select("lang", "text").mapInPandas(run, "lang string, own double, loss array<bigint>")
+
+
+def upper_limits(cal: DataFrame, least: int = 20) -> dict[str, float]:
+    """Of each language with at least ``least`` rows the ``REJECT_QUANTILE``
+    of ``own``, between the two rows next to it; two rows a language are collected."""
+    sizes = cal.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    at = (F.col("size") - 1) * F.lit(REJECT_QUANTILE)
+    ranked = rank_within(cal.select("lang", "own"), ["lang"], ["own"]).join(sizes, "lang").withColumn("at", at)
+    near = ranked.where((F.col("rank") - 1 >= F.floor("at")) & (F.col("rank") - 1 <= F.ceil("at")))
+    got = near.groupBy("lang").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max(F.col("at") - F.floor("at")).alias("part"))
+    return {r["lang"]: r["low"] + (r["high"] - r["low"]) * r["part"] for r in got.collect()}
+
+
 def fit(docs: DataFrame, train: Column) -> Model:
     """Model from the rows where ``train`` holds and ``lang`` is not null;
     without such rows one that knows no language.  Null texts teach nothing,
@@ -228,21 +267,12 @@ def fit(docs: DataFrame, train: Column) -> Model:
         return whole
     model = build_model(counts.loc[counts["kept"] > 0, ["lang", "gram", "kept"]].rename(columns={"kept": "n"}))
     del counts
-    cal = (rows.where(apart).select("lang", "text").orderBy(F.xxhash64("text", "lang"))
-               .limit(CALIBRATION_ROWS).toPandas())
-    h, n = model.entropies(list(cal["text"])) if len(cal) else (np.empty((0, len(model.langs))), np.empty(0))
-    truth = np.array([model.langs.index(x) if x in model.langs else -1 for x in cal["lang"]], int)
-    ok = (truth >= 0) & (n > 0)
-    h, n, truth = h[ok], n[ok], truth[ok]
-    if len(truth):
-        def loss(scale: float) -> float:
-            z = -(h - h.min(axis=1, keepdims=True)) * (scale * np.sqrt(n))[:, None]
-            return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
-        whole.scale = min((2.0 ** k for k in np.arange(-6, 6, 0.5)), key=loss)
-        for l, name in enumerate(model.langs):
-            own = h[truth == l, l]
-            if len(own) >= 20:
-                whole.limit[whole.langs.index(name)] = np.quantile(own, REJECT_QUANTILE)
+    cal = cut_lineage(calibration(rows.where(apart), model))
+    sums = cal.agg(F.count(F.lit(1)), *[F.sum(F.col("loss")[i].cast("decimal(38,0)")) for i in range(len(SCALES))]).first()
+    if sums[0]:
+        whole.scale = float(SCALES[min(range(len(SCALES)), key=lambda i: sums[1 + i])])
+        for name, limit in upper_limits(cal).items():
+            whole.limit[whole.langs.index(name)] = limit
     return whole
 
 
