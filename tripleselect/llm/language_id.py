@@ -34,8 +34,8 @@ CLASSES = 1 << BITS
 SUFFIX = (1 << (BITS * (ORDER - 1))) - 1
 #: Symbols handled together; bounds a task's memory however long a text is.
 SLICE_CHARS = 1 << 21
-#: Scales that calibration chooses from; losses are added up as whole numbers of this unit, in any order.
-SCALES, LOSS_UNIT = 2.0 ** np.arange(-6, 6, 0.5), 1e-6
+#: Scales that calibration chooses from; losses are added up exactly, as whole numbers and these parts of one.
+SCALES, LOSS_PARTS = 2.0 ** np.arange(-6, 6, 0.5), 1 << 60
 REJECT_QUANTILE = 0.995
 UNDETERMINED = "und"
 _FOLD: list[np.ndarray] = []
@@ -220,9 +220,9 @@ def build_model(counts: pd.DataFrame) -> Model:
 
 
 def calibration(rows: DataFrame, model: Model) -> DataFrame:
-    """``lang, own, loss`` of every row of ``rows(lang, text)`` that has a
+    """``lang, own, ones, parts`` of every row of ``rows(lang, text)`` that has a
     symbol and a language of the model: its entropy in its language, and its
-    loss at each of ``SCALES``."""
+    loss at each of ``SCALES`` in whole numbers and parts of one."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,12 +236,22 @@ def calibration(rows: DataFrame, model: Model) -> DataFrame:
                 if not ok.any():
                     continue
                 h, n, truth = h[ok], n[ok], truth[ok]
-                z = -(h - h.min(axis=1, keepdims=True)) * np.sqrt(n)[:, None]
-                own = np.arange(len(z)), truth
-                loss = [np.rint((np.log(np.exp(z * s).sum(axis=1)) - z[own] * s) / LOSS_UNIT).astype(np.int64) for s in SCALES]
-                yield pd.DataFrame({"lang": part["lang"][ok].array, "own": h[own], "loss": list(np.stack(loss, axis=1))})
+                own = np.arange(len(h)), truth
+                loss = np.empty((len(h), len(SCALES)))
+                for k, s in enumerate(SCALES):
+                    z = -(h - h.min(axis=1, keepdims=True)) * (s * np.sqrt(n))[:, None]
+                    loss[:, k] = np.log(np.exp(z).sum(axis=1)) - z[own]
+                ones = np.floor(loss)
+                yield pd.DataFrame({"lang": part["lang"][ok].array, "own": h[own], "ones": list(ones.astype(np.int64)),
+                                    "parts": list(((loss - ones) * LOSS_PARTS).astype(np.int64))})
 
-    return rows.select("lang", "text").mapInPandas(run, "lang string, own double, loss array<bigint>")
+    return rows.select("lang", "text").mapInPandas(run, "lang string, own double, ones array<bigint>, parts array<bigint>")
+
+
+def total_losses(cal: DataFrame) -> list[int]:
+    """Sum of the losses at each of ``SCALES``, in ``LOSS_PARTS`` of one; the order of the rows does not matter."""
+    sums = cal.agg(*[F.sum(F.col(c)[i].cast("decimal(38,0)")) for c in ("ones", "parts") for i in range(len(SCALES))]).first()
+    return [int(sums[i]) * LOSS_PARTS + int(sums[len(SCALES) + i]) for i in range(len(SCALES))] if sums[0] is not None else []
 
 
 def upper_limits(cal: DataFrame, least: int = 20) -> dict[str, float]:
@@ -268,9 +278,9 @@ def fit(docs: DataFrame, train: Column) -> Model:
     model = build_model(counts.loc[counts["kept"] > 0, ["lang", "gram", "kept"]].rename(columns={"kept": "n"}))
     del counts
     cal = cut_lineage(calibration(rows.where(apart), model))
-    sums = cal.agg(F.count(F.lit(1)), *[F.sum(F.col("loss")[i].cast("decimal(38,0)")) for i in range(len(SCALES))]).first()
-    if sums[0]:
-        whole.scale = float(SCALES[min(range(len(SCALES)), key=lambda i: sums[1 + i])])
+    losses = total_losses(cal)
+    if losses:
+        whole.scale = float(SCALES[losses.index(min(losses))])
         for name, limit in upper_limits(cal).items():
             whole.limit[whole.langs.index(name)] = limit
     return whole
