@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The character class kept by the cleaner and the token separator.
-KEEP_CHARS_PATTERN = "[^A-Za-z0-9 ]+"
+# The characters that the cleaner deletes (all but [A-Za-z0-9 ]; written out, since Java takes
+# several times as long for the negated class) and the token separator.
+KEEP_CHARS_PATTERN = r"[\x00-\x1f!-/:-@\[-`{-\x{10FFFF}]+"
 TOKEN_SEPARATOR = " +"
 
 
@@ -31,6 +35,17 @@ def tokens(col, lower: bool = True) -> Column:
     return F.filter(F.split(c, TOKEN_SEPARATOR), lambda t: t != "")
 
 
+def token_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens(clean_text(...))`` of an Arrow batch: the tokens of all texts
+    in order, and the number of the text that each is from."""
+    clean = pc.ascii_lower(pc.replace_substring_regex(pc.fill_null(texts, ""), KEEP_CHARS_PATTERN, ""))
+    words = pc.split_pattern(clean, " ")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    words = words.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), row[some.to_numpy(zero_copy_only=False)]
+
+
 def run_name(col, prefix: str | None = None, suffix: str = ".pkl") -> Column:
     """Run file name without its suffix (a suffix, not a character set),
     optionally prefixed with ``prefix.``."""

@@ -14,25 +14,34 @@ input): tokens are the lower-cased, space-separated words of
 collection, or the scored passages themselves per cluster and side.  Pairs
 that share no term score 0.
 
-Plan shape: query and passage are in one row, so the terms they share are
-counted there and only those are exploded; the statistics join is keyed by
-term - frequent terms are skewed, which AQE's skew-join split handles, and
-the statistics side is broadcast by AQE when it is small.
+Plan shape: texts are cut into words in Arrow batches, once for the
+statistics and once for the pairs.  Statistics leave a batch as counts.
+Query and passage are in one row, so the terms they share are counted there;
+only those are kept, with the pair's key, and exploded.  The statistics join
+is keyed by term - frequent terms are skewed, which AQE's skew-join split
+handles, and the statistics side is broadcast by AQE when it is small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tripleselect.functions.text import clean_text, tokens
+from tripleselect.functions.text import clean_text, token_array, tokens
 from tripleselect.operators.select import top_k_per_group
-from tripleselect.session import cut_lineage
+from tripleselect.session import cut_lineage, ship_package
 
 K1 = 1.2
 B = 0.75
+#: Bytes of text that are cut into words together, and terms of a vocabulary that may be broadcast.
+SLICE_BYTES, BROADCAST_TERMS = 8 << 20, 200_000
 
 
 @dataclass
@@ -46,37 +55,76 @@ def _toks(text_col):
     return tokens(clean_text(text_col))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``SLICE_BYTES`` of text."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // SLICE_BYTES)) + 1
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
+def _term_counts(texts: DataFrame, text_col: str, scope: list[str]) -> DataFrame:
+    """(scope..., term, n, len): in how many texts of a slice a term is.  The
+    empty term stands for the texts themselves; ``len`` is their words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, text_col):
+            group = np.zeros(b.num_rows, np.int64)
+            for c in scope:
+                codes = pc.fill_null(b.column(c).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+                group = np.unique(group * (b.num_rows + 1) + codes + 1, return_inverse=True)[1]
+            head = np.unique(group, return_index=True)[1]          # a row of each scope
+            words, row = token_array(b.column(text_col))
+            words = words.dictionary_encode()
+            v = max(1, len(words.dictionary))
+            once = np.unique(row * v + words.indices.to_numpy(zero_copy_only=False))
+            at, n = np.unique(group[once // v] * v + once % v, return_counts=True)
+            term = pa.concat_arrays([words.dictionary.take(pa.array(at % v)), pa.array([""] * len(head), words.dictionary.type)])
+            length = np.bincount(group[row], minlength=len(head)).astype(np.int64)
+            rows = pa.array(np.concatenate([head[at // v], head]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c).take(rows) for c in scope] + [term, pa.array(np.concatenate([n, np.bincount(group)]).astype(np.int64)),
+                 pa.array(np.concatenate([np.zeros(len(at), np.int64), length]))], names=[*scope, "term", "n", "len"])
+
+    ship_package(texts.sparkSession)
+    schema = StructType(texts.select(*scope).schema.fields + StructType.fromDDL("term string, n long, len long").fields)
+    return texts.select(*scope, text_col).mapInArrow(run, schema)
+
+
 def bm25_stats(texts: DataFrame, text_col: str = "text", scope_cols: tuple[str, ...] = (),
                vocab: DataFrame | None = None) -> Bm25Stats:
     """Collection statistics, optionally per scope (e.g. cluster and side).
 
-    ``vocab`` (term) restricts document frequencies to the terms that can
-    score (the query terms): token rows are semi-joined to it before they
-    are aggregated, so the full token stream is never shuffled.  N and
-    avgdl come from per-document token counts, without exploding."""
+    Every text is read once: a slice of texts is counted where it is read,
+    and only its counts are added up.  ``vocab`` (term) restricts document
+    frequencies to the terms that can score (the query terms): counts are
+    semi-joined to it before they are shuffled and stored."""
     sc = list(scope_cols)
-    d = texts.select(*sc, _toks(text_col).alias("__t"))
-    docs = d.groupBy(*sc).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("__t").cast("double")).alias("avgdl"))
-    terms = d.select(*sc, F.explode(F.array_distinct("__t")).alias("term"))
+    counts = _term_counts(texts, text_col, sc)
     if vocab is not None:
-        terms = terms.join(vocab.select("term").distinct(), "term", "left_semi")
-    terms = terms.groupBy(*sc, "term").agg(F.count(F.lit(1)).alias("df"))
-    return Bm25Stats(terms, docs, tuple(sc))
+        known = cut_lineage(vocab.select("term").union(vocab.sparkSession.createDataFrame([("",)], "term string")).distinct())
+        small = known.count() <= BROADCAST_TERMS
+        counts = counts.join(F.broadcast(known) if small else known, "term", "left_semi")
+    counts = cut_lineage(counts.groupBy(*sc, "term").agg(F.sum("n").alias("n"), F.sum("len").alias("len")))
+    docs = counts.where("term = ''").groupBy(*sc).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_docs"), (F.sum("len") / F.sum("n")).alias("avgdl"))
+    return Bm25Stats(counts.where("term <> ''").select(*sc, "term", F.col("n").alias("df")), docs, tuple(sc))
 
 
 def query_vocab(df: DataFrame, text_col: str = "query") -> DataFrame:
-    """(term): distinct terms of the query texts."""
-    return df.select(F.explode(_toks(text_col)).alias("term")).distinct()
+    """(term): distinct terms of the query texts, each of which is read once."""
+    return df.select(text_col).distinct().select(F.explode(_toks(text_col)).alias("term")).distinct()
 
 
-def _with_doc_stats(df: DataFrame, stats: Bm25Stats) -> DataFrame:
-    """Attach (n_docs, avgdl): joined per scope, or as two driver scalars
-    when the statistics are global (one row)."""
+def _term_stats(stats: Bm25Stats) -> DataFrame:
+    """(scope..., term, df, n_docs, avgdl): joined per scope, or with two
+    driver scalars when the statistics are global (one row)."""
     if stats.scope:
-        return df.join(stats.docs, list(stats.scope))
+        return stats.terms.join(stats.docs, list(stats.scope))
     row = stats.docs.first()
     n_docs, avgdl = (row["n_docs"], row["avgdl"]) if row else (0, 0.0)
-    return df.withColumn("n_docs", F.lit(n_docs).cast("long")).withColumn("avgdl", F.lit(avgdl).cast("double"))
+    return stats.terms.withColumn("n_docs", F.lit(n_docs).cast("long")).withColumn("avgdl", F.lit(avgdl).cast("double"))
 
 
 def idf_expr(n, df, kind: str = "robertson"):
@@ -98,27 +146,48 @@ def to_pairs(triples: DataFrame, sides: tuple[str, ...] = ("pos", "neg"), keep:
     return out.select("triple_id", "side", "query", "passage", *keep)
 
 
+def shared_terms(pairs: DataFrame, cols: list[str]) -> DataFrame:
+    """(cols..., dl, shared): the passage's length and, of each term that is
+    in both texts, how often it is in the query and in the passage."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, "passage"):
+            (asked, q), (words, p) = token_array(b.column("query")), token_array(b.column("passage"))
+            every = pa.concat_arrays([asked, words]).dictionary_encode()
+            v = max(1, len(every.dictionary))
+            codes = every.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            both, qtf = np.unique(q * v + codes[:len(q)], return_counts=True)
+            at = p * v + codes[len(q):]
+            place = np.searchsorted(both, at)
+            hit = place < len(both)
+            hit[hit] = both[place[hit]] == at[hit]
+            tf = np.bincount(place[hit], minlength=len(both))
+            some = np.flatnonzero(tf)
+            term, row = both[some] % v, both[some] // v
+            ends = np.cumsum(np.bincount(row, minlength=b.num_rows)).astype(np.int32)
+            shared = pa.StructArray.from_arrays([every.dictionary.take(pa.array(term)), pa.array(qtf[some].astype(np.int32)),
+                                                 pa.array(tf[some].astype(np.int32))], names=["term", "qtf", "tf"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c) for c in cols] + [pa.array(np.bincount(p, minlength=b.num_rows).astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), shared)], names=[*cols, "dl", "shared"])
+
+    ship_package(pairs.sparkSession)
+    schema = StructType(pairs.select(*cols).schema.fields + StructType.fromDDL("dl int, shared array<struct<term:string,qtf:int,tf:int>>").fields)
+    return pairs.select(*cols, "query", "passage").mapInArrow(run, schema)
+
+
 def bm25_pairs(pairs: DataFrame, stats: Bm25Stats, k1: float = K1, b: float = B, idf: str = "robertson",
                key_cols: tuple[str, ...] = ("triple_id", "side")) -> DataFrame:
     """(key..., score) for every (query, passage) pair."""
     key = list(key_cols)
     sc = list(stats.scope)
     cols = list(dict.fromkeys(key + sc))
-    toks = pairs.select(*cols, _toks("query").alias("__q"), _toks("passage").alias("__t"))
-
-    def times(array: str, t):
-        return F.size(array) - F.size(F.array_remove(array, t))
-
-    # the passage is read once; what it shares with the query is counted in what is left
-    toks = toks.select(*cols, "__q", F.size("__t").alias("dl"), F.filter("__t", lambda x: F.array_contains("__q", x)).alias("__t"))
-    shared = F.transform(F.array_distinct("__t"), lambda t: F.struct(
-        t.alias("term"), times("__q", t).alias("qtf"), times("__t", t).alias("tf")))
-    m = toks.select(*cols, "dl", F.explode(shared).alias("__s")).select(*cols, "dl", "__s.*").join(stats.terms, sc + ["term"])
-    m = _with_doc_stats(m, stats)
+    # stored, so that the texts are read once for the terms and for the pairs without any
+    found = cut_lineage(shared_terms(pairs, cols))
+    m = found.select(*cols, "dl", F.explode("shared").alias("__s")).select(*cols, "dl", "__s.*").join(_term_stats(stats), sc + ["term"])
     w = (F.col("qtf") * idf_expr(F.col("n_docs"), F.col("df"), idf) * F.col("tf") * F.lit(k1 + 1)
          / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))))
     scores = m.groupBy(*key).agg(F.sum(w).alias("score"))
-    return (pairs.select(*key).join(scores, key, "left")
+    return (found.select(*key).join(scores, key, "left")
                  .select(*key, F.coalesce("score", F.lit(0.0)).alias("score")))
 
 
