@@ -82,3 +82,23 @@ def test_exact_search_writes_its_tables_once_whatever_the_number_of_blocks(spark
     for table in stored:                                   # 400 rows of 72 bytes and the blocks' headers
         blocks, size = table.agg(F.count("name"), F.sum(F.length("block"))).first()
         assert blocks > 10 and size < 5 * 400 * 72
+
+
+def test_one_table_searched_for_its_own_rows_is_stored_once_in_its_own_type(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tripleselect.operators import neighbors
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(neighbors, "SIDE_BYTES", 8000)
+    X, df = _data(spark, n=300, d=16)
+    df = df.withColumn("vec", F.col("vec").cast("array<float>"))
+    df = df.unionByName(spark.createDataFrame([(1000, None)], "triple_id long, vec array<float>"))
+    written = []
+    whole = neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda x: written.append(whole(x)) or written[-1])
+    got = neighbors.exact_neighbors(df, df, 5, largest=False, block_rows=64)
+    assert _got(got) == _brute(X.astype(np.float32).astype(np.float64), 5, False, False)
+    assert len(written) == 1
+    # 300 rows of 72 bytes, and for each block its header
+    blocks, size = written[0].agg(F.count("name"), F.sum(F.length("block"))).first()
+    assert blocks >= 10 and size - 600 * blocks < 300 * 90

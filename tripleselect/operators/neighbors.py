@@ -9,9 +9,9 @@ block's dot products as matrix products in an Arrow batch; a task emits
 only each query's best ``n``, never the pairs.  The per-query
 candidates are cut to ``n`` by a salted top-k.
 
-* ``exact``: both tables are written once as blocks of bounded bytes, and a
-  Cartesian product of their partitions (``block_join``) reads them where they
-  lie: a task meets a few blocks of queries with one partition of rows.  Work is
+* ``exact``: both tables are written once as blocks of bounded bytes, in the type
+  of their numbers, and only one table if the two are the same.  A Cartesian
+  product of their partitions (``block_join``) reads them where they lie: a task meets a few blocks of queries with one partition of rows.  Work is
   all pairs, inherent to exact search, but nothing is replicated: written are
   the tables once and ``n`` candidates per query and partition of rows.
 * ``ivf``: rows live in k-means cells, blocks of both sides are cogrouped.  A query visits the cells whose
@@ -56,9 +56,14 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def stored_blocks(df: DataFrame, parts: int) -> DataFrame:
+def stored_blocks(df: DataFrame, parts: int, kept: DataFrame | None = None, filled: str | None = None) -> DataFrame:
     """``(name, block)``: the rows of ``df`` as Arrow streams of about
-    ``BLOCK_BYTES``, dealt over ``parts`` partitions and written once."""
+    ``BLOCK_BYTES``, dealt over ``parts`` partitions and written once; ``kept``
+    if that is what an earlier call wrote of them.  Rows without a ``filled``
+    are left out."""
+    if kept is not None:
+        return kept
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, size = TaskContext.get().partitionId() << 32, [], 0
 
@@ -70,6 +75,7 @@ def stored_blocks(df: DataFrame, parts: int) -> DataFrame:
                                               names=["name", "block"])
 
         for b in batches:
+            b = b if filled is None else b.filter(b.column(filled).is_valid())
             step = max(1, math.ceil(b.num_rows * BLOCK_BYTES / max(1, b.nbytes)))
             for i in range(0, b.num_rows, step):
                 held.append(b.slice(i, step))
@@ -84,22 +90,31 @@ def stored_blocks(df: DataFrame, parts: int) -> DataFrame:
 
 
 def block_join(left: DataFrame, right: DataFrame, row_bytes: int,
-               meet: Callable[[pa.RecordBatch, Iterator[pa.RecordBatch]], pa.RecordBatch | None], schema: str) -> DataFrame:
+               meet: Callable[[pa.RecordBatch, Iterator[pa.RecordBatch]], pa.RecordBatch | None], schema: str,
+               filled: str | None = None) -> DataFrame:
     """All rows of ``left`` met with all rows of ``right``, block by block.
 
     ``meet`` gets a block of ``left`` and, one after another, the blocks of a
     partition of ``right``; what it returns is the output.  The tables are
-    stored once each and joined by a Cartesian product of their partitions,
-    so neither is shuffled again, collected or broadcast.  ``row_bytes`` is
-    about what a row takes."""
+    stored once each, once for both if they are one DataFrame, and joined by a
+    Cartesian product of their partitions, so neither is shuffled again,
+    collected or broadcast.  ``row_bytes`` is about what a row takes.  Rows
+    without a ``filled`` meet none."""
     spark = left.sparkSession
     ship_package(spark)
-    nl, nr = left.count(), right.count()
+    same = right is left
+    nl = left.count()
+    nr = nl if same else right.count()
     rp = max(1, math.ceil(nr * row_bytes / SIDE_BYTES))
     blocks = max(1, math.ceil(nl * row_bytes / BLOCK_BYTES))
     wide = 4 * spark.sparkContext.defaultParallelism        # tasks that keep all cores busy
     lp = max(math.ceil(blocks / LEFT_BLOCKS), min(max(blocks, min(nl, wide)), math.ceil(wide / rp)))
-    a, b = stored_blocks(left, max(1, lp)), stored_blocks(right, rp)
+    lp = max(1, lp)
+    # one table for both sides is dealt for the side of more partitions; the other takes several of them at once
+    a = stored_blocks(left, max(lp, rp) if same else lp, None, filled)
+    b = stored_blocks(right, rp, a if same else None, filled)
+    if same:
+        a, b = a.coalesce(lp), b.coalesce(rp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read(block) -> pa.RecordBatch:
@@ -200,9 +215,14 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
     """(src, dst, dot, rank): the ``n`` rows of largest (``largest``) or
     smallest inner product with each query, ties by dst.  ``block_rows`` is the
     height of a matrix product.  Rows without a vector have no product."""
-    q, d = (df.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-            for df in (queries, vectors))
-    dims = d.agg(F.max(F.size("vec"))).first()[0] or 1
+    def narrow(df: DataFrame) -> DataFrame:
+        kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"
+        return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec"))
+
+    d = narrow(vectors)
+    q = d if queries is vectors else narrow(queries)
+    dims = max(1, d.agg(F.max(F.size("vec"))).first()[0] or 1)
+    width = 4 if dict(d.dtypes)["vec"] == "array<float>" else 8
 
     def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
         src, x = left.column("id").to_numpy(), matrix(left.column("vec"))
@@ -216,7 +236,7 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
         return pa.RecordBatch.from_arrays([pa.array(src[i]), pa.array(best.dst[i, j]), pa.array(best.dot[i, j])],
                                           names=["src", "dst", "dot"])
 
-    return _finish(block_join(q, d, 8 * dims + 16, meet, OUT_SCHEMA), n, largest)
+    return _finish(block_join(q, d, width * dims + 16, meet, OUT_SCHEMA, "vec"), n, largest)
 
 
 def antipodal_neighbors(queries: DataFrame, vectors: DataFrame, n: int, mode: str = "exact",
