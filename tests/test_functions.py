@@ -54,3 +54,13 @@ def test_views_and_margin(spark):
     r = df.select(vector_view("v", 2, "query").alias("q"), vector_view("v", 2, "pos").alias("p"),
                   vector_view("v", 2, "trunc", 1).alias("t"), cosine_margin("v", 2).alias("m")).first()
     assert r.q == [1.0, 0.0] and r.p == [1.0, 0.0, 1.0, 0.0] and r.t == [1.0, 1.0, 0.0] and r.m == 1.0
+
+
+def test_a_filter_on_normalised_vectors_computes_a_row_s_norm_once(spark):
+    from tripleselect.functions.vectors import dot, with_l2_normalized
+    df = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None])], "id long, v array<double>")
+    n = with_l2_normalized(df, "v")
+    assert [r.v for r in n.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0], None, [1.0, None]]
+    plan = n.select("id", dot("v", "v").alias("d")).where("d > 0.5")._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(x for x in plan.splitlines() if "Filter" in x)
+    assert condition.count("SQRT") == 2          # one for each side of the product

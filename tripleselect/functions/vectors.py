@@ -60,12 +60,11 @@ def vector_view(col, dim: int, view: str, sig: int | None = None) -> Column:
 
 def with_l2_normalized(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """L2-normalise ``col`` row-wise (double array); zero vectors stay zero."""
-    out = out or col
-    tmp = f"__norm_{col}"
-    return (df.withColumn(tmp, norm(col))
-              .withColumn(out, F.transform(F.col(col), lambda x: F.when(F.col(tmp) > 0, x.cast("double") / F.col(tmp))
-                                                                   .otherwise(x.cast("double"))))
-              .drop(tmp))
+    # the norm is an element of an array: as a column, a filter on the result would put it into the inner
+    # lambda function and compute it again for every element
+    unit = F.transform(F.array(norm(col)), lambda n: F.transform(F.col(col), lambda x: F.when(n > 0, x.cast("double") / n)
+                                                                                         .otherwise(x.cast("double"))))
+    return df.withColumn(out or col, unit[0])
 
 
 def block_weights(alpha: float, beta: float, clip_gamma: bool = True) -> tuple[float, float, float]:
