@@ -6,19 +6,28 @@
 * RR / AP at a relevance threshold and nDCG@k, per (system, topic), then
   the mean per system over all judged topics (topics with nothing retrieved
   count as 0; topics without judgements are dropped).
-* MaxSim late interaction and re-ranking of a fixed candidate set.
+* MaxSim late interaction and re-ranking of a fixed candidate set; vectors are met in stored blocks, never copied per pair.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import dot, norm, with_l2_normalized
+from tripleselect.operators.neighbors import block_join
 from tripleselect.operators.select import rank_within, top_k_per_group
 
+#: Documents that one row of a query asks for, about; products of tokens computed at once.
+ASKED, PRODUCTS = 1000, 1 << 18
+
 
 def unit_sums(df: DataFrame, group_col: str, vec_col: str = "vec") -> DataFrame:
     """(group, pos, s, n): per group, the element-wise sum ``s`` of the
@@ -145,18 +154,125 @@ def slice_tokens(vectors: DataFrame, id_col: str, vec_col: str, tokens: int, wid
                   .select(out_id, "tok", F.slice(vec_col, F.col("tok") * width + 1, F.lit(width)).alias("vec"))
 
 
+def token_lists(tokens: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(id, name): the token vectors of each id as one list of (tok, vec), sorted by tok."""
+    kind = "array<float>" if dict(tokens.dtypes)["vec"] == "array<float>" else "array<double>"
+    one = F.struct("tok", F.col("vec").cast(kind).alias("vec"))
+    return tokens.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias(name))
+
+
+class Tokens:
+    """The token lists of a block: ``first[i]`` is where row ``i``'s tokens
+    start; per token its name, its length and whether it is whole, per place
+    the elements of all tokens (0 where a token is shorter)."""
+
+    def __init__(self, lists: pa.ListArray):
+        flat = lists.flatten()
+        self.first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+        self.tok, vec = flat.field("tok"), flat.field("vec")
+        # flatten() leaves out null lists, field() keeps what a parent's offset hides: both are whole here
+        size = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = vec.flatten()
+        who = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
+        self.at = np.zeros((int(size.max(initial=0)), len(size)))
+        self.at[place, who] = pc.fill_null(x, 0.0).to_numpy(zero_copy_only=False)
+        self.whole = vec.is_valid().to_numpy(zero_copy_only=False).copy()
+        self.whole[who[x.is_null(nan_is_null=False).to_numpy(zero_copy_only=False)]] = False
+        self.size = size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...``, ``count[i]`` of them, one row after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def best_products(q: Tokens, d: Tokens, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Per token of row ``i[k]`` of ``q``, for all ``k``: its best inner product
+    with a token of row ``j[k]`` of ``d``; -inf if it has none.  Sums are
+    left to right, in double precision, as ``functions.vectors.dot``."""
+    nq, nd = np.diff(q.first)[i], np.diff(d.first)[j]
+    x = spread(q.first[i], nq)
+    per = np.repeat(nd, nq)
+    y = spread(np.repeat(d.first[j], nq), per)
+    x = np.repeat(x, per)
+    s = np.zeros(len(x))
+    for k in range(min(len(q.at), len(d.at))):
+        s += q.at[k][x] * d.at[k][y]
+    s[~(q.whole[x] & d.whole[y] & (q.size[x] == d.size[y]))] = -np.inf
+    return np.maximum.reduceat(s, np.cumsum(per) - per) if len(s) else s
+
+
+def pair_bests(pairs: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
+    """(qid, docno, best): per pair, ``best`` lists (qtok, best) of every query
+    token, null where no product is defined.
+
+    Queries with the documents asked of them, and documents, are stored in
+    blocks once each and met by ``block_join``: no vector is copied per pair."""
+    asked = pairs.select("qid", "docno").where(F.col("qid").isNotNull() & F.col("docno").isNotNull())
+    # a query asked for very many documents is several rows
+    parts = asked.groupBy("qid").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts"))
+    asked = (asked.join(parts, "qid").groupBy("qid", F.pmod(F.xxhash64("docno"), F.col("parts")).alias("part"))
+                  .agg(F.collect_set("docno").alias("docs")))
+    q = asked.join(token_lists(query_tokens, "qid", "tokens"), "qid").select("qid", "docs", "tokens")
+    d = token_lists(doc_tokens, "docno", "tokens").select("docno", "tokens")
+    bytes_ = doc_tokens.agg(F.avg(F.size("vec")).alias("w"), F.count(F.lit(1)).alias("n"),
+                            F.approx_count_distinct("docno").alias("docs")).first()
+    row_bytes = math.ceil((8 * max(bytes_["w"] or 1, 1) + 16) * bytes_["n"] / max(1, bytes_["docs"]))
+    tok, qid, docno = (dict(t.dtypes)[c] for t, c in ((query_tokens, "tok"), (q, "qid"), (pairs, "docno")))
+
+    def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+        q, asked = Tokens(left.column("tokens")), left.column("docs")
+        row = np.repeat(np.arange(left.num_rows), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        asked = asked.flatten()
+        want = pd.Index(asked.to_numpy(zero_copy_only=False))
+        # tokens of one name are one, whichever is best
+        names, nth = pd.factorize(q.tok.to_numpy(zero_copy_only=False), use_na_sentinel=False)[0], np.zeros(len(q), bool)
+        nth[q.first[:-1]] = True
+        nth[1:] |= names[1:] != names[:-1]
+        out = []
+        for right in rights:
+            at = pd.Index(right.column("docno").to_numpy(zero_copy_only=False)).get_indexer(want)
+            met = np.flatnonzero(at >= 0)
+            if not len(met):
+                continue
+            d = Tokens(right.column("tokens"))
+            work = np.cumsum(np.diff(q.first)[row[met]] * np.diff(d.first)[at[met]])
+            for part in np.split(met, np.searchsorted(work, np.arange(PRODUCTS, work[-1], PRODUCTS))):
+                if not len(part):
+                    continue
+                i = row[part]
+                best = best_products(q, d, i, at[part])
+                x = spread(q.first[i], np.diff(q.first)[i])
+                begin = np.flatnonzero(nth[x])
+                best = np.maximum.reduceat(best, begin)
+                per = np.add.reduceat(nth[x].astype(np.int64), np.cumsum(np.diff(q.first)[i]) - np.diff(q.first)[i])
+                pair = pa.StructArray.from_arrays([q.tok.take(pa.array(x[begin])), pa.array(best, mask=np.isneginf(best))], ["qtok", "best"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pair)
+                out.append(pa.RecordBatch.from_arrays([left.column("qid").take(pa.array(i)), asked.take(pa.array(part)), lists],
+                                                      names=["qid", "docno", "best"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+    return block_join(q, d, row_bytes, meet, f"qid {qid}, docno {docno}, best array<struct<qtok:{tok},best:double>>")
+
+
 def maxsim(pairs: DataFrame, query_tokens: DataFrame, doc_tokens: DataFrame,
            key_cols: tuple[str, ...] = ("qid", "docno")) -> DataFrame:
     """(key..., score): sum over query tokens of the best dot product with
     any document token.  ``pairs`` holds (key..., qid, docno); token tables
-    (qid, tok, vec) and (docno, tok, vec).  Only candidate pairs are
-    expanded to token pairs."""
+    (qid, tok, vec) and (docno, tok, vec).  Only candidate pairs are scored,
+    where both vectors lie (``pair_bests``)."""
     key = list(key_cols)
-    qt = query_tokens.select("qid", F.col("tok").alias("qtok"), F.col("vec").alias("qv"))
-    dt = doc_tokens.select("docno", F.col("tok").alias("dtok"), F.col("vec").alias("dv"))
-    per = (pairs.select(*dict.fromkeys(key + ["qid", "docno"])).join(qt, "qid").join(dt, "docno")
-                .select(*key, "qtok", dot("qv", "dv").alias("s"))
-                .groupBy(*key, "qtok").agg(F.max("s").alias("best")))
+    bests = pair_bests(pairs, query_tokens, doc_tokens)
+    if set(key) == {"qid", "docno"}:
+        known = F.filter("best", lambda b: b["best"].isNotNull())
+        score = F.aggregate(known, F.lit(0.0).cast("double"), lambda acc, b: acc + b["best"])
+        return bests.select(*key, F.when(F.size(known) > 0, score).alias("score"))
+    per = (pairs.select(*dict.fromkeys(key + ["qid", "docno"])).join(bests.select("qid", "docno", F.explode("best").alias("b")), ["qid", "docno"])
+                .select(*key, "b.qtok", "b.best").groupBy(*key, "qtok").agg(F.max("best").alias("best")))
     return per.groupBy(*key).agg(F.sum("best").alias("score"))
 
 

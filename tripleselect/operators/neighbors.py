@@ -204,9 +204,9 @@ def _local_topn(n: int, largest: bool, exclude_self: bool):
     return fn
 
 
-def _finish(cands: DataFrame, n: int, largest: bool) -> DataFrame:
+def _finish(cands: DataFrame, n: int, largest: bool, salts: int | None = None) -> DataFrame:
     order = F.round("dot", 9).desc() if largest else F.round("dot", 9).asc()
-    return top_k_per_group(cands, ["src"], [order], n, "dst", rank_col="rank")
+    return top_k_per_group(cands, ["src"], [order], n, "dst", rank_col="rank", salts=salts)
 
 
 def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: bool = True,
@@ -236,7 +236,8 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
         return pa.RecordBatch.from_arrays([pa.array(src[i]), pa.array(best.dst[i, j]), pa.array(best.dot[i, j])],
                                           names=["src", "dst", "dot"])
 
-    return _finish(block_join(q, d, width * dims + 16, meet, OUT_SCHEMA, "vec"), n, largest)
+    # a query has n candidates for each partition of rows, so no group is large
+    return _finish(block_join(q, d, width * dims + 16, meet, OUT_SCHEMA, "vec"), n, largest, salts=1)
 
 
 def antipodal_neighbors(queries: DataFrame, vectors: DataFrame, n: int, mode: str = "exact",

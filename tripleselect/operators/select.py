@@ -61,13 +61,16 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k, t
     Two phases: rows are first cut to ``k`` per ``(group, salt)`` with
     ``salt = hash(tie) mod salts``, so a hot group is split over ``salts``
     tasks; the survivors (at most ``salts * k`` per group) are ranked once
-    more.  Exact, because a group's first ``k`` rows survive phase one."""
+    more.  Exact, because a group's first ``k`` rows survive phase one.
+    With one salt (groups known to be small) rows are ranked at once."""
     s = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_cols) + [F.col(tie_col)]
     kexpr = F.lit(k) if not isinstance(k, (Column, str)) else (F.col(k) if isinstance(k, str) else k)
-    work = df.withColumn("__k", kexpr).withColumn("__salt", F.pmod(F.xxhash64(tie_col), F.lit(s)))
-    stage = (work.withColumn("__r1", F.row_number().over(Window.partitionBy(*group_cols, "__salt").orderBy(*order)))
-                 .where(F.col("__r1") <= F.col("__k")).drop("__r1", "__salt"))
+    stage = df.withColumn("__k", kexpr)
+    if s > 1:
+        work = stage.withColumn("__salt", F.pmod(F.xxhash64(tie_col), F.lit(s)))
+        stage = (work.withColumn("__r1", F.row_number().over(Window.partitionBy(*group_cols, "__salt").orderBy(*order)))
+                     .where(F.col("__r1") <= F.col("__k")).drop("__r1", "__salt"))
     return (stage.withColumn(rank_col, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
                  .where(F.col(rank_col) <= F.col("__k")).drop("__k"))
 

@@ -527,11 +527,13 @@ def q_maxsim(spark, sf):
 
 def _systems(spark, sf):
     from tripleselect.operators.evaluate import maxsim, rerank
-    dense = _dense_run(spark, sf)
+    from tripleselect.session import cut_lineage
+    # searched once, scored once: every use of a run would do it again
+    dense = cut_lineage(_dense_run(spark, sf).drop("system")).withColumn("system", F.lit("dense"))
     qt, dt = _token_tables(spark, sf)
     scores = maxsim(dense.select("qid", "docno"), qt, dt)
-    rr = rerank(dense, scores, "dense>>maxsim").select("system", "qid", "docno", "score", F.col("rank").cast("int"))
-    return dense.unionByName(rr)
+    rr = cut_lineage(rerank(dense, scores, "dense>>maxsim").select("qid", "docno", "score", F.col("rank").cast("int")))
+    return dense.unionByName(rr.withColumn("system", F.lit("dense>>maxsim"))).select("system", "qid", "docno", "score", "rank")
 
 
 @register("rerank_dense", K.with_(*_DENSE_SQL, *_RERANK_SQL)
