@@ -3,9 +3,9 @@ functions only.
 
 Two lines are near copies when one edit for every ``EDIT_CHARS`` characters of
 the longer one, ``TAU`` at most, turns one into the other; so lines of fewer
-than ``EDIT_CHARS`` characters must be equal.  Each number of edits has a join
+than ``EDIT_CHARS`` characters must be equal.  Each number of edits has keys
 of its own, for the longer lines (probes) that it is allowed to, and the lines
-that many edits shorter.
+that many edits shorter; all meet in one join.
 
 Lines within edit distance ``TAU`` are joined without comparing all pairs: an
 indexed line of length ``l`` is cut into ``TAU + 1`` segments of even length;
@@ -13,7 +13,8 @@ if a probe is within ``TAU`` edits, one segment occurs in it unchanged, no
 further than ``TAU`` from its place.  Probes look up only the substrings that
 can be that segment (the multi-match-aware ranges: the shift before segment
 ``i`` is bounded by the edits spent before it and those left after it).
-Segments and substrings are keyed by (length, segment number, hash).
+Segments and substrings are keyed by (edits, length, segment number, hash).  Keys
+are computed where the texts are read; only the texts of candidates are shuffled.
 
 Candidates must also agree in their counts of the ``LETTERS``: an edit changes
 at most two of them by one.  What is left is verified by banded bit-parallel edit distance: the band of
@@ -23,8 +24,6 @@ per column.  Common prefixes and suffixes are stripped first.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +37,8 @@ MIN_CHARS = TAU * EDIT_CHARS
 SPACES = " \t\n\x0b\f\r"
 #: Letters counted (modulo 64) in a line's 60-bit profile.
 LETTERS = "entaiorshl"
+#: Bits of the set that keeps texts of lines without candidates from being shuffled (a power of 2).
+MARKS = 1 << 26
 
 
 def let(value: Column, body) -> Column:
@@ -105,23 +106,26 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     return (F.when(F.abs(m - n) > tau, F.lit(tau + 1)).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(run))
 
 
-def distinct_lines(lines: DataFrame) -> DataFrame:
-    """``id, line, len, n`` for every different line; ``id`` is a 64-bit hash."""
-    return (lines.groupBy(F.xxhash64("line").alias("id"), F.length("line").alias("len"))
-                 .agg(F.first("line").alias("line")))
+def segment(length: Column, i: Column, tau: int = TAU) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of a line of ``length``: the
+    last segments are one longer if it does not divide evenly."""
+    k = tau + 1
+    short, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
+    return (short * i + F.greatest(F.lit(0), longer - (k - i)), short + F.when(longer >= k - i, 1).otherwise(0))
 
 
-def segments(length: Column, tau: int = TAU) -> list[tuple[Column, Column]]:
-    """Start (from 0) and length of each segment of a line of ``length``:
-    the last segments are one longer if it does not divide evenly."""
-    k = tau + 1
-    short = F.floor(length / k).cast("int")
-    longer = (length - short * k).cast("int")
-    out = []
-    for i in range(k):
-        extra = F.greatest(F.lit(0), longer - (k - i))            # longer segments before this one
-        out.append(((short * i + extra).cast("int"), (short + F.when(longer >= k - i, 1).otherwise(0)).cast("int")))
-    return out
+def segment_keys(line: Column, length: Column, places: list[tuple[int, int, int]], tau: int = TAU) -> Column:
+    """Per ``(gap, i, shift)``: the key of what stands in ``line``, ``shift``
+    characters on, where a line ``gap`` shorter has its segment ``i``."""
+    def key(p: Column) -> Column:
+        short = length - p["gap"]
+        s, n = segment(short, p["i"], tau)
+        at = s + p["shift"]
+        return F.when((at >= 0) & (at + n <= length), F.xxhash64(F.lit(tau), short, p["i"], F.substring(line, at + 1, n)))
+
+    # one small function for all places: written out, they make a method too large to be compiled
+    listed = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(x).alias("shift")) for g, i, x in places])
+    return F.array_compact(F.transform(listed, key))
 
 
 def profile(line: Column) -> Column:
@@ -145,28 +149,48 @@ def allowed_edits(longer: Column, tau: int = TAU) -> Column:
     return F.least(F.floor(longer / EDIT_CHARS), F.lit(tau))
 
 
-def index_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``key, id, profile`` for each segment of each line, cut for ``tau``
-    edits: the lines that are up to ``tau`` shorter than a probe."""
-    parts = segments(F.col("len"), tau)
-    return lines.where(F.col("len") >= (EDIT_CHARS - 1) * tau).select("id", "profile", F.explode(F.array(*[
-        F.xxhash64(F.col("len"), F.lit(i), F.substring(F.col("line"), s + 1, n)) for i, (s, n) in enumerate(parts)])).alias("key"))
+def index_keys(line: Column, length: Column, tau: int = TAU) -> Column:
+    """Keys of the segments of a line, cut for ``tau`` edits; none if it is too
+    short to be met by a probe of so many edits."""
+    keys = segment_keys(line, length, [(0, i, 0) for i in range(tau + 1)], tau)
+    return F.when(length >= (EDIT_CHARS - 1) * tau, keys).otherwise(F.array().cast("array<bigint>"))
+
+
+def probe_keys(line: Column, length: Column, tau: int = TAU) -> Column:
+    """Keys of every substring that may be a segment of an indexed line that is
+    equally long or up to ``tau`` shorter."""
+    # 1-based segment i + 1 of a line `gap` shorter: shift bounded from the left by i edits, from the right by tau - i
+    return segment_keys(line, length, [(gap, i, shift) for gap in range(tau + 1) for i in range(tau + 1)
+                                       for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1)], tau)
+
+
+def distinct_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
+    """``id, profile, index, probes`` for every different line (``lines``: ``id,
+    line, len``, an id any number of times): what the join needs, computed
+    where the texts are read, so no text is shuffled.
+
+    A probe of ``t`` allowed edits meets lines indexed for ``t``: only lines
+    that such a probe can reach have those keys."""
+    line, length = F.col("line"), F.col("len")
+    none = F.array().cast("array<bigint>")
+    index, probes = [], none
+    for t in range(1, tau + 1):
+        reached = index_keys(line, length, t)
+        index.append(reached if t == tau else F.when(length < EDIT_CHARS * (t + 1), reached).otherwise(none))
+        probes = F.when(allowed_edits(length, tau) == t, probe_keys(line, length, t)).otherwise(probes)
+    one = F.struct(profile(line).alias("profile"), F.concat(*index).alias("index"), probes.alias("probes"))
+    return lines.select("id", one.alias("one")).groupBy("id").agg(F.first("one").alias("one")).select("id", "one.*")
 
 
-def probe_entries(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """``key, id, profile`` for every substring that may be a segment of an indexed
-    line that is equally long or up to ``tau`` shorter."""
-    keys = []
-    for gap in range(tau + 1):                                    # this line is `gap` longer than the indexed one
-        length = F.col("len") - gap
-        for i, (s, n) in enumerate(segments(length, tau)):
-            # 1-based segment i + 1: shift bounded from the left by i edits, from the right by tau - i
-            lo = max(-i, gap - (tau - i))
-            hi = min(i, gap + (tau - i))
-            for shift in range(lo, hi + 1):
-                at = s + shift
-                keys.append(F.when((at >= 0) & (at + n <= F.col("len")), F.xxhash64(length, F.lit(i), F.substring(F.col("line"), at + 1, n))))
-    return lines.select("id", "profile", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+def marked_lines(lines: DataFrame, need: DataFrame) -> DataFrame:
+    """``id, line`` of the lines in ``need(id)``, each once.  A broadcast set of
+    ``MARKS`` bits (in words of 64) drops most others before the shuffle."""
+    mark = F.col("id").bitwiseAND(F.lit(MARKS - 1))
+    bit = F.expr(f"shiftleft(1L, cast(id & 63 as int))")
+    words = need.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    some = (lines.select("id", "line", F.shiftright(mark, 6).alias("word")).join(F.broadcast(words), "word")
+                 .where(F.col("bits").bitwiseAND(bit) != 0).select("id", "line"))
+    return some.groupBy("id").agg(F.first("line").alias("line")).join(need, "id", "left_semi")
 
 
 def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
@@ -176,23 +200,18 @@ def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
 
 
 def near_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
-    """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``)
-    that are near copies (``allowed_edits``, ``tau`` at most), with ``distance``."""
-    long = lines.where(F.col("len") >= EDIT_CHARS - 1).withColumn("profile", profile(F.col("line")))
-
-    def candidates(t: int) -> DataFrame:
-        shorter = long if t == tau else long.where(F.col("len") < EDIT_CHARS * (t + 1))
-        idx = index_entries(shorter, t).select("key", F.col("id").alias("a"), F.col("profile").alias("pa"))
-        prb = probe_entries(long.where(allowed_edits(F.col("len"), tau) == t), t).select(
-            F.col("key").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
-        met = idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
-                       profiles_agree(F.col("pa"), F.col("pb"), t))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # the longer line of a pair decides its join, so no pair is in two
-    pairs = cut_lineage(reduce(DataFrame.unionByName, [candidates(t) for t in range(1, tau + 1)]))
-    need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = long.join(need, "id", "left_semi").select("id", "line")
+    """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``, an id
+    any number of times) that are near copies (``allowed_edits``, ``tau`` at most), with ``distance``."""
+    long = lines.where(F.col("len") >= EDIT_CHARS - 1)
+    keyed = distinct_lines(long, tau)
+    # one exchange of the different lines feeds both sides
+    idx = keyed.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("profile").alias("pa"))
+    prb = keyed.select(F.explode("probes").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
+    met = idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
+                   profiles_agree(F.col("pa"), F.col("pb"), tau))
+    pairs = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    need = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    text = marked_lines(long, need)
     both = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
                  .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
     both = both.withColumn("lim", F.least(F.length("x"), F.length("y")))
@@ -210,7 +229,8 @@ def near_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
 def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """Per different line that has a near copy: ``id, class_key, n_links``
     (other lines that are near copies of it)."""
-    links = cut_lineage(near_links(distinct_lines(line_rows(docs).select("line")), tau))
+    lines = line_rows(docs).select(F.xxhash64("line").alias("id"), "line", F.length("line").alias("len"))
+    links = cut_lineage(near_links(lines, tau))
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     comps = connected_components(links)
     return (ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")).join(comps, "node")
