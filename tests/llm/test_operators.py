@@ -4,11 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tripleselect.llm import (decontaminate, kd_shards, language_id, line_dedup, mixing, near_dedup, quality_cotrain,
                               quality_rules, token_planes, toxicity)
 from tripleselect.llm.common import fold, shared_folder
+from tripleselect.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -378,7 +380,7 @@ def test_language_counts_cover_all_rows_and_whole_texts(spark, monkeypatch):
 def test_token_planes_round_trip(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
-    path = public_tokenizers.path("byte_bpe_50k.json")
+    path = tokenizer_path()
     tok = Tokenizer.from_file(path)
     extra = odd.select("doc_id", "text").union(spark.createDataFrame(
         [(50, " two  blanks \n x\t\r\n y"), (51, "<|endoftext|> it's 'tis\n\nnew"), (52, "a <|endoftext|> b"),
@@ -411,3 +413,31 @@ def test_rules_and_ablation(spark, odd, empty):
     base = {r.rule: r for r in ab if r.version == "base"}
     assert base["few_words"].rule_failed == 7 and base["repeated_windows"].only_this_rule == 1
     assert quality_rules.ledger(empty).count() == 0
+
+
+def test_a_worker_holds_the_caches_of_one_operator():
+    """The stages of a pipeline run in the same worker processes."""
+    path = tokenizer_path()
+    token_planes.encoder(path).encode(pa.array(["some words of a text"]))
+    assert token_planes.encoder(path).rows and not near_dedup.WORDS          # kept from call to call
+    near_dedup.shingles(["other words of one more text"])
+    assert near_dedup.WORDS and not token_planes._ENCODERS
+    toxicity.Cached(len)["word"]
+    assert not near_dedup.WORDS
+    ids, sizes = token_planes.encoder(path).encode(pa.array(["some words"]))
+    assert len(ids) == sizes.sum() > 0
+
+
+def test_line_join_shuffles_only_texts_of_candidates(spark):
+    """Keys stand where the texts are read; repeated and lone lines leave no text."""
+    lone = ["".join(random.Random(i).choices("abcdefgh ", k=40)) for i in range(200)]
+    near = ["the first of two lines that differ by a letter", "the first of two lines that differ by a lettar"]
+    rows = [(hash(t) & (1 << 60) - 1, t, len(t)) for t in lone * 2 + near * 3]
+    lines = spark.createDataFrame(rows, "id long, line string, len int")
+    keyed = line_dedup.distinct_lines(lines)
+    assert keyed.count() == 202 and "line" not in keyed.columns
+    links = line_dedup.near_links(lines).collect()
+    assert [r.distance for r in links] == [1]
+    need = spark.createDataFrame([(links[0].a,), (links[0].b,)], "id long")
+    assert sorted(r.line for r in line_dedup.marked_lines(lines, need).collect()) == sorted(near)
+    assert "BroadcastHashJoin" in line_dedup.marked_lines(lines, need)._jdf.queryExecution().toString()

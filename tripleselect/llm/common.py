@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,21 @@ from tripleselect.session import cut_lineage, ensure_checkpoint_dir, ship_packag
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: What empties a cache of this worker process, by the operator that filled it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(operator: str, clear: Callable[[], None]) -> None:
+    """``operator`` goes on to fill a cache in this worker process, ``clear``
+    empties it; the caches of other operators are emptied now, so that a worker
+    of several stages never holds more than one stage's."""
+    if operator not in _HELD:
+        for other in list(_HELD):
+            _HELD.pop(other)()
+        _HELD[operator] = clear
+        pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

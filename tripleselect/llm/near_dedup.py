@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tripleselect.llm.common import connected_components, cut_lineage, map_slices, text_key
+from tripleselect.llm.common import connected_components, cut_lineage, hold, map_slices, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -73,6 +73,7 @@ def shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray,
     """``(document, shingle, count)``: distinct shingles of each text.  Words
     are runs of non-space; a text with 1 to ``size - 1`` words is one shingle
     of all its words; a text without words has none."""
+    hold("near_dedup", WORDS.clear)
     words = [t.split() if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     flat = np.fromiter((WORDS[x] for w in words for x in w), np.uint64, int(n.sum()))

@@ -38,6 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripleselect.llm.common import hold
+
 MAGIC = b"TSPLANE1"
 MANIFEST = "shard int, file string, docs long, ids long, bytes long"
 #: Documents encoded together; bounds the memory of a task besides one Arrow batch.
@@ -142,6 +144,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process and tokenizer file."""
+    hold("token_planes", _ENCODERS.clear)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
