@@ -86,3 +86,21 @@ def test_odd_tables(spark):
     df = frame(spark, x).union(spark.createDataFrame([(9, None), (None, [1.0, 1.0])], "triple_id long, vec array<double>"))
     index = CellIndex.build(df, 4, shared_path(spark, "cells"))
     assert got(index.search(df, 5)) == {0: [0, 1, 2], 1: [1, 0, 2], 2: [0, 1, 2]}
+
+
+def test_queries_reach_the_driver_in_the_type_of_their_numbers(spark, data):
+    """Single precision stays single: half the bytes, the same neighbours."""
+    single = data.astype(np.float32)
+    df = frame(spark, single.astype(float)).selectExpr("triple_id", "cast(vec as array<float>) vec")
+    index = CellIndex.build(df, 6, shared_path(spark, "cells"), max_iter=3)
+    kinds = []
+    sent = cellindex._nearest
+
+    def seen(rows, *args):
+        kinds.append(dict(sent(rows, *args).dtypes)["vec"])
+        return sent(rows, *args)
+    cellindex._nearest, want = seen, brute(single.astype(float), single.astype(float), 4, False)
+    try:
+        assert got(index.search(df, 4, largest=False)) == want and kinds == ["array<float>"]
+    finally:
+        cellindex._nearest = sent

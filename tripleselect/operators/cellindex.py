@@ -64,7 +64,7 @@ def _nearest(rows: DataFrame, mat: np.ndarray, cells: np.ndarray, sign: float =
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(name[best].astype(np.int32))],
                                                  names=["id", "vec", "cell"])
 
-    return rows.select("id", "vec").mapInArrow(run, "id long, vec array<double>, cell int")
+    return rows.select("id", "vec").mapInArrow(run, f"id long, vec {dict(rows.dtypes)['vec']}, cell int")
 
 
 @dataclass
@@ -200,8 +200,10 @@ class CellIndex:
         query ids are one query each."""
         spark = queries.sparkSession
         sign = 1.0 if largest else -1.0
+        # queries reach the driver block by block, in the type of their numbers
+        kind = "array<float>" if dict(queries.dtypes)[vec_col] == "array<float>" else "array<double>"
         q = queries.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
-            F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).dropDuplicates(["id"])
+            F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).dropDuplicates(["id"])
         out = None
         if len(self.cells):
             for ids, target in self.blocks(q, sign):
