@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripleselect.llm import (decontaminate, kd_shards, language_id, line_dedup, mixing, near_dedup, quality_cotrain,
                               quality_rules, token_planes, toxicity)
-from tripleselect.llm.common import fold, shared_folder
+from tripleselect.llm.common import fold, marked_rows, shared_folder
 from tripleselect.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -441,3 +441,23 @@ def test_line_join_shuffles_only_texts_of_candidates(spark):
     need = spark.createDataFrame([(links[0].a,), (links[0].b,)], "id long")
     assert sorted(r.line for r in line_dedup.marked_lines(lines, need).collect()) == sorted(near)
     assert "BroadcastHashJoin" in line_dedup.marked_lines(lines, need)._jdf.queryExecution().toString()
+
+
+def test_near_duplicate_texts_without_candidates_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(2000)] + [(5000, None)], "doc_id long, text string")
+    need = docs.where("doc_id % 500 = 7").select(near_dedup.text_key(F.col("text")).alias("node"))
+    one = near_dedup.node_texts(docs, need)
+    assert sorted(r.text for r in one.collect()) == sorted(f"text number {i}" for i in (7, 507, 1007, 1507))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.rindex("Aggregate(key=[node"):]               # below the first step of the grouping of the texts
+    assert "BroadcastHashJoin" in scan
+    key = F.xxhash64("doc_id")
+    assert 4 <= marked_rows(docs, key, docs.where("doc_id % 500 = 7"), key).count() < 20
+
+
+def test_linked_classes_are_joined_as_a_whole(spark):
+    comps = spark.createDataFrame([(x, c) for c, xs in (("a", "abc"), ("d", "de"), ("f", "fgh")) for x in xs],
+                                  "node string, comp string")
+    links = spark.createDataFrame([("h", "e"), ("z", "y"), ("y", "b")], "a string, b string")
+    got = {r.node: r.comp for r in near_dedup.joined_classes(comps, links).collect()}
+    assert got == dict(zip("abcdefghyz", "aaaddddd" + "aa"))

@@ -20,6 +20,10 @@ from tripleselect.session import cut_lineage, ensure_checkpoint_dir, ship_packag
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bits of the set that keeps rows without a wanted key from being shuffled (a power of 2).
+MARKS = 1 << 26
+
+
 #: What empties a cache of this worker process, by the operator that filled it.
 _HELD: dict[str, Callable[[], None]] = {}
 
@@ -55,6 +59,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)), F.lit(-1)).cast("int")
 
 
+def marked_rows(rows: DataFrame, key: Column, need: DataFrame, need_key: Column) -> DataFrame:
+    """The ``rows`` whose ``key`` (a 64-bit hash) may be among ``need_key`` of
+    ``need``: all that are, and few others.  A broadcast set of ``MARKS`` bits
+    (in words of 64) drops the rest before a shuffle; an exact join follows."""
+    def mark(k: Column) -> Column:
+        return k.bitwiseAND(F.lit(MARKS - 1))
+
+    bit = "shiftleft(1L, cast(__mark & 63 as int))"
+    words = need.select(mark(need_key).alias("__mark")).groupBy(F.shiftright("__mark", 6).alias("__word")).agg(
+        F.expr(f"bit_or({bit})").alias("__bits"))
+    return (rows.withColumn("__mark", mark(key)).withColumn("__word", F.shiftright("__mark", 6))
+                .join(F.broadcast(words), "__word").where(f"__bits & {bit} != 0").select(*rows.columns))
+
+
 def least_hash_rows(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
     """The ``docs`` rows of about ``rows`` marked documents, those whose
     ``doc_id`` has the least hash, with the columns of ``marked(doc_id, ...)``.

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tripleselect.llm.common import connected_components, cut_lineage, hold, map_slices, text_key
+from tripleselect.llm.common import connected_components, cut_lineage, hold, map_slices, marked_rows, text_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -248,8 +248,10 @@ def bucket_entries(sk: DataFrame, bands: int = BANDS) -> tuple[DataFrame, DataFr
            .where(F.col("h") != F.get("bands", F.col("band"))).drop("bands").withColumnRenamed("unit", "bands"))
     entry = entry.select("node", "band", "h", F.get("bands", (F.col("band") + 1) % bands).alias("h1"),
                          F.get("bands", (F.col("band") + 7) % bands).alias("h2"))
-    size = entry.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return one, cut_lineage(entry.join(size, ["band", "h"]))
+    size = cut_lineage(entry.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # most texts are alone in their buckets: those entries are not shuffled a second time
+    bucket = F.xxhash64("band", "h")
+    return one, cut_lineage(marked_rows(entry, bucket, size, bucket).join(size, ["band", "h"]))
 
 
 def candidate_pairs(one: DataFrame, entry: DataFrame, bands: int = BANDS, rows: int = ROWS,
@@ -275,11 +277,18 @@ def candidate_pairs(one: DataFrame, entry: DataFrame, bands: int = BANDS, rows:
     return both.where(agree("x", "y") >= least).select("a", "b")
 
 
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the texts in ``nodes(node)``, each once; few others are shuffled."""
+    texts = docs.select(text_key(F.col("text")).alias("node"), "text").where(F.col("node").isNotNull())
+    key = F.xxhash64("node")
+    one = marked_rows(texts, key, nodes, key).groupBy("node").agg(F.first("text").alias("text"))
+    return one.join(nodes, "node", "left_semi")
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, items, counts`` of the texts in ``nodes(node)``: sorted
     shingles (64 bits each) and how often each occurs (32 bits each)."""
-    texts = (docs.select(text_key(F.col("text")).alias("node"), "text").where(F.col("node").isNotNull())
-                 .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+    texts = node_texts(docs, nodes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -313,7 +322,7 @@ def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: Dat
                                                    F.ceil(F.col("n") / block).alias("all_blocks"),
                                                    F.ceil((F.col("n") - F.col("top.c")) / block).alias("few_blocks")))
     at = cut_lineage(at.join(per, ["band", "h"]))
-    wide = at.join(shingle_sets(docs, at.select("node").distinct()).join(one.select("node", "sketch"), "node"), "node")
+    wide = at.join(shingle_sets(docs, cut_lineage(at.select("node").distinct())).join(one.select("node", "sketch"), "node"), "node")
     few = F.pmod(F.xxhash64("node"), F.col("few_blocks"))
     every = F.pmod(F.xxhash64("node", F.lit(1)), F.col("all_blocks"))
 
@@ -363,9 +372,8 @@ def leftover_links(docs: DataFrame, one: DataFrame, entry: DataFrame, comps: Dat
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs whose texts are similar enough, with their ``similarity``."""
-    nodes = pairs.select(F.col("a").alias("tkey")).unionByName(pairs.select(F.col("b").alias("tkey"))).distinct()
-    texts = (docs.select(text_key(F.col("text")).alias("tkey"), "text").where(F.col("tkey").isNotNull())
-                 .join(nodes, "tkey", "left_semi").dropDuplicates(["tkey"]))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = node_texts(docs, cut_lineage(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def sets(texts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -383,11 +391,24 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHO
             ok = sim >= threshold
             yield pd.DataFrame({"a": part["a"].to_numpy()[ok], "b": part["b"].to_numpy()[ok], "similarity": sim[ok]})
 
-    both = (pairs.join(texts.select(F.col("tkey").alias("a"), F.col("text").alias("ta")), "a")
-                 .join(texts.select(F.col("tkey").alias("b"), F.col("text").alias("tb")), "b"))
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
     return map_slices(both.select("a", "b", "ta", "tb"), run, "a string, b string, similarity double", ("ta", "tb"), SLICE_CHARS)
 
 
+def joined_classes(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, comp`` once the classes of ``comps(node, comp)`` that ``links(a,
+    b)`` connect are one; a node without a class is one of its own.  Only
+    linked classes go through the rounds of the component search."""
+    for end in ("a", "b"):
+        links = (links.join(comps.select(F.col("node").alias(end), "comp"), end, "left")
+                      .withColumn(end, F.coalesce("comp", end)).drop("comp"))
+    met = cut_lineage(connected_components(links))
+    now = (comps.join(met.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left")
+                .select("node", F.coalesce("now", "comp").alias("comp")))
+    return now.unionByName(met.join(comps, "node", "left_anti"))
+
+
 def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Per input row ``doc_id, tkey, class_id, class_key, class_size, texts``.
 
@@ -404,8 +425,7 @@ def near_classes(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, threshol
     comps = cut_lineage(connected_components(verified_pairs(docs, tried, threshold)))
     links = cut_lineage(leftover_links(docs, one, entry, comps, bands, rows, threshold))
     if links.limit(1).count():
-        comps = connected_components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
-                                                            .where("a <> b")))
+        comps = joined_classes(comps, links)
     keys = sk.where(F.col("tkey").isNotNull()).groupBy("tkey").agg(F.min("doc_id").alias("low"),
                                                                    F.count(F.lit(1)).alias("n"))
     keys = keys.join(comps, F.col("tkey") == F.col("node"), "left").select(
