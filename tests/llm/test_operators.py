@@ -443,6 +443,34 @@ def test_line_join_shuffles_only_texts_of_candidates(spark):
     assert "BroadcastHashJoin" in line_dedup.marked_lines(lines, need)._jdf.queryExecution().toString()
 
 
+def test_line_join_meets_equally_long_lines_once(spark):
+    """Lines of one length are index and probe at once: a pair has one row for
+    each segment it shares, not one in either role, so three at most."""
+    near = ["a line of a group whose members differ in one letter: " + c for c in "abcdefghij"]
+    rows = [(i, t, len(t)) for i, t in enumerate(near)]
+    lines = spark.createDataFrame(rows, "id long, line string, len int")
+    assert line_dedup.met_lines(line_dedup.distinct_lines(lines)).count() == 45 * 2
+    assert line_dedup.near_links(lines).count() == 45
+
+
+def test_line_keys_are_those_of_the_substrings():
+    """A prefix hash gives equal keys for equal characters, whatever stands
+    before them and however many bytes they have; profiles count modulo 64."""
+    lines = ["é" * 5 + "abcdefghijklmnopqrstuvwx", "abcdefghijklmnopqrstuvwxyz", "e" * 5000 + "ntß", "short line 1", "ß"]
+    texts = line_dedup.LineTexts(pa.array(["skipped", *lines]).slice(1))
+    assert texts.length.tolist() == [len(x) for x in lines]
+    n = np.array([24, 24])
+    a, b = texts.key(np.array([0, 1]), 2, n, 0, np.array([5, 0]), n)
+    assert a == b
+    one = line_dedup.LineTexts(pa.array([lines[1]]))
+    assert one.key(np.array([0]), 2, n[:1], 0, np.array([0]), n[:1])[0] == a
+    for x, p in zip(lines, texts.profile().tolist()):
+        assert p >> 60 == len(x) % 8
+        assert [p >> 6 * k & 63 for k in range(10)] == [x.count(c) % 64 for c in line_dedup.LETTERS]
+    flat, sizes = texts.index(2)
+    assert sizes.tolist() == [3, 3, 3, 2, 0] and len(flat) == sizes.sum()
+
+
 def test_near_duplicate_texts_without_candidates_are_not_shuffled(spark):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(2000)] + [(5000, None)], "doc_id long, text string")
     need = docs.where("doc_id % 500 = 7").select(near_dedup.text_key(F.col("text")).alias("node"))

@@ -1,5 +1,5 @@
 """Near-duplicate lines by a segment-partition edit join, on DataFrame and SQL
-functions only.
+functions; the join's keys are computed on Arrow batches.
 
 Two lines are near copies when one edit for every ``EDIT_CHARS`` characters of
 the longer one, ``TAU`` at most, turns one into the other; so lines of fewer
@@ -17,17 +17,22 @@ Segments and substrings are keyed by (edits, length, segment number, hash).  Key
 are computed where the texts are read; only the texts of candidates are shuffled.
 
 Candidates must also agree in their counts of the ``LETTERS``: an edit changes
-at most two of them by one.  What is left is verified by banded bit-parallel edit distance: the band of
+at most two of them by one; equally long lines meet in one order of their ids only.  What is left is verified by banded bit-parallel edit distance: the band of
 ``2 TAU + 1`` diagonals is one integer per text position, moved one row down
 per column.  Common prefixes and suffixes are stripped first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleselect.llm.common import connected_components, cut_lineage
+from tripleselect.llm.common import connected_components, cut_lineage, marked_rows
 
 TAU = 2
 #: Characters of the longer line for each edit.
@@ -37,8 +42,22 @@ MIN_CHARS = TAU * EDIT_CHARS
 SPACES = " \t\n\x0b\f\r"
 #: Letters counted (modulo 64) in a line's 60-bit profile.
 LETTERS = "entaiorshl"
-#: Bits of the set that keeps texts of lines without candidates from being shuffled (a power of 2).
-MARKS = 1 << 26
+#: Bytes of lines whose keys are computed at once (one line at least).
+SLICE_BYTES = 1 << 20
+GOLD, M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Base of the prefix hash; odd, so that it has an inverse.
+BASE = 0xD1342543DE82EF95
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finalising mixer of 64-bit integers (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * M1
+    x = (x ^ (x >> np.uint64(27))) * M2
+    return x ^ (x >> np.uint64(31))
+
+
+#: What a byte counts in the prefix hash.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * GOLD)
 
 
 def let(value: Column, body) -> Column:
@@ -106,32 +125,100 @@ def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     return (F.when(F.abs(m - n) > tau, F.lit(tau + 1)).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(run))
 
 
-def segment(length: Column, i: Column, tau: int = TAU) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of ``length``: the
+def segment(length: np.ndarray, i: int, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
+    """Start (from 0) and length of segment ``i`` of lines of ``length``: the
     last segments are one longer if it does not divide evenly."""
     k = tau + 1
-    short, longer = F.floor(length / k).cast("int"), (length % k).cast("int")
-    return (short * i + F.greatest(F.lit(0), longer - (k - i)), short + F.when(longer >= k - i, 1).otherwise(0))
-
-
-def segment_keys(line: Column, length: Column, places: list[tuple[int, int, int]], tau: int = TAU) -> Column:
-    """Per ``(gap, i, shift)``: the key of what stands in ``line``, ``shift``
-    characters on, where a line ``gap`` shorter has its segment ``i``."""
-    def key(p: Column) -> Column:
-        short = length - p["gap"]
-        s, n = segment(short, p["i"], tau)
-        at = s + p["shift"]
-        return F.when((at >= 0) & (at + n <= length), F.xxhash64(F.lit(tau), short, p["i"], F.substring(line, at + 1, n)))
+    short, longer = length // k, length % k
+    return short * i + np.maximum(0, longer - (k - i)), short + (longer >= k - i)
 
-    # one small function for all places: written out, they make a method too large to be compiled
-    listed = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(x).alias("shift")) for g, i, x in places])
-    return F.array_compact(F.transform(listed, key))
 
-
-def profile(line: Column) -> Column:
-    """Counts of the letters, modulo 64, packed into one integer."""
-    return sum((F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long")
-                            .bitwiseAND(F.lit(63).cast("long")), 6 * k) for k, c in enumerate(LETTERS)), F.lit(0).cast("long"))
+def probe_places(tau: int) -> list[tuple[int, int, int]]:
+    """Per ``(gap, i, shift)``: a probe's substring ``shift`` characters on from
+    where a line ``gap`` shorter has its segment ``i`` may be that segment."""
+    # 1-based segment i + 1 of a line `gap` shorter: shift bounded from the left by i edits, from the right by tau - i
+    return [(gap, i, shift) for gap in range(tau + 1) for i in range(tau + 1)
+            for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1)]
+
+
+class LineTexts:
+    """Lines' UTF-8 bytes with a prefix hash (a polynomial modulo 2^64), so
+    that any substring's hash takes two look-ups."""
+
+    _power = _inverse = np.ones(1, np.uint64)
+
+    def __init__(self, lines: pa.Array):
+        lines = lines.cast(pa.large_string())
+        ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+        self.data = np.frombuffer(lines.buffers()[2], np.uint8)[ends[0]:ends[-1]]
+        self.ends = ends - ends[0]
+        # places of characters among the bytes, and the end
+        self.chars = np.append(np.flatnonzero((self.data & 0xC0) != 0x80), len(self.data))
+        at = np.searchsorted(self.chars, self.ends)
+        self.first, self.length = at[:-1], np.diff(at)
+        if len(self._power) <= len(self.data):
+            n = max(len(self.data), SLICE_BYTES) + 1
+            for name, base in (("_power", BASE), ("_inverse", pow(BASE, -1, 1 << 64))):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(LineTexts, name, np.cumprod(steps, dtype=np.uint64))
+        self.prefix = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(BYTE_CODES[self.data] * self._power[:len(self.data)], out=self.prefix[1:])
+
+    def key(self, rows: np.ndarray, tau: int, short: np.ndarray, i: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Keys of ``n`` characters from ``at`` of each line, as segment ``i`` of a line of ``short``."""
+        lo = self.first[rows] + at
+        lo, hi = self.chars[lo], self.chars[lo + n]
+        h = (self.prefix[hi] - self.prefix[lo]) * self._inverse[lo]
+        place = (short.astype(np.uint64) * np.uint64(16) + np.uint64(tau)) * np.uint64(16) + np.uint64(i)
+        return mix(h ^ mix(place + GOLD))
+
+    def index(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the segments of every line, cut for each number of edits of
+        the probes that can reach it, and how many keys each line has."""
+        keys, has = [], []
+        for t in range(1, tau + 1):
+            reached = (self.length >= (EDIT_CHARS - 1) * t) & ((t == tau) | (self.length < EDIT_CHARS * (t + 1)))
+            rows = np.flatnonzero(reached)
+            for i in range(t + 1):
+                at, n = segment(self.length[rows], i, t)
+                keys.append((rows, self.key(rows, t, self.length[rows], i, at, n)))
+        return self.listed(keys)
+
+    def probes(self, tau: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of every substring that may be a segment of an indexed line that
+        is equally long or up to the allowed edits shorter, and how many each line has."""
+        keys, allowed = [], np.minimum(self.length // EDIT_CHARS, tau)
+        for t in range(1, tau + 1):
+            mine = np.flatnonzero(allowed == t)
+            for gap, i, shift in probe_places(t):
+                short = self.length[mine] - gap
+                at, n = segment(short, i, t)
+                at = at + shift
+                inside = (at >= 0) & (at + n <= self.length[mine])
+                rows = mine[inside]
+                keys.append((rows, self.key(rows, t, short[inside], i, at[inside], n[inside])))
+        return self.listed(keys)
+
+    def listed(self, keys: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        rows, flat = (np.concatenate([k[c] for k in keys]) for c in (0, 1))
+        return flat[np.argsort(rows, kind="stable")].view(np.int64), np.bincount(rows, minlength=len(self.length))
+
+    def profile(self) -> np.ndarray:
+        """Counts of the letters, modulo 64, and the length, modulo 8, packed into one integer."""
+        codes = [ord(c) for c in LETTERS]
+        out = (self.length & 7).astype(np.int64) << 60
+        for half in (0, 5):                                       # five letters at once, 12 bits each
+            count = np.zeros(256, np.int64)
+            for k, c in enumerate(codes[half:half + 5]):
+                count[c] = 1 << (12 * k)
+            sums = np.add.reduceat(count[self.data], self.ends[:-1]) if len(self.length) else out
+            for k in range(len(codes[half:half + 5])):
+                out |= ((sums >> (12 * k)) & 63) << (6 * (half + k))
+        for r in np.flatnonzero(np.diff(self.ends) >= 1 << 12):    # their counts may not fit
+            n = np.bincount(self.data[self.ends[r]:self.ends[r + 1]], minlength=256)[codes] & 63
+            out[r] = ((self.length[r] & 7) << 60) + (n << (6 * np.arange(len(codes)))).sum()
+        return out
 
 
 def profiles_agree(a: Column, b: Column, tau: int = TAU) -> Column:
@@ -149,21 +236,6 @@ def allowed_edits(longer: Column, tau: int = TAU) -> Column:
     return F.least(F.floor(longer / EDIT_CHARS), F.lit(tau))
 
 
-def index_keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """Keys of the segments of a line, cut for ``tau`` edits; none if it is too
-    short to be met by a probe of so many edits."""
-    keys = segment_keys(line, length, [(0, i, 0) for i in range(tau + 1)], tau)
-    return F.when(length >= (EDIT_CHARS - 1) * tau, keys).otherwise(F.array().cast("array<bigint>"))
-
-
-def probe_keys(line: Column, length: Column, tau: int = TAU) -> Column:
-    """Keys of every substring that may be a segment of an indexed line that is
-    equally long or up to ``tau`` shorter."""
-    # 1-based segment i + 1 of a line `gap` shorter: shift bounded from the left by i edits, from the right by tau - i
-    return segment_keys(line, length, [(gap, i, shift) for gap in range(tau + 1) for i in range(tau + 1)
-                                       for shift in range(max(-i, gap - (tau - i)), min(i, gap + (tau - i)) + 1)], tau)
-
-
 def distinct_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """``id, profile, index, probes`` for every different line (``lines``: ``id,
     line, len``, an id any number of times): what the join needs, computed
@@ -171,25 +243,31 @@ def distinct_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
 
     A probe of ``t`` allowed edits meets lines indexed for ``t``: only lines
     that such a probe can reach have those keys."""
-    line, length = F.col("line"), F.col("len")
-    none = F.array().cast("array<bigint>")
-    index, probes = [], none
-    for t in range(1, tau + 1):
-        reached = index_keys(line, length, t)
-        index.append(reached if t == tau else F.when(length < EDIT_CHARS * (t + 1), reached).otherwise(none))
-        probes = F.when(allowed_edits(length, tau) == t, probe_keys(line, length, t)).otherwise(probes)
-    one = F.struct(profile(line).alias("profile"), F.concat(*index).alias("index"), probes.alias("probes"))
-    return lines.select("id", one.alias("one")).groupBy("id").agg(F.first("one").alias("one")).select("id", "one.*")
+    kinds = pa.schema([("id", pa.int64()), ("profile", pa.int64()), ("index", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))
+
+        for b in batches:
+            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(size) - size) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    part = b.slice(lo, hi - lo)
+                    texts = LineTexts(part.column(1))
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts.profile()), lists(*texts.index(tau)),
+                                                      lists(*texts.probes(tau))], schema=kinds)
+
+    keyed = lines.where(F.length("line") > 0).select("id", "line").mapInArrow(
+        run, "id long, profile long, index array<bigint>, probes array<bigint>")
+    return keyed.groupBy("id").agg(F.first(F.struct("profile", "index", "probes")).alias("one")).select("id", "one.*")
 
 
 def marked_lines(lines: DataFrame, need: DataFrame) -> DataFrame:
-    """``id, line`` of the lines in ``need(id)``, each once.  A broadcast set of
-    ``MARKS`` bits (in words of 64) drops most others before the shuffle."""
-    mark = F.col("id").bitwiseAND(F.lit(MARKS - 1))
-    bit = F.expr(f"shiftleft(1L, cast(id & 63 as int))")
-    words = need.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    some = (lines.select("id", "line", F.shiftright(mark, 6).alias("word")).join(F.broadcast(words), "word")
-                 .where(F.col("bits").bitwiseAND(bit) != 0).select("id", "line"))
+    """``id, line`` of the lines in ``need(id)``, each once; few others are shuffled."""
+    some = marked_rows(lines.select("id", "line"), F.col("id"), need, F.col("id"))
     return some.groupBy("id").agg(F.first("line").alias("line")).join(need, "id", "left_semi")
 
 
@@ -199,16 +277,23 @@ def edit_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
     return near_links(lines.where(F.col("len") >= MIN_CHARS), tau)
 
 
+def met_lines(keyed: DataFrame, tau: int = TAU) -> DataFrame:
+    """Rows ``a, b`` of lines (``distinct_lines``) that share a key and may be near copies."""
+    # one exchange of the different lines feeds both sides
+    idx = keyed.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("profile").alias("pa"))
+    prb = keyed.select(F.explode("probes").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
+    # equally long lines are both indexed and probes: they meet once, not once in either role
+    once = F.when(F.shiftright("pa", 60) == F.shiftright("pb", 60), F.col("a") < F.col("b")).otherwise(True)
+    met = idx.join(prb, (F.col("key") == F.col("k")) & once & profiles_agree(F.col("pa"), F.col("pb"), tau))
+    return met.select("a", "b")
+
+
 def near_links(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """Pairs ``(a, b)`` of different lines (``lines``: ``id, line, len``, an id
     any number of times) that are near copies (``allowed_edits``, ``tau`` at most), with ``distance``."""
     long = lines.where(F.col("len") >= EDIT_CHARS - 1)
     keyed = distinct_lines(long, tau)
-    # one exchange of the different lines feeds both sides
-    idx = keyed.select(F.explode("index").alias("key"), F.col("id").alias("a"), F.col("profile").alias("pa"))
-    prb = keyed.select(F.explode("probes").alias("k"), F.col("id").alias("b"), F.col("profile").alias("pb"))
-    met = idx.join(prb, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) &
-                   profiles_agree(F.col("pa"), F.col("pb"), tau))
+    met = met_lines(keyed, tau)
     pairs = cut_lineage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     need = cut_lineage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     text = marked_lines(long, need)
