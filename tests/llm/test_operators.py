@@ -443,6 +443,34 @@ def test_line_join_shuffles_only_texts_of_candidates(spark):
     assert "BroadcastHashJoin" in line_dedup.marked_lines(lines, need)._jdf.queryExecution().toString()
 
 
+def test_token_planes_encoder_works_out_no_offsets():
+    """Ids are those of the plain call, which computes offsets of every token
+    and is not made; pieces known and new are looked up in one pass."""
+    from tokenizers import Tokenizer
+    path = tokenizer_path()
+    texts = ["", "one", "one two  three\n four", " ".join(f"w{i}é{i * 7919 % 1000}" for i in range(2500)), "one two",
+             "tab\there", "w1é919 new w2é838", "a " * 300]
+    plain = Tokenizer.from_file(path)
+    enc = token_planes.PieceEncoder(path)
+
+    class Counted:
+        calls = 0
+
+        def encode(self, *a, **kw):
+            Counted.calls += 1
+            return plain.encode(*a, **kw)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    enc.tok = Counted()
+    for _ in range(2):
+        ids, sizes = enc.encode(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+    assert Counted.calls == 0
+
+
 def test_line_join_meets_equally_long_lines_once(spark):
     """Lines of one length are index and probe at once: a pair has one row for
     each segment it shares, not one in either role, so three at most."""

@@ -31,6 +31,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +81,15 @@ class PieceEncoder:
         self.start = np.empty(1 << 12, np.int64)          # by piece: its place in the pool
         self.size = np.empty(1 << 12, np.int32)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+    def whole(self, *texts: str) -> np.ndarray:
+        """Ids of the texts, one after another (the plain call works out offsets too)."""
+        return np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(list(texts), add_special_tokens=False)])
 
     def _learn(self, pieces: list[str]) -> None:
         for i in range(0, len(pieces), 1000):
             part = pieces[i:i + 1000]
-            ids = self.whole(" " + " ".join(part))
+            # short runs of pieces: a long one costs more for each piece
+            ids = self.whole(*[" " + " ".join(part[j:j + 100]) for j in range(0, len(part), 100)])
             cuts = np.flatnonzero(self.opens[ids])
             if len(cuts) != len(part):      # a piece holds an inner opening token: one by one
                 each = [self.whole(" " + p) for p in part]
@@ -114,10 +117,12 @@ class PieceEncoder:
         split = pc.split_pattern(plain, " ")
         lens = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(split.flatten())
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        self._learn([w for w in words if w not in self.rows])
-        row = np.fromiter((self.rows[w] for w in words), np.int64, len(words))
+        row = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        new, known = np.flatnonzero(row < 0), len(self.rows)
+        self._learn(words[new].tolist())
+        row[new] = np.arange(known, len(self.rows))
         lead = np.cumsum(lens) - lens
         n, at = self.size[row].astype(np.int64)[codes], self.start[row][codes]
         heads = [self.first.get(words[codes[p]]) for p in lead]
