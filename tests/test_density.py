@@ -136,3 +136,61 @@ def test_components(spark, monkeypatch):
     comp = dict(short)
     assert all(comp[a] == comp[b] for a, b in edges if a != b) and all(comp[c] == c for c in comp.values())
     assert comp[240] == 200 and connected_components(df.limit(0)).count() == 0
+
+
+def test_shortest_edges_out_are_those_of_all_pairs():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(260, 5))
+    x[100:140] = x[100] + 1e-6 * rng.normal(size=(40, 5))       # near copies in several components
+    x[140:150] = 0.0
+    x[:140] /= np.linalg.norm(x[:140], axis=1, keepdims=True)
+    x[150:] /= np.linalg.norm(x[150:], axis=1, keepdims=True)
+    comp = rng.integers(0, 9, 260)
+    core = np.round(rng.uniform(0, 1, 260), 1)                  # ties
+    bound = np.where(np.arange(9) % 3 == 0, np.inf, np.where(np.arange(9) % 3 == 1, 0.6, 0.0))[comp]
+    d = np.sqrt(np.maximum(np.round(2 - 2 * x @ x.T, 12), 0))
+    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    want = {}
+    for c in range(9):
+        some = [(w[i, j], min(i, j), max(i, j), comp[j]) for i in np.flatnonzero(comp == c) for j in np.flatnonzero(comp != c)
+                if w[i, j] <= bound[i]]
+        if some:
+            want[c] = min(some)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(comp[rows]), pa.array(core[rows]), pa.array(bound[rows]),
+                                           pa.array([list(v) for v in x[rows]])], names=["node", "comp", "core", "bound", "vec"])
+
+    got = {}
+    for rows in np.array_split(rng.permutation(260), 3):
+        out = density.Outside(batch(rows))
+        for more in np.array_split(rng.permutation(260), 4):
+            out.meet(batch(more))
+        if (found := out.found()) is not None:
+            for r in found.to_pylist():
+                edge = (r["w"], r["lo"], r["hi"], r["other"])
+                got[r["comp"]] = min(got.get(r["comp"], edge), edge)
+    assert {c: e[1:] for c, e in got.items()} == {c: e[1:] for c, e in want.items()}
+    assert all(abs(got[c][0] - want[c][0]) < 1e-9 for c in want)
+
+
+def test_only_copies_are_joined_by_their_vectors(spark):
+    """Zeros of either sign are one number, in the hash as in the vector."""
+    x = [[0.0, 1.0], [-0.0, 2.0], [1.0, 0.0], [3.0, -0.0], [1.0, 1.0], None]
+    df = spark.createDataFrame(list(enumerate(x)), "triple_id long, vec array<double>")
+    nodes, members = density.folded(df, "triple_id", "vec")
+    assert {r.id: r.node for r in members.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert {(r.node, r.weight) for r in nodes.where("vec is not null").collect()} == {(0, 2), (2, 2), (4, 1)}
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert "weight" in plan and "Union" in plan
+
+
+def test_many_edges_of_a_round_are_united_in_one_task(spark, monkeypatch):
+    from tripleselect.operators import components
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    n = 3000
+    at = np.random.default_rng(7).permutation(n)
+    df = spark.createDataFrame([(int(at[i]), int(at[i + 1])) for i in range(n - 1) if i != 1000], "a long, b long")
+    comp = {r.node: r.comp for r in connected_components(df, local_edges=n).collect()}
+    assert {comp[int(v)] for v in at[:1001]} == {int(at[:1001].min())} and {comp[int(v)] for v in at[1001:]} == {int(at[1001:].min())}

@@ -102,3 +102,57 @@ def test_one_table_searched_for_its_own_rows_is_stored_once_in_its_own_type(spar
     # 300 rows of 72 bytes, and for each block its header
     blocks, size = written[0].agg(F.count("name"), F.sum(F.length("block"))).first()
     assert blocks >= 10 and size - 600 * blocks < 300 * 90
+
+
+def _best(x, y, n, exclude_self, block_rows, step, largest=True):
+    from tripleselect.operators.neighbors import Best, finite
+    src, q = finite(np.arange(len(x)), x)
+    best = Best(src, q if largest else -q, n, exclude_self, block_rows)
+    for k in range(0, len(y), step):
+        ids, part = finite(np.arange(k, min(k + step, len(y))), y[k:k + step])
+        if len(ids):
+            best.meet(ids, part)
+    best.settle()
+    return {int(s): [int(d) for d in best.dst[i][np.isfinite(best.key[i])]] for i, s in enumerate(src)}
+
+
+def test_few_products_are_taken_in_double_precision(monkeypatch):
+    """Products in single precision rule out nearly all rows, and the result is that of all pairs."""
+    from tripleselect.operators import neighbors
+    taken = []
+    whole = neighbors.products
+    monkeypatch.setattr(neighbors, "products", lambda x, y, i, j: taken.append(len(i)) or whole(x, y, i, j))
+    x = np.random.default_rng(0).normal(size=(3000, 24))
+    for largest, excl in [(True, True), (False, False)]:
+        assert _best(x[:200], x, 5, excl, 64, 700, largest) == {i: w for i, w in _brute(x, 5, largest, excl).items() if i < 200}
+    assert sum(taken) < 0.05 * 2 * 200 * 3000
+
+
+def test_search_in_single_precision_keeps_odd_rows(monkeypatch):
+    from tripleselect.operators import neighbors
+    monkeypatch.setattr(neighbors, "TILE", 16 * 50)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 6))
+    x[50:200] = x[50] + 1e-7 * rng.normal(size=(150, 6))      # apart by less than single precision tells
+    x[200:260] = x[3]                                         # copies: ties by id, and whole tiles of them
+    x[260:265] = 0.0
+    x[265] *= 1e12                                            # one row as long as no other
+    x[266] *= 1e-12
+    for excl in (False, True):
+        assert _best(x, x, 7, excl, 16, 90) == _brute(x, 7, True, excl)
+    x[7, 2], x[8, 1] = np.nan, np.inf                         # no product
+    got = _best(x, x, 7, False, 16, 90)
+    assert 7 not in got and 8 not in got and not {7, 8} & {d for v in got.values() for d in v}
+    assert _best(x[:4], x[:4], 7, True, 16, 2) == {i: w for i, w in _brute(x[:4], 3, True, True).items()}
+
+
+def test_a_task_hands_on_n_rows_a_query_whatever_the_partitions_of_rows(spark, monkeypatch):
+    from tripleselect.operators import neighbors
+    X, df = _data(spark, n=300, d=8)
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 800)        # more blocks of queries than tasks are asked for
+    monkeypatch.setattr(neighbors, "SIDE_BYTES", 4800)        # five partitions of rows
+    handed = []
+    finish = neighbors._finish
+    monkeypatch.setattr(neighbors, "_finish", lambda c, *a, **kw: handed.append(c.count()) or finish(c, *a, **kw))
+    assert _got(neighbors.exact_neighbors(df, df, 5)) == _brute(X, 5, True, False)
+    assert handed == [300 * 5]

@@ -39,25 +39,32 @@ class Forest:
 
 
 def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest = Forest()
-    for pdf in batches:
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            forest.unite(u, v)
-    nodes = sorted(forest.up)
-    yield pd.DataFrame({"node": np.array(nodes, np.int64), "comp": np.array([forest.find(x) for x in nodes], np.int64)})
+    held = [pdf for pdf in batches if len(pdf)]
+    ends = np.concatenate([pdf[c].to_numpy(np.int64) for c in ("u", "v") for pdf in held]) if held else np.empty(0, np.int64)
+    nodes, at = np.unique(ends, return_inverse=True)
+    u, v = at[:len(at) // 2], at[len(at) // 2:]
+    up = np.arange(len(nodes))
+    while len(u):                                           # hang the larger root of each edge on the smaller, then shorten all ways
+        np.minimum.at(up, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(far := up[up], up):
+            up = far
+        u, v = up[u], up[v]
+        u, v = u[u != v], v[u != v]
+    yield pd.DataFrame({"node": nodes, "comp": nodes[up]})
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int | None = None) -> DataFrame:
     """``(node, comp)`` for every (long) node of an undirected edge list,
     ``comp`` being the smallest node of its component.  Null ends and loops
-    are ignored; an empty list gives no rows.
+    are ignored; an empty list gives no rows.  Up to ``local_edges``
+    (``LOCAL_EDGES``) edges are united by one task.
 
     Long lists go through alternating large-star / small-star rounds: each
     re-hangs a node's larger (smaller) neighbours on its smallest one, so a
     long chain halves with every round, until nothing changes.
     """
     e = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct())
-    if e.count() <= LOCAL_EDGES:
+    if e.count() <= (LOCAL_EDGES if local_edges is None else local_edges):
         return e.repartition(1).mapInPandas(_united, "node long, comp long")
     nodes, before = e, None
     while True:

@@ -37,13 +37,17 @@ from pyspark.sql import functions as F
 
 from tripleselect.functions.vectors import with_l2_normalized
 from tripleselect.operators.components import Forest, connected_components
-from tripleselect.operators.neighbors import block_join
+from tripleselect.operators.neighbors import block_join, finite, in_single, matrix, products
 from tripleselect.session import cut_lineage, ensure_checkpoint_dir
 
 BAND_EDGES = 200_000
 #: Shortest distance that is told apart from 0 in 1 / distance.  Without one, a group of copies would be a cluster of
 #: infinite stability that nothing next to it could ever join.
 SHORTEST = 0.01
+#: Rows of a tile's sides, edges whose length is taken exactly at once, more than what single precision rounds off a square.
+SIDE, EDGES_AT_ONCE, ROUNDING = 1024, 1 << 16, 1e-5
+#: Edges of a round that one task unites.
+ROUND_EDGES = 1_000_000
 EDGE = "comp long, w double, lo long, hi long, other long"
 
 
@@ -52,8 +56,13 @@ def folded(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Da
     ``members(id, node)``; a node is named by its smallest id."""
     x = with_l2_normalized(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec")
     x = cut_lineage(x)
-    nodes = cut_lineage(x.groupBy("vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
-    return nodes, x.join(nodes, "vec").select("id", "node")
+    # rows are dealt and sorted by a hash of the vector; vectors are compared where it is equal, and only those of copies are joined
+    h = F.xxhash64("vec").alias("h")
+    nodes = cut_lineage(x.groupBy(h, "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
+    alone = (F.col("weight") == 1) & F.col("vec").isNotNull()
+    members = nodes.where(alone).select(F.col("node").alias("id"), "node").unionByName(
+        x.withColumn("h", h).join(nodes.where("weight > 1").drop("weight"), ["h", "vec"]).select("id", "node"))
+    return nodes.drop("h"), members
 
 
 def core_distances(nodes: DataFrame, lists: DataFrame, min_samples: int) -> DataFrame:
@@ -73,24 +82,68 @@ def core_distances(nodes: DataFrame, lists: DataFrame, min_samples: int) -> Data
         F.when(F.coalesce("listed", F.lit(0)) >= total - 1, float("inf")).otherwise(F.greatest(core, "far")).alias("reach"))
 
 
-def _shortest_outside(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-    """Per component of ``q`` the shortest edge to a row of another component in ``r``."""
-    if not len(q) or not len(r):
-        return pd.DataFrame({"comp": [], "w": [], "lo": [], "hi": [], "other": []})
-    x, y = np.stack(q["vec"].to_numpy()), np.stack(r["vec"].to_numpy())
-    w = np.sqrt(np.maximum(np.round(2 - 2 * (x @ y.T), 12), 0.0))
-    w = np.maximum(np.maximum(w, q["core"].to_numpy()[:, None]), r["core"].to_numpy()[None, :])
-    w[q["comp"].to_numpy()[:, None] == r["comp"].to_numpy()[None, :]] = np.inf
-    a, b = q["node"].to_numpy(), r["node"].to_numpy()
-    best = w.min(axis=1)
-    out = []
-    for i in np.flatnonzero((best <= q["bound"].to_numpy()) & np.isfinite(best)):          # ties by the ends, so that every block agrees
-        j = np.flatnonzero(w[i] == best[i])
-        lo, hi = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        k = np.lexsort((hi, lo))[0]
-        out.append((q["comp"].iat[i], best[i], lo[k], hi[k], r["comp"].iat[int(j[k])]))
-    got = pd.DataFrame(out, columns=["comp", "w", "lo", "hi", "other"])
-    return got.sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
+class Outside:
+    """Of each component of the rows ``q`` the shortest edge to a row of
+    another one, met block after block; ties by the ends, so that every block agrees."""
+
+    def __init__(self, q: pa.RecordBatch):
+        at, self.x = finite(np.arange(q.num_rows), _vectors(q))
+        self.node, self.comp, self.core, bound = (q.column(c).to_numpy()[at] for c in ("node", "comp", "core", "bound"))
+        self.single, self.scale = in_single(self.x, True)
+        self.names, self.own = np.unique(self.comp, return_inverse=True)
+        self.least = np.full(len(self.names), np.inf)       # by component: its shortest edge is no longer
+        np.minimum.at(self.least, self.own, bound)
+        self.best: dict[int, tuple] = {}                    # by component: w, lo, hi, other
+
+    def meet(self, r: pa.RecordBatch) -> None:
+        at, y = finite(np.arange(r.num_rows), _vectors(r))
+        node, comp, core = (r.column(c).to_numpy()[at] for c in ("node", "comp", "core"))
+        single, scale = in_single(y, False)
+        for c in range(0, len(node), SIDE):
+            part = slice(c, c + SIDE)
+            for i in range(0, len(self.node), SIDE):
+                self.tile(i, single[part], scale * self.scale, node[part], comp[part], core[part], y[part])
+
+    def tile(self, at: int, single: np.ndarray, scale: float, node: np.ndarray, comp: np.ndarray, core: np.ndarray, y: np.ndarray) -> None:
+        q, own = self.single[at:at + SIDE], self.own[at:at + SIDE]
+        # in squares: no edge is shorter than ``low``, whatever the rounding, none longer than it and ``room``
+        low = q @ single.T
+        low *= -2 * scale
+        low += 2
+        np.maximum(low, (core * core).astype(np.float32), out=low)
+        low[self.comp[at:at + SIDE, None] == comp[None, :]] = np.inf
+        room = 4 * scale * float(q[:, -1].max()) * float(single[:, -1].max()) + ROUNDING
+        high = np.maximum(np.sqrt(np.maximum(low.min(axis=1).astype(np.float64) + room, 0.0)), self.core[at:at + SIDE])
+        np.minimum.at(self.least, own, high)
+        most = self.least[own]
+        most = np.where(self.core[at:at + SIDE] <= most, most ** 2 + ROUNDING, -np.inf)
+        hit = np.flatnonzero((low <= most.astype(np.float32)[:, None]) & np.isfinite(low))
+        for k in range(0, len(hit), EDGES_AT_ONCE):
+            i, j = at + hit[k:k + EDGES_AT_ONCE] // len(node), hit[k:k + EDGES_AT_ONCE] % len(node)
+            w = np.sqrt(np.maximum(np.round(2 - 2 * products(self.x, y, i, j), 12), 0.0))
+            w = np.maximum(np.maximum(w, self.core[i]), core[j])
+            ok = w <= self.least[self.own[i]]
+            i, j, w = i[ok], j[ok], w[ok]
+            own, lo, hi = self.own[i], np.minimum(self.node[i], node[j]), np.maximum(self.node[i], node[j])
+            order = np.lexsort((hi, lo, w, own))
+            for f in order[np.unique(own[order], return_index=True)[1]]:
+                edge = (float(w[f]), int(lo[f]), int(hi[f]), int(comp[j[f]]))
+                if own[f] not in self.best or edge < self.best[own[f]]:
+                    self.best[own[f]] = edge
+                    self.least[own[f]] = edge[0]
+
+    def found(self) -> pa.RecordBatch | None:
+        if not self.best:
+            return None
+        rows = [(int(self.names[c]), *edge) for c, edge in self.best.items()]
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=["comp", "w", "lo", "hi", "other"])
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    if b.column("vec").null_count:
+        raise ValueError("a row without a vector has no distance")
+    return matrix(b.column("vec"))
 
 
 def search_outside(asking: DataFrame, rows: DataFrame) -> DataFrame:
@@ -100,15 +153,12 @@ def search_outside(asking: DataFrame, rows: DataFrame) -> DataFrame:
     dims = rows.agg(F.max(F.size("vec"))).first()[0] or 1
 
     def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
-        q, best = left.to_pandas(), None
+        out = Outside(left)
         for right in rights:
-            got = _shortest_outside(q, right.to_pandas())
-            if len(got):
-                best = got if best is None else pd.concat([best, got]).sort_values(["comp", "w", "lo", "hi"]).drop_duplicates("comp")
-        return None if best is None else pa.RecordBatch.from_pandas(best.astype(
-            {"comp": "int64", "w": "float64", "lo": "int64", "hi": "int64", "other": "int64"}), preserve_index=False)
+            out.meet(right)
+        return out.found()
 
-    return block_join(asking, rows, 8 * dims + 40, meet, EDGE)
+    return block_join(asking, rows, 8 * dims + 40, meet, EDGE, held=True)
 
 
 def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame) -> DataFrame:
@@ -131,17 +181,20 @@ def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame) -> DataFr
         ends = out.select(F.col("ca").alias("comp"), "w", "lo", "hi", F.col("cb").alias("other")).unionByName(
             out.select(F.col("cb").alias("comp"), "w", "lo", "hi", F.col("ca").alias("other")))
         best = ends.groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*")
-        now = rows.join(comp, "node").join(best.select("comp", F.col("w").alias("bound")), "comp", "left").fillna(
-            float("inf"), ["bound"])
-        asking = cut_lineage(now.where((F.col("reach") <= F.col("bound")) & (F.col("reach") < float("inf"))).select("node", "comp", "core", "bound", "vec"))
-        far = asking.agg(F.max("bound")).first()[0]
+        best = cut_lineage(best)
+        # who asks is found without the vectors, which are joined for them alone
+        now = rows.select("node", "reach").where(F.col("reach") < float("inf")).join(comp, "node").join(
+            best.select("comp", F.col("w").alias("bound")), "comp", "left").fillna(float("inf"), ["bound"])
+        now = cut_lineage(now.where(F.col("reach") <= F.col("bound")).select("node", "comp", "bound"))
+        asking = rows.join(now, "node").select("node", "comp", "core", "bound", "vec")
+        far = now.agg(F.max("bound")).first()[0]
         if far is not None:
+            asking = cut_lineage(asking)
             others = rows.join(comp, "node").where(F.col("core") <= far).select("node", "comp", "core", "vec")
-            best = (best.unionByName(search_outside(asking, others))
-                        .groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*"))
-        best = cut_lineage(best)
+            best = cut_lineage(best.unionByName(search_outside(asking, others))
+                                   .groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*"))
         tree = cut_lineage(tree.unionByName(best.select("lo", "hi", "w").distinct()))
-        joined = connected_components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+        joined = connected_components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")), local_edges=ROUND_EDGES)
         comp = cut_lineage(comp.join(joined.toDF("comp", "to"), "comp").select("node", F.col("to").alias("comp")))
         left = comp.select("comp").distinct().count()
     return tree
@@ -170,15 +223,22 @@ def grow(nodes: pd.DataFrame, edges: pd.DataFrame, least: int) -> tuple[dict, np
         return i
 
     edges = edges.sort_values("w")
-    for w, same in edges.groupby("w", sort=True):
-        met = Forest()
-        for a, b in zip(same["a"].tolist(), same["b"].tolist()):
-            met.unite(find(place[a]), find(place[b]))
-        groups: dict[int, list[int]] = {}
-        for x in sorted(met.up):
-            groups.setdefault(met.find(x), []).append(x)
-        lam = 1.0 / max(w, SHORTEST)
-        for group in groups.values():
+    length = edges["w"].to_numpy()
+    ends = [(place[a], place[b]) for a, b in zip(edges["a"].tolist(), edges["b"].tolist())]
+    cuts = [0, *(np.flatnonzero(np.diff(length)) + 1).tolist(), len(length)] if len(length) else [0]
+    for begin, end in zip(cuts, cuts[1:]):
+        if end == begin + 1:                                # as nearly always: one edge of its length
+            groups = [sorted(map(find, ends[begin]))]
+        else:
+            met = Forest()
+            for a, b in ends[begin:end]:
+                met.unite(find(a), find(b))
+            joined: dict[int, list[int]] = {}
+            for x in sorted(met.up):
+                joined.setdefault(met.find(x), []).append(x)
+            groups = list(joined.values())
+        lam = 1.0 / max(float(length[begin]), SHORTEST)
+        for group in groups:
             large = [x for x in group if cluster[x]]
             total = sum(size[x] for x in group)
             taken: set[int] = set()
@@ -242,7 +302,7 @@ def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges:
     steps = []
     for band in range(bands):
         e = (ranked.where(F.col("band") == band).join(at.toDF("lo", "a"), "lo").join(at.toDF("hi", "b"), "hi").select("a", "b", "w"))
-        trees = cut_lineage(connected_components(e)).toDF("comp", "tree")
+        trees = cut_lineage(connected_components(e, local_edges=ROUND_EDGES)).toDF("comp", "tree")
         own = state.join(trees, "comp").select("tree", F.lit(0).alias("side"), "comp", "size", "gain", "below", "cluster",
                                                F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"))
         way = e.join(trees.toDF("a", "tree"), "a").select(

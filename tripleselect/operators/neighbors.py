@@ -11,9 +11,10 @@ candidates are cut to ``n`` by a salted top-k.
 
 * ``exact``: both tables are written once as blocks of bounded bytes, in the type
   of their numbers, and only one table if the two are the same.  A Cartesian
-  product of their partitions (``block_join``) reads them where they lie: a task meets a few blocks of queries with one partition of rows.  Work is
-  all pairs, inherent to exact search, but nothing is replicated: written are
-  the tables once and ``n`` candidates per query and partition of rows.
+  product of their partitions (``block_join``) reads them where they lie: a task holds a block of queries and meets it with one
+  partition of rows after another.  Work is all pairs, inherent to exact search: products in single precision, each with a
+  bound of its error, rule out all but a few rows a query, and only these get their product in double precision.
+  Nothing is replicated: written are the tables once and ``n`` candidates per query and task.
 * ``ivf``: rows live in k-means cells, blocks of both sides are cogrouped.  A query visits the cells whose
   centroid is closest to its target (``-x`` for antipodal), then every other
   cell that can still hold a row as good as its ``n``-th best so far: a bound
@@ -44,10 +45,12 @@ from tripleselect.session import cut_lineage, ship_package
 #: Blocks of rows on each side of a task group of the cell-probed mode.
 SIDE_BLOCKS = 8
 OUT_SCHEMA = "src long, dst long, dot double"
-#: Bytes of a stored block, and of the blocks that one task holds of the right side of a block join.
-BLOCK_BYTES, SIDE_BYTES = 2 << 20, 32 << 20
+#: Bytes of a stored block, of one of which several share a task, and of a partition of the right side of a block join.
+BLOCK_BYTES, SMALL_BYTES, SIDE_BYTES = 8 << 20, 2 << 20, 32 << 20
 #: Blocks of the left side that share a task, when there are tasks enough.
 LEFT_BLOCKS = 8
+#: Products of a tile, and pairs whose product is taken again at once.
+TILE, AGAIN = 1 << 20, 4096
 
 
 def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
@@ -56,13 +59,15 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def stored_blocks(df: DataFrame, parts: int, kept: DataFrame | None = None, filled: str | None = None) -> DataFrame:
+def stored_blocks(df: DataFrame, parts: int, kept: DataFrame | None = None, filled: str | None = None,
+                  block_bytes: int | None = None) -> DataFrame:
     """``(name, block)``: the rows of ``df`` as Arrow streams of about
-    ``BLOCK_BYTES``, dealt over ``parts`` partitions and written once; ``kept``
+    ``block_bytes``, dealt over ``parts`` partitions and written once; ``kept``
     if that is what an earlier call wrote of them.  Rows without a ``filled``
     are left out."""
     if kept is not None:
         return kept
+    block_bytes = block_bytes or BLOCK_BYTES
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -76,11 +81,11 @@ def stored_blocks(df: DataFrame, parts: int, kept: DataFrame | None = None, fill
 
         for b in batches:
             b = b if filled is None else b.filter(b.column(filled).is_valid())
-            step = max(1, math.ceil(b.num_rows * BLOCK_BYTES / max(1, b.nbytes)))
+            step = max(1, math.ceil(b.num_rows * block_bytes / max(1, b.nbytes)))
             for i in range(0, b.num_rows, step):
                 held.append(b.slice(i, step))
                 size += held[-1].nbytes
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield block()
                     name, held, size = name + 1, [], 0
         if held:
@@ -91,28 +96,33 @@ def stored_blocks(df: DataFrame, parts: int, kept: DataFrame | None = None, fill
 
 def block_join(left: DataFrame, right: DataFrame, row_bytes: int,
                meet: Callable[[pa.RecordBatch, Iterator[pa.RecordBatch]], pa.RecordBatch | None], schema: str,
-               filled: str | None = None) -> DataFrame:
+               filled: str | None = None, held: bool = False) -> DataFrame:
     """All rows of ``left`` met with all rows of ``right``, block by block.
 
-    ``meet`` gets a block of ``left`` and, one after another, the blocks of a
-    partition of ``right``; what it returns is the output.  The tables are
+    ``meet`` gets a block of ``left`` and, one after another, the blocks of
+    some partitions of ``right``; what it returns is the output.  The tables are
     stored once each, once for both if they are one DataFrame, and joined by a
     Cartesian product of their partitions, so neither is shuffled again,
-    collected or broadcast.  ``row_bytes`` is about what a row takes.  Rows
-    without a ``filled`` meet none."""
+    collected or broadcast.  A task takes several partitions of ``right`` when
+    there are tasks enough; a block of ``left`` is sent to Python once for each.
+    ``row_bytes`` is about what a row takes.  Rows without a ``filled`` meet
+    none.  Blocks have ``SMALL_BYTES`` and some share a partition of ``left``;
+    with ``held`` they have ``BLOCK_BYTES`` and one each."""
     spark = left.sparkSession
     ship_package(spark)
+    block_bytes = BLOCK_BYTES if held else min(SMALL_BYTES, BLOCK_BYTES)
     same = right is left
     nl = left.count()
     nr = nl if same else right.count()
     rp = max(1, math.ceil(nr * row_bytes / SIDE_BYTES))
-    blocks = max(1, math.ceil(nl * row_bytes / BLOCK_BYTES))
+    # a little more than there are, so that a partition of the left side is one block
+    blocks = max(1, math.ceil((1.1 if held else 1) * nl * row_bytes / block_bytes))
     wide = 4 * spark.sparkContext.defaultParallelism        # tasks that keep all cores busy
-    lp = max(math.ceil(blocks / LEFT_BLOCKS), min(max(blocks, min(nl, wide)), math.ceil(wide / rp)))
+    lp = max(blocks if held else math.ceil(blocks / LEFT_BLOCKS), min(max(blocks, min(nl, wide)), math.ceil(wide / rp)))
     lp = max(1, lp)
     # one table for both sides is dealt for the side of more partitions; the other takes several of them at once
-    a = stored_blocks(left, max(lp, rp) if same else lp, None, filled)
-    b = stored_blocks(right, rp, a if same else None, filled)
+    a = stored_blocks(left, max(lp, rp) if same else lp, None, filled, block_bytes)
+    b = stored_blocks(right, rp, a if same else None, filled, block_bytes)
     if same:
         a, b = a.coalesce(lp), b.coalesce(rp)
 
@@ -128,46 +138,114 @@ def block_join(left: DataFrame, right: DataFrame, row_bytes: int,
             if out is not None and out.num_rows:
                 yield out
 
-    met = a.select("name", F.col("block").alias("l")).hint("shuffle_replicate_nl").crossJoin(b.select(F.col("block").alias("r")))
+    # a block of the left side goes with the first block of each partition that it meets, not with all
+    b = b.select(F.col("block").alias("r"), (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0).alias("first"))
+    met = a.select("name", F.col("block").alias("l")).hint("shuffle_replicate_nl").crossJoin(b)
+    met = met.select("name", F.when(F.col("first"), F.col("l")).alias("l"), "r")
+    if held:
+        met = met.coalesce(max(lp, min(lp * rp, wide)))
     return met.mapInArrow(run, schema)
 
 
+def finite(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of finite numbers; others have no product."""
+    ok = np.isfinite(x).all(axis=1)
+    return (ids, x) if ok.all() else (ids[ok], x[ok])
+
+
+def in_single(x: np.ndarray, queries: bool) -> tuple[np.ndarray, float]:
+    """Rows in single precision, over their largest norm, and that norm.  One
+    more column makes a query's product with a row no less than the true one,
+    and greater by at most twice what the columns make up."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+    scale = float(norm.max(initial=0.0)) or 1.0
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    np.divide(x, scale, out=out[:, :-1], casting="same_kind")
+    out[:, -1] = norm / scale * (error_of(x.shape[1]) if queries else 1.0)
+    return out, scale
+
+
+def error_of(dims: int) -> float:
+    """Of a product in single precision, in the product of the two norms."""
+    return 1.5 * (dims + 8) * 2.0 ** -24
+
+
+def products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows ``i`` of ``x`` with rows ``j`` of ``y`` in double precision."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), AGAIN):
+        out[k:k + AGAIN] = np.einsum("ij,ij->i", x[i[k:k + AGAIN]].astype(np.float64), y[j[k:k + AGAIN]].astype(np.float64))
+    return out
+
+
 class Best:
-    """The ``n`` best rows of each query, met block after block."""
-
-    def __init__(self, queries: int, n: int):
-        self.n = n
-        self.key = np.full((queries, n), -np.inf)
-        self.dst = np.full((queries, n), np.iinfo(np.int64).max)
-        self.dot = np.zeros((queries, n))
-
-    def add(self, at: int, s: np.ndarray, dst: np.ndarray, largest: bool, same: np.ndarray | None) -> None:
-        """Products ``s`` of queries ``at``, ``at + 1`` ... with rows ``dst``;
-        pairs in ``same`` do not count.  Order: rounded product, then ``dst``."""
-        q = s.shape[0]
-        good = s if largest else -s
-        if same is not None:
-            good = np.where(same, -np.inf, good)
-        worst = self.key[at:at + q].min(axis=1)
-        if good.shape[1] > self.n and np.isneginf(worst).any():
-            worst = np.maximum(worst, np.partition(good, -self.n, axis=1)[:, -self.n])
-        i, j = np.nonzero(good >= np.where(np.isnan(worst), -np.inf, worst)[:, None] - 2e-9)       # a little below, for rounding
-        key = np.round(good[i, j], 9)
-        low, high = self.key[at + i, -1], self.dst[at + i, -1]
-        ok = np.isfinite(key) & ((key > low) | ((key == low) & (dst[j] < high)))
-        i, j, key = i[ok], j[ok], key[ok]
-        if not len(i):
+    """The ``n`` rows of largest product of each query ``x``, met block after block."""
+
+    def __init__(self, src: np.ndarray, x: np.ndarray, n: int, exclude_self: bool, block_rows: int):
+        self.src, self.x, self.n, self.exclude_self, self.block_rows = src, x, n, exclude_self, block_rows
+        self.single, self.scale = in_single(x, True)
+        self.key = np.full((len(src), n), -np.inf)
+        self.dst = np.full((len(src), n), np.iinfo(np.int64).max)
+        self.dot = np.zeros((len(src), n))
+        self.floor = np.full(len(src), -np.inf)             # the n-th best product is no less
+        self.held, self.count = [], 0
+
+    def meet(self, dst: np.ndarray, y: np.ndarray) -> None:
+        """All queries with rows ``y``, in tiles."""
+        single, scale = in_single(y, False)
+        wide = max(1, TILE // self.block_rows)
+        for c in range(0, len(dst), wide):
+            for r in range(0, len(self.src), self.block_rows):
+                self.tile(r, single[c:c + wide], scale * self.scale, dst[c:c + wide], y[c:c + wide])
+                if self.count > 2 * self.key.size:
+                    self.settle()
+
+    def tile(self, at: int, single: np.ndarray, scale: float, dst: np.ndarray, y: np.ndarray) -> None:
+        q = self.single[at:at + self.block_rows]
+        up = q @ single.T
+        floor = self.floor[at:at + len(q)]
+        if len(dst) > self.n and np.isneginf(floor).any():
+            low = up - 2 * q[:, -1:] * single[:, -1]
+            if self.exclude_self:
+                low[self.src[at:at + len(q), None] == dst[None, :]] = -np.inf
+            low = np.partition(low, -self.n, axis=1)[:, -self.n].astype(np.float64)
+            floor = np.maximum(floor, scale * (low - 1e-6 * np.abs(low) - 1e-30))
+            self.floor[at:at + len(q)] = floor
+        # a little below, for rounding
+        least = (floor - 2e-9) / scale
+        least = np.where(np.isfinite(least), least - 1e-6 * np.abs(least) - 1e-30, -np.inf).astype(np.float32)
+        hit = np.flatnonzero(up >= least[:, None])
+        if not len(hit):
+            return
+        i, j = at + hit // len(dst), hit % len(dst)
+        if len(hit) > up.size // 16:                        # many equal rows: the whole tile costs less
+            dot = (self.x[at:at + len(q)].astype(np.float64) @ y.astype(np.float64).T).ravel()[hit]
+        else:
+            dot = products(self.x, y, i, j)
+        key, to = np.round(dot, 9), dst[j]
+        ok = np.isfinite(key) & ((key > self.key[i, -1]) | ((key == self.key[i, -1]) & (to < self.dst[i, -1])))
+        if self.exclude_self:
+            ok &= self.src[i] != to
+        if ok.any():
+            self.held.append((i[ok], to[ok], dot[ok], key[ok]))
+            self.count += len(self.held[-1][0])
+
+    def settle(self) -> None:
+        """The best of what is held.  Order: rounded product, then ``dst``."""
+        if not self.count:
             return
+        i, to, dot, key = (np.concatenate(v) for v in zip(*self.held))
+        self.held, self.count = [], 0
         rows = np.unique(i)
-        old = at + rows
         who = np.concatenate([np.repeat(rows, self.n), i])
-        key = np.concatenate([self.key[old].ravel(), key])
-        to = np.concatenate([self.dst[old].ravel(), dst[j]])
-        dot = np.concatenate([self.dot[old].ravel(), s[i, j]])
+        key = np.concatenate([self.key[rows].ravel(), key])
+        to = np.concatenate([self.dst[rows].ravel(), to])
+        dot = np.concatenate([self.dot[rows].ravel(), dot])
         order = np.lexsort((to, -key, who))
         begin = np.searchsorted(who[order], rows)
         pick = order[begin[:, None] + np.arange(self.n)]
-        self.key[old], self.dst[old], self.dot[old] = key[pick], to[pick], dot[pick]
+        self.key[rows], self.dst[rows], self.dot[rows] = key[pick], to[pick], dot[pick]
+        self.floor = np.maximum(self.floor, self.key[:, -1])
 
 
 def _local_topn(n: int, largest: bool, exclude_self: bool):
@@ -222,22 +300,23 @@ def exact_neighbors(queries: DataFrame, vectors: DataFrame, n: int, largest: boo
     d = narrow(vectors)
     q = d if queries is vectors else narrow(queries)
     dims = max(1, d.agg(F.max(F.size("vec"))).first()[0] or 1)
-    width = 4 if dict(d.dtypes)["vec"] == "array<float>" else 8
+    width = 4 if {dict(t.dtypes)["vec"] for t in (q, d)} == {"array<float>"} else 8
+    kind = np.float32 if width == 4 else np.float64
 
     def meet(left: pa.RecordBatch, rights: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
-        src, x = left.column("id").to_numpy(), matrix(left.column("vec"))
-        best = Best(len(src), n)
+        src, x = finite(left.column("id").to_numpy(), matrix(left.column("vec"), kind))
+        best = Best(src, x if largest else -x, n, exclude_self, block_rows)
         for right in rights:
-            dst, y = right.column("id").to_numpy(), matrix(right.column("vec"))
-            for i in range(0, len(src), block_rows):
-                own = src[i:i + block_rows]
-                best.add(i, x[i:i + block_rows] @ y.T, dst, largest, own[:, None] == dst[None, :] if exclude_self else None)
+            dst, y = finite(right.column("id").to_numpy(), matrix(right.column("vec"), kind))
+            if len(src) and len(dst):
+                best.meet(dst, y)
+        best.settle()
         i, j = np.nonzero(np.isfinite(best.key))
-        return pa.RecordBatch.from_arrays([pa.array(src[i]), pa.array(best.dst[i, j]), pa.array(best.dot[i, j])],
+        return pa.RecordBatch.from_arrays([pa.array(src[i]), pa.array(best.dst[i, j]), pa.array(best.dot[i, j] if largest else -best.dot[i, j])],
                                           names=["src", "dst", "dot"])
 
-    # a query has n candidates for each partition of rows, so no group is large
-    return _finish(block_join(q, d, width * dims + 16, meet, OUT_SCHEMA, "vec"), n, largest, salts=1)
+    # a query has n candidates for each task that it is in, so no group is large
+    return _finish(block_join(q, d, width * dims + 16, meet, OUT_SCHEMA, "vec", held=True), n, largest, salts=1)
 
 
 def antipodal_neighbors(queries: DataFrame, vectors: DataFrame, n: int, mode: str = "exact",
