@@ -104,3 +104,35 @@ def test_queries_reach_the_driver_in_the_type_of_their_numbers(spark, data):
         assert got(index.search(df, 4, largest=False)) == want and kinds == ["array<float>"]
     finally:
         cellindex._nearest = sent
+
+
+def test_bounds_keep_the_best_and_little_else(monkeypatch):
+    """Whatever the tiles, rows that may be among the best stay; few others do."""
+    monkeypatch.setattr(cellindex, "TILE_ROWS", 64)
+    monkeypatch.setattr(cellindex, "TILE_QUERIES", 16)
+    rng = np.random.default_rng(8)
+    q, y = rng.normal(size=(50, 10)).astype(np.float32), rng.normal(size=(1000, 10)).astype(np.float32)
+    room = np.full(1000, 0.01, np.float32)
+    found = cellindex.Bounds(q, np.linalg.norm(q, axis=1), 3)
+    for r in range(0, 1000, 250):
+        found.add(np.arange(50), y[r:r + 250], room[r:r + 250], np.arange(r, r + 250), r // 250)
+    src, dst, home, high, low = found.settle()
+    s = q @ y.T
+    for i in range(50):
+        assert set(np.argsort(-s[i])[:3]) <= set(dst[src == i])
+    assert len(src) < 50 * 12 and (home == dst // 250).all()
+    assert (s[src, dst] <= high + 1e-4).all() and (s[src, dst] >= low - 1e-4).all()
+
+
+def test_only_vectors_that_occur_again_are_ranked(spark, monkeypatch):
+    ranked = []
+    whole = cellindex.rank_within
+    monkeypatch.setattr(cellindex, "rank_within", lambda df, *a, **kw: ranked.append(df.count()) or whole(df, *a, **kw))
+    rows = [(5, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [0.0, 1.0]), (9, [-0.0, 1.0]), (1, [2.0, 2.0])]
+    placed = spark.createDataFrame([(i, v, 0) for i, v in rows], "id long, vec array<double>, cell int")
+    want = {5: 2, 3: 1, 4: 1, 9: 2, 1: 1}
+    for most in (200_000, 0):
+        monkeypatch.setattr(cellindex, "BROADCAST_HASHES", most)
+        assert {r["id"]: r["copy"] for r in cellindex._numbered(placed).collect()} == want
+    assert ranked == [4, 4]
+    assert {r["copy"] for r in cellindex._numbered(placed.where("id in (1, 3, 4)")).collect()} == {1} and len(ranked) == 2

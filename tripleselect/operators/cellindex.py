@@ -12,7 +12,7 @@ first, and a block is broadcast; its probed cells prune the index's partitions.
 
 1. Every task scores its rows by their codes.  The true score is within
    ``err * |query|`` of that, so a row stays only while its upper bound reaches
-   the query's n-th best lower bound.  Cells whose extent rules out a better
+   the query's n-th best lower bound.  Upper bounds are one matrix product; lower ones are taken of the rows that stay.  Cells whose extent rules out a better
    row are not scored at all, nor are rows of which ``n`` equal ones come first.
 2. The rows that are left get their exact score from the full vectors, which
    are read from the cells of these rows only.
@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from tripleselect.operators.cluster import centroid_matrix, spherical_kmeans
 from tripleselect.operators.select import rank_within
-from tripleselect.session import cut_lineage
+from tripleselect.session import cut_lineage, ship_package
 from tripleselect.sources.io import read_cells, write_cells
 
 #: Rows that centroids are fitted on (least hash first), bytes of a block of queries, rows of a stored file.
-SAMPLE_ROWS, QUERY_BYTES, FILE_ROWS = 100_000, 8 << 20, 100_000
+SAMPLE_ROWS, QUERY_BYTES, FILE_ROWS = 100_000, 32 << 20, 100_000
 MIN_POINTS = 5
+#: Queries and rows of a tile of bounds, and hashes of copies that may be broadcast.
+TILE_QUERIES, TILE_ROWS, BROADCAST_HASHES = 512, 2048, 200_000
 #: Bounds are computed in 32 bits.
 SLACK = 1e-4
 
@@ -67,6 +69,60 @@ def _nearest(rows: DataFrame, mat: np.ndarray, cells: np.ndarray, sign: float =
     return rows.select("id", "vec").mapInArrow(run, f"id long, vec {dict(rows.dtypes)['vec']}, cell int")
 
 
+def _numbered(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``copy``: 1, 2, ... among equal vectors, by id.  Only
+    vectors whose hash occurs again are compared and ranked."""
+    h = F.xxhash64("vec")
+    again = cut_lineage(placed.select(h.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    n = again.count()
+    if not n:
+        return placed.withColumn("copy", F.lit(1))
+    known = F.broadcast(again) if n <= BROADCAST_HASHES else again
+    named = placed.withColumn("h", h)
+    ranked = rank_within(named.join(known, "h", "left_semi").drop("h"), ["vec"], ["id"], "copy")
+    return ranked.unionByName(named.join(known, "h", "left_anti").drop("h").withColumn("copy", F.lit(1)))
+
+
+class Bounds:
+    """Rows whose upper bound reaches a query's n-th best lower bound, among those met so far."""
+
+    def __init__(self, q: np.ndarray, size: np.ndarray, n: int):
+        self.q, self.size, self.n = np.concatenate([q, size[:, None]], axis=1), size, n
+        self.floor = np.full(len(q), -np.inf, np.float32)           # n rows have a lower bound of no less
+        self.held, self.count = [], 0
+
+    def add(self, ask: np.ndarray, y: np.ndarray, room: np.ndarray, name: np.ndarray, cell: int) -> None:
+        """Queries ``ask`` with rows ``y`` of a cell, each known up to ``room``."""
+        for r in range(0, len(name), TILE_ROWS):
+            part = np.concatenate([y[r:r + TILE_ROWS], room[r:r + TILE_ROWS, None]], axis=1)
+            for a in range(0, len(ask), TILE_QUERIES):
+                who = ask[a:a + TILE_QUERIES]
+                up = self.q[who] @ part.T
+                if len(part) >= self.n and np.isneginf(self.floor[who]).any():
+                    low = up - 2 * self.size[who, None] * part[:, -1]
+                    self.floor[who] = np.maximum(self.floor[who], np.partition(low, -self.n, axis=1)[:, -self.n])
+                hit = np.flatnonzero(up >= self.floor[who][:, None])
+                i, j = who[hit // len(part)], hit % len(part)
+                high = up.ravel()[hit]
+                self.held.append((i, name[r + j], np.full(len(i), cell, np.int32), high, high - 2 * self.size[i] * part[j, -1]))
+                self.count += len(i)
+                if self.count > 4 * self.n * len(self.q) + 1_000_000:
+                    self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """``(query, row, cell, high, low)`` that are left; what newer rows have ruled out goes."""
+        if self.held:
+            src, dst, home, high, low = (np.concatenate(v) for v in zip(*self.held))
+            order = np.lexsort((-low, src))
+            rank = np.arange(len(order)) - np.searchsorted(src[order], src[order])
+            nth = order[rank == self.n - 1]
+            self.floor[src[nth]] = np.maximum(self.floor[src[nth]], low[nth])
+            ok = high >= self.floor[src]
+            self.held = [tuple(v[ok] for v in (src, dst, home, high, low))]
+            self.count = int(ok.sum())
+        return self.held[0] if self.held else ()
+
+
 @dataclass
 class CellIndex:
     """A stored index: its rows and, by cell, the centers and extents."""
@@ -87,6 +143,7 @@ class CellIndex:
               sample_rows: int = SAMPLE_ROWS, id_col: str = "triple_id", vec_col: str = "vec") -> CellIndex:
         """Fit, code and store an index of ``vectors``; returns it as stored."""
         spark = vectors.sparkSession
+        ship_package(spark)
         x = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         n = x.count()
@@ -149,7 +206,7 @@ class CellIndex:
                      pa.array(own.astype(np.float32)), pa.array(err.astype(np.float32)), b.column("vec")],
                     names=["cell", "id", "copy", "code", "step", "err", "vec"])
 
-        copies = rank_within(placed, ["vec"], ["id"], "copy").select("cell", "id", "copy", "vec")
+        copies = _numbered(placed).select("cell", "id", "copy", "vec")
         coded = copies.mapInArrow(code, "cell int, id long, copy int, code binary, step float, err float, vec array<double>")
         salts = max(1, math.ceil(max(sizes.values(), default=1) / FILE_ROWS))
         table = [(int(c), [float(v) for v in centers[i]], float(ext[int(c)].lo), float(ext[int(c)].hi),
@@ -199,6 +256,7 @@ class CellIndex:
         any other.  Queries with a null id or vector are left out; repeated
         query ids are one query each."""
         spark = queries.sparkSession
+        ship_package(spark)
         sign = 1.0 if largest else -1.0
         # queries reach the driver block by block, in the type of their numbers
         kind = "array<float>" if dict(queries.dtypes)[vec_col] == "array<float>" else "array<double>"
@@ -232,8 +290,7 @@ class CellIndex:
 
         def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, size, bound, cells, centers = sent.value
-            best = np.full((len(q), n), -np.inf, np.float32)
-            src, dst, home, high = [], [], [], []
+            found = Bounds(q, size, n)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -242,37 +299,16 @@ class CellIndex:
                 err, step = b.column("err").to_numpy(), b.column("step").to_numpy()
                 for c in np.unique(own):
                     at = np.searchsorted(cells, c)
-                    worst = best.min(axis=1)
                     up = bound[:, at]
-                    ask = np.flatnonzero((up > -np.inf) & (up + SLACK * (1 + size + np.abs(up)) >= worst))
+                    ask = np.flatnonzero((up > -np.inf) & (up + SLACK * (1 + size + np.abs(up)) >= found.floor))
                     rows = np.flatnonzero(own == c)
-                    for r in range(0, len(rows) if len(ask) else 0, 2048):
-                        part = rows[r:r + 2048]
-                        y = codes[part].astype(np.float32) * step[part, None]
-                        s = q[ask] @ y.T + (q[ask] @ centers[at])[:, None]
-                        room = size[ask, None] * err[part] + SLACK * size[ask, None]
-                        low = s - room
-                        m = min(n, low.shape[1])
-                        top = np.partition(low, -m, axis=1)[:, -m:]
-                        best[ask] = np.partition(np.concatenate([best[ask], top], axis=1), -n, axis=1)[:, -n:]
-                        s += room
-                        i, j = np.nonzero(s >= best[ask].min(axis=1)[:, None])
-                        src.append(ask[i])
-                        dst.append(name[part[j]])
-                        home.append(np.full(len(i), c, np.int32))
-                        high.append(s[i, j])
-                # what newer rows have ruled out goes
-                if sum(map(len, src)) > 4 * n * len(q) + 100_000:
-                    one = [np.concatenate(v) for v in (src, dst, home, high)]
-                    ok = one[3] >= best.min(axis=1)[one[0]]
-                    src, dst, home, high = ([v[ok]] for v in one)
-            if src:
-                one = [np.concatenate(v) for v in (src, dst, home, high)]
-                worst = best.min(axis=1)[one[0]]
-                ok = one[3] >= worst
+                    if len(ask):
+                        y = codes[rows].astype(np.float32) * step[rows, None] + centers[at]
+                        found.add(ask, y, err[rows] + np.float32(SLACK), name[rows], c)
+            if left := found.settle():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one[0][ok].astype(np.int32)), pa.array(one[1][ok]), pa.array(one[2][ok]), pa.array(one[3][ok]),
-                     pa.array(worst[ok])], names=["q", "id", "cell", "high", "worst"])
+                    [pa.array(left[0].astype(np.int32)), pa.array(left[1]), pa.array(left[2]), pa.array(left[3]), pa.array(found.floor[left[0]])],
+                    names=["q", "id", "cell", "high", "worst"])
 
         rows = self.rows.where((F.col("copy") <= n) & F.col("cell").isin([int(c) for c in self.cells[(bound > -np.inf).any(axis=0)]]))
         near = rows.select("id", "cell", "code", "step", "err").mapInArrow(first, "q int, id long, cell int, high float, worst float")
