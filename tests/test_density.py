@@ -1,5 +1,6 @@
 """Density clusters against a hierarchy by brute force."""
 import numpy as np
+from pyspark.sql import functions as F
 
 from tripleselect.operators import density
 from tripleselect.operators.components import connected_components
@@ -194,3 +195,13 @@ def test_many_edges_of_a_round_are_united_in_one_task(spark, monkeypatch):
     df = spark.createDataFrame([(int(at[i]), int(at[i + 1])) for i in range(n - 1) if i != 1000], "a long, b long")
     comp = {r.node: r.comp for r in connected_components(df, local_edges=n).collect()}
     assert {comp[int(v)] for v in at[:1001]} == {int(at[:1001].min())} and {comp[int(v)] for v in at[1001:]} == {int(at[1001:].min())}
+
+
+def test_rounds_of_joins_keep_no_estimates(spark):
+    """A join's estimate is the product of both sides'; kept by checkpoints, it doubles in digits with every round."""
+    from tripleselect.session import cut_estimates
+    df = start = cut_estimates(spark.range(5))
+    for _ in range(6):
+        df = cut_estimates(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    size = [x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for x in (start, df)]
+    assert size[0] == size[1] and df.count() == 5

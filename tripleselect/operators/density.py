@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tripleselect.functions.vectors import with_l2_normalized
 from tripleselect.operators.components import Forest, connected_components
 from tripleselect.operators.neighbors import block_join, finite, in_single, matrix, products
-from tripleselect.session import cut_lineage, ensure_checkpoint_dir
+from tripleselect.session import cut_estimates, ensure_checkpoint_dir
 
 BAND_EDGES = 200_000
 #: Shortest distance that is told apart from 0 in 1 / distance.  Without one, a group of copies would be a cluster of
@@ -55,10 +55,10 @@ def folded(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Da
     """``nodes(node, vec, weight)``, one per different unit vector, and
     ``members(id, node)``; a node is named by its smallest id."""
     x = with_l2_normalized(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "vec")
-    x = cut_lineage(x)
+    x = cut_estimates(x)
     # rows are dealt and sorted by a hash of the vector; vectors are compared where it is equal, and only those of copies are joined
     h = F.xxhash64("vec").alias("h")
-    nodes = cut_lineage(x.groupBy(h, "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
+    nodes = cut_estimates(x.groupBy(h, "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight")))
     alone = (F.col("weight") == 1) & F.col("vec").isNotNull()
     members = nodes.where(alone).select(F.col("node").alias("id"), "node").unionByName(
         x.withColumn("h", h).join(nodes.where("weight > 1").drop("weight"), ["h", "vec"]).select("id", "node"))
@@ -164,38 +164,38 @@ def search_outside(asking: DataFrame, rows: DataFrame) -> DataFrame:
 def spanning_tree(nodes: DataFrame, lists: DataFrame, core: DataFrame) -> DataFrame:
     """``(lo, hi, w)``: the minimum spanning tree over mutual reachability."""
     spark = nodes.sparkSession
-    rows = cut_lineage(nodes.join(core, "node").select("node", "vec", "core", "reach"))
+    rows = cut_estimates(nodes.join(core, "node").select("node", "vec", "core", "reach"))
     c = core.select("node", "core")
     listed = (lists.join(c.toDF("src", "cs"), "src").join(c.toDF("dst", "cd"), "dst")
                    .select(F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"),
                            F.greatest("cs", "cd", "dist").alias("w")).groupBy("lo", "hi").agg(F.min("w").alias("w")))
-    listed = cut_lineage(listed)
-    comp = cut_lineage(rows.select("node", F.col("node").alias("comp")))
+    listed = cut_estimates(listed)
+    comp = cut_estimates(rows.select("node", F.col("node").alias("comp")))
     tree = spark.createDataFrame([], "lo long, hi long, w double")
     left = comp.count()
     first = F.struct("w", "lo", "hi", "other")
     while left > 1:
         out = (listed.join(comp.toDF("lo", "ca"), "lo").join(comp.toDF("hi", "cb"), "hi").where("ca <> cb"))
-        out = cut_lineage(out)
+        out = cut_estimates(out)
         listed = out.select("lo", "hi", "w")
         ends = out.select(F.col("ca").alias("comp"), "w", "lo", "hi", F.col("cb").alias("other")).unionByName(
             out.select(F.col("cb").alias("comp"), "w", "lo", "hi", F.col("ca").alias("other")))
         best = ends.groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*")
-        best = cut_lineage(best)
+        best = cut_estimates(best)
         # who asks is found without the vectors, which are joined for them alone
         now = rows.select("node", "reach").where(F.col("reach") < float("inf")).join(comp, "node").join(
             best.select("comp", F.col("w").alias("bound")), "comp", "left").fillna(float("inf"), ["bound"])
-        now = cut_lineage(now.where(F.col("reach") <= F.col("bound")).select("node", "comp", "bound"))
+        now = cut_estimates(now.where(F.col("reach") <= F.col("bound")).select("node", "comp", "bound"))
         asking = rows.join(now, "node").select("node", "comp", "core", "bound", "vec")
         far = now.agg(F.max("bound")).first()[0]
         if far is not None:
-            asking = cut_lineage(asking)
+            asking = cut_estimates(asking)
             others = rows.join(comp, "node").where(F.col("core") <= far).select("node", "comp", "core", "vec")
-            best = cut_lineage(best.unionByName(search_outside(asking, others))
+            best = cut_estimates(best.unionByName(search_outside(asking, others))
                                    .groupBy("comp").agg(F.min(first).alias("e")).select("comp", "e.*"))
-        tree = cut_lineage(tree.unionByName(best.select("lo", "hi", "w").distinct()))
+        tree = cut_estimates(tree.unionByName(best.select("lo", "hi", "w").distinct()))
         joined = connected_components(best.select(F.col("comp").alias("a"), F.col("other").alias("b")), local_edges=ROUND_EDGES)
-        comp = cut_lineage(comp.join(joined.toDF("comp", "to"), "comp").select("node", F.col("to").alias("comp")))
+        comp = cut_estimates(comp.join(joined.toDF("comp", "to"), "comp").select("node", F.col("to").alias("comp")))
         left = comp.select("comp").distinct().count()
     return tree
 
@@ -279,7 +279,7 @@ def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges:
     node of ``nodes(node, weight, core)``; -1 for noise."""
     from tripleselect.operators.select import rank_within
     big = F.col("weight") >= least
-    state = cut_lineage(nodes.select(
+    state = cut_estimates(nodes.select(
         F.col("node").alias("comp"), F.col("weight").alias("size"),
         F.when(big, F.col("weight") / F.greatest("core", F.lit(SHORTEST))).otherwise(0.0).alias("gain"),
         F.lit(0.0).alias("below"), big.alias("cluster")))
@@ -290,7 +290,7 @@ def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges:
         ranked = tree.join(length, "w").withColumn("band", F.floor((F.col("rank") - 1) / band_edges).cast("int"))
     else:
         ranked = tree.withColumn("band", F.lit(0))
-    ranked = cut_lineage(ranked.select("lo", "hi", "w", "band"))
+    ranked = cut_estimates(ranked.select("lo", "hi", "w", "band"))
     at = nodes.select("node", F.col("node").alias("comp"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -302,20 +302,20 @@ def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges:
     steps = []
     for band in range(bands):
         e = (ranked.where(F.col("band") == band).join(at.toDF("lo", "a"), "lo").join(at.toDF("hi", "b"), "hi").select("a", "b", "w"))
-        trees = cut_lineage(connected_components(e, local_edges=ROUND_EDGES)).toDF("comp", "tree")
+        trees = cut_estimates(connected_components(e, local_edges=ROUND_EDGES)).toDF("comp", "tree")
         own = state.join(trees, "comp").select("tree", F.lit(0).alias("side"), "comp", "size", "gain", "below", "cluster",
                                                F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("w"))
         way = e.join(trees.toDF("a", "tree"), "a").select(
             "tree", F.lit(1).alias("side"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("size"),
             F.lit(0.0).alias("gain"), F.lit(0.0).alias("below"), F.lit(False).alias("cluster"), "a", "b", "w")
-        done = cut_lineage(own.unionByName(way).groupBy("tree").applyInPandas(
+        done = cut_estimates(own.unionByName(way).groupBy("tree").applyInPandas(
             run, "comp long, tree long, label long, size long, gain double, below double, cluster boolean"))
         steps.append(done.select("comp", "tree", "label"))
         if band + 1 < bands:
             rest = state.join(done.select("comp"), "comp", "left_anti")
             grown = done.groupBy(F.col("tree")).agg(*[F.first(c).alias(c) for c in ("size", "gain", "below", "cluster")])
-            state = cut_lineage(rest.unionByName(grown.withColumnRenamed("tree", "comp")))
-            at = cut_lineage(at.join(done.select("comp", "tree"), "comp", "left").select("node", F.coalesce("tree", "comp").alias("comp")))
+            state = cut_estimates(rest.unionByName(grown.withColumnRenamed("tree", "comp")))
+            at = cut_estimates(at.join(done.select("comp", "tree"), "comp", "left").select("node", F.coalesce("tree", "comp").alias("comp")))
     # from the last band down: a tree inside a selected cluster is all of it
     above = None
     for done in reversed(steps):
@@ -325,7 +325,7 @@ def hierarchy_labels(nodes: DataFrame, tree: DataFrame, least: int, band_edges:
                                                         .otherwise(F.col("label")).alias("label"))
             # components that no edge of this band touches are what they are above
             done = done.unionByName(above.join(done.select("comp"), "comp", "left_anti"))
-        above = cut_lineage(done.select("comp", "label"))
+        above = cut_estimates(done.select("comp", "label"))
     return nodes.select("node").join(above.toDF("node", "label"), "node", "left").select(
         "node", F.coalesce("label", F.lit(-1)).alias("label"))
 
@@ -343,10 +343,10 @@ def cluster_density(vectors: DataFrame, min_cluster_size: int, min_samples: int
     nodes, members = folded(vectors, id_col, vec_col)
     lists = exact_neighbors(nodes, nodes, max(graph_k or 2 * ms, ms), largest=True, exclude_self=True, id_col="node",
                             vec_col="vec", block_rows=block_rows)
-    lists = cut_lineage(lists.select("src", "dst", "rank", F.sqrt(F.greatest(F.lit(0.0), F.round(2.0 - 2.0 * F.col("dot"), 12))).alias("dist")))
-    core = cut_lineage(core_distances(nodes, lists, ms))
+    lists = cut_estimates(lists.select("src", "dst", "rank", F.sqrt(F.greatest(F.lit(0.0), F.round(2.0 - 2.0 * F.col("dot"), 12))).alias("dist")))
+    core = cut_estimates(core_distances(nodes, lists, ms))
     tree = spanning_tree(nodes, lists, core)
-    labels = cut_lineage(hierarchy_labels(nodes.join(core, "node").select("node", "weight", "core"), tree, min_cluster_size, band_edges))
+    labels = cut_estimates(hierarchy_labels(nodes.join(core, "node").select("node", "weight", "core"), tree, min_cluster_size, band_edges))
     names = labels.where("label >= 0").select("label").distinct()
     numbered = rank_within(names, [], ["label"], "number").select("label", (F.col("number") - 1).alias("cluster_id"))
     return (members.join(labels, "node").join(numbered, "label", "left")

@@ -88,3 +88,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_estimates(df: DataFrame) -> DataFrame:
+    """``cut_lineage`` that keeps no estimate of sizes either.  A checkpoint
+    keeps its plan's, and a join's is the product of both sides': with rounds
+    of joins over checkpoints it doubles in digits from round to round, until
+    planning takes longer than the work."""
+    kept = cut_lineage(df)
+    spark = kept.sparkSession
+    bare = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(bare, spark)
