@@ -228,7 +228,7 @@ def grow(nodes: pd.DataFrame, edges: pd.DataFrame, least: int) -> tuple[dict, np
     cuts = [0, *(np.flatnonzero(np.diff(length)) + 1).tolist(), len(length)] if len(length) else [0]
     for begin, end in zip(cuts, cuts[1:]):
         if end == begin + 1:                                # as nearly always: one edge of its length
-            groups = [sorted(map(find, ends[begin]))]
+            groups = [sorted(set(map(find, ends[begin])))]
         else:
             met = Forest()
             for a, b in ends[begin:end]:
